@@ -1,53 +1,78 @@
-"""Null-safe arithmetic on columns."""
+"""Building blocks of SQL expressions: null-safe arithmetic, unpivots, windows.
+
+Formulas are kept as SQL text. A formula is then one call to the JVM however long
+it is, and reads like the arithmetic it stands for.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
 
+def name(column: str) -> str:
+    """Quoted column name."""
+    return f"`{column}`"
 
-def col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
 
+def literal(value: str | int | float) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else repr(value)
 
-def ratio(numerator: Column | str, denominator: Column | str) -> Column:
+
+def ratio(numerator: str, denominator: str) -> str:
     """Double quotient; null instead of an error when the denominator is 0."""
-    return F.try_divide(col(numerator).cast("double"), col(denominator).cast("double"))
+    return f"try_divide(cast({numerator} as double), cast({denominator} as double))"
 
 
-def root(c: Column) -> Column:
+def root(x: str) -> str:
     """Square root; null for the negative values that rounding can leave behind."""
-    return F.when(c >= 0, F.sqrt(c))
+    return f"nanvl(sqrt({x}), cast(null as double))"
 
 
-def finite(c: Column | str) -> Column:
+def finite(x: str) -> str:
     """The value, or null for NaN and the infinities."""
-    c = col(c)
-    return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    return f"(case when not isnan({x}) and abs({x}) != double('inf') then {x} end)"
 
 
-def significant(c: Column | str, digits: int = 6) -> Column:
+def significant(x: str, digits: int = 6) -> str:
     """Finite doubles rounded to ``digits`` significant digits, else null."""
-    return F.format_string(f"%.{digits - 1}e", finite(c)).cast("double")
+    return f"cast(format_string('%.{digits - 1}e', {finite(x)}) as double)"
+
+
+def sum_where(predicate: str, value: str) -> str:
+    """Sum of whole numbers over matching rows, 0 when none match."""
+    return f"coalesce(sum(case when {predicate} then {value} end), 0L)"
+
+
+def derive(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Add columns; they may use the columns already there, not each other."""
+    return df.selectExpr("*", *[f"{value} as {name(column)}" for column, value in columns.items()])
 
 
-def count_where(predicate: Column) -> Column:
-    return F.count_if(predicate)
+def pick(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Keep only these columns, given as name -> expression."""
+    return df.selectExpr(*[f"{value} as {name(column)}" for column, value in columns.items()])
 
 
-def sum_where(predicate: Column, value: Column) -> Column:
-    """Sum over matching rows, 0 when none match."""
-    return F.coalesce(F.sum(F.when(predicate, value)), F.lit(0)).cast("long")
+def group(df: DataFrame, keys: Iterable[str], columns: Mapping[str, str]) -> DataFrame:
+    """Aggregate name -> expression by the key columns."""
+    keys = [name(k) for k in keys]
+    selected = [*keys, *[f"{value} as {name(column)}" for column, value in columns.items()]]
+    by = f" group by {', '.join(keys)}" if keys else ""
+    return df.sparkSession.sql(f"select {', '.join(selected)} from {{rows}}{by}", rows=df)
 
 
-def each(df: DataFrame, records: Iterable[Mapping[str, Column]]) -> DataFrame:
+def each(df: DataFrame, records: Iterable[Mapping[str, str]]) -> DataFrame:
     """Replace every row by one row per record (an unpivot without a join)."""
-    structs = [F.struct(*[value.alias(name) for name, value in r.items()]) for r in records]
-    return df.select(F.inline(F.array(*structs)))
+    structs = [
+        "named_struct(" + ", ".join(f"{literal(column)}, {value}" for column, value in r.items()) + ")" for r in records
+    ]
+    return df.selectExpr(f"inline(array({', '.join(structs)}))")
 
 
-def with_each_value(df: DataFrame, name: str, values: Iterable) -> DataFrame:
+def with_each_value(df: DataFrame, column: str, values: Iterable[str | int | float]) -> DataFrame:
     """Repeat every row once per literal value, in a new column."""
-    return df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return df.selectExpr("*", f"explode(array({', '.join(literal(v) for v in values)})) as {name(column)}")

@@ -1,4 +1,4 @@
-"""Tail probabilities of the normal and chi-square laws as column expressions."""
+"""Tail probabilities of the normal and chi-square laws as SQL expressions."""
 
 from __future__ import annotations
 
@@ -6,10 +6,7 @@ import math
 from functools import reduce
 from statistics import NormalDist
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from armlift.functions.numeric import col
+from armlift.functions.numeric import literal
 
 # Coefficients of the rational Chebyshev approximations to erf and
 # erfc published by W. J. Cody, Math. Comp. 23 (1969), highest power first.
@@ -78,53 +75,54 @@ def two_sided_z(level: float = 0.95) -> float:
     return normal_quantile(0.5 + level / 2)
 
 
-def polynomial(x: Column, coefficients: tuple[float, ...]) -> Column:
-    return reduce(lambda acc, c: acc * x + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
+def polynomial(x: str, coefficients: tuple[float, ...]) -> str:
+    return reduce(lambda acc, c: f"({acc} * {x} + {literal(c)})", coefficients[1:], literal(coefficients[0]))
+
+
+def quotient(x: str, numerator: tuple[float, ...], denominator: tuple[float, ...]) -> str:
+    return f"{polynomial(x, numerator)} / {polynomial(x, denominator)}"
 
 
-def erfc(x: Column | str) -> Column:
-    """Complementary error function, relative error near 1e-15."""
-    x = col(x)
-    size = F.abs(x)
-    square = x * x
-    small = 1 - x * polynomial(square, ERF_SMALL_NUMERATOR) / polynomial(square, ERF_SMALL_DENOMINATOR)
-    decay = F.exp(-square)
-    middle = decay * polynomial(size, ERFC_MIDDLE_NUMERATOR) / polynomial(size, ERFC_MIDDLE_DENOMINATOR)
-    inverse = F.lit(1.0) / F.greatest(square, F.lit(1.0))
-    correction = inverse * polynomial(inverse, ERFC_LARGE_NUMERATOR) / polynomial(inverse, ERFC_LARGE_DENOMINATOR)
-    large = decay * (F.lit(1 / math.sqrt(math.pi)) - correction) / F.greatest(size, F.lit(1.0))
-    upper = F.when(size <= MIDDLE_LIMIT, middle).otherwise(large)
-    return F.when(size <= SMALL_LIMIT, small).when(x < 0, 2 - upper).otherwise(upper)
+def erfc(x: str) -> str:
+    """Complementary error function of a column (or short expression), relative error near 1e-15."""
+    size, square = f"abs({x})", f"({x} * {x})"
+    inverse = f"(1.0D / greatest({square}, 1.0D))"
+    small = f"1.0D - {x} * {quotient(square, ERF_SMALL_NUMERATOR, ERF_SMALL_DENOMINATOR)}"
+    middle = f"exp(-{square}) * {quotient(size, ERFC_MIDDLE_NUMERATOR, ERFC_MIDDLE_DENOMINATOR)}"
+    correction = f"{inverse} * {quotient(inverse, ERFC_LARGE_NUMERATOR, ERFC_LARGE_DENOMINATOR)}"
+    large = f"exp(-{square}) * ({literal(1 / math.sqrt(math.pi))} - {correction}) / greatest({size}, 1.0D)"
+    upper = f"case when {size} <= {literal(MIDDLE_LIMIT)} then {middle} else {large} end"
+    return (
+        f"(case when {size} <= {literal(SMALL_LIMIT)} then {small} "
+        f"when {x} < 0 then 2.0D - ({upper}) else {upper} end)"
+    )
 
 
-def normal_cdf(z: Column | str) -> Column:
-    return 0.5 * erfc(-col(z) / math.sqrt(2))
+def normal_cdf(z: str) -> str:
+    return f"(0.5D * {erfc(f'(-{z} / {literal(math.sqrt(2))})')})"
 
 
-def normal_two_sided(z: Column | str) -> Column:
+def normal_two_sided(z: str) -> str:
     """Probability of a standard normal at least as far from 0 as ``z``."""
-    return erfc(F.abs(col(z)) / math.sqrt(2))
+    return erfc(f"(abs({z}) / {literal(math.sqrt(2))})")
 
 
-def chi2_tail(x: Column | str, df: Column | str) -> Column:
+def chi2_tail(x: str, df: str) -> str:
     """Upper tail of chi-square with integer degrees of freedom (finite sum).
 
     Successive terms differ by the factor h/a with h = x/2, and a running over
     1, 2, .. (even df) or 3/2, 5/2, .. (odd df); the odd case adds erfc(sqrt(h)).
     """
-    half, df = col(x) / 2, col(df).cast("int")
-    even = df % 2 == 0
-    first = F.when(even, F.exp(-half)).otherwise(F.exp(-half) * F.sqrt(half) * (2 / math.sqrt(math.pi)))
-    n_terms = F.floor(df / 2).cast("int")
-    start = F.struct(first.alias("term"), F.lit(0.0).alias("total"))
-
-    def add(state: Column, i: Column) -> Column:
-        divisor = F.when(even, i.cast("double")).otherwise(i + 0.5)
-        return F.struct(
-            (state.term * half / divisor).alias("term"), (state.total + state.term).alias("total")
-        )
-
-    steps = F.when(n_terms > 0, F.sequence(F.lit(1), n_terms)).otherwise(F.array().cast("array<int>"))
-    finite_sum = F.aggregate(steps, start, add, lambda s: s.total)
-    tail = F.when(even, finite_sum).otherwise(erfc(F.sqrt(half)) + finite_sum)
-    return F.when(df <= 0, F.lit(1.0)).otherwise(F.least(tail, F.lit(1.0)))
+    half, df = f"({x} / 2.0D)", f"cast({df} as int)"
+    even = f"{df} % 2 = 0"
+    first = f"exp(-{half}) * if({even}, 1.0D, sqrt({half}) * {literal(2 / math.sqrt(math.pi))})"
+    steps = f"if({df} >= 2, sequence(1, cast(floor({df} / 2) as int)), cast(array() as array<int>))"
+    terms = (
+        f"aggregate({steps}, named_struct('term', {first}, 'total', 0.0D), "
+        f"(s, i) -> named_struct('term', s.term * {half} / (i + if({even}, 0.0D, 0.5D)), 'total', s.total + s.term), "
+        "s -> s.total)"
+    )
+    return (
+        f"(case when {df} <= 0 then 1.0D "
+        f"else least(1.0D, {terms} + if({even}, 0.0D, {erfc(f'sqrt({half})')})) end)"
+    )

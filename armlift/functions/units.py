@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from armlift.functions.numeric import literal, name
+
 COPIES_PER_CHUNK = 100_000
 
 
-def unit_uniform(unit_id: Column | str, salt: str) -> Column:
+def unit_uniform(unit_id: str, salt: str) -> str:
     """Uniform number in [0, 1) from the md5 of salt and unit id.
 
     The same in every engine, after every repartition and on every retry.
     """
-    unit_id = F.col(unit_id) if isinstance(unit_id, str) else unit_id
-    digest = F.md5(F.concat(F.lit(salt), unit_id.cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    digest = f"md5(concat({literal(salt)}, cast({name(unit_id)} as string)))"
+    return f"(cast(conv(substring({digest}, 1, 8), 16, 10) as bigint) / 4294967296D)"
 
 
-def add_unit_id(df: DataFrame, name: str = "unit_id") -> DataFrame:
+def add_unit_id(df: DataFrame, unit_id: str = "unit_id") -> DataFrame:
     """Give a key to a table that has none.
 
     The key hashes all columns and the number of the copy, so identical rows get
@@ -26,14 +27,15 @@ def add_unit_id(df: DataFrame, name: str = "unit_id") -> DataFrame:
     counted, not collected; a group with very many copies is re-expanded in chunks
     spread over tasks.
     """
-    columns = df.columns
-    groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__copies"))
-    last_chunk = F.floor((F.col("__copies") - 1) / COPIES_PER_CHUNK).cast("long")
-    chunks = groups.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)))
-    spread = chunks.repartition(F.xxhash64(*columns, "__chunk"))
-    start = F.col("__chunk") * COPIES_PER_CHUNK
-    end = F.least(start + COPIES_PER_CHUNK, F.col("__copies")) - 1
-    copies = spread.withColumn("__copy", F.explode(F.sequence(start, end)))
+    columns = [name(c) for c in df.columns]
+    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    last = f"cast(floor((__copies - 1) / {COPIES_PER_CHUNK}) as bigint)"
+    chunks = groups.selectExpr("*", f"explode(sequence(0L, {last})) as __chunk")
+    spread = chunks.repartition(F.expr(f"xxhash64({', '.join(columns)}, __chunk)"))
+    first = f"__chunk * {COPIES_PER_CHUNK}"
+    copies = spread.selectExpr(
+        *columns, f"explode(sequence({first}, least({first} + {COPIES_PER_CHUNK}, __copies) - 1)) as __copy"
+    )
     # two 64-bit hashes: one alone repeats at some 10^9 rows
-    key = F.concat(*[F.lower(F.lpad(F.hex(F.xxhash64(F.lit(salt), *columns, "__copy")), 16, "0")) for salt in (0, 1)])
-    return copies.select(key.alias(name), *columns)
+    halves = [f"lpad(lower(hex(xxhash64({salt}, {', '.join(columns)}, __copy))), 16, '0')" for salt in (0, 1)]
+    return copies.selectExpr(f"concat({', '.join(halves)}) as {name(unit_id)}", *columns)

@@ -3,45 +3,55 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from armlift.functions.numeric import each, sum_where
+from armlift.functions.numeric import each, group, literal, name, sum_where
 from armlift.schema import Roles
 
 
 def arm_counts(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """(treatment, n, one success count per metric)."""
-    return df.groupBy(roles.treatment).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(m).cast("long").alias(m) for m in roles.metrics]
-    )
+    sums = {m: f"cast(sum({name(m)}) as bigint)" for m in roles.metrics}
+    return group(df, [roles.treatment], {"n": "count(1)", **sums})
 
 
-def metric_counts(arms: DataFrame, roles: Roles = Roles()) -> DataFrame:
-    """(metric, n_t, x_t, n_c, x_c), one row per metric, from the arm counts.
+def arm_sums(roles: Roles) -> dict[str, str]:
+    """n_t, n_c and the successes <metric>_t, <metric>_c of a group of units."""
+    t = name(roles.treatment)
+    sums = {"n_t": f"sum({t})", "n_c": f"sum(1 - {t})"}
+    for m in roles.metrics:
+        sums[f"{m}_t"], sums[f"{m}_c"] = f"sum({name(m)} * {t})", f"sum({name(m)} * (1 - {t}))"
+    return sums
 
-    An arm that is missing counts 0, so every rate that needs it becomes null.
-    """
-    treated, control = F.col(roles.treatment) == 1, F.col(roles.treatment) == 0
-    one_row = arms.agg(
-        sum_where(treated, F.col("n")).alias("n_t"),
-        sum_where(control, F.col("n")).alias("n_c"),
-        *[sum_where(treated, F.col(m)).alias(f"{m}_t") for m in roles.metrics],
-        *[sum_where(control, F.col(m)).alias(f"{m}_c") for m in roles.metrics],
-    )
+
+def per_metric(df: DataFrame, keep: tuple[str, ...], roles: Roles) -> DataFrame:
+    """(keep..., metric, n_t, x_t, n_c, x_c) from rows of arm sums."""
     return each(
-        one_row,
+        df,
         [
             {
-                "metric": F.lit(m),
-                "n_t": F.col("n_t"),
-                "x_t": F.col(f"{m}_t"),
-                "n_c": F.col("n_c"),
-                "x_c": F.col(f"{m}_c"),
+                **{c: name(c) for c in keep},
+                "metric": literal(m),
+                "n_t": "n_t",
+                "x_t": name(f"{m}_t"),
+                "n_c": "n_c",
+                "x_c": name(f"{m}_c"),
             }
             for m in roles.metrics
         ],
     )
 
 
+def metric_counts(arms: DataFrame, roles: Roles = Roles()) -> DataFrame:
+    """(metric, n_t, x_t, n_c, x_c), one row per metric, from the arm counts.
+
+    An arm that is missing counts 0, so every rate that needs it becomes null.
+    """
+    t = name(roles.treatment)
+    sums = {"n_t": sum_where(f"{t} = 1", "n"), "n_c": sum_where(f"{t} = 0", "n")}
+    for m in roles.metrics:
+        sums[f"{m}_t"], sums[f"{m}_c"] = sum_where(f"{t} = 1", name(m)), sum_where(f"{t} = 0", name(m))
+    return per_metric(group(arms, [], sums), (), roles)
+
+
 def experiment_counts(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     return metric_counts(arm_counts(df, roles), roles)

@@ -13,10 +13,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from armlift.functions.numeric import ratio
+from armlift.functions.numeric import derive, group, literal, ratio
 from armlift.operators.compliance import CELLS, estimates
 
 BLOCK = 500
@@ -29,18 +28,18 @@ def block_generator(seed: int, metric: str, block: int) -> np.random.Generator:
 def in_blocks(df: DataFrame, n_boot: int, block: int = BLOCK) -> DataFrame:
     """Repeat each row once per block of replicates, with the size of the block, over tasks."""
     last = (n_boot - 1) // block
-    blocks = df.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(last))))
-    size = F.least(F.lit(block), n_boot - F.col("block") * block)
-    return blocks.withColumn("size", size).repartition(min(last + 1, 64), "metric", "block")
+    blocks = df.selectExpr("*", f"explode(sequence(0, {last})) as block")
+    sized = derive(blocks, {"size": f"least({block}, {n_boot} - block * {block})"})
+    return sized.repartition(min(last + 1, 64), "metric", "block")
 
 
-def percentile(c: str, share: float) -> Column:
-    return F.percentile(c, F.lit(share))
-
-
-def interval(c: str, level: float, prefix: str = "boot_") -> list[Column]:
+def interval(column: str, level: float) -> dict[str, str]:
+    """Percentile bounds of a replicated value (nulls are ignored)."""
     tail = (1 - level) / 2
-    return [percentile(c, tail).alias(f"{prefix}{c}_lo"), percentile(c, 1 - tail).alias(f"{prefix}{c}_hi")]
+    return {
+        f"boot_{column}_lo": f"percentile({column}, {literal(tail)})",
+        f"boot_{column}_hi": f"percentile({column}, {literal(1 - tail)})",
+    }
 
 
 def lift_replicates(counts: DataFrame, n_boot: int = 10_000, seed: int = 7) -> DataFrame:
@@ -71,15 +70,19 @@ def lift_bootstrap(
     counts: DataFrame, n_boot: int = 10_000, seed: int = 7, level: float = 0.95
 ) -> DataFrame:
     """Percentile intervals of the absolute and relative lift, and the share of lifts <= 0."""
-    p_t, p_c = ratio("x_t", "n_t"), ratio("x_c", "n_c")
-    lifts = lift_replicates(counts, n_boot, seed).select(
-        "metric", (p_t - p_c).alias("abs"), (ratio(p_t, p_c) - 1).alias("rel")
+    rates = derive(
+        lift_replicates(counts, n_boot, seed), {"rate_t": ratio("x_t", "n_t"), "rate_c": ratio("x_c", "n_c")}
     )
-    return lifts.groupBy("metric").agg(
-        F.count(F.lit(1)).alias("n_boot"),
-        *interval("abs", level),
-        *interval("rel", level),
-        F.avg((F.col("abs") <= 0).cast("double")).alias("share_not_positive"),
+    lifts = derive(rates, {"abs": "rate_t - rate_c", "rel": f"{ratio('rate_t', 'rate_c')} - 1"})
+    return group(
+        lifts,
+        ["metric"],
+        {
+            "n_boot": "count(1)",
+            **interval("abs", level),
+            **interval("rel", level),
+            "share_not_positive": "avg(if(abs <= 0, 1D, 0D))",
+        },
     )
 
 
@@ -117,8 +120,9 @@ def compliance_bootstrap(
 
     Replicates without a defined value (null) are ignored by the percentiles.
     """
-    values = estimates(compliance_replicates(counts, n_boot, seed))
-    return values.groupBy("metric").agg(
-        F.count(F.lit(1)).alias("n_boot"),
-        *[c for v in ("itt", "cace", "cace_rel", "naive_vs_control") for c in interval(v, level)],
+    bounds = {}
+    for value in ("itt", "cace", "cace_rel", "naive_vs_control"):
+        bounds |= interval(value, level)
+    return group(
+        estimates(compliance_replicates(counts, n_boot, seed)), ["metric"], {"n_boot": "count(1)", **bounds}
     )

@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from armlift.functions.numeric import derive, group
 from armlift.operators.bootstrap import block_generator, in_blocks, interval
 from armlift.operators.ranking import TARGET_SHARES
 
@@ -21,11 +21,9 @@ def ranking_slices(ranks: DataFrame, n_slices: int = 1000) -> DataFrame:
 
     Equal rank width keeps every slice equally large, whatever the scores look like.
     """
-    slice_no = F.floor((F.col("rank") - 1) * n_slices / F.col("n")).cast("int")
-    is_kind = lambda t, y: F.count_if((F.col("t") == t) & (F.col("y") == y))
-    return ranks.groupBy("metric", slice_no.alias("slice")).agg(
-        is_kind(1, 1).alias("t1"), is_kind(1, 0).alias("t0"), is_kind(0, 1).alias("c1"), is_kind(0, 0).alias("c0")
-    )
+    placed = derive(ranks, {"slice": f"cast(floor((rank - 1) * {n_slices} / n) as int)"})
+    counts = {k: f"count_if(t = {int(k[0] == 't')} and y = {k[1]})" for k in KINDS}
+    return group(placed, ["metric", "slice"], counts)
 
 
 def captures_of(drawn: np.ndarray, shares: tuple[float, ...]) -> np.ndarray:
@@ -53,8 +51,9 @@ def capture_bootstrap(
     replicates are drawn from the slice counts; replicates without a positive total
     are left out. One record per metric carries the slices, a fixed number of them.
     """
-    counts = F.transform(F.array_sort(F.collect_list(F.struct("slice", *KINDS))), lambda s: F.array(*[s[k] for k in KINDS]))
-    packed = slices.groupBy("metric").agg(F.flatten(counts).alias("counts"))
+    kinds = ", ".join(KINDS)
+    in_order = f"array_sort(collect_list(struct(slice, array({kinds}) as counts)))"
+    packed = group(slices, ["metric"], {"counts": f"flatten(transform({in_order}, s -> s.counts))"})
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -74,6 +73,4 @@ def capture_bootstrap(
 
     schema = "metric string, replicate long, share double, capture double"
     replicates = in_blocks(packed, n_boot, block).mapInPandas(draw, schema)
-    return replicates.groupBy("metric", "share").agg(
-        F.count(F.lit(1)).alias("n_boot"), *interval("capture", level)
-    )
+    return group(replicates, ["metric", "share"], {"n_boot": "count(1)", **interval("capture", level)})

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from armlift.functions.numeric import count_where, each, ratio, root, sum_where
+from armlift.functions.numeric import derive, each, group, literal, name, pick, ratio, root, sum_where
 from armlift.functions.tails import two_sided_z
-from armlift.operators.lift import binomial_variance
+from armlift.operators.lift import around, share_variance
 from armlift.operators.moments import group_moments, side_by_side, with_smd
 from armlift.schema import Roles
 
@@ -16,33 +16,28 @@ CELLS = ("t_e0_y0", "t_e0_y1", "t_e1_y0", "t_e1_y1")
 
 def compliance_cells(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """Units per (treatment, exposure, outcomes...) combination."""
-    keys = (roles.treatment, roles.exposure, *roles.metrics)
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return group(df, [roles.treatment, roles.exposure, *roles.metrics], {"n": "count(1)"})
 
 
 def compliance_counts(cells: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """Marginal totals per metric: treated by (exposure, outcome), control, exposed control."""
-    t, e, n = F.col(roles.treatment), F.col(roles.exposure), F.col("n")
-    wide = cells.agg(
-        *[
-            sum_where((t == 1) & (e == shown) & (F.col(m) == y), n).alias(f"{m}__t_e{shown}_y{y}")
-            for m in roles.metrics
-            for shown in (0, 1)
-            for y in (0, 1)
-        ],
-        *[sum_where((t == 0) & (F.col(m) == 1), n).alias(f"{m}__c_y1") for m in roles.metrics],
-        sum_where(t == 0, n).alias("c_n"),
-        sum_where((t == 0) & (e == 1), n).alias("c_exposed"),
-    )
+    t, e = name(roles.treatment), name(roles.exposure)
+    wide = {"c_n": sum_where(f"{t} = 0", "n"), "c_exposed": sum_where(f"{t} = 0 and {e} = 1", "n")}
+    for m in roles.metrics:
+        wide[f"{m}__c_y1"] = sum_where(f"{t} = 0 and {name(m)} = 1", "n")
+        for shown in (0, 1):
+            for y in (0, 1):
+                cell = f"{t} = 1 and {e} = {shown} and {name(m)} = {y}"
+                wide[f"{m}__t_e{shown}_y{y}"] = sum_where(cell, "n")
     return each(
-        wide,
+        group(cells, [], wide),
         [
             {
-                "metric": F.lit(m),
-                **{c: F.col(f"{m}__{c}") for c in CELLS},
-                "c_n": F.col("c_n"),
-                "c_y1": F.col(f"{m}__c_y1"),
-                "c_exposed": F.col("c_exposed"),
+                "metric": literal(m),
+                **{c: name(f"{m}__{c}") for c in CELLS},
+                "c_n": "c_n",
+                "c_y1": name(f"{m}__c_y1"),
+                "c_exposed": "c_exposed",
             }
             for m in roles.metrics
         ],
@@ -55,32 +50,32 @@ def estimates(counts: DataFrame, two_sided: bool = False) -> DataFrame:
     ``two_sided`` also subtracts exposure in the control arm from the compliance
     rate; by default control units are taken as never exposed.
     """
-    n_exposed = F.col("t_e1_y0") + F.col("t_e1_y1")
-    n_unexposed = F.col("t_e0_y0") + F.col("t_e0_y1")
-    sized = counts.withColumns({"n_exposed": n_exposed, "n_t": n_exposed + n_unexposed})
     compliance = ratio("n_exposed", "n_t")
     if two_sided:
-        compliance = compliance - ratio("c_exposed", "c_n")
-    rated = sized.withColumns(
+        compliance = f"{compliance} - {ratio('c_exposed', 'c_n')}"
+    sized = derive(
+        counts, {"n_exposed": "t_e1_y0 + t_e1_y1", "n_t": "t_e0_y0 + t_e0_y1 + t_e1_y0 + t_e1_y1"}
+    )
+    rated = derive(
+        sized,
         {
             "rate_control": ratio("c_y1", "c_n"),
-            "rate_treatment": ratio(F.col("t_e0_y1") + F.col("t_e1_y1"), "n_t"),
+            "rate_treatment": ratio("(t_e0_y1 + t_e1_y1)", "n_t"),
             "rate_exposed": ratio("t_e1_y1", "n_exposed"),
-            "rate_unexposed": ratio("t_e0_y1", F.col("n_t") - F.col("n_exposed")),
+            "rate_unexposed": ratio("t_e0_y1", "(n_t - n_exposed)"),
             "compliance": compliance,
-        }
+        },
     )
-    itt = rated.withColumn("itt", F.col("rate_treatment") - F.col("rate_control"))
-    cace = itt.withColumns({"itt_rel": ratio("itt", "rate_control"), "cace": ratio("itt", "compliance")})
-    base = cace.withColumn("rate_without_exposure", F.col("rate_exposed") - F.col("cace"))
-    return base.withColumns(
+    itt = derive(rated, {"itt": "rate_treatment - rate_control"})
+    cace = derive(itt, {"itt_rel": ratio("itt", "rate_control"), "cace": ratio("itt", "compliance")})
+    base = derive(cace, {"rate_without_exposure": "rate_exposed - cace"})
+    return derive(
+        base,
         {
-            "cace_rel": F.when(
-                F.col("rate_without_exposure") > 0, ratio("cace", "rate_without_exposure")
-            ),
-            "naive_vs_control": F.col("rate_exposed") - F.col("rate_control"),
-            "naive_vs_unexposed": F.col("rate_exposed") - F.col("rate_unexposed"),
-        }
+            "cace_rel": f"case when rate_without_exposure > 0 then {ratio('cace', 'rate_without_exposure')} end",
+            "naive_vs_control": "rate_exposed - rate_control",
+            "naive_vs_unexposed": "rate_exposed - rate_unexposed",
+        },
     )
 
 
@@ -110,41 +105,34 @@ def effect_intervals(counts: DataFrame, level: float = 0.95) -> DataFrame:
     Outcome and exposure are averaged over the same treated units, so their
     covariance enters the variance of the quotient.
     """
-    crit = two_sided_z(level)
-    y_t, y_c, pi, cace = (F.col(c) for c in ("rate_treatment", "rate_control", "compliance", "cace"))
-    both = ratio("t_e1_y1", "n_t")
-    covariance = ratio(both - y_t * pi, "n_t")
-    spread = estimates(counts).withColumns(
+    spread = derive(
+        estimates(counts),
         {
-            "var_itt": binomial_variance(y_t, F.col("n_t")) + binomial_variance(y_c, F.col("c_n")),
-            "var_pi": binomial_variance(pi, F.col("n_t")),
-            "cov": covariance,
-        }
+            "var_itt": f"{share_variance('rate_treatment', 'n_t')} + {share_variance('rate_control', 'c_n')}",
+            "var_compliance": share_variance("compliance", "n_t"),
+            "covariance": ratio(f"({ratio('t_e1_y1', 'n_t')} - rate_treatment * compliance)", "n_t"),
+        },
     )
     var_cace = ratio(
-        F.col("var_itt") - 2 * cace * F.col("cov") + cace * cace * F.col("var_pi"), pi * pi
+        "(var_itt - 2 * cace * covariance + pow(cace, 2) * var_compliance)", "pow(compliance, 2)"
     )
-    spread = spread.withColumns({"se_itt": root(F.col("var_itt")), "se_cace": root(var_cace)})
-
-    def bounds(estimate: str) -> list[Column]:
-        e, se = F.col(estimate), F.col(f"se_{estimate}")
-        return [(e - crit * se).alias(f"{estimate}_lo"), (e + crit * se).alias(f"{estimate}_hi")]
-
-    return spread.select("metric", "itt", *bounds("itt"), "cace", *bounds("cace"))
+    spread = derive(spread, {"se_itt": root("var_itt"), "se_cace": root(var_cace)})
+    bounds = {"metric": "metric"}
+    for e in ("itt", "cace"):
+        bounds[e] = e
+        bounds[f"{e}_lo"], bounds[f"{e}_hi"] = around(e, f"se_{e}", two_sided_z(level))
+    return pick(spread, bounds)
 
 
 def exposure_selection(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """Standardized difference of every feature, exposed against unexposed treated units."""
     treated = df.filter(F.col(roles.treatment) == 1)
-    return with_smd(side_by_side(group_moments(treated, roles.exposure, roles))).select(
-        "feature", F.col("mean_1").alias("mean_exposed"), F.col("mean_0").alias("mean_unexposed"), "smd"
-    )
+    pairs = with_smd(side_by_side(group_moments(treated, roles.exposure, roles)))
+    return pairs.selectExpr("feature", "mean_1 as mean_exposed", "mean_0 as mean_unexposed", "smd")
 
 
 def imbalance_count(table: DataFrame, limit: float = 0.1) -> DataFrame:
-    return table.agg(
-        count_where(F.abs("smd") >= limit).alias("n_imbalanced"), F.count(F.lit(1)).alias("n_features")
-    )
+    return group(table, [], {"n_imbalanced": f"count_if(abs(smd) >= {literal(limit)})", "n_features": "count(1)"})
 
 
 def naive_bias(table: DataFrame) -> DataFrame:
@@ -153,15 +141,12 @@ def naive_bias(table: DataFrame) -> DataFrame:
     One verdict over all metrics: close when every ratio is within 0.1 of 1, else
     the side all ratios share, else distorted.
     """
-    everything = Window.partitionBy()
-    ratios = table.select(
-        "metric", "naive_vs_control", "cace", ratio("naive_vs_control", "cace").alias("bias_ratio")
+    ratios = table.selectExpr(
+        "metric", "naive_vs_control", "cace", f"{ratio('naive_vs_control', 'cace')} as bias_ratio"
     )
-    r = F.col("bias_ratio")
     verdict = (
-        F.when(F.max(F.abs(r - 1)).over(everything) < 0.1, "close")
-        .when(F.min(r).over(everything) > 1, "overstates")
-        .when(F.max(r).over(everything) < 1, "understates")
-        .otherwise("distorts")
+        "case when max(abs(bias_ratio - 1)) over () < 0.1D then 'close' "
+        "when min(bias_ratio) over () > 1 then 'overstates' "
+        "when max(bias_ratio) over () < 1 then 'understates' else 'distorts' end"
     )
-    return ratios.withColumn("verdict", verdict)
+    return derive(ratios, {"verdict": verdict})

@@ -3,43 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from armlift.functions.numeric import each, ratio
+from armlift.functions.numeric import derive, each, group, literal, name, ratio
 from armlift.schema import Roles
 
+STATS = {"n": "count", "mean": "avg", "var": "var_samp"}
 
-def group_moments(df: DataFrame, group: str, roles: Roles = Roles()) -> DataFrame:
+
+def group_moments(df: DataFrame, key: str, roles: Roles = Roles()) -> DataFrame:
     """(group, feature, n, mean, var) with the sample variance."""
-    wide = df.groupBy(F.col(group).alias("group")).agg(
-        *[
-            fn(f).alias(f"{f}__{name}")
-            for f in roles.features
-            for name, fn in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))
-        ]
-    )
-    return each(
-        wide,
-        [
-            {"group": F.col("group"), "feature": F.lit(f), **{s: F.col(f"{f}__{s}") for s in ("n", "mean", "var")}}
-            for f in roles.features
-        ],
-    )
+    wide = {f"{f}__{s}": f"{fn}({name(f)})" for f in roles.features for s, fn in STATS.items()}
+    rows = [
+        {"group": name(key), "feature": literal(f), **{s: name(f"{f}__{s}") for s in STATS}} for f in roles.features
+    ]
+    return each(group(df, [key], wide), rows)
 
 
 def side_by_side(moments: DataFrame) -> DataFrame:
     """(feature, n_1, mean_1, var_1, n_0, mean_0, var_0) from the moments of groups 1 and 0."""
-    return moments.groupBy("feature").agg(
-        *[
-            F.max(F.when(F.col("group") == g, F.col(s))).alias(f"{s}_{g}")
-            for g in (1, 0)
-            for s in ("n", "mean", "var")
-        ]
-    )
+    of = lambda g, s: f"max(case when `group` = {g} then {s} end)"
+    return group(moments, ["feature"], {f"{s}_{g}": of(g, s) for g in (1, 0) for s in STATS})
 
 
 def with_smd(pairs: DataFrame) -> DataFrame:
     """Add the standardized mean difference; 0 where neither group varies."""
-    spread = F.sqrt((F.col("var_1") + F.col("var_0")) / 2)
-    difference = F.col("mean_1") - F.col("mean_0")
-    return pairs.withColumn("smd", F.when(spread == 0, F.lit(0.0)).otherwise(ratio(difference, spread)))
+    spread = derive(pairs, {"spread": "sqrt((var_1 + var_0) / 2)"})
+    smd = f"case when spread = 0 then 0D else {ratio('(mean_1 - mean_0)', 'spread')} end"
+    return derive(spread, {"smd": smd}).drop("spread")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from armlift.functions.numeric import each, ratio, root, with_each_value
+from armlift.functions.numeric import derive, group, literal, pick, ratio, root, with_each_value
 from armlift.functions.tails import normal_cdf, normal_quantile, normal_two_sided
 from armlift.functions.units import unit_uniform
-from armlift.operators.lift import binomial_variance, standard_errors, with_rates
+from armlift.operators.arms import arm_sums, per_metric
+from armlift.operators.lift import share_variance, standard_errors, with_rates
 from armlift.schema import Roles
 
 # The traffic shares and bucket counts of the standard report.
@@ -19,37 +19,25 @@ BUCKET_COUNTS = (10, 100, 1000)
 FINEST_BUCKETS = 1_000_000
 
 
-def detectable(p_c: Column, n_t: Column, n_c: Column, alpha: float, power: float) -> Column:
-    """Smallest absolute difference found with the given power."""
-    z = normal_quantile(1 - alpha / 2) + normal_quantile(power)
-    return z * root(p_c * (1 - p_c) * (ratio(F.lit(1), n_t) + ratio(F.lit(1), n_c)))
-
-
-def with_power(df: DataFrame, n_t: Column, n_c: Column, alpha: float, name: str) -> DataFrame:
-    """Add the power to find the observed difference with these arm sizes.
+def with_power(df: DataFrame, alpha: float, column: str) -> DataFrame:
+    """Add the power to find the observed difference with arm sizes ``size_t`` and ``size_c``.
 
     The critical value uses the pooled standard error, the difference has the
     unpooled one, and rejections in both directions count.
     """
-    p_t, p_c = F.col("rate_treatment"), F.col("rate_control")
-    pooled = ratio(n_t * p_t + n_c * p_c, n_t + n_c)
-    d, z = F.abs(p_t - p_c), normal_quantile(1 - alpha / 2)
-    return (
-        df.withColumns(
-            {
-                "__se0": root(pooled * (1 - pooled) * (ratio(F.lit(1), n_t) + ratio(F.lit(1), n_c))),
-                "__se1": root(binomial_variance(p_t, n_t) + binomial_variance(p_c, n_c)),
-            }
-        )
-        .withColumns(
-            {
-                "__same": ratio(d - z * F.col("__se0"), "__se1"),
-                "__opposite": ratio(-d - z * F.col("__se0"), "__se1"),
-            }
-        )
-        .withColumn(name, normal_cdf("__same") + normal_cdf("__opposite"))
-        .drop("__se0", "__se1", "__same", "__opposite")
+    pooled = derive(df, {"pooled": ratio("(size_t * rate_treatment + size_c * rate_control)", "(size_t + size_c)")})
+    errors = derive(
+        pooled,
+        {
+            "limit": f"{literal(normal_quantile(1 - alpha / 2))} * "
+            + root(f"pooled * (1 - pooled) * ({ratio('1', 'size_t')} + {ratio('1', 'size_c')})"),
+            "se": root(f"{share_variance('rate_treatment', 'size_t')} + {share_variance('rate_control', 'size_c')}"),
+            "gap": "abs(rate_treatment - rate_control)",
+        },
     )
+    tails = derive(errors, {"same": ratio("(gap - limit)", "se"), "opposite": ratio("(-gap - limit)", "se")})
+    powered = derive(tails, {column: f"{normal_cdf('same')} + {normal_cdf('opposite')}"})
+    return powered.drop("pooled", "limit", "se", "gap", "same", "opposite")
 
 
 def power_grid(
@@ -59,33 +47,34 @@ def power_grid(
     power: float = 0.8,
 ) -> DataFrame:
     """Detectable effect and power per metric and share of the traffic."""
-    grid = with_each_value(with_rates(counts), "fraction", fractions)
-    n_t, n_c = F.col("n_t") * F.col("fraction"), F.col("n_c") * F.col("fraction")
-    sized = grid.withColumns(
-        {
-            "n_total": (F.col("n_t") + F.col("n_c")) * F.col("fraction"),
-            "mde_abs": detectable(F.col("rate_control"), n_t, n_c, alpha, power),
-            "rel_lift": ratio("rate_treatment", "rate_control") - 1,
-        }
+    z = literal(normal_quantile(1 - alpha / 2) + normal_quantile(power))
+    grid = derive(
+        with_each_value(with_rates(counts), "fraction", fractions),
+        {"size_t": "n_t * fraction", "size_c": "n_c * fraction"},
     )
-    return with_power(sized, n_t, n_c, alpha, "power").select(
-        "metric",
-        "fraction",
-        "n_total",
-        "rate_control",
-        "rel_lift",
-        "mde_abs",
-        ratio("mde_abs", "rate_control").alias("mde_rel"),
-        ratio(F.col("rel_lift"), ratio("mde_abs", "rate_control")).alias("lift_over_mde"),
-        "power",
+    spread = root(f"rate_control * (1 - rate_control) * ({ratio('1', 'size_t')} + {ratio('1', 'size_c')})")
+    sized = derive(grid, {"mde_abs": f"{z} * {spread}", "rel_lift": f"{ratio('rate_treatment', 'rate_control')} - 1"})
+    sized = derive(sized, {"mde_rel": ratio("mde_abs", "rate_control")})
+    return pick(
+        with_power(sized, alpha, "power"),
+        {
+            "metric": "metric",
+            "fraction": "fraction",
+            "n_total": "(n_t + n_c) * fraction",
+            "rate_control": "rate_control",
+            "rel_lift": "rel_lift",
+            "mde_abs": "mde_abs",
+            "mde_rel": "mde_rel",
+            "lift_over_mde": ratio("rel_lift", "mde_rel"),
+            "power": "power",
+        },
     )
 
 
 def smallest_traffic(grid: DataFrame, target: float = 0.8) -> DataFrame:
     """Smallest tested share of traffic that reaches the target power; null if none."""
-    return grid.groupBy("metric").agg(
-        F.min(F.when(F.col("power") >= target, F.col("fraction"))).alias("min_fraction")
-    )
+    reached = f"case when power >= {literal(target)} then fraction end"
+    return group(grid, ["metric"], {"min_fraction": f"min({reached})"})
 
 
 def bucket_arm_sums(
@@ -102,40 +91,19 @@ def bucket_arm_sums(
     finest = math.lcm(*bucket_counts)
     if finest > FINEST_BUCKETS:
         raise ValueError(f"bucket counts need a common split of {finest} > {FINEST_BUCKETS} buckets")
-    fine = F.floor(unit_uniform(roles.unit_id, salt) * finest).cast("int")
-    t = F.col(roles.treatment)
-    sums = {"n_t": t, "n_c": 1 - t}
-    for m in roles.metrics:
-        sums[f"{m}_t"], sums[f"{m}_c"] = F.col(m) * t, F.col(m) * (1 - t)
-    groups = df.withColumn("fine", fine).groupBy("fine").agg(*[F.sum(v).alias(s) for s, v in sums.items()])
-    split = with_each_value(groups, "k", bucket_counts)
-    bucket = F.floor(F.col("fine") / (F.lit(finest) / F.col("k"))).cast("int")
-    merged = split.groupBy("k", bucket.alias("bucket")).agg(*[F.sum(s).alias(s) for s in sums])
-    return each(
-        merged,
-        [
-            {
-                "k": F.col("k"),
-                "bucket": F.col("bucket"),
-                "metric": F.lit(m),
-                "n_t": F.col("n_t"),
-                "x_t": F.col(f"{m}_t"),
-                "n_c": F.col("n_c"),
-                "x_c": F.col(f"{m}_c"),
-            }
-            for m in roles.metrics
-        ],
-    )
+    sums = arm_sums(roles)
+    placed = derive(df, {"fine": f"cast(floor({unit_uniform(roles.unit_id, salt)} * {finest}) as int)"})
+    split = with_each_value(group(placed, ["fine"], sums), "k", bucket_counts)
+    merged = derive(split, {"bucket": f"cast(fine div ({finest} div k) as int)"})
+    totals = group(merged, ["k", "bucket"], {s: f"sum(`{s}`)" for s in sums})
+    return per_metric(totals, ("k", "bucket"), roles)
 
 
 def bucket_tests(sums: DataFrame) -> DataFrame:
     """Pooled z-test per bucket; z is 0 where the bucket has no variance."""
-    tested = standard_errors(with_rates(sums))
-    difference = F.col("rate_treatment") - F.col("rate_control")
-    z = F.when(F.col("se_pooled") > 0, ratio(difference, "se_pooled")).when(
-        F.col("se_pooled") == 0, F.lit(0.0)
-    )
-    return tested.withColumn("z", z).withColumn("p_value", normal_two_sided("z"))
+    z = f"case when se_pooled > 0 then {ratio('difference', 'se_pooled')} when se_pooled = 0 then 0D end"
+    tested = derive(standard_errors(with_rates(sums)), {"z": z})
+    return derive(tested, {"p_value": normal_two_sided("z")})
 
 
 def empirical_power(tests: DataFrame, counts: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -143,15 +111,13 @@ def empirical_power(tests: DataFrame, counts: DataFrame, alpha: float = 0.05) ->
 
     Only wins of the treatment count here, while the analytic power adds both tails.
     """
-    win = (F.col("p_value") < alpha) & (F.col("rate_treatment") > F.col("rate_control"))
-    shares = tests.groupBy("k", "metric").agg(
-        F.count(F.lit(1)).alias("n_buckets"),
-        F.avg(F.coalesce(win, F.lit(False)).cast("double")).alias("empirical_power"),
+    win = f"p_value < {literal(alpha)} and rate_treatment > rate_control"
+    shares = group(
+        tests, ["k", "metric"], {"n_buckets": "count(1)", "empirical_power": f"avg(if({win}, 1D, 0D))"}
     )
-    joined = shares.join(with_rates(counts), "metric")
-    n_t, n_c = F.col("n_t") / F.col("k"), F.col("n_c") / F.col("k")
-    return with_power(joined, n_t, n_c, alpha, "analytic_power").select(
-        "k", (1 / F.col("k")).alias("fraction"), "metric", "n_buckets", "empirical_power", "analytic_power"
+    sized = derive(shares.join(with_rates(counts), "metric"), {"size_t": "n_t / k", "size_c": "n_c / k"})
+    return with_power(sized, alpha, "analytic_power").selectExpr(
+        "k", "1 / k as fraction", "metric", "n_buckets", "empirical_power", "analytic_power"
     )
 
 
@@ -163,18 +129,19 @@ def units_needed(
     Closed form of the sample size of a two-proportion test; the chance to reject in
     the wrong direction is left out, being far below rounding at such power.
     """
-    z_alpha, z_power = normal_quantile(1 - alpha / 2), normal_quantile(power)
-    p_t, p_c = F.col("rate_treatment"), F.col("rate_control")
-
-    def needed(s: Column) -> Column:
-        pooled = s * p_t + (1 - s) * p_c
-        under_h0 = root(pooled * (1 - pooled) * (ratio(F.lit(1), s) + ratio(F.lit(1), 1 - s)))
-        under_h1 = root(ratio(p_t * (1 - p_t), s) + ratio(p_c * (1 - p_c), 1 - s))
-        scaled = ratio(z_alpha * under_h0 + z_power * under_h1, p_t - p_c)
-        return scaled * scaled
-
-    rates = with_rates(counts).withColumn("share_t", ratio("n_t", F.col("n_t") + F.col("n_c")))
-    sized = rates.withColumns({"n_actual": needed(F.col("share_t")), "n_even": needed(F.lit(even_share))})
-    return sized.select(
-        "metric", "share_t", "n_actual", "n_even", ratio("n_actual", "n_even").alias("cost_ratio")
+    z_alpha, z_power = literal(normal_quantile(1 - alpha / 2)), literal(normal_quantile(power))
+
+    def needed(s: str) -> str:
+        pooled = f"({s} * rate_treatment + (1 - {s}) * rate_control)"
+        under_h0 = root(f"{pooled} * (1 - {pooled}) * ({ratio('1', s)} + {ratio('1', f'(1 - {s})')})")
+        under_h1 = root(
+            f"{share_variance('rate_treatment', s)} + {share_variance('rate_control', f'(1 - {s})')}"
+        )
+        scaled = ratio(f"({z_alpha} * {under_h0} + {z_power} * {under_h1})", "(rate_treatment - rate_control)")
+        return f"pow({scaled}, 2)"
+
+    rates = derive(with_rates(counts), {"share_t": ratio("n_t", "(n_t + n_c)")})
+    sized = derive(rates, {"n_actual": needed("share_t"), "n_even": needed(literal(even_share))})
+    return sized.selectExpr(
+        "metric", "share_t", "n_actual", "n_even", f"{ratio('n_actual', 'n_even')} as cost_ratio"
     )

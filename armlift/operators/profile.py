@@ -2,35 +2,29 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from armlift.functions.numeric import count_where, each, ratio
+from armlift.functions.numeric import derive, each, group, literal, name, ratio
 from armlift.schema import Roles
 
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def nan_columns(df: DataFrame) -> set[str]:
+def float_columns(df: DataFrame) -> set[str]:
     return {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
 
 
-def is_nan(df: DataFrame, column: str) -> Column:
-    return F.isnan(column) if column in nan_columns(df) else F.lit(False)
-
-
-def present(df: DataFrame, columns: tuple[str, ...]) -> Column:
+def present(df: DataFrame, columns: tuple[str, ...]) -> str:
     """True where no listed column is null or NaN.
 
     Written column by column, so checks on columns that cannot be null fold away
     and the others reach the scan.
     """
-    floats = nan_columns(df)
-    checks = [F.col(c).isNotNull() & ~F.isnan(c) if c in floats else F.col(c).isNotNull() for c in columns]
-    return reduce(lambda a, b: a & b, checks)
+    floats = float_columns(df)
+    checks = [f"{name(c)} is not null" for c in columns]
+    checks += [f"not isnan({name(c)})" for c in columns if c in floats]
+    return " and ".join(checks)
 
 
 def drop_missing(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
@@ -38,17 +32,36 @@ def drop_missing(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     return df.filter(present(df, roles.columns))
 
 
+def wide_and_long(
+    df: DataFrame, columns: tuple[str, ...], key: str, stats: dict[str, str], shared: dict[str, str] | None = None
+) -> DataFrame:
+    """One pass with every statistic of every column, then one row per column.
+
+    ``stats`` maps a name to an aggregate in which ``{c}`` stands for the column;
+    ``shared`` aggregates are computed once and repeated on every row.
+    """
+    shared = shared or {}
+    wide = {f"{c}__{s}": text.replace("{c}", name(c)) for c in columns for s, text in stats.items()}
+    rows = [
+        {key: literal(c), **{s: name(f"{c}__{s}") for s in stats}, **{s: name(s) for s in shared}} for c in columns
+    ]
+    return each(group(df, [], {**wide, **shared}), rows)
+
+
 def missing_counts(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """(column, n_null, n_nan, n) for every column, one pass."""
-    counts = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[count_where(F.col(c).isNull()).alias(f"{c}__null") for c in roles.columns],
-        *[count_where(is_nan(df, c)).alias(f"{c}__nan") for c in roles.columns],
-    )
+    floats = float_columns(df)
+    wide = {f"{c}__null": f"count_if({name(c)} is null)" for c in roles.columns}
+    wide |= {f"{c}__nan": f"count_if(isnan({name(c)}))" for c in roles.columns if c in floats}
     return each(
-        counts,
+        group(df, [], {**wide, "n": "count(1)"}),
         [
-            {"column": F.lit(c), "n_null": F.col(f"{c}__null"), "n_nan": F.col(f"{c}__nan"), "n": F.col("n")}
+            {
+                "column": literal(c),
+                "n_null": name(f"{c}__null"),
+                "n_nan": name(f"{c}__nan") if c in floats else "0L",
+                "n": "n",
+            }
             for c in roles.columns
         ],
     )
@@ -56,50 +69,36 @@ def missing_counts(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
 
 def row_accounting(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """Rows read, kept and dropped for a missing value."""
-    return df.agg(
-        F.count(F.lit(1)).alias("rows_read"), count_where(present(df, roles.columns)).alias("rows_written")
-    ).withColumn("rows_dropped", F.col("rows_read") - F.col("rows_written"))
+    counts = group(df, [], {"rows_read": "count(1)", "rows_written": f"count_if({present(df, roles.columns)})"})
+    return derive(counts, {"rows_dropped": "rows_read - rows_written"})
 
 
 def binary_domains(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """Does each 0/1 column hold exactly the values 0 and 1 (nulls aside)? One pass."""
-    counts = df.agg(
-        *[count_where(F.col(c) == 0).alias(f"{c}__0") for c in roles.binary],
-        *[count_where(F.col(c) == 1).alias(f"{c}__1") for c in roles.binary],
-        *[count_where(~F.col(c).isin(0, 1)).alias(f"{c}__other") for c in roles.binary],
-        *[F.min(c).alias(f"{c}__min") for c in roles.binary],
-        *[F.max(c).alias(f"{c}__max") for c in roles.binary],
-    )
-    return each(
-        counts,
-        [
-            {
-                "column": F.lit(c),
-                "n_zero": F.col(f"{c}__0"),
-                "n_one": F.col(f"{c}__1"),
-                "n_other": F.col(f"{c}__other"),
-                "min_value": F.col(f"{c}__min"),
-                "max_value": F.col(f"{c}__max"),
-                "is_binary": (F.col(f"{c}__0") > 0) & (F.col(f"{c}__1") > 0) & (F.col(f"{c}__other") == 0),
-            }
-            for c in roles.binary
-        ],
-    )
+    stats = {
+        "n_zero": "count_if({c} = 0)",
+        "n_one": "count_if({c} = 1)",
+        "n_other": "count_if({c} not in (0, 1))",
+        "min_value": "min({c})",
+        "max_value": "max({c})",
+    }
+    table = wide_and_long(df, roles.binary, "column", stats)
+    return derive(table, {"is_binary": "n_zero > 0 and n_one > 0 and n_other = 0"})
 
 
 def binary_values(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """(column, value, n): the distinct non-null values of every 0/1 column, one job."""
-    long = each(df, [{"column": F.lit(c), "value": F.col(c)} for c in roles.binary])
-    return long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    long = each(df, [{"column": literal(c), "value": name(c)} for c in roles.binary])
+    return group(long.filter("value is not null"), ["column", "value"], {"n": "count(1)"})
 
 
 def consistency(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """(check, n_violations): exposed controls, and outcomes without their prerequisite."""
-    checks = {"control_exposed": (F.col(roles.treatment) == 0) & (F.col(roles.exposure) == 1)}
+    checks = {"control_exposed": f"{name(roles.treatment)} = 0 and {name(roles.exposure)} = 1"}
     for outcome, needed in roles.implications:
-        checks[f"{outcome}_without_{needed}"] = (F.col(outcome) == 1) & (F.col(needed) == 0)
-    counts = df.agg(*[count_where(p).alias(name) for name, p in checks.items()])
-    return each(counts, [{"check": F.lit(name), "n_violations": F.col(name)} for name in checks])
+        checks[f"{outcome}_without_{needed}"] = f"{name(outcome)} = 1 and {name(needed)} = 0"
+    counts = group(df, [], {check: f"count_if({p})" for check, p in checks.items()})
+    return each(counts, [{"check": literal(check), "n_violations": name(check)} for check in checks])
 
 
 def duplicates(df: DataFrame, roles: Roles = Roles(), vector: tuple[str, ...] | None = None) -> DataFrame:
@@ -110,44 +109,35 @@ def duplicates(df: DataFrame, roles: Roles = Roles(), vector: tuple[str, ...] |
     row copied very often never gathers in one task.
     """
     vector = vector or roles.features
-    full = tuple(dict.fromkeys((*vector, *roles.binary)))
-    rows = df.groupBy(*full).agg(F.count(F.lit(1)).alias("copies"))
-    vectors = rows.groupBy(*vector).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("distinct_rows"))
-    totals = vectors.agg(
-        F.coalesce(F.sum("copies"), F.lit(0)).alias("n"),
-        F.coalesce(F.sum("distinct_rows"), F.lit(0)).alias("n_rows"),
-        F.count(F.lit(1)).alias("n_vectors"),
-    )
-    return totals.select(
-        "n",
-        (F.col("n") - F.col("n_rows")).alias("duplicate_rows"),
-        (F.col("n") - F.col("n_vectors")).alias("duplicate_vectors"),
+    full = list(dict.fromkeys((*vector, *roles.binary)))
+    rows = group(df, full, {"copies": "count(1)"})
+    vectors = group(rows, vector, {"copies": "sum(copies)", "distinct_rows": "count(1)"})
+    totals = group(
+        vectors,
+        [],
+        {"n": "coalesce(sum(copies), 0L)", "n_rows": "coalesce(sum(distinct_rows), 0L)", "n_vectors": "count(1)"},
     )
+    return totals.selectExpr("n", "n - n_rows as duplicate_rows", "n - n_vectors as duplicate_vectors")
 
 
 def arm_sizes(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
-    return df.groupBy(F.col(roles.treatment).alias("treatment")).agg(F.count(F.lit(1)).alias("n"))
+    return group(df.selectExpr(f"{name(roles.treatment)} as treatment"), ["treatment"], {"n": "count(1)"})
 
 
 def treatment_share(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """Treated rows over all rows read, those with a missing arm included."""
-    return df.agg(
-        F.count(F.lit(1)).alias("n"), count_where(F.col(roles.treatment) == 1).alias("n_treatment")
-    ).withColumn("treatment_share", ratio("n_treatment", "n"))
+    counts = group(df, [], {"n": "count(1)", "n_treatment": f"count_if({name(roles.treatment)} = 1)"})
+    return derive(counts, {"treatment_share": ratio("n_treatment", "n")})
 
 
 def binary_means(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
-    means = df.agg(*[F.avg(c).alias(c) for c in roles.binary])
-    return each(means, [{"column": F.lit(c), "mean": F.col(c)} for c in roles.binary])
+    return wide_and_long(df, roles.binary, "column", {"mean": "avg({c})"})
 
 
 def feature_moments(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """(feature, mean, stddev, min, max), one pass."""
-    stats = {"mean": F.avg, "stddev": F.stddev_samp, "min": F.min, "max": F.max}
-    wide = df.agg(*[fn(f).alias(f"{f}__{name}") for f in roles.features for name, fn in stats.items()])
-    return each(
-        wide, [{"feature": F.lit(f), **{s: F.col(f"{f}__{s}") for s in stats}} for f in roles.features]
-    )
+    stats = {"mean": "avg({c})", "stddev": "stddev_samp({c})", "min": "min({c})", "max": "max({c})"}
+    return wide_and_long(df, roles.features, "feature", stats)
 
 
 def feature_summary(df: DataFrame, roles: Roles = Roles(), accuracy: int = 10_000) -> DataFrame:
@@ -155,31 +145,20 @@ def feature_summary(df: DataFrame, roles: Roles = Roles(), accuracy: int = 10_00
 
     Quantile and distinct-count sketches have a fixed size, whatever the number of rows.
     """
+    shares = ", ".join(literal(q) for q in QUARTILES)
     stats = {
-        "mean": F.avg,
-        "stddev": F.stddev_samp,
-        "min": F.min,
-        "quartiles": lambda f: F.percentile_approx(f, list(QUARTILES), accuracy),
-        "max": F.max,
-        "approx_distinct": F.approx_count_distinct,
+        "mean": "avg({c})",
+        "stddev": "stddev_samp({c})",
+        "min": "min({c})",
+        "quartiles": f"percentile_approx({{c}}, array({shares}), {accuracy})",
+        "max": "max({c})",
+        "approx_distinct": "approx_count_distinct({c})",
     }
-    wide = df.agg(*[fn(f).alias(f"{f}__{name}") for f in roles.features for name, fn in stats.items()])
-    rounded = lambda f, s: F.round(F.col(f"{f}__{s}"), 4)
-    return each(
-        wide,
-        [
-            {
-                "feature": F.lit(f),
-                "mean": rounded(f, "mean"),
-                "stddev": rounded(f, "stddev"),
-                "min": rounded(f, "min"),
-                **{
-                    f"p{int(100 * q)}": F.round(F.col(f"{f}__quartiles")[i], 4)
-                    for i, q in enumerate(QUARTILES)
-                },
-                "max": rounded(f, "max"),
-                "approx_distinct": F.col(f"{f}__approx_distinct"),
-            }
-            for f in roles.features
-        ],
+    table = wide_and_long(df, roles.features, "feature", stats)
+    return table.selectExpr(
+        "feature",
+        *[f"round({s}, 4) as {s}" for s in ("mean", "stddev", "min")],
+        *[f"round(quartiles[{i}], 4) as p{round(100 * q)}" for i, q in enumerate(QUARTILES)],
+        "round(max, 4) as max",
+        "approx_distinct",
     )

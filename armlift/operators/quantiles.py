@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from armlift.functions.numeric import with_each_value
+from armlift.functions.numeric import derive, group, literal, name, with_each_value
 from armlift.session import stored
 
 
@@ -17,8 +17,9 @@ def approximate_quantiles(
     df: DataFrame, columns: tuple[str, ...], probabilities: list[float], error: float = 0.001
 ) -> dict[str, list[float]]:
     """Quantiles within ``error`` of the asked rank: one pass, sketches of fixed size."""
-    sketch = df.agg(
-        *[F.percentile_approx(c, probabilities, round(1 / error)).alias(c) for c in columns]
+    shares = ", ".join(literal(p) for p in probabilities)
+    sketch = group(
+        df, [], {c: f"percentile_approx({name(c)}, array({shares}), {round(1 / error)})" for c in columns}
     ).first()
     return {c: [float(v) for v in sketch[c] or []] for c in columns}
 
@@ -31,38 +32,32 @@ def exact_quantiles(df: DataFrame, columns: tuple[str, ...], probabilities: list
     each cut follows from the partition totals, and only those partitions are
     ranked: no task sees a whole column.
     """
-    pairs = F.array(*[F.col(c).cast("double") for c in columns])
-    values = df.select(F.posexplode(pairs).alias("feature", "value")).filter("value is not null and not isnan(value)")
-    counts = values.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    pairs = ", ".join(f"cast({name(c)} as double)" for c in columns)
+    values = df.selectExpr(f"posexplode(array({pairs})) as (feature, value)")
+    counts = group(values.filter("value is not null and not isnan(value)"), ["feature", "value"], {"n": "count(1)"})
     parts = stored(
         counts.repartitionByRange("feature", "value").withColumn("part", F.spark_partition_id())
     )
-    by_feature = Window.partitionBy("feature")
-    before_part = by_feature.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = parts.groupBy("feature", "part").agg(F.sum("n").alias("part_n"))
-    totals = totals.withColumns(
-        {
-            "before": F.coalesce(F.sum("part_n").over(before_part), F.lit(0)),
-            "total": F.sum("part_n").over(by_feature),
-        }
+    earlier = "over (partition by feature order by part rows between unbounded preceding and 1 preceding)"
+    totals = derive(
+        group(parts, ["feature", "part"], {"part_n": "sum(n)"}),
+        {"before": f"coalesce(sum(part_n) {earlier}, 0L)", "total": "sum(part_n) over (partition by feature)"},
     )
-    cuts = with_each_value(totals, "probability", probabilities)
     # the rank is n - floor(n - p n), at least 1: rounding up without the error of p n
-    rank = F.greatest(F.lit(1), F.col("total") - F.floor(F.col("total") - F.col("probability") * F.col("total")))
+    rank = "greatest(1L, total - cast(floor(total - probability * total) as bigint))"
     cuts = (
-        cuts.withColumn("rank", rank.cast("long"))
+        derive(with_each_value(totals, "probability", probabilities), {"rank": rank})
         .filter("before < rank and rank <= before + part_n")
-        .select("feature", "part", "probability", (F.col("rank") - F.col("before")).alias("local_rank"))
+        .selectExpr("feature", "part", "probability", "rank - before as local_rank")
     )
     # cuts has one row per feature and probability
     hits = parts.join(F.broadcast(cuts), ["feature", "part"])
-    upto = (
-        Window.partitionBy("feature", "probability").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    running = hits.withColumn("upto", F.sum("n").over(upto))
-    names = F.array(*[F.lit(c) for c in columns])
-    return running.filter("upto - n < local_rank and local_rank <= upto").select(
-        F.element_at(names, F.col("feature") + 1).alias("feature"), "probability", "value"
+    upto = "over (partition by feature, probability order by value rows between unbounded preceding and current row)"
+    names = ", ".join(literal(c) for c in columns)
+    return (
+        derive(hits, {"upto": f"sum(n) {upto}"})
+        .filter("upto - n < local_rank and local_rank <= upto")
+        .selectExpr(f"array({names})[feature] as feature", "probability", "value")
     )
 
 

@@ -9,11 +9,12 @@ shared by very many units still splits over partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from armlift.functions.numeric import each, ratio, root, with_each_value
+from armlift.functions.numeric import derive, each, group, literal, name, pick, ratio, root, with_each_value
 from armlift.functions.tails import two_sided_z
+from armlift.operators.lift import around
 from armlift.schema import Roles
 from armlift.session import stored
 
@@ -32,11 +33,11 @@ def scored_long(wide: DataFrame, scores: dict[str, str], roles: Roles = Roles())
         wide,
         [
             {
-                "metric": F.lit(m),
-                "unit_id": F.col(roles.unit_id),
-                "score": F.col(score).cast("double"),
-                "t": F.col(roles.treatment),
-                "y": F.col(m),
+                "metric": literal(m),
+                "unit_id": name(roles.unit_id),
+                "score": f"cast({name(score)} as double)",
+                "t": name(roles.treatment),
+                "y": name(m),
             }
             for m, score in scores.items()
         ],
@@ -50,41 +51,39 @@ def ranked(scored: DataFrame) -> DataFrame:
         scored.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("place", F.monotonically_increasing_id())
-    ).withColumn("part", F.shiftright("place", ROW_BITS))
-    by_metric = Window.partitionBy("metric")
-    earlier = by_metric.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        numbered.groupBy("metric", "part")
-        .agg(F.min("place").alias("first_place"), F.count(F.lit(1)).alias("size"))
-        .withColumns(
-            {
-                "before": F.coalesce(F.sum("size").over(earlier), F.lit(0)),
-                "n": F.sum("size").over(by_metric),
-            }
-        )
     )
-    # one row per metric and range partition
-    joined = numbered.join(F.broadcast(offsets.drop("size")), ["metric", "part"])
-    rank = F.col("before") + F.col("place") - F.col("first_place") + 1
-    return joined.select("metric", "unit_id", "score", "t", "y", rank.alias("rank"), "n")
-
-
-def curve_position(k: Column, n: Column, points: int) -> Column:
-    """Row index of the k-th of ``points`` evenly spaced positions on 0 .. n - 1, rounded down."""
-    step = (n - 1) / F.lit(float(points - 1))
-    return F.when(k >= points - 1, n - 1).otherwise(F.floor(k * step)).cast("long")
-
-
-def curve_interval(points: int) -> Column:
-    """Number of the first curve position at or after the unit's rank."""
-    index, n = F.col("rank") - 1, F.col("n")
-    guess = F.coalesce(F.ceil(F.try_divide(index * (points - 1), n - 1)), F.lit(0)).cast("long")
-    # rounding down can move a position one row, so the guess may be one off
-    return (
-        F.when((guess > 0) & (curve_position(guess - 1, n, points) >= index), guess - 1)
-        .when(curve_position(guess, n, points) >= index, guess)
-        .otherwise(guess + 1)
+    numbered = derive(numbered, {"part": f"shiftright(place, {ROW_BITS})"})
+    parts = group(numbered, ["metric", "part"], {"first_place": "min(place)", "size": "count(1)"})
+    earlier = "over (partition by metric order by part rows between unbounded preceding and 1 preceding)"
+    offsets = parts.selectExpr(
+        "metric",
+        "part",
+        "first_place",
+        f"coalesce(sum(size) {earlier}, 0L) as before",
+        "sum(size) over (partition by metric) as n",
+    )
+    # offsets has one row per metric and range partition
+    return numbered.join(F.broadcast(offsets), ["metric", "part"]).selectExpr(
+        "metric", "unit_id", "score", "t", "y", "before + place - first_place + 1 as rank", "n"
+    )
+
+
+def curve_position(k: str, points: int) -> str:
+    """Row number, from 0, of the k-th of ``points`` evenly spaced positions on 0 .. n - 1, rounded down."""
+    step = f"((n - 1) / {literal(float(points - 1))})"
+    return f"cast(if({k} >= {points - 1}, n - 1, floor({k} * {step})) as bigint)"
+
+
+def with_interval(ranks: DataFrame, points: int) -> DataFrame:
+    """Add ``interval``: number of the first curve position at or after the unit."""
+    index = "(rank - 1)"
+    guess = f"cast(coalesce(ceil(try_divide({index} * {points - 1}, n - 1)), 0) as bigint)"
+    # rounding down can move a position by one row, so the guess may be one off
+    settled = (
+        f"case when guess > 0 and {curve_position('(guess - 1)', points)} >= {index} then guess - 1 "
+        f"when {curve_position('guess', points)} >= {index} then guess else guess + 1 end"
     )
+    return derive(derive(ranks, {"guess": guess}), {"interval": settled})
 
 
 def qini_curve(ranks: DataFrame, points: int = CURVE_POINTS) -> DataFrame:
@@ -94,77 +93,56 @@ def qini_curve(ranks: DataFrame, points: int = CURVE_POINTS) -> DataFrame:
     no control unit is included. Only sums between neighbouring positions leave the
     tasks; the running totals are over at most ``points`` rows per metric.
     """
-    t, y = F.col("t"), F.col("y")
-    between = (
-        ranks.withColumn("interval", curve_interval(points))
-        .groupBy("metric", "interval")
-        .agg(
-            F.max("rank").alias("rank"),
-            F.max("n").alias("n"),
-            F.sum(t).alias("n_t"),
-            F.sum(1 - t).alias("n_c"),
-            F.sum(y * t).alias("y_t"),
-            F.sum(y * (1 - t)).alias("y_c"),
-        )
-    )
-    upto = Window.partitionBy("metric").orderBy("interval").rowsBetween(Window.unboundedPreceding, 0)
-    running = between.select(
-        "metric", "rank", "n", *[F.sum(c).over(upto).alias(c) for c in ("n_t", "n_c", "y_t", "y_c")]
+    sums = {"n_t": "sum(t)", "n_c": "sum(1 - t)", "y_t": "sum(y * t)", "y_c": "sum(y * (1 - t))"}
+    between = group(
+        with_interval(ranks, points), ["metric", "interval"], {"rank": "max(rank)", "n": "max(n)", **sums}
     )
-    scaled = F.col("y_t") - ratio(F.col("y_c") * F.col("n_t"), "n_c")
-    here = F.struct(
-        F.col("rank").alias("rank"),
-        ratio("rank", "n").alias("phi"),
-        F.when(F.col("n_c") > 0, scaled).otherwise(0.0).alias("q"),
+    upto = "over (partition by metric order by rank rows between unbounded preceding and current row)"
+    running = between.selectExpr("metric", "rank", "n", *[f"sum({c}) {upto} as {c}" for c in sums])
+    q = f"if(n_c > 0, y_t - {ratio('(y_c * n_t)', 'n_c')}, 0D)"
+    here = f"named_struct('rank', rank, 'phi', {ratio('rank', 'n')}, 'q', {q})"
+    origin = "named_struct('rank', 0L, 'phi', 0D, 'q', 0D)"
+    curve = running.selectExpr("metric", f"inline(if(rank = 1, array({origin}, {here}), array({here})))")
+    return curve.selectExpr(
+        "metric", "row_number() over (partition by metric order by rank) - 1 as point", "phi", "q"
     )
-    origin = F.struct(F.lit(0).cast("long").alias("rank"), F.lit(0.0).alias("phi"), F.lit(0.0).alias("q"))
-    rows = F.when(F.col("rank") == 1, F.array(origin, here)).otherwise(F.array(here))
-    curve = running.select("metric", F.inline(rows))
-    point = F.row_number().over(Window.partitionBy("metric").orderBy("rank")) - 1
-    return curve.select("metric", point.alias("point"), "phi", "q")
 
 
 def with_previous(curve: DataFrame) -> DataFrame:
-    along = Window.partitionBy("metric").orderBy("point")
-    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return curve.withColumns(
-        {
-            "phi_0": F.lag("phi").over(along),
-            "q_0": F.lag("q").over(along),
-            "total": F.last("q").over(whole),
-        }
+    """Add the point before and the total of the curve."""
+    along = "over (partition by metric order by point)"
+    whole = along[:-1] + " rows between unbounded preceding and unbounded following)"
+    return derive(
+        curve, {"phi_0": f"lag(phi) {along}", "q_0": f"lag(q) {along}", "total": f"last_value(q) {whole}"}
     )
 
 
 def qini_coefficient(curve: DataFrame) -> DataFrame:
     """Area between the curve and the straight line, over the absolute total; 0 if the total is 0."""
-    steps = with_previous(curve)
-    trapezoid = (F.col("q") + F.col("q_0")) / 2 * (F.col("phi") - F.col("phi_0"))
-    summed = steps.groupBy("metric").agg(F.max("total").alias("total"), F.sum(trapezoid).alias("area"))
-    return summed.select(
-        "metric",
-        F.col("total").alias("total_incremental"),
-        F.when(F.col("total") == 0, F.lit(0.0))
-        .otherwise(ratio(F.col("area") - F.col("total") / 2, F.abs("total")))
-        .alias("qini"),
+    summed = group(
+        with_previous(curve),
+        ["metric"],
+        {"total_incremental": "max(total)", "area": "sum((q + q_0) / 2 * (phi - phi_0))"},
+    )
+    gain = ratio("(area - total_incremental / 2)", "abs(total_incremental)")
+    return summed.selectExpr(
+        "metric", "total_incremental", f"if(total_incremental = 0, 0D, {gain}) as qini"
     )
 
 
 def normalized_curve(curve: DataFrame) -> DataFrame:
     """The curve as a share of the total; undivided where the total is 0."""
-    total = F.col("total")
-    share = F.when(total == 0, F.col("q")).otherwise(ratio("q", total))
-    return with_previous(curve).select("metric", "point", "phi", share.alias("q_share"))
+    share = f"if(total = 0, q, {ratio('q', 'total')})"
+    return with_previous(curve).selectExpr("metric", "point", "phi", f"{share} as q_share")
 
 
 def capture(curve: DataFrame, shares: tuple[float, ...] = TARGET_SHARES) -> DataFrame:
     """Share of all incremental outcomes kept by targeting each top share (linear interpolation)."""
-    pieces = with_each_value(with_previous(curve).filter("point > 0"), "share", shares).filter(
-        "phi_0 < share and share <= phi"
+    pieces = with_each_value(with_previous(curve).filter("point > 0"), "share", shares)
+    at_share = f"(q_0 + {ratio('(q - q_0)', '(phi - phi_0)')} * (share - phi_0))"
+    return pieces.filter("phi_0 < share and share <= phi").selectExpr(
+        "metric", "share", f"{ratio(at_share, 'total')} as capture"
     )
-    slope = ratio(F.col("q") - F.col("q_0"), F.col("phi") - F.col("phi_0"))
-    at_share = F.col("q_0") + slope * (F.col("share") - F.col("phi_0"))
-    return pieces.select("metric", "share", ratio(at_share, "total").alias("capture"))
 
 
 def deciles(ranks: DataFrame, level: float = 0.95) -> DataFrame:
@@ -173,33 +151,20 @@ def deciles(ranks: DataFrame, level: float = 0.95) -> DataFrame:
     Tenths are cut at interpolated ranks 1 + (n - 1) d / 10, which differ from
     equal counts when n is not a multiple of 10.
     """
-    crit = two_sided_z(level)
-    span = F.greatest(F.col("n") - 1, F.lit(1))
-    decile = F.greatest(F.lit(1), F.ceil(N_DECILES * (F.col("rank") - 1) / span)).cast("int")
-    treated, control = F.col("t") == 1, F.col("t") == 0
-    stats = (
-        ranks.groupBy("metric", decile.alias("decile"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.avg("score").alias("predicted_uplift"),
-            F.count_if(treated).alias("n_t"),
-            F.count_if(control).alias("n_c"),
-            *[
-                fn(F.when(arm, F.col("y"))).alias(f"{name}_{suffix}")
-                for arm, suffix in ((treated, "t"), (control, "c"))
-                for name, fn in (("mean", F.avg), ("var", F.var_samp))
-            ],
-        )
-        .withColumn("observed_uplift", F.col("mean_t") - F.col("mean_c"))
-        .withColumn("se", root(ratio("var_t", "n_t") + ratio("var_c", "n_c")))
-    )
-    observed, se = F.col("observed_uplift"), F.col("se")
-    return stats.select(
-        "metric",
-        "decile",
-        "predicted_uplift",
-        "observed_uplift",
-        (observed - crit * se).alias("ci_lo"),
-        (observed + crit * se).alias("ci_hi"),
-        "n",
+    tenth = f"cast(greatest(1, ceil({N_DECILES} * (rank - 1) / greatest(n - 1, 1))) as int)"
+    stats = {"n": "count(1)", "predicted_uplift": "avg(score)"}
+    for suffix, arm in (("t", 1), ("c", 0)):
+        y = f"case when t = {arm} then y end"
+        stats |= {f"n_{suffix}": f"count_if(t = {arm})", f"mean_{suffix}": f"avg({y})", f"var_{suffix}": f"var_samp({y})"}
+    # the rank columns give way to the count per decile
+    placed = derive(ranks, {"decile": tenth}).drop("rank", "n")
+    observed = derive(
+        group(placed, ["metric", "decile"], stats),
+        {
+            "observed_uplift": "mean_t - mean_c",
+            "se": root(f"{ratio('var_t', 'n_t')} + {ratio('var_c', 'n_c')}"),
+        },
     )
+    lo, hi = around("observed_uplift", "se", two_sided_z(level))
+    kept = ("metric", "decile", "predicted_uplift", "observed_uplift")
+    return pick(observed, {**{c: c for c in kept}, "ci_lo": lo, "ci_hi": hi, "n": "n"})

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from armlift.functions.numeric import count_where, each, ratio
+from armlift.functions.numeric import derive, group, literal, name, pick, ratio
 from armlift.functions.tails import chi2_tail, normal_two_sided
+from armlift.operators.arms import arm_sums, per_metric
 from armlift.operators.lift import standard_errors, with_rates
 from armlift.schema import Roles
 
 Edges = dict[str, list[float]]
 
 
-def bucket_of(column: str, edges: list[float]) -> Column:
+def bucket_of(column: str, edges: list[float]) -> str:
     """Number of edges below the value: 0 up to the first edge, null for a missing value."""
-    x = F.col(column)
-    below = sum(((x > F.lit(e)).cast("int") for e in edges), F.lit(0))
-    return F.when(x.isNotNull() & ~F.isnan(x), below)
+    x = name(column)
+    below = " + ".join(["0", *[f"if({x} > {literal(e)}, 1, 0)" for e in edges]])
+    return f"case when {x} is not null and not isnan({x}) then {below} end"
 
 
 def range_labels(edges: list[float]) -> list[str]:
@@ -32,77 +32,50 @@ def segment_sums(df: DataFrame, edges: Edges, roles: Roles = Roles()) -> DataFra
     Each unit becomes one (feature number, bucket) pair per feature inside its task;
     partial aggregation leaves one row per segment and task for the shuffle.
     """
-    features = tuple(edges)
-    t = F.col(roles.treatment)
-    sums = {"n_t": t, "n_c": 1 - t}
-    for m in roles.metrics:
-        sums[f"{m}_t"], sums[f"{m}_c"] = F.col(m) * t, F.col(m) * (1 - t)
-    buckets = F.array(*[bucket_of(f, edges[f]) for f in features])
-    pairs = df.select(*sums_as_columns(sums), F.posexplode(buckets).alias("feature_index", "bucket"))
-    grouped = pairs.groupBy("feature_index", "bucket").agg(*[F.sum(s).alias(s) for s in sums])
-    names = F.array(*[F.lit(f) for f in features])
-    return grouped.select(
-        F.col("feature_index"), F.element_at(names, F.col("feature_index") + 1).alias("feature"), "bucket", *sums
+    buckets = ", ".join(bucket_of(f, e) for f, e in edges.items())
+    columns = [name(c) for c in (roles.treatment, *roles.metrics)]
+    pairs = df.selectExpr(*columns, f"posexplode(array({buckets})) as (feature_index, bucket)")
+    sums = arm_sums(roles)
+    names = ", ".join(literal(f) for f in edges)
+    return group(pairs, ["feature_index", "bucket"], sums).selectExpr(
+        "feature_index", f"array({names})[feature_index] as feature", "bucket", *[name(s) for s in sums]
     )
 
 
-def sums_as_columns(sums: dict[str, Column]) -> list[Column]:
-    return [value.alias(name) for name, value in sums.items()]
-
-
 def segment_lift(sums: DataFrame, edges: Edges, roles: Roles = Roles()) -> DataFrame:
     """One row per feature, bucket and metric: rates, lift, standard error, p value."""
-    labels = F.array(*[F.array(*[F.lit(s) for s in range_labels(e)]) for e in edges.values()])
-    label = F.element_at(F.element_at(labels, F.col("feature_index") + 1), F.col("bucket") + 1)
-    long = each(
-        sums.withColumn("range", label),
-        [
-            {
-                **{c: F.col(c) for c in ("feature_index", "feature", "bucket", "range", "n_t", "n_c")},
-                "metric": F.lit(m),
-                "x_t": F.col(f"{m}_t"),
-                "x_c": F.col(f"{m}_c"),
-            }
-            for m in roles.metrics
-        ],
-    )
-    tested = standard_errors(with_rates(long)).withColumn(
-        "lift", F.col("rate_treatment") - F.col("rate_control")
-    )
-    tested = tested.withColumn("z", ratio("lift", "se_pooled"))
-    return tested.select(
-        "feature_index",
-        "feature",
-        "bucket",
-        "range",
-        "metric",
-        (F.col("n_t") + F.col("n_c")).alias("n"),
-        "n_t",
-        "n_c",
-        "rate_control",
-        "rate_treatment",
-        "lift",
-        "se",
-        (ratio("rate_treatment", "rate_control") - 1).alias("rel_lift"),
-        F.when(F.col("se_pooled") == 0, F.lit(1.0)).otherwise(normal_two_sided("z")).alias("p_value"),
+    labels = ", ".join(f"array({', '.join(literal(s) for s in range_labels(e))})" for e in edges.values())
+    labelled = derive(sums, {"range": f"array({labels})[feature_index][bucket]"})
+    long = per_metric(labelled, ("feature_index", "feature", "bucket", "range"), roles)
+    tested = derive(standard_errors(with_rates(long)), {"z": ratio("difference", "se_pooled")})
+    keys = ("feature_index", "feature", "bucket", "range", "metric")
+    return pick(
+        tested,
+        {
+            **{c: name(c) for c in keys},
+            "n": "n_t + n_c",
+            "n_t": "n_t",
+            "n_c": "n_c",
+            "rate_control": "rate_control",
+            "rate_treatment": "rate_treatment",
+            "lift": "difference",
+            "se": "se",
+            "rel_lift": f"{ratio('rate_treatment', 'rate_control')} - 1",
+            "p_value": f"case when se_pooled = 0 then 1D else {normal_two_sided('z')} end",
+        },
     )
 
 
 def adjust_false_discovery(table: DataFrame, family: str = "metric") -> DataFrame:
     """Add Benjamini-Hochberg p values and the family size; the family is one metric's segments."""
-    known = F.col("p_value").isNotNull()
-    n = F.count("p_value").over(Window.partitionBy(family))
-    upward = Window.partitionBy(family, "__known").orderBy("p_value", "feature_index", "bucket")
-    downward = (
-        Window.partitionBy(family, "__known")
-        .orderBy(F.col("__rank").desc())
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    ranked = table.withColumns({"__known": known, "family_size": n}).withColumn(
-        "__rank", F.row_number().over(upward)
+    by = f"partition by {name(family)}"
+    ranked = derive(
+        derive(table, {"known": "p_value is not null", "family_size": f"count(p_value) over ({by})"}),
+        {"place": f"row_number() over ({by}, known order by p_value, feature_index, bucket)"},
     )
-    stepped = F.min(ratio(F.col("p_value") * F.col("family_size"), "__rank")).over(downward)
-    return ranked.withColumn("p_bh", F.when(known, F.least(stepped, F.lit(1.0)))).drop("__known", "__rank")
+    scaled = ratio("(p_value * family_size)", "place")
+    stepped = f"min({scaled}) over ({by}, known order by place desc rows between unbounded preceding and current row)"
+    return derive(ranked, {"p_bh": f"case when known then least({stepped}, 1D) end"}).drop("known", "place")
 
 
 def heterogeneity(table: DataFrame) -> DataFrame:
@@ -112,61 +85,58 @@ def heterogeneity(table: DataFrame) -> DataFrame:
     left out of Q and counted in ``n_without_se``. Features with one bucket have
     p = 1 and still belong to the family of tests.
     """
-    usable = F.col("se") > 0
-    group = Window.partitionBy("feature", "metric")
-    weight = F.when(usable, ratio(F.lit(1), F.col("se") * F.col("se")))
-    weighed = table.withColumn("weight", weight)
-    centre = ratio(
-        F.sum(F.col("weight") * F.col("lift")).over(group), F.sum("weight").over(group)
+    over = "over (partition by feature, metric)"
+    weighed = derive(table, {"weight": f"case when se > 0 then {ratio('1', 'pow(se, 2)')} end"})
+    centred = derive(weighed, {"centre": ratio(f"sum(weight * lift) {over}", f"sum(weight) {over}")})
+    tests = group(
+        centred,
+        ["feature_index", "feature", "metric"],
+        {
+            "n_buckets": "count(1)",
+            "n_without_se": "count(1) - count(weight)",
+            "q": "coalesce(sum(weight * pow(lift - centre, 2)), 0D)",
+            "lift_range": "max(lift) - min(lift)",
+        },
     )
-    off = F.col("lift") - F.col("centre")
-    tests = (
-        weighed.withColumn("centre", centre)
-        .groupBy("feature_index", "feature", "metric")
-        .agg(
-            F.count(F.lit(1)).alias("n_buckets"),
-            (F.count(F.lit(1)) - count_where(usable)).alias("n_without_se"),
-            F.coalesce(F.sum(F.col("weight") * off * off), F.lit(0.0)).alias("q"),
-            (F.max("lift") - F.min("lift")).alias("lift_range"),
-        )
+    judged = derive(
+        tests, {"p_value": chi2_tail("q", "(n_buckets - n_without_se - 1)"), "n_tests": "count(1) over ()"}
     )
-    degrees = F.greatest(F.col("n_buckets") - F.col("n_without_se") - 1, F.lit(0))
-    all_tests = F.count(F.lit(1)).over(Window.partitionBy())
-    return (
-        tests.withColumns({"p_value": chi2_tail("q", degrees), "n_tests": all_tests})
-        .withColumn("p_bonferroni", F.least(F.col("p_value") * F.col("n_tests"), F.lit(1.0)))
-        .select(
-            "feature_index",
-            "feature",
-            "metric",
-            "n_buckets",
-            "n_without_se",
-            "q",
-            "p_value",
-            "lift_range",
-            "n_tests",
-            "p_bonferroni",
-        )
+    return judged.selectExpr(
+        "feature_index",
+        "feature",
+        "metric",
+        "n_buckets",
+        "n_without_se",
+        "q",
+        "p_value",
+        "lift_range",
+        "n_tests",
+        "least(p_value * n_tests, 1D) as p_bonferroni",
     )
 
 
 def most_heterogeneous(tests: DataFrame, metric: str = "visit", top: int = 3) -> DataFrame:
     """Features with the largest Q of one metric."""
-    place = F.row_number().over(Window.partitionBy("metric").orderBy(F.col("q").desc(), "feature_index"))
-    ranked = tests.filter(F.col("metric") == metric).withColumn("place", place)
-    return ranked.filter(F.col("place") <= top).select("place", "feature", "metric", "q", "n_buckets", "lift_range")
+    ranked = tests.filter(f"metric = {literal(metric)}").selectExpr(
+        "row_number() over (partition by metric order by q desc, feature_index) as place",
+        "feature",
+        "metric",
+        "q",
+        "n_buckets",
+        "lift_range",
+    )
+    return ranked.filter(f"place <= {top}")
 
 
 def heterogeneous_features(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
-    return tests.groupBy("metric").agg(
-        count_where(F.col("p_bonferroni") < alpha).alias("n_significant"), F.count(F.lit(1)).alias("n_features")
+    return group(
+        tests,
+        ["metric"],
+        {"n_significant": f"count_if(p_bonferroni < {literal(alpha)})", "n_features": "count(1)"},
     )
 
 
 def segment_tallies(adjusted: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Segment tests run, significant before and after adjustment."""
-    return adjusted.agg(
-        F.count(F.lit(1)).alias("n_tests"),
-        count_where(F.col("p_value") < alpha).alias("n_raw"),
-        count_where(F.col("p_bh") < alpha).alias("n_adjusted"),
-    )
+    below = lambda p: f"count_if({p} < {literal(alpha)})"
+    return group(adjusted, [], {"n_tests": "count(1)", "n_raw": below("p_value"), "n_adjusted": below("p_bh")})

@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from armlift.functions.numeric import each
+from armlift.functions.numeric import derive, each, group, literal, name, pick
 from armlift.functions.units import unit_uniform
 from armlift.operators.quantiles import edges_of, exact_quantiles
 from armlift.schema import Roles
@@ -22,7 +22,7 @@ from armlift.schema import Roles
 def sample_units(df: DataFrame, rows: int, roles: Roles = Roles(), salt: str = "sample") -> DataFrame:
     """About ``rows`` units (all if there are fewer), chosen by the hash of the unit id."""
     fraction = min(1.0, rows / max(df.count(), 1))
-    return df if fraction == 1.0 else df.filter(unit_uniform(roles.unit_id, salt) < fraction)
+    return df if fraction == 1.0 else df.filter(f"{unit_uniform(roles.unit_id, salt)} < {literal(fraction)}")
 
 
 def split_units(
@@ -33,17 +33,14 @@ def split_units(
     ``exact`` cuts each arm at the quantile of its hashes instead of at the share
     itself, so the sizes are right to the unit.
     """
-    place = unit_uniform(roles.unit_id, salt)
+    place, t = unit_uniform(roles.unit_id, salt), name(roles.treatment)
     if not exact:
-        return df.withColumn("is_test", place < test_share)
+        return derive(df, {"is_test": f"{place} < {literal(test_share)}"})
     arms = {"place_0": 0, "place_1": 1}
-    placed = df.select(*[F.when(F.col(roles.treatment) == t, place).alias(c) for c, t in arms.items()])
+    placed = pick(df, {c: f"case when {t} = {arm} then {place} end" for c, arm in arms.items()})
     cuts = edges_of(exact_quantiles(placed, tuple(arms), [test_share]), tuple(arms))
-    inside = F.lit(False)
-    for c, t in arms.items():
-        for cut in cuts[c]:
-            inside = inside | ((F.col(roles.treatment) == t) & (place <= cut))
-    return df.withColumn("is_test", inside)
+    inside = [f"({t} = {arm} and {place} <= {literal(cut)})" for c, arm in arms.items() for cut in cuts[c]]
+    return derive(df, {"is_test": " or ".join(inside) or "false"})
 
 
 @dataclass(frozen=True)
@@ -65,14 +62,13 @@ class TLearner:
     models: dict[tuple[str, int], PipelineModel]
     roles: Roles = field(default_factory=Roles)
 
-    def score(self, df: DataFrame, margins: bool = False) -> DataFrame:
+    def score(self, df: DataFrame) -> DataFrame:
         """Add ``uplift_<metric>`` = P(y = 1 | x, treated) - P(y = 1 | x, control), and both parts."""
         for (metric, arm), model in self.models.items():
             keep = df.columns
             df = model.transform(df)
             df = df.select(*keep, vector_to_array("probability")[1].alias(f"p{arm}_{metric}"))
-        uplift = {f"uplift_{m}": F.col(f"p1_{m}") - F.col(f"p0_{m}") for m in self.roles.metrics}
-        return df.withColumns(uplift)
+        return derive(df, {f"uplift_{m}": f"{name(f'p1_{m}')} - {name(f'p0_{m}')}" for m in self.roles.metrics})
 
 
 def fit_arm(
@@ -96,12 +92,11 @@ def fit_arm(
                 subsamplingRate=settings.row_share,
                 featureSubsetStrategy=str(settings.feature_share),
                 seed=seed,
-                rawPredictionCol="tree_margin",
-                probabilityCol="tree_probability",
-                predictionCol="tree_class",
             ),
         ]
     ).fit(rows)
+    # the fitted model names its outputs through setters
+    trees.stages[-1].setRawPredictionCol("tree_margin").setProbabilityCol("tree_probability").setPredictionCol("tree_class")
     calibration = LogisticRegression(featuresCol="tree_margin", predictionCol="class", rawPredictionCol="margin")
     # the margin vector holds -f and f; their logistic fit is a fit on f
     return PipelineModel([*trees.stages, calibration.fit(trees.transform(rows).select("tree_margin", "label"))])
@@ -119,28 +114,14 @@ def fit_t_learner(
 
 def calibration(scored: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """(metric, arm, n, observed, predicted): mean outcome and mean prediction of each arm's model."""
-    t = F.col(roles.treatment)
-    wide = scored.agg(
-        *[
-            fn.alias(f"{m}_{arm}_{name}")
-            for m in roles.metrics
-            for arm in (0, 1)
-            for name, fn in (
-                ("n", F.count_if(t == arm)),
-                ("observed", F.avg(F.when(t == arm, F.col(m)))),
-                ("predicted", F.avg(F.when(t == arm, F.col(f"p{arm}_{m}")))),
-            )
-        ]
-    )
-    return each(
-        wide,
-        [
-            {
-                "metric": F.lit(m),
-                "arm": F.lit(arm),
-                **{s: F.col(f"{m}_{arm}_{s}") for s in ("n", "observed", "predicted")},
+    t, wide, rows = name(roles.treatment), {}, []
+    for m in roles.metrics:
+        for arm in (0, 1):
+            stats = {
+                "n": f"count_if({t} = {arm})",
+                "observed": f"avg(case when {t} = {arm} then {name(m)} end)",
+                "predicted": f"avg(case when {t} = {arm} then {name(f'p{arm}_{m}')} end)",
             }
-            for m in roles.metrics
-            for arm in (0, 1)
-        ],
-    )
+            wide |= {f"{m}_{arm}_{s}": text for s, text in stats.items()}
+            rows.append({"metric": literal(m), "arm": str(arm), **{s: name(f"{m}_{arm}_{s}") for s in stats}})
+    return each(group(scored, [], wide), rows)

@@ -48,7 +48,10 @@ def clean_units(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: dict[int, tuple[str, ...]]) -> DataFrame:
-    return df.withColumns({c: F.round(c, places) for places, columns in digits.items() for c in columns})
+    places = {c: n for n, columns in digits.items() for c in columns}
+    if not places:
+        return df
+    return df.selectExpr(*[f"round(`{c}`, {places[c]}) as `{c}`" if c in places else f"`{c}`" for c in df.columns])
 
 
 def query(name: str, digits: dict[int, tuple[str, ...]] | None = None) -> Callable[[Query], Query]:
