@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from armlift.functions.numeric import derive, each, group, literal, name, ratio
+from armlift.functions.numeric import each, group, literal, name, ratio
 from armlift.schema import Roles
+from armlift.session import stored
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -32,49 +35,46 @@ def drop_missing(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     return df.filter(present(df, roles.columns))
 
 
-def wide_and_long(
-    df: DataFrame, columns: tuple[str, ...], key: str, stats: dict[str, str], shared: dict[str, str] | None = None
-) -> DataFrame:
-    """One pass with every statistic of every column, then one row per column.
+@dataclass(frozen=True)
+class Measure:
+    """Aggregates over all rows, and the table their single row unfolds into."""
 
-    ``stats`` maps a name to an aggregate in which ``{c}`` stands for the column;
-    ``shared`` aggregates are computed once and repeated on every row.
-    """
-    shared = shared or {}
-    wide = {f"{c}__{s}": text.replace("{c}", name(c)) for c in columns for s, text in stats.items()}
-    rows = [
-        {key: literal(c), **{s: name(f"{c}__{s}") for s in stats}, **{s: name(s) for s in shared}} for c in columns
-    ]
-    return each(group(df, [], {**wide, **shared}), rows)
+    aggregates: dict[str, str]
+    rows: list[dict[str, str]]
 
+    def of(self, df: DataFrame) -> DataFrame:
+        return each(group(df, [], self.aggregates), self.rows)
 
-def missing_counts(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
-    """(column, n_null, n_nan, n) for every column, one pass."""
+
+def per_column(columns: tuple[str, ...], key: str, stats: dict[str, str]) -> Measure:
+    """Every statistic of every column; ``{c}`` in a statistic stands for the column."""
+    aggregates = {f"{c}__{s}": text.replace("{c}", name(c)) for c in columns for s, text in stats.items()}
+    return Measure(aggregates, [{key: literal(c), **{s: name(f"{c}__{s}") for s in stats}} for c in columns])
+
+
+def missing_measure(df: DataFrame, roles: Roles) -> Measure:
     floats = float_columns(df)
-    wide = {f"{c}__null": f"count_if({name(c)} is null)" for c in roles.columns}
-    wide |= {f"{c}__nan": f"count_if(isnan({name(c)}))" for c in roles.columns if c in floats}
-    return each(
-        group(df, [], {**wide, "n": "count(1)"}),
-        [
-            {
-                "column": literal(c),
-                "n_null": name(f"{c}__null"),
-                "n_nan": name(f"{c}__nan") if c in floats else "0L",
-                "n": "n",
-            }
-            for c in roles.columns
-        ],
-    )
+    aggregates = {f"{c}__null": f"count_if({name(c)} is null)" for c in roles.columns}
+    aggregates |= {f"{c}__nan": f"count_if(isnan({name(c)}))" for c in roles.columns if c in floats}
+    rows = [
+        {
+            "column": literal(c),
+            "n_null": name(f"{c}__null"),
+            "n_nan": name(f"{c}__nan") if c in floats else "0L",
+            "n": "n",
+        }
+        for c in roles.columns
+    ]
+    return Measure({**aggregates, "n": "count(1)"}, rows)
 
 
-def row_accounting(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
-    """Rows read, kept and dropped for a missing value."""
-    counts = group(df, [], {"rows_read": "count(1)", "rows_written": f"count_if({present(df, roles.columns)})"})
-    return derive(counts, {"rows_dropped": "rows_read - rows_written"})
+def rows_measure(df: DataFrame, roles: Roles) -> Measure:
+    aggregates = {"n": "count(1)", "rows_written": f"count_if({present(df, roles.columns)})"}
+    row = {"rows_read": "n", "rows_written": "rows_written", "rows_dropped": "n - rows_written"}
+    return Measure(aggregates, [row])
 
 
-def binary_domains(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
-    """Does each 0/1 column hold exactly the values 0 and 1 (nulls aside)? One pass."""
+def domain_measure(roles: Roles) -> Measure:
     stats = {
         "n_zero": "count_if({c} = 0)",
         "n_one": "count_if({c} = 1)",
@@ -82,83 +82,131 @@ def binary_domains(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
         "min_value": "min({c})",
         "max_value": "max({c})",
     }
-    table = wide_and_long(df, roles.binary, "column", stats)
-    return derive(table, {"is_binary": "n_zero > 0 and n_one > 0 and n_other = 0"})
-
-
-def binary_values(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
-    """(column, value, n): the distinct non-null values of every 0/1 column, one job."""
-    long = each(df, [{"column": literal(c), "value": name(c)} for c in roles.binary])
-    return group(long.filter("value is not null"), ["column", "value"], {"n": "count(1)"})
+    measure = per_column(roles.binary, "column", stats)
+    for row in measure.rows:
+        row["is_binary"] = f"{row['n_zero']} > 0 and {row['n_one']} > 0 and {row['n_other']} = 0"
+    return measure
 
 
-def consistency(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
-    """(check, n_violations): exposed controls, and outcomes without their prerequisite."""
+def consistency_measure(roles: Roles) -> Measure:
     checks = {"control_exposed": f"{name(roles.treatment)} = 0 and {name(roles.exposure)} = 1"}
     for outcome, needed in roles.implications:
         checks[f"{outcome}_without_{needed}"] = f"{name(outcome)} = 1 and {name(needed)} = 0"
-    counts = group(df, [], {check: f"count_if({p})" for check, p in checks.items()})
-    return each(counts, [{"check": literal(check), "n_violations": name(check)} for check in checks])
+    rows = [{"check": literal(check), "n_violations": name(check)} for check in checks]
+    return Measure({check: f"count_if({p})" for check, p in checks.items()}, rows)
 
 
-def duplicates(df: DataFrame, roles: Roles = Roles(), vector: tuple[str, ...] | None = None) -> DataFrame:
-    """Rows that repeat another row in full, and rows that repeat a feature vector.
+def share_measure(roles: Roles) -> Measure:
+    row = {"n": "n", "n_treatment": "n_treatment", "treatment_share": ratio("n_treatment", "n")}
+    return Measure({"n": "count(1)", "n_treatment": f"count_if({name(roles.treatment)} = 1)"}, [row])
 
-    Both counts come from one scan: the distinct rows are grouped again by the
-    feature vector. Partial aggregation removes copies before each shuffle, so a
-    row copied very often never gathers in one task.
-    """
-    vector = vector or roles.features
-    full = list(dict.fromkeys((*vector, *roles.binary)))
-    rows = group(df, full, {"copies": "count(1)"})
-    vectors = group(rows, vector, {"copies": "sum(copies)", "distinct_rows": "count(1)"})
-    totals = group(
-        vectors,
-        [],
-        {"n": "coalesce(sum(copies), 0L)", "n_rows": "coalesce(sum(distinct_rows), 0L)", "n_vectors": "count(1)"},
-    )
-    return totals.selectExpr("n", "n - n_rows as duplicate_rows", "n - n_vectors as duplicate_vectors")
 
+def summary_measure(roles: Roles, accuracy: int) -> Measure:
+    shares = ", ".join(literal(q) for q in QUARTILES)
+    stats = {
+        "mean": "avg({c})",
+        "stddev": "stddev_samp({c})",
+        "min": "min({c})",
+        "quartiles": f"percentile_approx({{c}}, array({shares}), {accuracy})",
+        "max": "max({c})",
+        "approx_distinct": "approx_count_distinct({c})",
+    }
+    measure = per_column(roles.features, "feature", stats)
+    rows = []
+    for row in measure.rows:
+        quartiles = row["quartiles"]
+        rounded = {s: f"round({row[s]}, 4)" for s in ("mean", "stddev", "min")}
+        rounded |= {f"p{round(100 * q)}": f"round({quartiles}[{i}], 4)" for i, q in enumerate(QUARTILES)}
+        rounded |= {"max": f"round({row['max']}, 4)", "approx_distinct": row["approx_distinct"]}
+        rows.append({"feature": row["feature"], **rounded})
+    return Measure(measure.aggregates, rows)
 
-def arm_sizes(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
-    return group(df.selectExpr(f"{name(roles.treatment)} as treatment"), ["treatment"], {"n": "count(1)"})
+
+def missing_counts(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
+    """(column, n_null, n_nan, n) for every column."""
+    return missing_measure(df, roles).of(df)
+
+
+def row_accounting(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
+    """Rows read, kept and dropped for a missing value."""
+    return rows_measure(df, roles).of(df)
+
+
+def binary_domains(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
+    """Does each 0/1 column hold exactly the values 0 and 1 (nulls aside)?"""
+    return domain_measure(roles).of(df)
+
+
+def consistency(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
+    """(check, n_violations): exposed controls, and outcomes without their prerequisite."""
+    return consistency_measure(roles).of(df)
 
 
 def treatment_share(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """Treated rows over all rows read, those with a missing arm included."""
-    counts = group(df, [], {"n": "count(1)", "n_treatment": f"count_if({name(roles.treatment)} = 1)"})
-    return derive(counts, {"treatment_share": ratio("n_treatment", "n")})
+    return share_measure(roles).of(df)
 
 
 def binary_means(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
-    return wide_and_long(df, roles.binary, "column", {"mean": "avg({c})"})
+    return per_column(roles.binary, "column", {"mean": "avg({c})"}).of(df)
 
 
 def feature_moments(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
-    """(feature, mean, stddev, min, max), one pass."""
+    """(feature, mean, stddev, min, max)."""
     stats = {"mean": "avg({c})", "stddev": "stddev_samp({c})", "min": "min({c})", "max": "max({c})"}
-    return wide_and_long(df, roles.features, "feature", stats)
+    return per_column(roles.features, "feature", stats).of(df)
 
 
 def feature_summary(df: DataFrame, roles: Roles = Roles(), accuracy: int = 10_000) -> DataFrame:
-    """Moments, approximate quartiles and approximate distinct count per feature, one pass.
+    """Moments, approximate quartiles and approximate distinct count per feature.
 
     Quantile and distinct-count sketches have a fixed size, whatever the number of rows.
     """
-    shares = ", ".join(literal(q) for q in QUARTILES)
-    stats = {
-        "mean": "avg({c})",
-        "stddev": "stddev_samp({c})",
-        "min": "min({c})",
-        "quartiles": f"percentile_approx({{c}}, array({shares}), {accuracy})",
-        "max": "max({c})",
-        "approx_distinct": "approx_count_distinct({c})",
+    return summary_measure(roles, accuracy).of(df)
+
+
+def all_measures(df: DataFrame, roles: Roles = Roles(), accuracy: int = 10_000) -> dict[str, DataFrame]:
+    """Every table above from one pass: the merged aggregates are one stored row."""
+    measures = {
+        "rows": rows_measure(df, roles),
+        "missing": missing_measure(df, roles),
+        "binary_domain": domain_measure(roles),
+        "consistency": consistency_measure(roles),
+        "treatment_share": share_measure(roles),
+        "binary_means": per_column(roles.binary, "column", {"mean": "avg({c})"}),
+        "feature_summary": summary_measure(roles, accuracy),
     }
-    table = wide_and_long(df, roles.features, "feature", stats)
-    return table.selectExpr(
-        "feature",
-        *[f"round({s}, 4) as {s}" for s in ("mean", "stddev", "min")],
-        *[f"round(quartiles[{i}], 4) as p{round(100 * q)}" for i, q in enumerate(QUARTILES)],
-        "round(max, 4) as max",
-        "approx_distinct",
+    merged: dict[str, str] = {}
+    for measure in measures.values():
+        merged |= measure.aggregates
+    row = stored(group(df, [], merged))
+    return {table: each(row, measure.rows) for table, measure in measures.items()}
+
+
+def binary_values(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
+    """(column, value, n): the distinct non-null values of every 0/1 column, one job."""
+    long = each(df, [{"column": literal(c), "value": name(c)} for c in roles.binary])
+    return group(long.filter("value is not null"), ["column", "value"], {"n": "count(1)"})
+
+
+def duplicates(df: DataFrame, roles: Roles = Roles(), vector: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows that repeat another row in full, and rows that repeat a feature vector.
+
+    Both counts come from one scan: the distinct rows are grouped again by the
+    feature vector. Partial aggregation removes copies before each shuffle, so a
+    row copied very often never gathers in one task.
+    """
+    vector = vector or roles.features
+    full = list(dict.fromkeys((*vector, *roles.binary)))
+    rows = group(df, full, {"copies": "count(1)"})
+    vectors = group(rows, vector, {"copies": "sum(copies)", "distinct_rows": "count(1)"})
+    totals = group(
+        vectors,
+        [],
+        {"n": "coalesce(sum(copies), 0L)", "n_rows": "coalesce(sum(distinct_rows), 0L)", "n_vectors": "count(1)"},
     )
+    return totals.selectExpr("n", "n - n_rows as duplicate_rows", "n - n_vectors as duplicate_vectors")
+
+
+def arm_sizes(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
+    return group(df.selectExpr(f"{name(roles.treatment)} as treatment"), ["treatment"], {"n": "count(1)"})

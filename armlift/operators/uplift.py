@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from math import ceil
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -43,6 +44,9 @@ def split_units(
     return derive(df, {"is_test": " or ".join(inside) or "false"})
 
 
+ROWS_PER_TASK = 25_000
+
+
 @dataclass(frozen=True)
 class TreeSettings:
     """Boosting settings; depth 5 is the closest to trees of 31 leaves."""
@@ -72,15 +76,17 @@ class TLearner:
 
 
 def fit_arm(
-    train: DataFrame, metric: str, arm: int, settings: TreeSettings, seed: int, roles: Roles
+    train: DataFrame, metric: str, arm: int, n_rows: int, settings: TreeSettings, seed: int, roles: Roles
 ) -> PipelineModel:
     """Boosted trees on one arm, then a logistic fit of the outcome on their margin.
 
     The boosting starts from margin 0, not from the base rate, so its probabilities
     are off by an amount that differs between arms of different size; the logistic
-    step brings both arms to their own rate before they are subtracted.
+    step brings both arms to their own rate before they are subtracted. Each level of
+    each tree is a job, so small arms run on few tasks.
     """
     rows = train.filter(F.col(roles.treatment) == arm).withColumn("label", F.col(metric).cast("double"))
+    rows = rows.coalesce(max(1, ceil(n_rows / ROWS_PER_TASK)))
     trees = Pipeline(
         stages=[
             VectorAssembler(inputCols=list(roles.features), outputCol="features", handleInvalid="keep"),
@@ -107,7 +113,10 @@ def fit_t_learner(
 ) -> TLearner:
     """Fit every (metric, arm) model; the fits are separate Spark jobs and run side by side."""
     wanted = [(metric, arm) for metric in roles.metrics for arm in (0, 1)]
-    fit = inheritable_thread_target(train.sparkSession)(lambda key: (key, fit_arm(train, *key, settings, seed, roles)))
+    sizes = dict(train.groupBy(roles.treatment).count().collect())
+    fit = inheritable_thread_target(train.sparkSession)(
+        lambda key: (key, fit_arm(train, *key, sizes.get(key[1], 0), settings, seed, roles))
+    )
     with ThreadPool(len(wanted)) as pool:
         return TLearner(dict(pool.map(fit, wanted)), roles)
 

@@ -24,7 +24,7 @@ LINEITEM = (
 
 def mean_of_cents(column: str) -> str:
     """Average of a two-decimal column through whole numbers: no order of summation."""
-    return f"sum(cast(round({column} * 100) as bigint)) / 100D / count({column})"
+    return f"sum(cast(floor({column} * 100 + 0.5D) as bigint)) / 100D / count({column})"
 
 
 def order_experiment(spark: SparkSession, folder: str) -> DataFrame:

@@ -22,8 +22,8 @@ def uniform(salt: str) -> str:
 EXPERIMENT = f"""
 lines as (
   select l_orderkey, count(*)::double f5, sum(l_quantity) f6,
-         sum(round(l_discount * 100)::bigint)::double / 100e0 / count(l_discount) f7,
-         sum(round(l_tax * 100)::bigint)::double / 100e0 / count(l_tax) f8,
+         sum(floor(l_discount * 100 + 0.5e0)::bigint)::double / 100e0 / count(l_discount) f7,
+         sum(floor(l_tax * 100 + 0.5e0)::bigint)::double / 100e0 / count(l_tax) f8,
          max(l_extendedprice) f9, sum(case when l_returnflag = 'R' then 1 else 0 end)::double f10
   from lineitem group by l_orderkey),
 base as (
