@@ -39,7 +39,7 @@ def finite(x: str) -> str:
 
 def significant(x: str, digits: int = 6) -> str:
     """Finite doubles rounded to ``digits`` significant digits, else null."""
-    return f"cast(format_string('%.{digits - 1}e', {finite(x)}) as double)"
+    return f"try_cast(format_string('%.{digits - 1}e', {finite(x)}) as double)"
 
 
 def sum_where(predicate: str, value: str) -> str:

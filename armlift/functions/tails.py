@@ -123,6 +123,6 @@ def chi2_tail(x: str, df: str) -> str:
         "s -> s.total)"
     )
     return (
-        f"(case when {df} <= 0 then 1.0D "
-        f"else least(1.0D, {terms} + if({even}, 0.0D, {erfc(f'sqrt({half})')})) end)"
+        f"(case when {df} <= 0 then 1.0D when {x} is not null "
+        f"then least(1.0D, {terms} + if({even}, 0.0D, {erfc(f'sqrt({half})')})) end)"
     )

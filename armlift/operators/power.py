@@ -126,22 +126,39 @@ def units_needed(
 ) -> DataFrame:
     """Units for the target power at the actual and at an even split, and their ratio.
 
-    Closed form of the sample size of a two-proportion test; the chance to reject in
-    the wrong direction is left out, being far below rounding at such power.
+    With s0 and s1 the standard errors of one unit under equal and under observed
+    rates, the gap d is found in its own direction with the target power when
+    d sqrt(n) = z_alpha s0 + z_power s1. Rejections in the other direction have
+    probability o, the normal tail at (2 z_alpha s0 + z_power s1) / s1; they take
+    o / density(z_power) off z_power.
     """
-    z_alpha, z_power = literal(normal_quantile(1 - alpha / 2)), literal(normal_quantile(power))
+    z_alpha, z_power = normal_quantile(1 - alpha / 2), normal_quantile(power)
+    density = literal(math.exp(-z_power * z_power / 2) / math.sqrt(2 * math.pi))
+    z_alpha, z_power = literal(z_alpha), literal(z_power)
+    shares = {"actual": "share_t", "even": literal(even_share)}
 
-    def needed(s: str) -> str:
+    def errors(s: str) -> tuple[str, str]:
         pooled = f"({s} * rate_treatment + (1 - {s}) * rate_control)"
-        under_h0 = root(f"{pooled} * (1 - {pooled}) * ({ratio('1', s)} + {ratio('1', f'(1 - {s})')})")
-        under_h1 = root(
-            f"{share_variance('rate_treatment', s)} + {share_variance('rate_control', f'(1 - {s})')}"
+        return (
+            root(f"{pooled} * (1 - {pooled}) * ({ratio('1', s)} + {ratio('1', f'(1 - {s})')})"),
+            root(f"{share_variance('rate_treatment', s)} + {share_variance('rate_control', f'(1 - {s})')}"),
         )
-        scaled = ratio(f"({z_alpha} * {under_h0} + {z_power} * {under_h1})", "(rate_treatment - rate_control)")
-        return f"pow({scaled}, 2)"
 
-    rates = derive(with_rates(counts), {"share_t": ratio("n_t", "(n_t + n_c)")})
-    sized = derive(rates, {"n_actual": needed("share_t"), "n_even": needed(literal(even_share))})
-    return sized.selectExpr(
+    sized = derive(with_rates(counts), {"share_t": ratio("n_t", "(n_t + n_c)")})
+    sized = derive(sized, {f"s{i}_{split}": e for split, s in shares.items() for i, e in enumerate(errors(s))})
+    other = "-" + ratio("(2 * {za} * s0_{x} + {zp} * s1_{x})", "s1_{x}")
+    sized = derive(
+        sized, {f"other_{x}": other.format(za=z_alpha, zp=z_power, x=x) for x in shares}
+    )
+    need = {
+        f"n_{x}": "pow("
+        + ratio(
+            f"({z_alpha} * s0_{x} + ({z_power} - {normal_cdf(f'other_{x}')} / {density}) * s1_{x})",
+            "(rate_treatment - rate_control)",
+        )
+        + ", 2)"
+        for x in shares
+    }
+    return derive(sized, need).selectExpr(
         "metric", "share_t", "n_actual", "n_even", f"{ratio('n_actual', 'n_even')} as cost_ratio"
     )

@@ -432,19 +432,24 @@ def plain() -> dict[str, str]:
         power_at("(n_t::double / k)", "(n_c::double / k)", "by_k", "powered"),
     )
 
-    def needed(s: str) -> str:
+    def unit_errors(s: str, x: str) -> str:
         pooled = f"({s} * rate_treatment + (1 - {s}) * rate_control)"
         return (
-            f"pow(({Z95} * sqrt({pooled} * (1 - {pooled}) * (1 / {s} + 1 / (1 - {s}))) + {Z80} * sqrt("
-            f"rate_treatment * (1 - rate_treatment) / {s} + rate_control * (1 - rate_control) / (1 - {s}))) "
-            "/ (rate_treatment - rate_control), 2)"
+            f"sqrt({pooled} * (1 - {pooled}) * (1 / {s} + 1 / (1 - {s}))) a_{x}, "
+            f"sqrt(rate_treatment * (1 - rate_treatment) / {s} + rate_control * (1 - rate_control) / (1 - {s})) b_{x}"
         )
 
+    def needed(x: str) -> str:
+        tail = normal_cdf(f"(-(2 * {Z95} * a_{x} + {Z80} * b_{x}) / b_{x})")
+        peak = f"(exp(-{Z80} * {Z80} / 2) / sqrt(2 * pi()))"
+        return f"pow(({Z95} * a_{x} + ({Z80} - {tail} / {peak}) * b_{x}) / (rate_treatment - rate_control), 2)"
+
     q["power_sample_size"] = sql(
         "select metric, share_t, n_actual, n_even, n_actual / n_even cost_ratio from sized",
         LIFT,
         "shares as (select *, n_t::double / (n_t + n_c) share_t from rates)",
-        f"sized as (select *, {needed('share_t')} n_actual, {needed('0.5e0')} n_even from shares)",
+        f"split_errors as (select *, {unit_errors('share_t', 'x')}, {unit_errors('0.5e0', 'y')} from shares)",
+        f"sized as (select *, {needed('x')} n_actual, {needed('y')} n_even from split_errors)",
     )
 
     q["compliance_cells"] = sql(

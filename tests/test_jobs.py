@@ -37,9 +37,9 @@ def test_ingest_keeps_complete_rows_and_profiles_all(raw, ingested):
         "consistency": profile.consistency,
         "feature_summary": profile.feature_summary,
     }.items():
-        assert sorted(tables[name].drop("approx_distinct").collect()) == sorted(
-            build(raw).drop("approx_distinct").collect()
-        )
+        # quantile sketches depend on the order in which they are merged
+        sketches = ("p25", "p50", "p75")
+        assert sorted(tables[name].drop(*sketches).collect()) == sorted(build(raw).drop(*sketches).collect())
     assert tables["duplicates"].first().duplicate_rows == 0
 
 

@@ -71,10 +71,10 @@ def test_power_grid(counts):
 
 def test_units_needed(counts):
     rows = by(power.units_needed(counts).collect(), "metric")
-    assert rows["visit"]["n_actual"] == pytest.approx(24596.102927128366, rel=1e-6)
-    assert rows["visit"]["n_even"] == pytest.approx(12175.691444307478, rel=1e-6)
-    assert rows["conversion"]["n_actual"] == pytest.approx(123115.6651657234, rel=1e-6)
-    assert rows["conversion"]["n_even"] == pytest.approx(59323.97617179786, rel=1e-6)
+    assert rows["visit"]["n_actual"] == pytest.approx(24596.102927128366, rel=1e-9)
+    assert rows["visit"]["n_even"] == pytest.approx(12175.691444307478, rel=1e-9)
+    assert rows["conversion"]["n_actual"] == pytest.approx(123115.6651657234, rel=1e-9)
+    assert rows["conversion"]["n_even"] == pytest.approx(59323.97617179786, rel=1e-9)
 
 
 def test_compliance(cells):
