@@ -54,4 +54,9 @@ def metric_counts(arms: DataFrame, roles: Roles = Roles()) -> DataFrame:
 
 
 def experiment_counts(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
-    return metric_counts(arm_counts(df, roles), roles)
+    """The same counts straight from the units: one row leaves each task."""
+    t = name(roles.treatment)
+    sums = {"n_t": f"count_if({t} = 1)", "n_c": f"count_if({t} = 0)"}
+    for m in roles.metrics:
+        sums[f"{m}_t"], sums[f"{m}_c"] = sum_where(f"{t} = 1", name(m)), sum_where(f"{t} = 0", name(m))
+    return per_metric(group(df, [], sums), (), roles)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from armlift.functions.numeric import each, group, literal, name, ratio
 from armlift.schema import Roles
-from armlift.session import stored
+from armlift.session import stored_result
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -179,7 +179,7 @@ def all_measures(df: DataFrame, roles: Roles = Roles(), accuracy: int = 10_000)
     merged: dict[str, str] = {}
     for measure in measures.values():
         merged |= measure.aggregates
-    row = stored(group(df, [], merged))
+    row = stored_result(group(df, [], merged))
     return {table: each(row, measure.rows) for table, measure in measures.items()}
 
 

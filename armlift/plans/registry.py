@@ -25,8 +25,10 @@ from armlift.operators import (
     uplift,
     validity,
 )
+from armlift.plans import publish, steps
 from armlift.schema import Roles
-from armlift.session import stored
+from armlift.session import stored, stored_result
+from armlift.sources import results
 from armlift.sources.order_experiment import order_experiment
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -207,7 +209,7 @@ def ab_bootstrap(spark, folder):
 
 @query("ab_interval_agreement")
 def _(spark, folder):
-    counts = stored(counts_of(spark, folder))
+    counts = stored_result(counts_of(spark, folder))
     return lift.interval_agreement(lift.lift(counts), bootstrap.lift_bootstrap(counts))
 
 
@@ -241,7 +243,7 @@ def _(spark, folder):
 @query("power_empirical", {9: ("fraction", "empirical_power", "analytic_power")})
 def _(spark, folder):
     # all three inputs of the report come from one stored table of bucket sums
-    sums = stored(power_bucket_sums(spark, folder))
+    sums = stored_result(power_bucket_sums(spark, folder))
     coarsest = sums.filter(F.col("k") == min(power.BUCKET_COUNTS)).groupBy("metric")
     counts = coarsest.agg(*[F.sum(c).alias(c) for c in ("n_t", "x_t", "n_c", "x_c")])
     return power.empirical_power(power.bucket_tests(sums), counts)
@@ -429,6 +431,55 @@ def _(spark, folder):
     return capture_interval.capture_bootstrap(capture_interval.ranking_slices(ranks_by_balance(spark, folder)))
 
 
+# --- publishing
+
+
+def document_values(documents: DataFrame, titles: tuple[str, ...]) -> DataFrame:
+    """(section, key, field, value) of the numbers in the keyed sections of published documents."""
+    shape = "map<string, array<map<string, string>>>"
+    parts = ", ".join(f"'{t}', from_json(get_json_object(document, '$.{t}'), '{shape}')" for t in titles)
+    sections = documents.selectExpr(f"explode(map({parts})) as (section, lists)")
+    records = sections.selectExpr("section", "explode(lists) as (key, items)").selectExpr(
+        "section", "key", "explode(items) as item"
+    )
+    fields = records.selectExpr("section", "key", "explode(item) as (field, text)")
+    return fields.selectExpr("section", "key", "field", "try_cast(text as double) as value").filter("value is not null")
+
+
+@query("results_publish")
+def _(spark, folder):
+    units = stored(clean_units(spark, folder))
+    cells = compliance.compliance_counts(compliance.compliance_cells(units))
+    scored = ranking.scored_long(units, {m: "f2" for m in ROLES.metrics})
+    tables = {
+        "lift": lift.lift(arms.experiment_counts(units)),
+        "effects": compliance.effects(cells),
+        "qini": ranking.qini_coefficient(ranking.qini_curve(ranking.ranked(scored))),
+    }
+    return document_values(stored_result(publish.publish(tables)), ("ab", "cace", "uplift"))
+
+
+@query("results_significant_digits")
+def _(spark, folder):
+    table = results.cleaned(segment_table(spark, folder))
+    values = ("rate_control", "rate_treatment", "lift", "se", "rel_lift", "p_value")
+    return table.select("feature", "bucket", "metric", *values)
+
+
+@query("results_document")
+def _(spark, folder):
+    units = stored(clean_units(spark, folder))
+    return publish.publish(
+        {
+            **steps.check_validity(units),
+            **steps.measure_lift(units),
+            **steps.measure_power(units),
+            **steps.measure_compliance(units),
+            **steps.compare_segments(units),
+        }
+    )
+
+
 # --- targeting: sample, split and model
 
 SAMPLE_ROWS = 10_000

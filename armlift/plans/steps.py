@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from armlift.functions.numeric import group
+from armlift.functions.units import add_unit_id
 from armlift.operators import (
     arms,
     bootstrap,
@@ -20,9 +21,8 @@ from armlift.operators import (
     validity,
 )
 from armlift.schema import Roles
-from armlift.session import stored
+from armlift.session import stored, stored_result
 from armlift.sources.experiment_table import number_rows, read_raw_csv, write_experiment
-from armlift.functions.units import add_unit_id
 from armlift.sources.results import Tables
 
 
@@ -53,7 +53,7 @@ def ingest(
 
 
 def check_validity(df: DataFrame, roles: Roles = Roles(), design_share: float = 0.85) -> Tables:
-    balance = stored(validity.balance(df, roles))
+    balance = stored_result(validity.balance(df, roles))
     return {
         "srm": validity.sample_ratio(profile.arm_sizes(df, roles), design_share),
         "balance": balance,
@@ -63,9 +63,9 @@ def check_validity(df: DataFrame, roles: Roles = Roles(), design_share: float =
 
 
 def measure_lift(df: DataFrame, roles: Roles = Roles(), n_boot: int = 10_000, seed: int = 7) -> Tables:
-    counts = stored(arms.experiment_counts(df, roles))
+    counts = stored_result(arms.experiment_counts(df, roles))
     lifts = lift.lift(counts)
-    boot = stored(bootstrap.lift_bootstrap(counts, n_boot, seed))
+    boot = stored_result(bootstrap.lift_bootstrap(counts, n_boot, seed))
     return {
         "counts": counts,
         "lift": lifts,
@@ -80,7 +80,7 @@ def measure_power(
     df: DataFrame, roles: Roles = Roles(), alpha: float = 0.05, target: float = 0.8, salt: str = "power"
 ) -> Tables:
     """Counts come from the bucket sums, so one pass over the units serves all tables."""
-    sums = stored(power.bucket_arm_sums(df, roles=roles, salt=salt))
+    sums = stored_result(power.bucket_arm_sums(df, roles=roles, salt=salt))
     coarse = sums.filter(f"k = {min(power.BUCKET_COUNTS)}")
     counts = group(coarse, ["metric"], {c: f"sum({c})" for c in ("n_t", "x_t", "n_c", "x_c")})
     grid = power.power_grid(counts, alpha=alpha, power=target)
@@ -93,10 +93,10 @@ def measure_power(
 
 
 def measure_compliance(df: DataFrame, roles: Roles = Roles(), n_boot: int = 2000, seed: int = 5) -> Tables:
-    cells = stored(compliance.compliance_cells(df, roles))
+    cells = stored_result(compliance.compliance_cells(df, roles))
     counts = compliance.compliance_counts(cells, roles)
     effects = compliance.effects(counts)
-    selection = stored(compliance.exposure_selection(df, roles))
+    selection = stored_result(compliance.exposure_selection(df, roles))
     return {
         "compliance_cells": cells,
         "compliance_counts": counts,
@@ -114,7 +114,7 @@ def compare_segments(
     df: DataFrame, roles: Roles = Roles(), n_buckets: int = 5, error: float = 0.001
 ) -> Tables:
     edges = quantiles.bucket_edges(df, roles.features, n_buckets, error)
-    sums = stored(segments.segment_sums(df, edges, roles))
+    sums = stored_result(segments.segment_sums(df, edges, roles))
     table = segments.adjust_false_discovery(segments.segment_lift(sums, edges, roles))
     tests = segments.heterogeneity(table)
     return {
@@ -141,7 +141,7 @@ def model_uplift(
     scored = model.score(sample.filter("is_test"))
     scores = {m: f"uplift_{m}" for m in roles.metrics}
     ranks = ranking.ranked(ranking.scored_long(scored, scores, roles))
-    curve = stored(ranking.qini_curve(ranks))
+    curve = stored_result(ranking.qini_curve(ranks))
     return {
         "sample_sizes": group(sample, ["is_test"], {"n": "count(1)"}),
         "calibration": uplift.calibration(scored, roles),

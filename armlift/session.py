@@ -56,3 +56,12 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/armlift-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_result(df: DataFrame) -> DataFrame:
+    """``stored`` for a result table of a few thousand rows that several others use.
+
+    The table is computed with the usual parallelism and read back as one partition,
+    so windows and groupings on it need no further shuffle.
+    """
+    return stored(df).coalesce(1)

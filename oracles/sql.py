@@ -72,7 +72,10 @@ def simpson(integrand: str, upper: str, steps: int = 2000) -> str:
 
 
 def normal_two_sided(z: str) -> str:
-    return f"greatest(0e0, 1e0 - 2e0 / sqrt(2 * pi()) * {simpson('exp(-0.5e0 * {u} * {u})', f'least(abs({z}), 40e0)')})"
+    # the density at z is taken out of the integral over the tail, which keeps small p exact
+    upper = f"least(12e0, 40e0 / greatest(abs({z}), 1e-9))"
+    tail = simpson(f"exp(-abs({z}) * {{u}} - 0.5e0 * {{u}} * {{u}})", upper)
+    return f"(2e0 / sqrt(2 * pi()) * exp(-0.5e0 * {z} * {z}) * {tail})"
 
 
 def normal_cdf(x: str) -> str:
@@ -533,6 +536,42 @@ def plain() -> dict[str, str]:
         q[name] = sql(
             "select treatment, is_test, count(*) n, sum(unit_id)::bigint id_sum from split group by treatment, is_test", parts
         )
+    published = {
+        "ab": ("lift", {"rate_c": "rate_control", "rate_t": "rate_treatment", "abs": "abs_lift", "rel": "rel_lift", "z": "z", "p": "p_value"}),
+        "cace": (
+            "effects",
+            {
+                "compliance": "compliance",
+                "itt": "itt",
+                "cace": "cace",
+                "naive": "naive_vs_control",
+                "rate_exposed": "rate_exposed",
+                "rate_without_ad": "rate_without_exposure",
+                "cace_rel": "cace_rel",
+            },
+        ),
+        "uplift": (
+            "(select metric, (sum((q + q0) / 2 * (phi - phi0)) - any_value(total) / 2) / abs(any_value(total)) qini "
+            "from steps group by metric)",
+            {"qini_coef": "qini"},
+        ),
+    }
+    q["results_publish"] = sql(
+        "\nunion all\n".join(
+            f"select '{title}' section, metric as key, '{field}' field, printf('%.5e', {value})::double as \"value\" from {table}"
+            for title, (table, fields) in published.items()
+            for field, value in fields.items()
+        ),
+        LIFT,
+        EFFECTS,
+        curve("f2"),
+    )
+    q["results_significant_digits"] = sql(
+        "select feature, bucket, metric, "
+        + ", ".join(f"printf('%.5e', {c})::double {c}" for c in ("rate_control", "rate_treatment", "lift", "se", "rel_lift", "p_value"))
+        + " from segments",
+        SEGMENTS,
+    )
     return q
 
 
