@@ -11,10 +11,10 @@ STATS = {"n": "count", "mean": "avg", "var": "var_samp"}
 
 
 def group_moments(df: DataFrame, key: str, roles: Roles = Roles()) -> DataFrame:
-    """(group, feature, n, mean, var) with the sample variance."""
-    wide = {f"{f}__{s}": f"{fn}({name(f)})" for f in roles.features for s, fn in STATS.items()}
+    """(group, rows, feature, n, mean, var) with the sample variance; n counts values, rows all rows."""
+    wide = {"rows": "count(1)"} | {f"{f}__{s}": f"{fn}({name(f)})" for f in roles.features for s, fn in STATS.items()}
     rows = [
-        {"group": name(key), "feature": literal(f), **{s: name(f"{f}__{s}") for s in STATS}} for f in roles.features
+        {"group": name(key), "rows": "`rows`", "feature": literal(f), **{s: name(f"{f}__{s}") for s in STATS}} for f in roles.features
     ]
     return each(group(df, [key], wide), rows)
 

@@ -101,25 +101,31 @@ def share_measure(roles: Roles) -> Measure:
     return Measure({"n": "count(1)", "n_treatment": f"count_if({name(roles.treatment)} = 1)"}, [row])
 
 
-def summary_measure(roles: Roles, accuracy: int) -> Measure:
+MOMENTS = {"mean": "avg({c})", "stddev": "stddev_samp({c})", "min": "min({c})", "max": "max({c})"}
+
+
+def moments_measure(roles: Roles) -> Measure:
+    return per_column(roles.features, "feature", MOMENTS)
+
+
+def sketch_measure(roles: Roles, accuracy: int) -> Measure:
     shares = ", ".join(literal(q) for q in QUARTILES)
     stats = {
-        "mean": "avg({c})",
-        "stddev": "stddev_samp({c})",
-        "min": "min({c})",
         "quartiles": f"percentile_approx({{c}}, array({shares}), {accuracy})",
-        "max": "max({c})",
         "approx_distinct": "approx_count_distinct({c})",
     }
-    measure = per_column(roles.features, "feature", stats)
-    rows = []
-    for row in measure.rows:
-        quartiles = row["quartiles"]
-        rounded = {s: f"round({row[s]}, 4)" for s in ("mean", "stddev", "min")}
-        rounded |= {f"p{round(100 * q)}": f"round({quartiles}[{i}], 4)" for i, q in enumerate(QUARTILES)}
-        rounded |= {"max": f"round({row['max']}, 4)", "approx_distinct": row["approx_distinct"]}
-        rows.append({"feature": row["feature"], **rounded})
-    return Measure(measure.aggregates, rows)
+    return per_column(roles.features, "feature", stats)
+
+
+def summary_of(moments: DataFrame, sketches: DataFrame) -> DataFrame:
+    """One row per feature, values to four decimals."""
+    return moments.join(sketches, "feature").selectExpr(
+        "feature",
+        *[f"round({s}, 4) as {s}" for s in ("mean", "stddev", "min")],
+        *[f"round(quartiles[{i}], 4) as p{round(100 * q)}" for i, q in enumerate(QUARTILES)],
+        "round(max, 4) as max",
+        "approx_distinct",
+    )
 
 
 def missing_counts(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
@@ -153,20 +159,24 @@ def binary_means(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
 
 def feature_moments(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """(feature, mean, stddev, min, max)."""
-    stats = {"mean": "avg({c})", "stddev": "stddev_samp({c})", "min": "min({c})", "max": "max({c})"}
-    return per_column(roles.features, "feature", stats).of(df)
+    return moments_measure(roles).of(df)
 
 
 def feature_summary(df: DataFrame, roles: Roles = Roles(), accuracy: int = 10_000) -> DataFrame:
     """Moments, approximate quartiles and approximate distinct count per feature.
 
-    Quantile and distinct-count sketches have a fixed size, whatever the number of rows.
+    Quantile and distinct-count sketches have a fixed size, whatever the number of
+    rows. They take a pass of their own: beside them the plain aggregates would
+    leave generated code and the single pass costs more than the two.
     """
-    return summary_measure(roles, accuracy).of(df)
+    return summary_of(feature_moments(df, roles), sketch_measure(roles, accuracy).of(df))
 
 
 def all_measures(df: DataFrame, roles: Roles = Roles(), accuracy: int = 10_000) -> dict[str, DataFrame]:
-    """Every table above from one pass: the merged aggregates are one stored row."""
+    """Every table above: one pass for all plain aggregates, one for the sketches.
+
+    The merged plain aggregates are one stored row, which unfolds into the tables.
+    """
     measures = {
         "rows": rows_measure(df, roles),
         "missing": missing_measure(df, roles),
@@ -174,13 +184,15 @@ def all_measures(df: DataFrame, roles: Roles = Roles(), accuracy: int = 10_000)
         "consistency": consistency_measure(roles),
         "treatment_share": share_measure(roles),
         "binary_means": per_column(roles.binary, "column", {"mean": "avg({c})"}),
-        "feature_summary": summary_measure(roles, accuracy),
+        "feature_moments": moments_measure(roles),
     }
     merged: dict[str, str] = {}
     for measure in measures.values():
         merged |= measure.aggregates
     row = stored_result(group(df, [], merged))
-    return {table: each(row, measure.rows) for table, measure in measures.items()}
+    tables = {table: each(row, measure.rows) for table, measure in measures.items()}
+    tables["feature_summary"] = summary_of(tables["feature_moments"], sketch_measure(roles, accuracy).of(df))
+    return tables
 
 
 def binary_values(df: DataFrame, roles: Roles = Roles()) -> DataFrame:

@@ -74,7 +74,11 @@ def welch(pairs: DataFrame) -> DataFrame:
 
 def balance(df: DataFrame, roles: Roles = Roles(), limit: float = SMD_LIMIT) -> DataFrame:
     """Per feature: means, standardized difference, variance ratio, Welch test, verdict."""
-    pairs = welch(with_smd(side_by_side(group_moments(df, roles.treatment, roles))))
+    return balance_of(group_moments(df, roles.treatment, roles), limit)
+
+
+def balance_of(moments: DataFrame, limit: float = SMD_LIMIT) -> DataFrame:
+    pairs = welch(with_smd(side_by_side(moments)))
     tested = pairs.withColumn("welch_p", student_two_sided("t", "df"))
     return pick(
         tested,

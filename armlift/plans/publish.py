@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from armlift.sources.results import Tables, document, section
+from armlift.sources.results import Tables, document, read_results, section
 
 # section of the document: (result table, chosen fields with new names, key of nested lists)
 CONTENTS: dict[str, tuple[str, dict[str, str], str | None]] = {
@@ -146,3 +146,8 @@ def publish(tables: Tables) -> DataFrame:
     """One row with the JSON of every section whose result table is given."""
     present = [t for t, (table, _, _) in CONTENTS.items() if table in tables]
     return document([section(t, chosen(tables, t), CONTENTS[t][2]) for t in present])
+
+
+def publish_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """The document of the result tables written to a folder."""
+    return publish(read_results(spark, folder, {table for table, _, _ in CONTENTS.values()}))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armlift.functions.numeric import group
+from armlift.functions.numeric import group, literal
 from armlift.functions.units import add_unit_id
 from armlift.operators import (
     arms,
@@ -20,6 +20,7 @@ from armlift.operators import (
     uplift,
     validity,
 )
+from armlift.operators.moments import group_moments
 from armlift.schema import Roles
 from armlift.session import stored, stored_result
 from armlift.sources.experiment_table import number_rows, read_raw_csv, write_experiment
@@ -53,9 +54,12 @@ def ingest(
 
 
 def check_validity(df: DataFrame, roles: Roles = Roles(), design_share: float = 0.85) -> Tables:
-    balance = stored_result(validity.balance(df, roles))
+    """Arm sizes and feature moments come from the same pass."""
+    moments = stored_result(group_moments(df, roles.treatment, roles))
+    sizes = moments.filter(f"feature = {literal(roles.features[0])}").selectExpr("`group` as treatment", "`rows` as n")
+    balance = stored_result(validity.balance_of(moments))
     return {
-        "srm": validity.sample_ratio(profile.arm_sizes(df, roles), design_share),
+        "srm": validity.sample_ratio(sizes, design_share),
         "balance": balance,
         "balance_summary": validity.balance_summary(balance),
         "balance_ranking": validity.rank_by_imbalance(balance),
@@ -136,7 +140,8 @@ def model_uplift(
 ) -> Tables:
     """Sample, split, fit on one half, rank and evaluate the other half; all of it stays in Spark."""
     needed = [roles.unit_id, *roles.features, roles.treatment, *roles.metrics]
-    sample = stored(uplift.split_units(uplift.sample_units(df.select(*needed), sample_rows, roles), roles=roles))
+    chosen = uplift.sample_units(df.select(*needed), sample_rows, roles, salt=f"sample{seed}")
+    sample = stored(uplift.split_units(chosen, roles=roles, salt=f"split{seed}"))
     model = uplift.fit_t_learner(sample.filter("not is_test"), settings, seed, roles)
     scored = model.score(sample.filter("is_test"))
     scores = {m: f"uplift_{m}" for m in roles.metrics}

@@ -61,10 +61,15 @@ def order_experiment(spark: SparkSession, folder: str) -> DataFrame:
             "if(c_acctbal > 5000, 1D, 0D) as rich",
         )
     )
+    return planted(units).select(*COLUMNS)
+
+
+def planted(units: DataFrame) -> DataFrame:
+    """Add arm, exposure and outcomes by hashing the unit id."""
     arms = derive(units, {"treatment": f"if({unit_uniform('unit_id', 'arm')} < 0.85D, 1, 0)"})
     exposed = f"treatment = 1 and {unit_uniform('unit_id', 'exp')} < 0.1D + 0.3D * expensive"
     shown = derive(arms, {"exposure": f"if({exposed}, 1, 0)"})
     visit_rate = "0.04D + 0.04D * expensive + exposure * (0.1D + 0.25D * rich)"
     visits = derive(shown, {"visit": f"if({unit_uniform('unit_id', 'vis')} < {visit_rate}, 1, 0)"})
     bought = f"visit = 1 and {unit_uniform('unit_id', 'cnv')} < 0.3D"
-    return derive(visits, {"conversion": f"if({bought}, 1, 0)"}).select(*COLUMNS)
+    return derive(visits, {"conversion": f"if({bought}, 1, 0)"})

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -14,14 +15,26 @@ Tables = dict[str, DataFrame]
 
 
 def write_results(tables: Mapping[str, DataFrame], folder: str) -> None:
-    """One JSON table per result; results are a few rows, hence one file each."""
-    for table, df in tables.items():
-        df.coalesce(1).write.mode("overwrite").json(f"{folder}/{table}")
-
+    """One JSON table per result, for readers, and one Parquet table, which keeps the types.
 
-def read_results(spark: SparkSession, folder: str, schemas: Mapping[str, T.StructType]) -> Tables:
-    """Read result tables back with their schemas."""
-    return {table: spark.read.schema(schema).json(f"{folder}/{table}") for table, schema in schemas.items()}
+    Results are a few rows, hence one file each.
+    """
+    for table, df in tables.items():
+        small = df.repartition(1)
+        small.write.mode("overwrite").parquet(f"{folder}/{table}/parquet")
+        small.write.mode("overwrite").json(f"{folder}/{table}/json")
+
+
+def read_results(spark: SparkSession, folder: str, names: Iterable[str]) -> Tables:
+    """The named result tables of a folder, as far as they are there."""
+    found = {}
+    for table in names:
+        try:
+            found[table] = spark.read.parquet(f"{folder}/{table}/parquet").coalesce(1)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return found
 
 
 def cleaned(df: DataFrame, digits: int = 6) -> DataFrame:

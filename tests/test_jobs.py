@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from armlift.__main__ import main as command_line
 from armlift.operators import arms, bootstrap, compliance, lift, power, profile, quantiles, segments, uplift, validity
 from armlift.plans import publish, steps
 from armlift.schema import Roles
@@ -171,8 +172,8 @@ def test_whole_analysis_and_document(spark, ingested, tmp_path):
         assert abs(r.observed - r.predicted) < 4 * np.sqrt(r.observed * (1 - r.observed) / r.n) + 0.01
     assert by(tables["qini"].collect(), "metric")["visit"]["qini"] > 0
     results.write_results(tables, str(tmp_path))
-    again = results.read_results(spark, str(tmp_path), {t: d.schema for t, d in tables.items()})
-    text = publish.publish(again).first()[0]
+    text = publish.publish_folder(spark, str(tmp_path)).first()[0]
+    assert set(results.read_results(spark, str(tmp_path), ["lift", "absent"])) == {"lift"}
     found = json.loads(text)
     assert set(found) == set(publish.CONTENTS)
     assert found["profile_rows"] == [{"n": 14743, "read": 15000}]
@@ -180,3 +181,15 @@ def test_whole_analysis_and_document(spark, ingested, tmp_path):
     exact = by(tables["lift"].collect(), "metric")["visit"]
     assert rel["rel"] == float(f"{exact['rel_lift']:.6g}") and rel["rel_ci"][0] == float(f"{exact['rel_lo']:.6g}")
     assert len(found["segments"]) == 12 and len(found["uplift_curve"]["visit"]) == 102
+
+
+def test_command_line(spark, csv_folder, tmp_path):
+    table, out = str(tmp_path / "table"), str(tmp_path / "out")
+    common = ["--table", table, "--results", out]
+    command_line(["ingest", "--input", csv_folder, "--partitions", "3", *common])
+    command_line(["lift", "--n-boot", "100", *common])
+    command_line(["validity", "--design-share", "0.5", *common])
+    command_line(["publish", "--results", out])
+    text = spark.read.text(f"{out}/document").first()[0]
+    found = json.loads(text)
+    assert found["srm"][0]["srm_detected"] and found["ab"]["visit"][0]["rel"] > 1
