@@ -108,18 +108,26 @@ def moments_measure(roles: Roles) -> Measure:
     return per_column(roles.features, "feature", MOMENTS)
 
 
-def sketch_measure(roles: Roles, accuracy: int) -> Measure:
+def quartile_measure(roles: Roles, accuracy: int) -> Measure:
     shares = ", ".join(literal(q) for q in QUARTILES)
-    stats = {
-        "quartiles": f"percentile_approx({{c}}, array({shares}), {accuracy})",
-        "approx_distinct": "approx_count_distinct({c})",
-    }
-    return per_column(roles.features, "feature", stats)
+    return per_column(
+        roles.features, "feature", {"quartiles": f"percentile_approx({{c}}, array({shares}), {accuracy})"}
+    )
+
 
+def distinct_measure(roles: Roles) -> Measure:
+    return per_column(roles.features, "feature", {"approx_distinct": "approx_count_distinct({c})"})
 
-def summary_of(moments: DataFrame, sketches: DataFrame) -> DataFrame:
-    """One row per feature, values to four decimals."""
-    return moments.join(sketches, "feature").selectExpr(
+
+def summary_of(df: DataFrame, moments: DataFrame, roles: Roles, accuracy: int) -> DataFrame:
+    """One row per feature, values to four decimals.
+
+    Quantile and distinct-count sketches have a fixed size, whatever the number of
+    rows. Each kind takes a pass of its own: next to them the other aggregates leave
+    generated code, and the joint pass costs more than the single ones.
+    """
+    quartiles, distinct = quartile_measure(roles, accuracy).of(df), distinct_measure(roles).of(df)
+    return moments.join(quartiles, "feature").join(distinct, "feature").selectExpr(
         "feature",
         *[f"round({s}, 4) as {s}" for s in ("mean", "stddev", "min")],
         *[f"round(quartiles[{i}], 4) as p{round(100 * q)}" for i, q in enumerate(QUARTILES)],
@@ -163,35 +171,36 @@ def feature_moments(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
 
 
 def feature_summary(df: DataFrame, roles: Roles = Roles(), accuracy: int = 10_000) -> DataFrame:
-    """Moments, approximate quartiles and approximate distinct count per feature.
-
-    Quantile and distinct-count sketches have a fixed size, whatever the number of
-    rows. They take a pass of their own: beside them the plain aggregates would
-    leave generated code and the single pass costs more than the two.
-    """
-    return summary_of(feature_moments(df, roles), sketch_measure(roles, accuracy).of(df))
+    """Moments, approximate quartiles and approximate distinct count per feature."""
+    return summary_of(df, feature_moments(df, roles), roles, accuracy)
 
 
 def all_measures(df: DataFrame, roles: Roles = Roles(), accuracy: int = 10_000) -> dict[str, DataFrame]:
-    """Every table above: one pass for all plain aggregates, one for the sketches.
+    """Every table above from few passes.
 
-    The merged plain aggregates are one stored row, which unfolds into the tables.
+    Counts of all kinds share one pass and moments another; each leaves one stored
+    row that unfolds into its tables. Aggregates beyond that size no longer fit
+    compiled code, so merging further makes the pass slower, not faster.
     """
-    measures = {
-        "rows": rows_measure(df, roles),
-        "missing": missing_measure(df, roles),
-        "binary_domain": domain_measure(roles),
-        "consistency": consistency_measure(roles),
-        "treatment_share": share_measure(roles),
-        "binary_means": per_column(roles.binary, "column", {"mean": "avg({c})"}),
-        "feature_moments": moments_measure(roles),
-    }
-    merged: dict[str, str] = {}
-    for measure in measures.values():
-        merged |= measure.aggregates
-    row = stored_result(group(df, [], merged))
-    tables = {table: each(row, measure.rows) for table, measure in measures.items()}
-    tables["feature_summary"] = summary_of(tables["feature_moments"], sketch_measure(roles, accuracy).of(df))
+    passes = [
+        {
+            "rows": rows_measure(df, roles),
+            "missing": missing_measure(df, roles),
+            "consistency": consistency_measure(roles),
+            "treatment_share": share_measure(roles),
+            "binary_domain": domain_measure(roles),
+            "binary_means": per_column(roles.binary, "column", {"mean": "avg({c})"}),
+        },
+        {"feature_moments": moments_measure(roles)},
+    ]
+    tables = {}
+    for measures in passes:
+        merged: dict[str, str] = {}
+        for measure in measures.values():
+            merged |= measure.aggregates
+        row = stored_result(group(df, [], merged))
+        tables |= {table: each(row, measure.rows) for table, measure in measures.items()}
+    tables["feature_summary"] = summary_of(df, tables["feature_moments"], roles, accuracy)
     return tables
 
 
