@@ -38,8 +38,16 @@ def finite(x: str) -> str:
 
 
 def significant(x: str, digits: int = 6) -> str:
-    """Finite doubles rounded to ``digits`` significant digits, else null."""
-    return f"try_cast(format_string('%.{digits - 1}e', {finite(x)}) as double)"
+    """Finite doubles rounded to ``digits`` significant digits, ties to even, else null."""
+    # the digits as a whole number times a power of ten; the text form keeps the result exact
+    power = f"({digits - 1} - cast(floor(log10(abs({x}))) as int))"
+    whole = f"cast(rint({x} * pow(10D, {power})) as bigint)"
+    # below that the power of ten would overflow
+    tiny = f"try_cast(format_string('%.{digits - 1}e', {x}) as double)"
+    return (
+        f"(case when {finite(x)} is null then null when {x} = 0 then 0D when abs({x}) < 1e-290D then {tiny} "
+        f"else try_cast(concat({whole}, 'e', -{power}) as double) end)"
+    )
 
 
 def sum_where(predicate: str, value: str) -> str:

@@ -95,3 +95,10 @@ def test_added_unit_ids_are_unique_and_independent_of_partitioning(spark, monkey
     assert first == keys(df.repartition(13))
     assert len({k[0] for k in first}) == len(rows)
     assert add_unit_id(df).filter(F.col("x") == 1.0).count() == 50
+
+
+def test_significant_digits_round_like_decimal_formatting(spark):
+    xs = [0.09765625, 0.0976562500001, 123456789.123, -123456.5, 5.128658e-39, 3e-310, 1.0, 0.001, 999999.5, 1e22, -2.5e-7]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").selectExpr("x", f"{significant('x')} as s").collect()
+    for r in rows:
+        assert r.s == float(f"{r.x:.6g}"), r
