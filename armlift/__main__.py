@@ -26,6 +26,7 @@ def options() -> argparse.ArgumentParser:
         sub = step.add_parser(title)
         sub.add_argument("--table", required=title != "publish", help="experiment table (Parquet)")
         sub.add_argument("--results", required=True, help="folder of result tables")
+        sub.add_argument("--work", help="folder for intermediate tables that all executors reach")
         for option, default in extra.items():
             kind = type(default) if default is not None else str
             sub.add_argument("--" + option.replace("_", "-"), type=kind, default=default)
@@ -62,7 +63,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> Tables:
 
 def main(arguments: list[str] | None = None) -> None:
     args = options().parse_args(arguments)
-    spark = get_session(f"armlift-{args.step}")
+    spark = get_session(f"armlift-{args.step}", work=args.work)
     if args.step == "publish":
         # every step leaves its tables in the folder; the document takes the sections that are there
         publish.publish_folder(spark, args.results).write.mode("overwrite").text(f"{args.results}/document")

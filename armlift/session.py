@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
-def get_session(app_name: str = "armlift", shuffle_partitions: int | None = None) -> SparkSession:
+def get_session(
+    app_name: str = "armlift", shuffle_partitions: int | None = None, work: str | None = None
+) -> SparkSession:
     """Session with UTC time and adaptive execution.
 
     Master and driver memory come from ``SPARK_MASTER`` and ``SPARK_DRIVER_MEMORY``
-    where set, so ``spark-submit`` settings are left alone on a cluster.
+    where set, so ``spark-submit`` settings are left alone on a cluster. ``work`` is the
+    folder for intermediate tables; all executors must reach it.
     """
     builder = (
         SparkSession.builder.appName(app_name)
@@ -29,35 +31,50 @@ def get_session(app_name: str = "armlift", shuffle_partitions: int | None = None
         builder = builder.config("spark.driver.memory", os.environ["SPARK_DRIVER_MEMORY"])
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if work:
+        builder = builder.config(CHECKPOINT_SETTING, work)
     return builder.getOrCreate()
 
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder of this machine.
+    Where the setting is missing, a folder inside the warehouse, which is shared too.
     """
     folder = spark.conf.get(CHECKPOINT_SETTING, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_SETTING} to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="armlift-")
-    spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/armlift-work"
+
+
+def new_folder(spark: SparkSession) -> str:
+    """Name of a folder in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/armlift-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     Cuts the lineage durably: later passes prune columns of the stored table, and
-    a lost executor costs a re-read instead of a re-sort.
+    a lost executor costs a re-read instead of a re-sort. The table stays until
+    ``release`` is called with it, or the owner of the shared folder clears it.
     """
-    path = f"{shared_folder(df.sparkSession)}/armlift-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete the files of ``stored`` tables that are no longer needed."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            if "/armlift-" not in folder:
+                raise ValueError(f"not a stored table: {folder}")
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored_result(df: DataFrame) -> DataFrame:
     """``stored`` for a result table of a few thousand rows that several others use.
 
