@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from armlift.llm.bpe import op3_encode_documents
 from armlift.llm.mixing import op7_mix_documents
+from armlift.llm.neighbours import op6_nearest_neighbours
+from armlift.llm.pii import op5_find_personal_data
 from armlift.llm.quality import op8_score_quality
 from armlift.llm.sharding import op1_shard_documents
 
 QUERIES = {
     "op1_shard_documents": op1_shard_documents,
     "op3_encode_documents": op3_encode_documents,
+    "op5_find_personal_data": op5_find_personal_data,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_mix_documents": op7_mix_documents,
     "op8_score_quality": op8_score_quality,
 }
