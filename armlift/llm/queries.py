@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from armlift.llm.bpe import op3_encode_documents
+from armlift.llm.lm import op2_score_texts
 from armlift.llm.mixing import op7_mix_documents
 from armlift.llm.neighbours import op6_nearest_neighbours
 from armlift.llm.pii import op5_find_personal_data
@@ -11,6 +12,7 @@ from armlift.llm.sharding import op1_shard_documents
 
 QUERIES = {
     "op1_shard_documents": op1_shard_documents,
+    "op2_score_texts": op2_score_texts,
     "op3_encode_documents": op3_encode_documents,
     "op5_find_personal_data": op5_find_personal_data,
     "op6_nearest_neighbours": op6_nearest_neighbours,
