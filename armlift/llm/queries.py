@@ -5,6 +5,7 @@ from __future__ import annotations
 from armlift.llm.bpe import op3_encode_documents
 from armlift.llm.lm import op2_score_texts
 from armlift.llm.mixing import op7_mix_documents
+from armlift.llm.near import op4_group_near_duplicates
 from armlift.llm.neighbours import op6_nearest_neighbours
 from armlift.llm.pii import op5_find_personal_data
 from armlift.llm.quality import op8_score_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_shard_documents": op1_shard_documents,
     "op2_score_texts": op2_score_texts,
     "op3_encode_documents": op3_encode_documents,
+    "op4_group_near_duplicates": op4_group_near_duplicates,
     "op5_find_personal_data": op5_find_personal_data,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_mix_documents": op7_mix_documents,
