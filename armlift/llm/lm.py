@@ -28,7 +28,7 @@ from armlift.session import new_folder, stored
 # Hashes of the context before a text and of the token after it.
 START, END = np.uint64(1), np.uint64(2)
 BUCKET_BYTES = 16_000_000
-TOKENS_HELD = 3_000_000
+TOKENS_HELD = 1_500_000
 # buckets dealt in one round; more are dealt in two
 ROUND_BUCKETS = 2048
 # texts looked at to find words that need spreading; only the balance depends on them
@@ -62,20 +62,22 @@ def bucket_of(a: np.ndarray, b: np.ndarray, n_buckets: int, spread: np.ndarray)
     return (key % np.uint64(n_buckets)).astype(np.int64)
 
 
-def summed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs sorted and distinct, with their counts added."""
-    order = np.lexsort([b, a])
-    a, b, n = a[order], b[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else order
-    return a[first], b[first], np.add.reduceat(n, first) if len(a) else n
+def summed(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows sorted and distinct in all columns but the last, a count, which is added up."""
+    *keys, n = columns
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for i, key in enumerate(keys):
+        keys[i] = key = key[order]
+        new[1:] |= key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    return *(key[first] for key in keys), np.add.reduceat(n[order], first) if len(first) else n
 
 
 def dealt(a: np.ndarray, b: np.ndarray, n: np.ndarray, n_buckets: int, spread: np.ndarray, width: int = 1) -> pa.RecordBatch:
     """One row per bucket (or run of ``width`` buckets) with its counted pairs; repeats of the first word are run lengths."""
-    a, b, n = summed(a, b, n)
-    bucket = bucket_of(a, b, n_buckets, spread) // width
-    order = np.argsort(bucket, kind="stable")
-    a, b, n, bucket = a[order], b[order], n[order], bucket[order]
+    bucket, a, b, n = summed((bucket_of(a, b, n_buckets, spread) // width).astype(np.int32), a, b, n)
     cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
     rows = []
     for lo, hi in zip(cuts[:-1], cuts[1:]):
