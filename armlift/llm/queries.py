@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from armlift.llm.bpe import op3_encode_documents
+from armlift.llm.fingerprints import op9_fingerprint_documents
 from armlift.llm.lm import op2_score_texts
 from armlift.llm.mixing import op7_mix_documents
 from armlift.llm.near import op4_group_near_duplicates
@@ -20,4 +21,5 @@ QUERIES = {
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_mix_documents": op7_mix_documents,
     "op8_score_quality": op8_score_quality,
+    "op9_fingerprint_documents": op9_fingerprint_documents,
 }
