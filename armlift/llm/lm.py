@@ -27,8 +27,8 @@ from armlift.session import new_folder, stored
 
 # Hashes of the context before a text and of the token after it.
 START, END = np.uint64(1), np.uint64(2)
-BUCKET_BYTES = 16_000_000
-TOKENS_HELD = 1_500_000
+BUCKET_BYTES = 8_000_000
+TOKENS_HELD = 1_000_000
 # buckets dealt in one round; more are dealt in two
 ROUND_BUCKETS = 2048
 # texts looked at to find words that need spreading; only the balance depends on them
