@@ -145,10 +145,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
         "leader", "explode(sequence(0, blocks - 1)) as block", "leader_text"
     )
 
+    hasher = WordHasher()  # one per task; its tables are made at first use
+
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         found_a, found_b = [], []
         if left.num_rows and right.num_rows:
-            hasher = WordHasher()
             leader = shingle_sets(hasher, [left.column("leader_text")[0].as_py().encode()], width)[0]
             name, names = left.column("leader")[0].as_py(), right.column("class").to_pylist()
             at = 0

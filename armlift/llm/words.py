@@ -37,7 +37,7 @@ class WordHasher:
 
     def prepare(self, size: int) -> None:
         if len(self.powers) < size:
-            size = max(size, CHUNK_BYTES + 2**16)
+            size = max(2 * len(self.powers), size, 2**16)
             for name, factor in (("powers", MULTIPLIER), ("inverses", INVERSE)):
                 steps = np.full(size, factor, np.uint64)
                 steps[0] = 1
