@@ -10,6 +10,7 @@ from armlift.llm.near import op4_group_near_duplicates
 from armlift.llm.neighbours import op6_nearest_neighbours
 from armlift.llm.pii import op5_find_personal_data
 from armlift.llm.quality import op8_score_quality
+from armlift.llm.repeats import op10_remove_repeats
 from armlift.llm.sharding import op1_shard_documents
 
 QUERIES = {
@@ -22,4 +23,5 @@ QUERIES = {
     "op7_mix_documents": op7_mix_documents,
     "op8_score_quality": op8_score_quality,
     "op9_fingerprint_documents": op9_fingerprint_documents,
+    "op10_remove_repeats": op10_remove_repeats,
 }
