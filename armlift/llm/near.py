@@ -26,8 +26,9 @@ from armlift.session import stored
 # with probability (1 - 0.8^4)^32, about 5 in 10^8
 FUNCTIONS = 64
 BANDS = 32
-# a pair at the threshold differs in 12.8 of 128 low bits; 32 or more is 5.5 deviations away
-BITS_APART = 32
+# four bits of every value are kept: a pair at the threshold differs in 24 of 128 places,
+# with deviation 4.4; 49 or more are 5.6 deviations away
+PLACES_APART = 49
 # members that are confirmed against one leader in one group
 BLOCK_ROWS = 500
 
@@ -82,7 +83,6 @@ def banded(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 def signed_rows(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, text_key, n_shingles, set_key, bits, bands) of every row; no shingles give null keys."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -97,8 +97,7 @@ def signed_rows(docs: DataFrame, width: int) -> DataFrame:
                     sums = [mixed(shingles).sum(), mixed(shingles ^ np.uint64(0x9E3779B97F4A7C15)).sum()]
                     keys.append(np.array(sums, np.uint64).tobytes())
                     low, high = signature(shingles)
-                    # one middle bit of every value; the lowest ones depend on few bits of the shingle
-                    bits.append([((v >> np.uint64(40) & np.uint64(1)) * weights).sum().view(np.int64) for v in (low, high)])
+                    bits.append([*nibbles(low), *nibbles(high)])
                     bands.append(banded(low, high).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
@@ -113,12 +112,20 @@ def signed_rows(docs: DataFrame, width: int) -> DataFrame:
     )
 
 
+def nibbles(values: np.ndarray) -> list[int]:
+    """Four middle bits of each of 64 values, packed into four numbers; the lowest bits depend on few bits of a shingle."""
+    places = (values >> np.uint64(40) & np.uint64(15)).reshape(4, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    return np.bitwise_or.reduce(places, axis=1).view(np.int64).tolist()
+
+
 def alike(percent: int) -> str:
-    """SQL for a pair that may reach the similarity: by set sizes and by the bits of the signatures."""
-    return (
-        f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-        f" and bit_count(bits_a[0] ^ bits_b[0]) + bit_count(bits_a[1] ^ bits_b[1]) < {BITS_APART}"
+    """SQL for a pair that may reach the similarity: by set sizes and by the places where the signatures differ."""
+    differ = [f"(bits_a[{i}] ^ bits_b[{i}])" for i in range(8)]
+    low = 0x1111111111111111
+    places = " + ".join(
+        f"bit_count(({d} | shiftright({d}, 1) | shiftright({d}, 2) | shiftright({d}, 3)) & {low}L)" for d in differ
     )
+    return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {places} < {PLACES_APART}"
 
 
 def renamed(rows: DataFrame, side: str, *more: str) -> DataFrame:
@@ -169,6 +176,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     )
 
 
+def still_open(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold classes of more than one group, with the group."""
+    labelled = shared.join(groups.withColumnRenamed("node", "class"), "class", "left").selectExpr(
+        "band", "class", "n_shingles", "bits", "coalesce(component, class) as component"
+    )
+    split = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return labelled.join(split.where("lo < hi").select("band"), "band")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
@@ -193,7 +209,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
     rows = classes.selectExpr("class", "n_shingles", "bits", "explode(bands) as band")
     leaders = rows.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
-    shared = stored(rows.join(leaders, "band"))
+    shared = stored(rows.join(leaders.select("band"), "band"))
 
     # texts of the classes that share a bucket, found by the row that stands for the class
     wanted = shared.select("class").distinct().join(classes.select("class", "sample"), "class")
@@ -204,21 +220,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .agg(F.first("text").alias("text"))
     )
 
-    ends = [
-        renamed(shared, "b").join(
-            renamed(shared.where(f"class = {end}"), "a"), "band"
-        ).where(f"a <> b and {alike(percent)}").selectExpr("least(a, b) as a", "greatest(a, b) as b")
-        for end in ("lo", "hi")
-    ]
-    links = stored(confirmed(ends[0].unionByName(ends[1]).distinct(), texts, width, percent))
-    groups = stored(components(links))
+    # every class tries one leader at a time: the first of the smallest class of its buckets,
+    # then, in buckets that still hold several groups, the largest
+    links = groups = None
+    open_rows = shared.selectExpr("*", "class as component")
+    for end in (F.min, F.max):
+        leader = open_rows.groupBy("band").agg(end(F.struct("class", "n_shingles", "bits", "component")).alias("lead"))
+        tried = (
+            open_rows.join(leader, "band")
+            .selectExpr(
+                "class", "component", "lead.class as leader", "lead.component as other",
+                "n_shingles as n_a", "lead.n_shingles as n_b", "bits as bits_a", "lead.bits as bits_b",
+            )
+            .where(f"component <> other and {alike(percent)}")
+            .groupBy("class")
+            .agg((F.min if end is F.min else F.max)("leader").alias("leader"))
+        )
+        found = confirmed(tried.selectExpr("leader as a", "class as b"), texts, width, percent)
+        links = stored(found if links is None else links.unionByName(found))
+        groups = stored(components(links))
+        open_rows = stored(still_open(shared, groups))
 
     # what leaders did not join: classes of different groups that share a bucket
-    labelled = shared.join(groups.withColumnRenamed("node", "class"), "class", "left").selectExpr(
-        "band", "class", "n_shingles", "bits", "coalesce(component, class) as component", "lo", "hi"
-    )
-    split = labelled.groupBy("band").agg(F.min("component").alias("c_lo"), F.max("component").alias("c_hi"))
-    open_rows = stored(labelled.join(split.where("c_lo < c_hi").select("band"), "band"))
     left, right = (renamed(open_rows, side, "component") for side in "ab")
     rest = left.join(right, "band").where(f"component_a < component_b and {alike(percent)}").selectExpr(
         "least(a, b) as a", "greatest(a, b) as b"
