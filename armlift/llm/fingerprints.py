@@ -21,7 +21,7 @@ from armlift.session import stored
 
 # band of the share of texts that have a term; a term needs two texts at least
 BAND = (0.001, 0.05)
-CELLS = 64
+CELLS = 32
 # a text of d distinct terms adds d to the sum of document frequencies, so the lexicon has
 # at most (mean d) / BAND[0] terms at any number of texts; it is sent to all tasks up to this
 SENT_TERMS = 2_000_000
@@ -30,41 +30,42 @@ KEYS = ["doc_key", "text_key"]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Rows named by doc_id and a hash of the text; null texts count as empty."""
+    """Texts named by doc_id and a hash of the text; null texts count as empty."""
     return docs.selectExpr("doc_id", "coalesce(text, '') as text").selectExpr(
         "doc_id", "coalesce(cast(doc_id as string), '') as doc_key", "xxhash64(text) as text_key", "text"
     )
 
 
 def terms(text: str) -> str:
-    return f"array_distinct(split(lower({text}), '{SPACE}'))"
+    """Distinct words of a text as 62-bit hashes."""
+    hashed = f"transform(split(lower({text}), '{SPACE}'), w -> shiftrightunsigned(xxhash64(w), 2))"
+    return f"array_remove(array_distinct({hashed}), shiftrightunsigned(xxhash64(''), 2))"
 
 
 def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
-    """(word, term): the words whose share of texts lies in the band, with a 62-bit hash."""
+    """The terms whose share of texts lies in the band."""
     n = docs.count()
-    counts = docs.selectExpr(f"explode({terms('text')}) as word").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    counts = docs.selectExpr(f"explode({terms('text')}) as term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     lo, hi = max(2.0, band[0] * n), max(2.0, band[1] * n)
-    return stored(
-        counts.where(f"word <> '' and df between {lo} and {hi}").selectExpr(
-            "word", "shiftrightunsigned(xxhash64(word), 2) as term"
-        )
-    )
+    return stored(counts.where(f"df between {lo} and {hi}").select("term"))
 
 
-def cells(found: str, level: str) -> str:
+def cells(found: str, modulus: str) -> str:
     """Hash of the terms in each of the first cells, null where there are none."""
-    inside = f"filter({found}, t -> t % shiftleft(2L, {level}) < {CELLS})"
-    one = f"filter(near, t -> t % shiftleft(2L, {level}) = k)"
-    each = f"transform(sequence(0, {CELLS - 1}), k -> if(size({one}) = 0, null, hash({one})))"
+    inside = f"filter({found}, t -> t % {modulus} < {CELLS})"
+    # 42 is the hash of no terms
+    each = f"transform(sequence(0, {CELLS - 1}), k -> nullif(hash(filter(near, t -> t % {modulus} = k)), 42))"
     return f"element_at(transform(array({inside}), near -> {each}), 1)"
 
 
-def print_of(found: str) -> str:
-    """Fingerprint (level, low, high) of a sorted array of distinct terms; null without terms."""
-    level = f"cast(floor(log2(size({found}))) as int)"
-    parts = f"named_struct('level', {level}, 'low', {cells(found, level)}, 'high', {cells(found, f'({level} + 1)')})"
-    return f"if(size({found}) > 0, {parts}, null)"
+def with_print(rows: DataFrame, found: str, name: str) -> DataFrame:
+    """Replace a sorted array of distinct terms by its fingerprint (level, low, high); null without terms."""
+    kept = [c for c in rows.columns if c != found]
+    sized = rows.selectExpr("*", f"cast(floor(log2(greatest(size({found}), 1))) as int) as _level").selectExpr(
+        "*", "shiftleft(2L, _level) as _low", "shiftleft(4L, _level) as _high"
+    )
+    parts = f"named_struct('level', _level, 'low', {cells(found, '_low')}, 'high', {cells(found, '_high')})"
+    return sized.selectExpr(*kept, f"if(size({found}) > 0, {parts}, null) as {name}")
 
 
 def text_of_print(found: str, text: str) -> str:
@@ -88,40 +89,46 @@ def likeness(a: str, b: str) -> str:
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """(doc_key, text_key, next_doc, next_text, wanted): the next document by doc_id, the first one after the last."""
+    """(doc_id, keys, at, next_at, next_doc, next_text, wanted): the next document by doc_id, the first after the last."""
     rows = docs.selectExpr("doc_id", *KEYS, "length(text) as n").distinct()
     placed = stored(with_position(rows, ["doc_id", "text_key"]))
     n = placed.count()
-    after = placed.selectExpr("doc_key as next_doc", "text_key as next_text", "position as at")
-    here = placed.selectExpr(*KEYS, "n div 4 as wanted", f"(position + 1) % {max(n, 1)} as at")
-    return stored(here.join(after, "at").drop("at"))
+    after = placed.selectExpr("doc_key as next_doc", "text_key as next_text", "position as next_at")
+    here = placed.selectExpr(
+        "doc_id", *KEYS, "n div 4 as wanted", "position as at", f"(position + 1) % {max(n, 1)} as next_at"
+    )
+    return stored(here.join(after, "next_at"))
 
 
-def edited(docs: DataFrame, following: DataFrame) -> DataFrame:
-    """Rows with ``head``: what the next document gives to replace the last quarter of this one."""
-    given = docs.select(F.col("doc_key").alias("next_doc"), F.col("text_key").alias("next_text"), "text")
+def edited(texts: DataFrame, following: DataFrame) -> DataFrame:
+    """Texts with ``head``: what the next document gives to replace the last quarter of this one."""
+    given = texts.selectExpr("doc_key as next_doc", "text_key as next_text", "text")
     heads = (
-        given.join(following, ["next_doc", "next_text"])
+        given.join(following.select(*KEYS, "next_doc", "next_text", "wanted"), ["next_doc", "next_text"])
         .selectExpr(*KEYS, "left(text, cast(wanted as int)) as head")
         .groupBy(*KEYS)
         .agg(F.max("head").alias("head"))
     )
-    return docs.join(heads, KEYS)
+    return texts.join(heads, KEYS)
 
 
 def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and their likeness (see ``op9``).
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
-    Rows are ordered by doc_id (null first), then a hash of the text; rows that repeat both
-    stand for one document and get the same result each. Null texts count as empty. A text
-    without lexicon terms has a fingerprint of its own, which is like equal texts only.
+    The edited text has its last quarter of code points replaced by the first as many of the
+    next document. Rows are ordered by doc_id (null first), then a hash of the text; rows
+    that repeat both stand for one document and get the same result each. Null texts count
+    as empty. A text without lexicon terms has a fingerprint of its own, which is like equal
+    texts only.
     """
     rows = keyed(docs)
-    words = lexicon(rows, band)
+    # every use reads the same columns, so the texts are dealt once
+    texts = rows.select(*KEYS, "text")
+    words = lexicon(texts, band)
     if words.count() <= SENT_TERMS:
         words = F.broadcast(words)
     following = neighbours(rows)
-    whole = edited(rows, following)
+    whole = edited(texts, following)
 
     # the word at the seam belongs to the replaced part; the words before it are in both texts
     cut = whole.selectExpr(*KEYS, "head", "text", "length(text) - length(text) div 4 as kept").selectExpr(
@@ -131,39 +138,30 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
     parts = seam.selectExpr(
         *KEYS, "tail", "head", "left(front, length(front) - seam) as front", "right(front, seam) as seam"
     )
-    with_bits = lambda text, bits: f"transform({terms(text)}, w -> named_struct('word', w, 'bits', {bits}L))"
+    part = lambda text, bits: f"named_struct('bits', {bits}L, 'terms', {terms(text)})"
     listed = parts.selectExpr(
-        *KEYS,
-        f"inline(concat({with_bits('front', 3)}, {with_bits('concat(seam, tail)', 1)}, {with_bits('concat(seam, head)', 2)}))",
-    )
+        *KEYS, f"inline(array({part('front', 3)}, {part('concat(seam, tail)', 1)}, {part('concat(seam, head)', 2)}))"
+    ).selectExpr(*KEYS, "bits", "explode(terms) as term")
     codes = (
-        listed.join(words, "word")
-        .groupBy(*KEYS)
-        .agg(F.expr("collect_set(shiftleft(term, 2) | bits) as codes"))
+        listed.join(words, "term").groupBy(*KEYS).agg(F.expr("collect_set(shiftleft(term, 2) | bits) as codes"))
     )
     chosen = lambda bit: (
         f"array_sort(array_distinct(transform(filter(codes, c -> c & {bit}L > 0), c -> shiftrightunsigned(c, 2))))"
     )
-    prints = stored(
-        codes.selectExpr(*KEYS, f"{chosen(1)} as own_terms", f"{chosen(2)} as edited_terms").selectExpr(
-            *KEYS, f"{print_of('own_terms')} as own", f"{print_of('edited_terms')} as edited"
-        )
-    )
+    split_terms = codes.selectExpr(*KEYS, f"{chosen(1)} as own_terms", f"{chosen(2)} as edited_terms")
+    prints = with_print(with_print(split_terms, "own_terms", "own"), "edited_terms", "edited")
 
     base = whole.selectExpr(
-        "doc_id", *KEYS, "length(text) as n_chars", "md5(text) as own_text",
-        "concat(left(text, length(text) - length(text) div 4), head) as edited_text",
+        *KEYS, "text", "concat(left(text, length(text) - length(text) div 4), head) as edited_text"
     ).selectExpr(
-        "doc_id", *KEYS, "cast(n_chars as bigint) as n_chars", "own_text", "md5(edited_text) as edited_md5",
+        *KEYS, "length(text) as n_chars", "md5(text) as own_text", "md5(edited_text) as edited_md5",
         "sha2(edited_text, 256) as edited_sha256",
     )
-    next_prints = following.join(
-        prints.selectExpr("doc_key as next_doc", "text_key as next_text", "own as next"), ["next_doc", "next_text"], "left"
-    ).select(*KEYS, "next_text", "next")
-    joined = base.join(prints, KEYS, "left").join(next_prints, KEYS)
-    return joined.selectExpr(
+    facts = stored(base.join(prints, KEYS, "left").join(following.select("doc_id", *KEYS, "at", "next_at"), KEYS))
+    after = facts.selectExpr("at as next_at", "own as next", "text_key as next_text").dropDuplicates(["next_at"])
+    return facts.join(after, "next_at").selectExpr(
         "doc_id",
-        "n_chars",
+        "cast(n_chars as bigint) as n_chars",
         "edited_sha256",
         f"{text_of_print('own', 'own_text')} as fingerprint",
         f"{text_of_print('edited', 'edited_md5')} as edited_fingerprint",
