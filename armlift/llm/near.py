@@ -186,11 +186,12 @@ def still_open(shared: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept, text_key, group_no) for every row of ``docs`` (doc_id, text).
 
     Texts are linked when 100 * shared >= percent * all of their distinct ``width``-word
     shingles. ``component_id`` is the smallest doc_id of the linked group, ``kept`` marks
-    it. Null, empty and blank texts have no shingles and stand alone. Rows that repeat get
+    it; ``text_key`` is a hash of the text, ``group_no`` a number of the group, null for a text
+    without shingles. Null, empty and blank texts have no shingles and stand alone. Rows that repeat get
     the same result each; a null doc_id is never the smallest one, and a group of nothing
     else has a null component_id and is kept.
     """
@@ -252,19 +253,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     # smallest doc_id of each group, and of classes that stand alone
     placed = classes.join(groups.withColumnRenamed("node", "class"), "class", "left").selectExpr(
-        "set_key", "first_id", "coalesce(component, class) as component"
+        "set_key", "first_id", "coalesce(component, class) as group_no"
     )
-    smallest = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    known = placed.join(smallest, "component").select("set_key", "component_id")
-    full = signed.select("doc_id", "n_shingles", "set_key").join(known, "set_key", "left")
+    smallest = placed.groupBy("group_no").agg(F.min("first_id").alias("component_id"))
+    known = placed.join(smallest, "group_no").select("set_key", "group_no", "component_id")
+    full = signed.select("doc_id", "text_key", "n_shingles", "set_key").join(known, "set_key", "left")
     return full.selectExpr(
         "doc_id",
         "n_shingles",
         "if(set_key is null, doc_id, component_id) as component_id",
         "doc_id <=> if(set_key is null, doc_id, component_id) as kept",
+        "text_key",
+        "group_no",
     )
 
 
 def op4_group_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of all documents that share four fifths of their two-word shingles."""
-    return near_duplicates(documents(spark, folder), width=2)
+    return near_duplicates(documents(spark, folder), width=2).select("doc_id", "n_shingles", "component_id", "kept")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from armlift.llm.bpe import op3_encode_documents
 from armlift.llm.fingerprints import op9_fingerprint_documents
 from armlift.llm.lm import op2_score_texts
@@ -24,4 +25,5 @@ QUERIES = {
     "op8_score_quality": op8_score_quality,
     "op9_fingerprint_documents": op9_fingerprint_documents,
     "op10_remove_repeats": op10_remove_repeats,
+    "pipeline": corpus_pipeline.run,
 }
