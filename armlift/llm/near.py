@@ -29,12 +29,18 @@ BANDS = 32
 # four bits of every value are kept: a pair at the threshold differs in 24 of 128 places,
 # with deviation 4.4; 49 or more are 5.6 deviations away
 PLACES_APART = 49
+# classes that no leader settles get a longer signature, two bits of each of 1536 values: a
+# pair at the threshold differs in 230.4 places, with deviation 14; 301 is 5 deviations away
+FINE_FUNCTIONS = 768
+FINE_PLACES_APART = 301
 # members that are confirmed against one leader in one group
 BLOCK_ROWS = 500
 
 RNG = np.random.default_rng(20)
 FACTORS = RNG.integers(0, 2**63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = RNG.integers(0, 2**63, FUNCTIONS, dtype=np.uint64)
+FINE_FACTORS = RNG.integers(0, 2**63, FINE_FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FINE_SHIFTS = RNG.integers(0, 2**63, FINE_FUNCTIONS, dtype=np.uint64)
 
 
 def shingle_sets(hasher: WordHasher, texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -59,17 +65,26 @@ def shingle_sets(hasher: WordHasher, texts: list[bytes], width: int) -> list[np.
     return sets
 
 
-def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signature(
+    shingles: np.ndarray, factors: np.ndarray = FACTORS, shifts: np.ndarray = SHIFTS
+) -> tuple[np.ndarray, np.ndarray]:
     """Minimum and maximum of the shingles under every function."""
-    low = np.full(FUNCTIONS, np.iinfo(np.uint64).max, np.uint64)
-    high = np.zeros(FUNCTIONS, np.uint64)
-    for start in range(0, len(shingles), 4096):
-        values = FACTORS[:, None] * shingles[start : start + 4096] + SHIFTS[:, None]
+    low = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    high = np.zeros(len(factors), np.uint64)
+    for start in range(0, len(shingles), 512):
+        values = factors[:, None] * shingles[start : start + 512] + shifts[:, None]
         low = np.minimum(low, values.min(axis=1))
         high = np.maximum(high, values.max(axis=1))
     return low, high
 
 
+def packed(values: np.ndarray, bits: int) -> list[int]:
+    """Some middle bits of each value, packed into 64-bit numbers; the lowest bits depend on few bits of a shingle."""
+    each = 64 // bits
+    places = (values >> np.uint64(40) & np.uint64(2**bits - 1)).reshape(-1, each)
+    return np.bitwise_or.reduce(places << (np.arange(each, dtype=np.uint64) * np.uint64(bits)), axis=1).view(np.int64).tolist()
+
+
 def banded(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """One key per band: the minima of two functions and the maxima of the next two."""
     first = np.arange(BANDS) * 2
@@ -97,7 +112,7 @@ def signed_rows(docs: DataFrame, width: int) -> DataFrame:
                     sums = [mixed(shingles).sum(), mixed(shingles ^ np.uint64(0x9E3779B97F4A7C15)).sum()]
                     keys.append(np.array(sums, np.uint64).tobytes())
                     low, high = signature(shingles)
-                    bits.append([*nibbles(low), *nibbles(high)])
+                    bits.append([*packed(low, 4), *packed(high, 4)])
                     bands.append(banded(low, high).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
@@ -112,12 +127,6 @@ def signed_rows(docs: DataFrame, width: int) -> DataFrame:
     )
 
 
-def nibbles(values: np.ndarray) -> list[int]:
-    """Four middle bits of each of 64 values, packed into four numbers; the lowest bits depend on few bits of a shingle."""
-    places = (values >> np.uint64(40) & np.uint64(15)).reshape(4, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
-    return np.bitwise_or.reduce(places, axis=1).view(np.int64).tolist()
-
-
 def alike(percent: int) -> str:
     """SQL for a pair that may reach the similarity: by set sizes and by the places where the signatures differ."""
     differ = [f"(bits_a[{i}] ^ bits_b[{i}])" for i in range(8)]
@@ -128,10 +137,34 @@ def alike(percent: int) -> str:
     return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {places} < {PLACES_APART}"
 
 
-def renamed(rows: DataFrame, side: str, *more: str) -> DataFrame:
+def alike_in_full(a: str, b: str) -> str:
+    """SQL for a pair that the longer signatures let pass."""
+    places = f"zip_with({a}, {b}, (x, y) -> bit_count(((x ^ y) | shiftright(x ^ y, 1)) & {0x5555555555555555}L))"
+    return f"aggregate({places}, 0, (s, n) -> s + n) < {FINE_PLACES_APART}"
+
+
+def renamed(rows: DataFrame, side: str) -> DataFrame:
     """The rows of a bucket as one side of a pair."""
-    named = {"class": side, "n_shingles": f"n_{side}", "bits": f"bits_{side}"} | {c: f"{c}_{side}" for c in more}
-    return rows.selectExpr("band", *[f"{c} as {n}" for c, n in named.items()])
+    named = {"class": side, "n_shingles": f"n_{side}"}
+    named |= {c: f"{c}_{side}" for c in ("bits", "fine", "bands", "component")}
+    return rows.selectExpr("band", "place", *[f"{c} as {n}" for c, n in named.items()])
+
+
+def with_long_signatures(rows: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Add ``fine``, the longer signature of the class."""
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            found = []
+            for some in chunks(batch.column("text").cast(pa.binary()).to_pylist()):
+                for shingles in shingle_sets(hasher, some, width):
+                    low, high = signature(shingles, FINE_FACTORS, FINE_SHIFTS)
+                    found.append([*packed(low, 2), *packed(high, 2)])
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(found, pa.list_(pa.int64()))], ["class", "fine"])
+
+    wanted = texts.join(rows.select("class").distinct(), "class").select("class", "text")
+    return rows.join(wanted.mapInArrow(signed, "class bigint, fine array<bigint>"), "class")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -179,7 +212,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 def still_open(shared: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows of the buckets that hold classes of more than one group, with the group."""
     labelled = shared.join(groups.withColumnRenamed("node", "class"), "class", "left").selectExpr(
-        "band", "class", "n_shingles", "bits", "coalesce(component, class) as component"
+        "band", "place", "class", "n_shingles", "bits", "bands", "coalesce(component, class) as component"
     )
     split = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     return labelled.join(split.where("lo < hi").select("band"), "band")
@@ -208,9 +241,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         )
         .withColumn("class", F.monotonically_increasing_id())
     )
-    rows = classes.selectExpr("class", "n_shingles", "bits", "explode(bands) as band")
-    leaders = rows.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
-    shared = stored(rows.join(leaders.select("band"), "band"))
+    rows = classes.selectExpr(
+        "class", "n_shingles", "bits", "transform(bands, b -> cast(b & 2147483647 as int)) as bands",
+        "posexplode(bands) as (place, band)",
+    )
+    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = stored(rows.join(sizes, "band"))
 
     # texts of the classes that share a bucket, found by the row that stands for the class
     wanted = shared.select("class").distinct().join(classes.select("class", "sample"), "class")
@@ -221,33 +257,40 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .agg(F.first("text").alias("text"))
     )
 
-    # every class tries one leader at a time: the first of the smallest class of its buckets,
-    # then, in buckets that still hold several groups, the largest
+    # every class tries one leader at a time: the class of its buckets that meets most others in
+    # all of its own, then, in buckets that still hold several groups, the smallest
+    central = shared.groupBy("class").agg(F.sum("members").alias("meets"))
+    open_rows = shared.join(central, "class").selectExpr("*", "class as component")
     links = groups = None
-    open_rows = shared.selectExpr("*", "class as component")
-    for end in (F.min, F.max):
-        leader = open_rows.groupBy("band").agg(end(F.struct("class", "n_shingles", "bits", "component")).alias("lead"))
+    for rank in ("-meets", "0"):
+        leader = open_rows.groupBy("band").agg(
+            F.min(F.struct(F.expr(rank).alias("rank"), "class", "n_shingles", "bits", "component")).alias("lead")
+        )
         tried = (
             open_rows.join(leader, "band")
             .selectExpr(
-                "class", "component", "lead.class as leader", "lead.component as other",
+                "class", "component", "lead.rank as rank", "lead.class as leader", "lead.component as other",
                 "n_shingles as n_a", "lead.n_shingles as n_b", "bits as bits_a", "lead.bits as bits_b",
             )
             .where(f"component <> other and {alike(percent)}")
             .groupBy("class")
-            .agg((F.min if end is F.min else F.max)("leader").alias("leader"))
+            .agg(F.min(F.struct("rank", "leader")).alias("best"))
         )
-        found = confirmed(tried.selectExpr("leader as a", "class as b"), texts, width, percent)
+        found = confirmed(tried.selectExpr("best.leader as a", "class as b"), texts, width, percent)
         links = stored(found if links is None else links.unionByName(found))
         groups = stored(components(links))
         open_rows = stored(still_open(shared, groups))
 
-    # what leaders did not join: classes of different groups that share a bucket
-    left, right = (renamed(open_rows, side, "component") for side in "ab")
-    rest = left.join(right, "band").where(f"component_a < component_b and {alike(percent)}").selectExpr(
-        "least(a, b) as a", "greatest(a, b) as b"
+    # what leaders did not join: classes of different groups, in the first bucket they share
+    long_rows = with_long_signatures(open_rows, texts, width)
+    left, right = (renamed(long_rows, side) for side in "ab")
+    first_shared = "array_position(zip_with(bands_a, bands_b, (x, y) -> x = y), true) = place + 1"
+    rest = (
+        left.join(right.drop("place"), "band")
+        .where(f"component_a < component_b and {alike(percent)} and {first_shared} and {alike_in_full('fine_a', 'fine_b')}")
+        .selectExpr("least(a, b) as a", "greatest(a, b) as b")
     )
-    more = stored(confirmed(rest.distinct(), texts, width, percent))
+    more = stored(confirmed(rest, texts, width, percent))
     if more.take(1):
         groups = stored(components(links.unionByName(more)))
 
