@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame
 
-from armlift.functions.numeric import derive, group, literal, pick, ratio, root, with_each_value
+from armlift.functions.numeric import derive, group, literal, name, pick, ratio, root, with_each_value
 from armlift.functions.tails import normal_cdf, normal_quantile, normal_two_sided
 from armlift.functions.units import unit_uniform
 from armlift.operators.arms import arm_sums, per_metric
@@ -16,7 +16,7 @@ from armlift.schema import Roles
 # The traffic shares and bucket counts of the standard report.
 FRACTIONS = (1.0, 0.5, 0.2, 0.1, 0.05, 0.02, 0.01, 0.005, 0.002, 0.001)
 BUCKET_COUNTS = (10, 100, 1000)
-FINEST_BUCKETS = 1_000_000
+NEWTON_STEPS = 5
 
 
 def with_power(df: DataFrame, alpha: float, column: str) -> DataFrame:
@@ -85,17 +85,13 @@ def bucket_arm_sums(
 ) -> DataFrame:
     """(k, bucket, metric, n_t, x_t, n_c, x_c) for k disjoint random buckets, every k in one job.
 
-    Units are grouped once at a bucket count all k divide; the coarser splits are
-    sums of those groups, so no row is repeated and one small shuffle serves all k.
+    Every unit goes to one bucket of each split. Sums are made where the units are read, so
+    a task sends on at most as many rows as there are buckets, for any bucket counts.
     """
-    finest = math.lcm(*bucket_counts)
-    if finest > FINEST_BUCKETS:
-        raise ValueError(f"bucket counts need a common split of {finest} > {FINEST_BUCKETS} buckets")
-    sums = arm_sums(roles)
-    placed = derive(df, {"fine": f"cast(floor({unit_uniform(roles.unit_id, salt)} * {finest}) as int)"})
-    split = with_each_value(group(placed, ["fine"], sums), "k", bucket_counts)
-    merged = derive(split, {"bucket": f"cast(fine div ({finest} div k) as int)"})
-    totals = group(merged, ["k", "bucket"], {s: f"sum(`{s}`)" for s in sums})
+    columns = [name(c) for c in (roles.treatment, *roles.metrics)]
+    placed = df.selectExpr(*columns, f"{unit_uniform(roles.unit_id, salt)} as place")
+    split = derive(with_each_value(placed, "k", bucket_counts), {"bucket": "cast(floor(place * k) as int)"})
+    totals = group(split, ["k", "bucket"], arm_sums(roles))
     return per_metric(totals, ("k", "bucket"), roles)
 
 
@@ -126,14 +122,13 @@ def units_needed(
 ) -> DataFrame:
     """Units for the target power at the actual and at an even split, and their ratio.
 
-    With s0 and s1 the standard errors of one unit under equal and under observed
-    rates, the gap d is found in its own direction with the target power when
-    d sqrt(n) = z_alpha s0 + z_power s1. Rejections in the other direction have
-    probability o, the normal tail at (2 z_alpha s0 + z_power s1) / s1; they take
-    o / density(z_power) off z_power.
+    With s0 and s1 the standard errors of one unit under equal and under observed rates and
+    d the gap, n units find it with probability Phi((d x - z s0) / s1) + Phi((-d x - z s0) / s1)
+    for x = sqrt(n) and the critical value z. Newton steps solve that for the target, from the
+    solution that leaves out rejections in the wrong direction. A target that no units at all
+    reach already has no solution: null.
     """
     z_alpha, z_power = normal_quantile(1 - alpha / 2), normal_quantile(power)
-    density = literal(math.exp(-z_power * z_power / 2) / math.sqrt(2 * math.pi))
     z_alpha, z_power = literal(z_alpha), literal(z_power)
     shares = {"actual": "share_t", "even": literal(even_share)}
 
@@ -146,19 +141,26 @@ def units_needed(
 
     sized = derive(with_rates(counts), {"share_t": ratio("n_t", "(n_t + n_c)")})
     sized = derive(sized, {f"s{i}_{split}": e for split, s in shares.items() for i, e in enumerate(errors(s))})
-    other = "-" + ratio("(2 * {za} * s0_{x} + {zp} * s1_{x})", "s1_{x}")
-    sized = derive(
-        sized, {f"other_{x}": other.format(za=z_alpha, zp=z_power, x=x) for x in shares}
-    )
-    need = {
-        f"n_{x}": "pow("
-        + ratio(
-            f"({z_alpha} * s0_{x} + ({z_power} - {normal_cdf(f'other_{x}')} / {density}) * s1_{x})",
-            "(rate_treatment - rate_control)",
-        )
-        + ", 2)"
-        for x in shares
-    }
+    rows = derive(sized, {"gap": "abs(rate_treatment - rate_control)"})
+    rows = derive(rows, {f"x_{x}": ratio(f"({z_alpha} * s0_{x} + {z_power} * s1_{x})", "gap") for x in shares})
+    for _ in range(NEWTON_STEPS):
+        tails = {
+            f"{tail}_{x}": ratio(f"({sign}gap * x_{x} - {z_alpha} * s0_{x})", f"s1_{x}")
+            for x in shares
+            for tail, sign in (("right", ""), ("wrong", "-"))
+        }
+        steps = {}
+        for x in shares:
+            over = f"({normal_cdf(f'right_{x}')} + {normal_cdf(f'wrong_{x}')} - {literal(power)})"
+            density = f"(exp(-right_{x} * right_{x} / 2) - exp(-wrong_{x} * wrong_{x} / 2)) / {literal(math.sqrt(2 * math.pi))}"
+            steps[f"next_{x}"] = f"greatest(x_{x} - {ratio(over, f'(gap / s1_{x} * {density})')}, x_{x} / 4)"
+        moved = derive(derive(rows, tails), steps)
+        dropped = [*tails, *[f"x_{x}" for x in shares]]
+        # a few rows in one task; the step between keeps each Newton step a compiled stage of its own
+        rows = moved.drop(*dropped).withColumnsRenamed({f"next_{x}": f"x_{x}" for x in shares}).coalesce(1)
+    none = {x: f"2 * {normal_cdf(ratio(f'(-{z_alpha} * s0_{x})', f's1_{x}'))} >= {literal(power)}" for x in shares}
+    need = {f"n_{x}": f"if({none[x]}, null, x_{x} * x_{x})" for x in shares}
+    sized = rows
     return derive(sized, need).selectExpr(
         "metric", "share_t", "n_actual", "n_even", f"{ratio('n_actual', 'n_even')} as cost_ratio"
     )

@@ -99,7 +99,7 @@ def qini_curve(ranks: DataFrame, points: int = CURVE_POINTS) -> DataFrame:
     )
     upto = "over (partition by metric order by rank rows between unbounded preceding and current row)"
     running = between.selectExpr("metric", "rank", "n", *[f"sum({c}) {upto} as {c}" for c in sums])
-    q = f"if(n_c > 0, y_t - {ratio('(y_c * n_t)', 'n_c')}, 0D)"
+    q = f"if(n_c > 0, y_t - y_c * {ratio('n_t', 'n_c')}, 0D)"
     here = f"named_struct('rank', rank, 'phi', {ratio('rank', 'n')}, 'q', {q})"
     origin = "named_struct('rank', 0L, 'phi', 0D, 'q', 0D)"
     curve = running.selectExpr("metric", f"inline(if(rank = 1, array({origin}, {here}), array({here})))")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from math import ceil
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -22,8 +21,12 @@ from armlift.schema import Roles
 
 def sample_units(df: DataFrame, rows: int, roles: Roles = Roles(), salt: str = "sample") -> DataFrame:
     """About ``rows`` units (all if there are fewer), chosen by the hash of the unit id."""
-    fraction = min(1.0, rows / max(df.count(), 1))
-    return df if fraction == 1.0 else df.filter(f"{unit_uniform(roles.unit_id, salt)} < {literal(fraction)}")
+    return sample_share(df, min(1.0, rows / max(df.count(), 1)), roles, salt)
+
+
+def sample_share(df: DataFrame, share: float, roles: Roles = Roles(), salt: str = "sample") -> DataFrame:
+    """About this share of the units, chosen by the hash of the unit id."""
+    return df if share >= 1 else df.filter(f"{unit_uniform(roles.unit_id, salt)} < {literal(share)}")
 
 
 def split_units(
@@ -32,7 +35,7 @@ def split_units(
     """Add ``is_test``, drawn within each arm by the hash of the unit id.
 
     ``exact`` cuts each arm at the quantile of its hashes instead of at the share
-    itself, so the sizes are right to the unit.
+    itself, so the sizes are right to the unit but for units that share the 52-bit hash at the cut.
     """
     place, t = unit_uniform(roles.unit_id, salt), name(roles.treatment)
     if not exact:
@@ -44,12 +47,14 @@ def split_units(
     return derive(df, {"is_test": " or ".join(inside) or "false"})
 
 
-ROWS_PER_TASK = 25_000
-
-
 @dataclass(frozen=True)
 class TreeSettings:
-    """Boosting settings; depth 5 is the closest to trees of 31 leaves."""
+    """Boosting settings; depth 5 is the closest to trees of 31 leaves.
+
+    ``partitions`` is the number of tasks the rows of an arm are dealt to by their unit id.
+    Row samples are drawn per task, so the fitted trees depend on it and on nothing else
+    about the layout. ``calibration_share`` of the rows is held out of the trees.
+    """
 
     n_trees: int = 400
     step: float = 0.05
@@ -57,6 +62,9 @@ class TreeSettings:
     min_leaf: int = 200
     row_share: float = 0.8
     feature_share: float = 0.8
+    bins: int = 255
+    partitions: int = 8
+    calibration_share: float = 0.2
 
 
 @dataclass(frozen=True)
@@ -76,17 +84,19 @@ class TLearner:
 
 
 def fit_arm(
-    train: DataFrame, metric: str, arm: int, n_rows: int, settings: TreeSettings, seed: int, roles: Roles
+    train: DataFrame, metric: str, arm: int, settings: TreeSettings, seed: int, roles: Roles
 ) -> PipelineModel:
-    """Boosted trees on one arm, then a logistic fit of the outcome on their margin.
+    """Boosted trees on one arm, then a logistic fit of the outcome on their margin for held-out rows.
 
     The boosting starts from margin 0, not from the base rate, so its probabilities
     are off by an amount that differs between arms of different size; the logistic
-    step brings both arms to their own rate before they are subtracted. Each level of
-    each tree is a job, so small arms run on few tasks.
+    step brings both arms to their own rate before they are subtracted. It uses rows that
+    no tree has seen, as margins of rows that grew the trees are too far apart. The rows
+    are dealt and sorted by unit id, so they meet the same task in every run.
     """
     rows = train.filter(F.col(roles.treatment) == arm).withColumn("label", F.col(metric).cast("double"))
-    rows = rows.coalesce(max(1, ceil(n_rows / ROWS_PER_TASK)))
+    dealt = rows.repartition(settings.partitions, roles.unit_id).sortWithinPartitions(roles.unit_id)
+    held_out = f"{unit_uniform(roles.unit_id, 'calibration')} < {literal(settings.calibration_share)}"
     trees = Pipeline(
         stages=[
             VectorAssembler(inputCols=list(roles.features), outputCol="features", handleInvalid="keep"),
@@ -97,15 +107,17 @@ def fit_arm(
                 minInstancesPerNode=settings.min_leaf,
                 subsamplingRate=settings.row_share,
                 featureSubsetStrategy=str(settings.feature_share),
+                maxBins=settings.bins,
+                checkpointInterval=10,
                 seed=seed,
             ),
         ]
-    ).fit(rows)
+    ).fit(dealt.filter(f"not ({held_out})"))
     # the fitted model names its outputs through setters
     trees.stages[-1].setRawPredictionCol("tree_margin").setProbabilityCol("tree_probability").setPredictionCol("tree_class")
     calibration = LogisticRegression(featuresCol="tree_margin", predictionCol="class", rawPredictionCol="margin")
     # the margin vector holds -f and f; their logistic fit is a fit on f
-    return PipelineModel([*trees.stages, calibration.fit(trees.transform(rows).select("tree_margin", "label"))])
+    return PipelineModel([*trees.stages, calibration.fit(trees.transform(dealt.filter(held_out)).select("tree_margin", "label"))])
 
 
 def fit_t_learner(
@@ -113,9 +125,8 @@ def fit_t_learner(
 ) -> TLearner:
     """Fit every (metric, arm) model; the fits are separate Spark jobs and run side by side."""
     wanted = [(metric, arm) for metric in roles.metrics for arm in (0, 1)]
-    sizes = dict(train.groupBy(roles.treatment).count().collect())
     fit = inheritable_thread_target(train.sparkSession)(
-        lambda key: (key, fit_arm(train, *key, sizes.get(key[1], 0), settings, seed, roles))
+        lambda key: (key, fit_arm(train, *key, settings, seed, roles))
     )
     with ThreadPool(len(wanted)) as pool:
         return TLearner(dict(pool.map(fit, wanted)), roles)

@@ -482,11 +482,12 @@ def _(spark, folder):
 
 # --- targeting: sample, split and model
 
-SAMPLE_ROWS = 10_000
+# share of the units that the sampling query draws
+SAMPLE_SHARE = 0.7
 
 
 def split_sample(spark: SparkSession, folder: str) -> DataFrame:
-    return uplift.split_units(uplift.sample_units(clean_units(spark, folder), SAMPLE_ROWS))
+    return uplift.split_units(uplift.sample_share(clean_units(spark, folder), SAMPLE_SHARE))
 
 
 @query("uplift_sample_split")
@@ -494,7 +495,7 @@ def _(spark, folder):
     return (
         split_sample(spark, folder)
         .groupBy(ROLES.treatment, "is_test")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("unit_id").alias("id_sum"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr("unit_id % 1000003")).alias("id_sum"))
     )
 
 
@@ -502,7 +503,7 @@ def _(spark, folder):
 def _(spark, folder):
     units = uplift.split_units(clean_units(spark, folder), exact=True)
     return units.groupBy(ROLES.treatment, "is_test").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("unit_id").alias("id_sum")
+        F.count(F.lit(1)).alias("n"), F.sum(F.expr("unit_id % 1000003")).alias("id_sum")
     )
 
 

@@ -138,17 +138,20 @@ def model_uplift(
     seed: int = 6,
     settings: uplift.TreeSettings = uplift.TreeSettings(),
 ) -> Tables:
-    """Sample, split, fit on one half, rank and evaluate the other half; all of it stays in Spark."""
+    """Split all units, fit on a sample of one half, rank and evaluate the whole other half.
+
+    ``sample_rows`` bounds the units that the model is fitted on; nothing else is sampled.
+    """
     needed = [roles.unit_id, *roles.features, roles.treatment, *roles.metrics]
-    chosen = uplift.sample_units(df.select(*needed), sample_rows, roles, salt=f"sample{seed}")
-    sample = stored(uplift.split_units(chosen, roles=roles, salt=f"split{seed}"))
-    model = uplift.fit_t_learner(sample.filter("not is_test"), settings, seed, roles)
-    scored = model.score(sample.filter("is_test"))
+    units = stored(uplift.split_units(df.select(*needed), roles=roles, salt=f"split{seed}"))
+    train = stored(uplift.sample_units(units.filter("not is_test"), sample_rows, roles, salt=f"sample{seed}"))
+    model = uplift.fit_t_learner(train, settings, seed, roles)
+    scored = stored(model.score(units.filter("is_test")))
     scores = {m: f"uplift_{m}" for m in roles.metrics}
     ranks = ranking.ranked(ranking.scored_long(scored, scores, roles))
     curve = stored_result(ranking.qini_curve(ranks))
     return {
-        "sample_sizes": group(sample, ["is_test"], {"n": "count(1)"}),
+        "sample_sizes": group(train.select("is_test").unionByName(scored.select("is_test")), ["is_test"], {"n": "count(1)"}),
         "calibration": uplift.calibration(scored, roles),
         "qini_curve": ranking.normalized_curve(curve),
         "qini": ranking.qini_coefficient(curve),

@@ -20,9 +20,10 @@ def write_results(tables: Mapping[str, DataFrame], folder: str) -> None:
     Results are a few rows, hence one file each.
     """
     for table, df in tables.items():
-        small = df.repartition(1)
-        small.write.mode("overwrite").parquet(f"{folder}/{table}/parquet")
-        small.write.mode("overwrite").json(f"{folder}/{table}/json")
+        df.repartition(1).write.mode("overwrite").parquet(f"{folder}/{table}/parquet")
+        # the stored table is read again, as the plan behind it may be long or draw samples
+        written = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{table}/parquet")
+        written.coalesce(1).write.mode("overwrite").json(f"{folder}/{table}/json")
 
 
 def read_results(spark: SparkSession, folder: str, names: Iterable[str]) -> Tables:

@@ -16,7 +16,7 @@ Z80 = "0.8416212335729143e0"
 
 
 def uniform(salt: str) -> str:
-    return f"(('0x' || substr(md5('{salt}' || unit_id::varchar), 1, 8))::bigint / 4294967296::double)"
+    return f"(('0x' || substr(md5('{salt}' || unit_id::varchar), 1, 13))::bigint / 4503599627370496::double)"
 
 
 EXPERIMENT = f"""
@@ -299,7 +299,7 @@ positions as (
   from (select metric, count(*) n from scored group by metric), range(0, 101) s(k)),
 points as (
   select r.metric, r.rank, rank::double / n phi,
-         case when n_c > 0 then y_t - y_c * n_t::double / n_c else 0e0 end q
+         case when n_c > 0 then y_t - y_c * (n_t::double / n_c) else 0e0 end q
   from running r join positions p on r.metric = p.metric and r.rank = p.pos + 1
   union all
   select distinct metric, 0, 0e0, 0e0 from scored),
@@ -312,7 +312,7 @@ steps as (
 
 SPLIT = f"""
 total as (select count(*) n from units),
-sampled as (select u.* from units u, total where n <= 10000 or {uniform('sample')} < 10000e0 / n),
+sampled as (select u.* from units u, total where {uniform('sample')} < 0.7e0),
 split as (select *, {uniform('split')} < 0.5e0 is_test from sampled)"""
 EXACT_SPLIT = f"""
 hashed as (select *, {uniform('split')} place from units),
@@ -443,17 +443,20 @@ def plain() -> dict[str, str]:
             f"sqrt(rate_treatment * (1 - rate_treatment) / {s} + rate_control * (1 - rate_control) / (1 - {s})) b_{x}"
         )
 
-    def needed(x: str) -> str:
-        tail = normal_cdf(f"(-(2 * {Z95} * a_{x} + {Z80} * b_{x}) / b_{x})")
-        peak = f"(exp(-{Z80} * {Z80} / 2) / sqrt(2 * pi()))"
-        return f"pow(({Z95} * a_{x} + ({Z80} - {tail} / {peak}) * b_{x}) / (rate_treatment - rate_control), 2)"
+    def newton(x: str, n: int) -> str:
+        right, wrong = (f"(({sign}gap * {x}{n} - {Z95} * a_{x}) / b_{x})" for sign in ("", "-"))
+        slope = f"(gap / b_{x} * (exp(-{right} * {right} / 2) - exp(-{wrong} * {wrong} / 2)) / sqrt(2 * pi()))"
+        return f"{x}{n} - ({normal_cdf(right)} + {normal_cdf(wrong)} - 0.8e0) / {slope} {x}{n + 1}"
 
+    # from a start 5 % too high, so the solution does not rest on the closed form
     q["power_sample_size"] = sql(
-        "select metric, share_t, n_actual, n_even, n_actual / n_even cost_ratio from sized",
+        "select metric, share_t, x6 * x6 n_actual, y6 * y6 n_even, x6 * x6 / (y6 * y6) cost_ratio from step6",
         LIFT,
-        "shares as (select *, n_t::double / (n_t + n_c) share_t from rates)",
+        "shares as (select *, n_t::double / (n_t + n_c) share_t, abs(rate_treatment - rate_control) gap from rates)",
         f"split_errors as (select *, {unit_errors('share_t', 'x')}, {unit_errors('0.5e0', 'y')} from shares)",
-        f"sized as (select *, {needed('x')} n_actual, {needed('y')} n_even from split_errors)",
+        f"""step0 as (select *, 1.05e0 * ({Z95} * a_x + {Z80} * b_x) / gap x0,
+             1.05e0 * ({Z95} * a_y + {Z80} * b_y) / gap y0 from split_errors)""",
+        *[f"step{n + 1} as materialized (select *, {newton('x', n)}, {newton('y', n)} from step{n})" for n in range(6)],
     )
 
     q["compliance_cells"] = sql(
@@ -535,7 +538,7 @@ def plain() -> dict[str, str]:
     )
     for name, parts in (("uplift_sample_split", SPLIT), ("uplift_exact_split", EXACT_SPLIT)):
         q[name] = sql(
-            "select treatment, is_test, count(*) n, sum(unit_id)::bigint id_sum from split group by treatment, is_test", parts
+            "select treatment, is_test, count(*) n, sum(unit_id % 1000003)::bigint id_sum from split group by treatment, is_test", parts
         )
     published = {
         "ab": ("lift", {"rate_c": "rate_control", "rate_t": "rate_treatment", "abs": "abs_lift", "rel": "rel_lift", "z": "z", "p": "p_value"}),

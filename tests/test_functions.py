@@ -102,3 +102,20 @@ def test_significant_digits_round_like_decimal_formatting(spark):
     rows = spark.createDataFrame([(x,) for x in xs], "x double").selectExpr("x", f"{significant('x')} as s").collect()
     for r in rows:
         assert r.s == float(f"{r.x:.6g}"), r
+
+
+def test_student_tail_at_very_many_degrees_of_freedom():
+    from math import erfc, sqrt
+
+    from armlift.functions.student import log_beta_half, t_two_sided
+
+    import math
+
+    for a in (50.0, 80.0, 1000.0):
+        direct = math.lgamma(a) + math.lgamma(0.5) - math.lgamma(a + 0.5)
+        assert abs(log_beta_half(a) - direct) < 1e-12 * max(1, math.lgamma(a))
+    for df in (1e9, 1e12):
+        for t in (0.5, 1.96, 6.0):
+            # normal tail and the first term of its expansion in 1 / df
+            wider = 2 * math.exp(-t * t / 2) / sqrt(2 * math.pi) * t * (t * t + 1) / (4 * df)
+            assert abs(t_two_sided([t], [df])[0] / (erfc(t / sqrt(2)) + wider) - 1) < 1e-9

@@ -80,8 +80,10 @@ def test_buckets_nest_and_cover_all_units(units):
     sums = power.bucket_arm_sums(units, bucket_counts=(4, 6))
     totals = sums.filter("metric = 'visit'").groupBy("k").agg(F.sum(F.col("n_t") + F.col("n_c")).alias("n"), F.count("*").alias("b"))
     assert {(r.k, r.n, r.b) for r in totals.collect()} == {(4, 14743, 4), (6, 14743, 6)}
-    with pytest.raises(ValueError):
-        power.bucket_arm_sums(units, bucket_counts=(997, 1009))
+    # counts without a common split of any use
+    sums = power.bucket_arm_sums(units, bucket_counts=(997, 1009)).filter("metric = 'visit'")
+    found = sums.groupBy("k").agg(F.sum(F.col("n_t") + F.col("n_c")).alias("n"), F.max("bucket").alias("b"))
+    assert {(r.k, r.n, r.b) for r in found.collect()} == {(997, 14743, 996), (1009, 14743, 1008)}
 
 
 def test_empirical_power_is_near_the_analytic_power(units):
@@ -193,3 +195,22 @@ def test_command_line(spark, csv_folder, tmp_path):
     text = spark.read.text(f"{out}/document").first()[0]
     found = json.loads(text)
     assert found["srm"][0]["srm_detected"] and found["ab"]["visit"][0]["rel"] > 1
+
+
+def test_sample_size_reaches_the_target_power(spark):
+    row = "'m' as metric, 700000L as n_t, 36000L as x_t, 300000L as n_c, 15000L as x_c"
+    counts = spark.sql(f"select {row}")
+    for target in (0.06, 0.1, 0.5, 0.8, 0.99):
+        n = power.units_needed(counts, power=target).first().n_even
+        sized = power.with_rates(counts).selectExpr("*", f"{n} / 2 as size_t", f"{n} / 2 as size_c")
+        assert abs(power.with_power(sized, 0.05, "p").first().p - target) < 1e-9
+    assert power.units_needed(counts, power=0.04).first().n_even is None
+
+
+def test_incremental_outcomes_of_very_large_arms_do_not_overflow(spark):
+    row = {"y_t": "2000000000000L", "n_t": "6000000000000L", "n_c": "4000000000L", "y_c": "3000000000L"}
+    curve_rows = spark.sql("select " + ", ".join(f"{v} as {c}" for c, v in row.items()))
+    from armlift.functions.numeric import ratio
+
+    value = curve_rows.selectExpr(f"y_t - y_c * {ratio('n_t', 'n_c')} as q").first().q
+    assert value == 2e12 - 3e9 * (6e12 / 4e9)
