@@ -29,10 +29,10 @@ BANDS = 32
 # four bits of every value are kept: a pair at the threshold differs in 24 of 128 places,
 # with deviation 4.4; 49 or more are 5.6 deviations away
 PLACES_APART = 49
-# classes that no leader settles get a longer signature, two bits of each of 1536 values: a
-# pair at the threshold differs in 230.4 places, with deviation 14; 301 is 5 deviations away
-FINE_FUNCTIONS = 768
-FINE_PLACES_APART = 301
+# classes that no leader settles get a longer signature, two bits of each of 2048 values: a
+# pair at the threshold differs in 307.2 places, with deviation 16.2; 388 is 5 deviations away
+FINE_FUNCTIONS = 1024
+FINE_PLACES_APART = 388
 # members that are confirmed against one leader in one group
 BLOCK_ROWS = 500
 
@@ -212,7 +212,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 def still_open(shared: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows of the buckets that hold classes of more than one group, with the group."""
     labelled = shared.join(groups.withColumnRenamed("node", "class"), "class", "left").selectExpr(
-        "band", "place", "class", "n_shingles", "bits", "bands", "coalesce(component, class) as component"
+        "band", "place", "class", "coalesce(component, class) as component"
     )
     split = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     return labelled.join(split.where("lo < hi").select("band"), "band")
@@ -241,10 +241,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         )
         .withColumn("class", F.monotonically_increasing_id())
     )
-    rows = classes.selectExpr(
-        "class", "n_shingles", "bits", "transform(bands, b -> cast(b & 2147483647 as int)) as bands",
-        "posexplode(bands) as (place, band)",
-    )
+    rows = classes.selectExpr("class", "posexplode(bands) as (place, band)")
+    facts = classes.select("class", "n_shingles", "bits")
     sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = stored(rows.join(sizes, "band"))
 
@@ -260,7 +258,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # every class tries one leader at a time: the class of its buckets that meets most others in
     # all of its own, then, in buckets that still hold several groups, the smallest
     central = shared.groupBy("class").agg(F.sum("members").alias("meets"))
-    open_rows = shared.join(central, "class").selectExpr("*", "class as component")
+    open_rows = shared.join(central.join(facts, "class"), "class").selectExpr("*", "class as component")
     links = groups = None
     for rank in ("-meets", "0"):
         leader = open_rows.groupBy("band").agg(
@@ -279,10 +277,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         found = confirmed(tried.selectExpr("best.leader as a", "class as b"), texts, width, percent)
         links = stored(found if links is None else links.unionByName(found))
         groups = stored(components(links))
-        open_rows = stored(still_open(shared, groups))
+        open_rows = stored(still_open(shared, groups).join(facts, "class"))
 
     # what leaders did not join: classes of different groups, in the first bucket they share
-    long_rows = with_long_signatures(open_rows, texts, width)
+    bands = classes.selectExpr("class", "transform(bands, b -> cast(b & 2147483647 as int)) as bands")
+    long_rows = with_long_signatures(open_rows, texts, width).join(bands, "class")
     left, right = (renamed(long_rows, side) for side in "ab")
     first_shared = "array_position(zip_with(bands_a, bands_b, (x, y) -> x = y), true) = place + 1"
     rest = (
