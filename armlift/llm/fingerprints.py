@@ -93,9 +93,9 @@ def neighbours(docs: DataFrame) -> DataFrame:
     rows = docs.selectExpr("doc_id", *KEYS, "length(text) as n").distinct()
     placed = stored(with_position(rows, ["doc_id", "text_key"]))
     n = placed.count()
-    after = placed.selectExpr("doc_key as next_doc", "text_key as next_text", "position as next_at")
+    after = placed.selectExpr("doc_key as next_doc", "text_key as next_text", "_p_position as next_at")
     here = placed.selectExpr(
-        "doc_id", *KEYS, "n div 4 as wanted", "position as at", f"(position + 1) % {max(n, 1)} as next_at"
+        "doc_id", *KEYS, "n div 4 as wanted", "_p_position as at", f"(_p_position + 1) % {max(n, 1)} as next_at"
     )
     return stored(here.join(after, "next_at"))
 

@@ -70,7 +70,7 @@ def mix(
     # one row per source, narrow; the join follows the sizes that Spark measures
     known = rows.join(targets.withColumnRenamed("source", "_source"), F.expr("source <=> _source")).drop("_source")
     queued = with_position(known, ["shuffle", "doc_id", "size"], "size", "source_rank").selectExpr(
-        "doc_id", "size", "source_rank", "source_size", "target", "position as turn", "total_before"
+        "doc_id", "size", "source_rank", "source_size", "target", "_p_position as turn", "_p_total as total_before"
     )
     copies = queued.selectExpr("*", f"explode(sequence(0, {passes - 1})) as pass").selectExpr(
         "*", "try_divide(pass * source_size + total_before + size, target) as finish"
@@ -80,7 +80,7 @@ def mix(
     )
     total = rows.agg(F.sum("size")).first()[0] or 0
     line = with_position(budget, ["finish is null", "finish", "source_rank", "turn", "pass"], "asks")
-    took = f"count_if(asks > 0 and total_before + asks <= {total})"
+    took = f"count_if(asks > 0 and _p_total + asks <= {total})"
     return line.groupBy("source_rank", "turn").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("size").alias("size"),

@@ -12,9 +12,9 @@ ROW_BITS = 33
 
 
 def with_position(df: DataFrame, order: list[str], value: str = "0L", within: str = "0") -> DataFrame:
-    """Add ``position`` (0, 1, ...) and ``total_before``, both counted inside each ``within`` value.
+    """Add ``_p_position`` (0, 1, ...) and ``_p_total``, both counted inside each ``within`` value.
 
-    ``total_before`` is the sum of ``value`` over the earlier rows. Rows are sorted by
+    ``_p_total`` is the sum of ``value`` over the earlier rows. Rows are sorted by
     ``within`` and ``order``, nulls first; rows that tie are cut at any place, so no
     repeated row fills a partition. They are numbered inside their range partition and
     shifted by the sizes of the partitions before, a table of one row per partition and
@@ -45,7 +45,7 @@ def with_position(df: DataFrame, order: list[str], value: str = "0L", within: st
     )
     placed = joined.selectExpr(
         *[f"`{c}`" for c in df.columns],
-        "_p_rows_before + _p_place - _p_first as position",
-        *(["0L as total_before"] if value == "0L" else [f"_p_sum_before + coalesce(sum(_p_value) {inside}, 0L) as total_before"]),
+        "_p_rows_before + _p_place - _p_first as _p_position",
+        *(["0L as _p_total"] if value == "0L" else [f"_p_sum_before + coalesce(sum(_p_value) {inside}, 0L) as _p_total"]),
     )
     return placed

@@ -156,10 +156,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, se
 
     found = texts.mapInArrow(measured, "quality int, x array<double>").toArrow()
     quality = np.array(found["quality"].to_pylist(), int)
-    x = np.array(found["x"].to_pylist(), float).reshape(len(quality), -1)
+    x = np.array(found["x"].to_pylist(), float).reshape(len(quality), features([b""]).shape[1])
     # rows come in any order; sorted, the draws repeat
-    order = np.lexsort([*x.T[::-1], quality]) if len(quality) else []
-    return fitted(x[order] if len(quality) else np.zeros((0, features([b""]).shape[1])), quality[order] == 1, seed)
+    order = np.lexsort([*x.T[::-1], quality])
+    return fitted(x[order], quality[order] == 1, seed)
 
 
 def with_quality(docs: DataFrame, model: QualityModel) -> DataFrame:

@@ -60,7 +60,7 @@ def once(x: str, n: int, seed: int) -> str:
 
 
 def permuted(df: DataFrame, column: str, n: int, seed: int) -> DataFrame:
-    """Add ``permuted``: the place of ``column`` (0 .. n-1) in the shuffled order of n rows.
+    """Add ``_f_permuted``: the place of ``column`` (0 .. n-1) in the shuffled order of n rows.
 
     A walk visits no number outside 0 .. n-1 twice, so it ends after as many steps as
     the rectangle has spare cells (fewer than its side). Up to 4,096 rows that is below
@@ -78,7 +78,7 @@ def permuted(df: DataFrame, column: str, n: int, seed: int) -> DataFrame:
         walked = f"aggregate(sequence(1, {min(spare, WALKS)}), _f_y, (at, i) -> if(at < {n}L, at, {again}))"
         rows = rows.selectExpr("*", f"if(_f_y < {n}L, _f_y, {walked}) as _f_end")
         place = f"if(_f_end < {n}L, _f_end, cast(raise_error('cycle walk did not end') as bigint))"
-    return rows.selectExpr(*[f"`{c}`" for c in df.columns], f"{place} as permuted")
+    return rows.selectExpr(*[f"`{c}`" for c in df.columns], f"{place} as _f_permuted")
 
 
 def shard(df: DataFrame, order: list[str], n_shards: int, seed: int = 1) -> DataFrame:
@@ -86,16 +86,16 @@ def shard(df: DataFrame, order: list[str], n_shards: int, seed: int = 1) -> Data
 
     ``order`` are the columns that number the rows; rows equal in all of them are
     interchangeable. Shard sizes differ by one row at most. Null keys come first; an
-    empty table stays empty. Columns of the input stay, but names that start with
-    ``_p_`` or ``_f_`` and the names of the added columns are reserved.
+    empty table stays empty. Columns of the input stay, but for ``shard`` and ``slot``, which
+    are replaced; names that start with ``_p_`` or ``_f_`` are reserved.
     """
     numbered = with_position(df, order)
     n = df.count()
-    placed = permuted(numbered, "position", n, seed)
+    placed = permuted(numbered, "_p_position", n, seed)
     return placed.selectExpr(
-        *[f"`{c}`" for c in df.columns],
-        f"cast(permuted % {n_shards} as int) as shard",
-        f"permuted div {n_shards} as slot",
+        *[f"`{c}`" for c in df.columns if c not in ("shard", "slot")],
+        f"cast(_f_permuted % {n_shards} as int) as shard",
+        f"_f_permuted div {n_shards} as slot",
     )
 
 
