@@ -20,15 +20,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from armlift.llm.tables import documents
+from armlift.llm.tables import documents, map_batches
 
 NO_PAIR = np.int64(2**62)
 POSITION_BITS = 32
 # pieces longer than this are merged alone, on Python lists
 LANE_BYTES = 256
 # characters of text, and known pieces, that a worker holds at a time
-TEXT_CHUNK = 2_000_000
-KNOWN_PIECES = 400_000
+TEXT_CHUNK = 1_000_000
+KNOWN_PIECES = 250_000
 
 
 class Codec:
@@ -239,7 +239,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", id
             column = pa.ListArray.from_arrays(offsets, np.concatenate([*arrays, np.empty(0, np.int32)]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], column], [*kept, ids])
 
-    return rows.mapInArrow(encoded, StructType([*fields, StructField(ids, ArrayType(IntegerType()))]))
+    return map_batches(rows, encoded, StructType([*fields, StructField(ids, ArrayType(IntegerType()))]))
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -255,7 +255,7 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str, ids: str = "ids", t
             texts = [codec.decode(v.as_py() or ()).decode(errors="replace") for v in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string())], [*kept, text])
 
-    return rows.mapInArrow(decoded, StructType([encoded.schema[c] for c in kept] + [StructField(text, StringType())]))
+    return map_batches(rows, decoded, StructType([encoded.schema[c] for c in kept] + [StructField(text, StringType())]))
 
 
 def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -294,8 +294,7 @@ def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(
-        digested, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return map_batches(rows, digested, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     )
 
 

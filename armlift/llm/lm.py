@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from armlift.llm.tables import documents
+from armlift.llm.tables import byte_texts, documents, map_batches
 from armlift.llm.words import WordHasher, chunks, joined_hash, mixed
 from armlift.session import new_folder, stored
 
@@ -162,12 +162,12 @@ def common_words(docs: DataFrame) -> np.ndarray:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            for some in chunks([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]):
+            for some in chunks(byte_texts(batch)):
                 previous, _, _ = tokens_of(hasher, some)
                 word, n = np.unique(previous, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
 
-    counts = docs.select("text").limit(ROUTING_TEXTS).mapInArrow(hashed, "word bigint, n bigint")
+    counts = map_batches(docs.select("text").limit(ROUTING_TEXTS), hashed, "word bigint, n bigint")
     totals = counts.groupBy("word").agg(F.sum("n").alias("n"))
     share = totals.selectExpr("word", f"n >= {ROUTING_SHARE} * sum(n) over () as common").where("common")
     return np.sort(np.array([r.word for r in share.collect()], np.int64).view(np.uint64))
@@ -180,7 +180,7 @@ def count_pairs(docs: DataFrame, n_buckets: int, spread: np.ndarray) -> DataFram
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, size = WordHasher(), [], 0
         for batch in batches:
-            for some in chunks([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]):
+            for some in chunks(byte_texts(batch)):
                 previous, token, _ = tokens_of(hasher, some)
                 held.append((previous, token))
                 size += len(token)
@@ -198,8 +198,8 @@ def count_pairs(docs: DataFrame, n_buckets: int, spread: np.ndarray) -> DataFram
         for batch in batches:
             yield dealt(*unpacked(batch), n_buckets, spread)
 
-    rows = docs.select("text").mapInArrow(counted, PACKED)
-    return rows if width == 1 else rows.repartition("bucket").mapInArrow(again, PACKED)
+    rows = map_batches(docs.select("text"), counted, PACKED)
+    return rows if width == 1 else map_batches(rows.repartition("bucket"), again, PACKED)
 
 
 def train(docs: DataFrame) -> LanguageModel:
@@ -376,14 +376,14 @@ def with_scores(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for batch in batches:
             found = [
                 reader.scores(hasher, some)
-                for some in chunks([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
+                for some in chunks(byte_texts(batch))
             ]
             columns = {c: np.concatenate([f[c] for f in found]) for c in names if c != "train_tokens"}
             columns["train_tokens"] = np.full(len(batch), model.tokens)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(columns[c]) for c in names)], [*kept, *names])
 
     rows = docs.select(*[f"`{c}`" for c in kept])
-    return rows.mapInArrow(scored, StructType([docs.schema[c] for c in kept] + added))
+    return map_batches(rows, scored, StructType([docs.schema[c] for c in kept] + added))
 
 
 def held_out(column: str = "doc_id") -> str:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from armlift.llm.components import components
-from armlift.llm.tables import documents
+from armlift.llm.tables import byte_texts, documents, map_batches
 from armlift.llm.words import WordHasher, chunks, joined_hash, mixed
 from armlift.session import stored
 
@@ -103,7 +103,7 @@ def signed_rows(docs: DataFrame, width: int) -> DataFrame:
         hasher = WordHasher()
         for batch in batches:
             sizes, keys, bits, bands = [], [], [], []
-            for some in chunks([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]):
+            for some in chunks(byte_texts(batch)):
                 for shingles in shingle_sets(hasher, some, width):
                     sizes.append(len(shingles))
                     if not len(shingles):
@@ -121,8 +121,7 @@ def signed_rows(docs: DataFrame, width: int) -> DataFrame:
             )
 
     keyed = docs.selectExpr("doc_id", "xxhash64(text) as text_key", "text")
-    return keyed.mapInArrow(
-        signed,
+    return map_batches(keyed, signed,
         f"doc_id {kind}, text_key bigint, n_shingles bigint, set_key binary, bits array<bigint>, bands array<bigint>",
     )
 
@@ -157,14 +156,14 @@ def with_long_signatures(rows: DataFrame, texts: DataFrame, width: int) -> DataF
         hasher = WordHasher()
         for batch in batches:
             found = []
-            for some in chunks(batch.column("text").cast(pa.binary()).to_pylist()):
+            for some in chunks(byte_texts(batch)):
                 for shingles in shingle_sets(hasher, some, width):
                     low, high = signature(shingles, FINE_FACTORS, FINE_SHIFTS)
                     found.append([*packed(low, 2), *packed(high, 2)])
             yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(found, pa.list_(pa.int64()))], ["class", "fine"])
 
     wanted = texts.join(rows.select("class").distinct(), "class").select("class", "text")
-    return rows.join(wanted.mapInArrow(signed, "class bigint, fine array<bigint>"), "class")
+    return rows.join(map_batches(wanted, signed, "class bigint, fine array<bigint>"), "class")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from armlift.llm.tables import documents
+from armlift.llm.tables import documents, map_batches
 
 # Kinds in the order of reports; the first four are the base kinds.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -153,7 +153,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
             )
 
     counts = ", ".join(f"n_{k} bigint" for k in BASE_KINDS)
-    return docs.select("doc_id", "text").mapInArrow(found, f"doc_id {kind}, {counts}, base_sha256 string, spans string")
+    return map_batches(docs.select("doc_id", "text"), found, f"doc_id {kind}, {counts}, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def redact(docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(replaced, StructType(docs.schema.fields))
+    return map_batches(docs, replaced, StructType(docs.schema.fields))
 
 
 def op5_find_personal_data(spark: SparkSession, folder: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from armlift.llm.tables import documents
+from armlift.llm.tables import byte_texts, documents, map_batches
 
 # bounds of the fit: labelled rows, and pairs drawn from them
 MAX_LABELLED = 20_000
@@ -131,10 +131,6 @@ def fitted(x: np.ndarray, good: np.ndarray, seed: int = 1, ridge: float = 1e-3)
     return QualityModel(centre, scale, weights, float(options[losses.argmin()]), float(threshold))
 
 
-def as_bytes(column: pa.Array) -> list[bytes]:
-    return [v or b"" for v in column.cast(pa.binary()).to_pylist()]
-
-
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 1) -> QualityModel:
     """Learn from labelled documents (doc_id, quality 0 or 1), at most ``max_labelled`` by hash of doc_id.
 
@@ -151,10 +147,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, se
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = features(as_bytes(batch.column("text")))
+            rows = features(list(byte_texts(batch)))
             yield pa.RecordBatch.from_arrays([batch.column("_quality"), pa.array(list(rows))], ["quality", "x"])
 
-    found = texts.mapInArrow(measured, "quality int, x array<double>").toArrow()
+    found = map_batches(texts, measured, "quality int, x array<double>").toArrow()
     quality = np.array(found["quality"].to_pylist(), int)
     x = np.array(found["x"].to_pylist(), float).reshape(len(quality), features([b""]).shape[1])
     # rows come in any order; sorted, the draws repeat
@@ -170,14 +166,14 @@ def with_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = model.scores(as_bytes(batch.column("text")))
+            scores = model.scores(list(byte_texts(batch)))
             predicted = (scores >= PREDICTED_FROM).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(scores), pa.array(predicted)], [*kept, "score", "predicted"]
             )
 
     added = [StructField("score", DoubleType()), StructField("predicted", IntegerType())]
-    return rows.mapInArrow(scored, StructType([*fields, *added]))
+    return map_batches(rows, scored, StructType([*fields, *added]))
 
 
 def held_out(column: str = "doc_id") -> str:

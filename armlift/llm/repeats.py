@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from armlift.llm.bwt import merge, transform
-from armlift.llm.tables import documents
+from armlift.llm.tables import byte_texts, documents, map_batches
 from armlift.llm.words import INVERSE, MULTIPLIER, chunks, mixed
 from armlift.session import stored
 
@@ -96,10 +96,6 @@ class Runs:
         self.first = self.lo[np.concatenate([[True], self.hash[1:] != self.hash[:-1]])]
 
 
-def texts_of(batch: pa.RecordBatch) -> list[bytes]:
-    return batch.column("text").cast(pa.binary()).to_pylist()
-
-
 def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
     """(anchor, k1, k2, lo, n) of every text: one row per anchor hash; n tells how often, lo where if once."""
 
@@ -108,7 +104,7 @@ def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
             parts = []
-            for i, text in enumerate(texts_of(batch)):
+            for i, text in enumerate(byte_texts(batch)):
                 runs = Runs(rolling, text, length)
                 anchor, at, n = np.unique(runs.hash, return_index=True, return_counts=True)
                 parts.append((anchor, np.full(len(anchor), k1[i]), np.full(len(anchor), k2[i]), runs.lo[at], n))
@@ -117,7 +113,7 @@ def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
                 columns[0] = columns[0].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["anchor", "k1", "k2", "lo", "n"])
 
-    return texts.select("k1", "k2", "text").mapInArrow(found, "anchor bigint, k1 bigint, k2 bigint, lo bigint, n bigint")
+    return map_batches(texts.select("k1", "k2", "text"), found, "anchor bigint, k1 bigint, k2 bigint, lo bigint, n bigint")
 
 
 CANDIDATES = (
@@ -150,7 +146,7 @@ def candidates(texts: DataFrame, length: int) -> DataFrame:
             once, many = batch.column("once").to_pylist(), batch.column("many").to_pylist()
             keys = [batch.column("k1").to_pylist(), batch.column("k2").to_pylist()]
             place = 0
-            for some in chunks(texts_of(batch)):
+            for some in chunks(byte_texts(batch)):
                 runs_found: dict[tuple[int, int, int], list] = {}
                 kept, windows, commons = [], [], []
                 for text in some:
@@ -189,7 +185,7 @@ def candidates(texts: DataFrame, length: int) -> DataFrame:
                     no, lo, hi = (np.concatenate(x) for x in zip(*commons))
                     yield rows_of(len(no), COMMON, text_no=no, lo=lo, hi=hi)
 
-    return texts.select("text_no", "k1", "k2", "text", "once", "many").mapInArrow(left, CANDIDATES)
+    return map_batches(texts.select("text_no", "k1", "k2", "text", "once", "many"), left, CANDIDATES)
 
 
 def blocks(content: bytes, inside: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -394,8 +390,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 ["k1", "k2", "removed", "spans", "kept"],
             )
 
-    results = touched.select("k1", "k2", "content", "marks").mapInArrow(
-        cut, "k1 bigint, k2 bigint, removed bigint, spans bigint, kept string"
+    results = map_batches(touched.select("k1", "k2", "content", "marks"), cut, "k1 bigint, k2 bigint, removed bigint, spans bigint, kept string"
     )
     narrow = stored(rows.selectExpr("doc_id", "k1", "k2", "cast(octet_length(text) as bigint) as n_bytes", "sha2(text, 256) as own"))
     copies = narrow.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))

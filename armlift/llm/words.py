@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 # Odd multiplier of the word hash and its inverse modulo 2^64.
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 2**64)
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -60,7 +60,7 @@ class WordHasher:
         return hashes, np.diff(np.concatenate([[0], upto]))
 
 
-def chunks(texts: list[bytes], size: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
+def chunks(texts: Iterable[bytes], size: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
     """Runs of texts of about ``size`` bytes; a longer text is a run of its own."""
     some, total = [], 0
     for text in texts:
