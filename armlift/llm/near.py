@@ -49,7 +49,8 @@ def shingle_sets(hasher: WordHasher, texts: list[bytes], width: int) -> list[np.
     ends = np.cumsum(counts)
     rolled = words.copy()
     for step in range(1, width):
-        rolled[: len(words) - step] = joined_hash(rolled[: len(words) - step], words[step:])
+        upto = max(len(words) - step, 0)
+        rolled[:upto] = joined_hash(rolled[:upto], words[step : step + upto])
     sets = []
     for end, count in zip(ends.tolist(), counts.tolist()):
         start = end - count

@@ -124,11 +124,11 @@ NAMES = [part.split()[0] for part in CANDIDATES.split(", ")]
 TEXT, RUN, WINDOW, COMMON = range(4)
 
 
-def rows_of(n: int, kind: int, **columns: object) -> pa.RecordBatch:
+def rows_of(count: int, kind: int, **columns: object) -> pa.RecordBatch:
     """A batch of one kind of row; columns that are not given are null."""
     types = {"kind": pa.int32(), "size": pa.int32(), "content": pa.binary(), "texts": pa.list_(pa.int64()), "los": pa.list_(pa.int64())}
-    columns = {"kind": np.full(n, kind, np.int32)} | columns
-    arrays = [pa.array(columns[c], types.get(c, pa.int64())) if c in columns else pa.nulls(n, types.get(c, pa.int64())) for c in NAMES]
+    columns = {"kind": np.full(count, kind, np.int32)} | columns
+    arrays = [pa.array(columns[c], types.get(c, pa.int64())) if c in columns else pa.nulls(count, types.get(c, pa.int64())) for c in NAMES]
     return pa.RecordBatch.from_arrays(arrays, NAMES)
 
 
