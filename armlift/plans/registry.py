@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from armlift.functions.numeric import group
 from armlift.operators import (
     arms,
     bootstrap,
@@ -133,6 +134,17 @@ def _(spark, folder):
     return profile.feature_summary(raw_units(spark, folder))
 
 
+@query("profile_distinct_verdict")
+def _(spark, folder):
+    """Exact distinct counts, and whether the sketch comes near them."""
+    units = stored(raw_units(spark, folder).select(*ROLES.features))
+    exact = ", ".join(f"'{f}', count(distinct {f})" for f in ROLES.features)
+    counts = group(units, [], {"counts": f"map({exact})"}).selectExpr("explode(counts) as (feature, n_distinct)")
+    sketched = profile.feature_summary(raw_units(spark, folder)).select("feature", "approx_distinct")
+    within = "abs(approx_distinct - n_distinct) <= 0.15D * n_distinct as is_near"
+    return counts.join(sketched, "feature").selectExpr("feature", "n_distinct", within)
+
+
 # --- validity of the randomization
 
 
@@ -213,6 +225,22 @@ def _(spark, folder):
     return lift.interval_agreement(lift.lift(counts), bootstrap.lift_bootstrap(counts))
 
 
+def near_ends(low: str, high: str, boot_low: str, boot_high: str) -> str:
+    """SQL: both ends of two intervals differ by under a tenth of the first one's width."""
+    return f"greatest(abs({boot_low} - {low}), abs({boot_high} - {high})) < 0.1D * ({high} - {low})"
+
+
+@query("ab_bootstrap_verdict", {9: ("rel_lift", "abs_lo", "abs_hi")})
+def _(spark, folder):
+    """Whether the resampled intervals come near the analytic ones."""
+    counts = stored_result(counts_of(spark, folder))
+    lifts, boot = lift.lift(counts), bootstrap.lift_bootstrap(counts)
+    agreed = lift.interval_agreement(lifts, boot).select("metric", "agree")
+    joined = lifts.join(boot, "metric").join(agreed, "metric")
+    near = near_ends("abs_lo", "abs_hi", "boot_abs_lo", "boot_abs_hi")
+    return joined.selectExpr("metric", "rel_lift", "abs_lo", "abs_hi", f"{near} as abs_agree", "agree as rel_agree")
+
+
 # --- power
 
 
@@ -311,6 +339,17 @@ def _(spark, folder):
     return bootstrap.compliance_bootstrap(compliance_of(spark, folder))
 
 
+@query("cace_bootstrap_verdict", {9: ("itt_lo", "itt_hi", "cace_lo", "cace_hi")})
+def _(spark, folder):
+    """Whether the resampled intervals come near those of the delta method."""
+    counts = stored_result(compliance_of(spark, folder))
+    both = compliance.effect_intervals(counts).join(bootstrap.compliance_bootstrap(counts), "metric")
+    near = {v: near_ends(f"{v}_lo", f"{v}_hi", f"boot_{v}_lo", f"boot_{v}_hi") for v in ("itt", "cace")}
+    return both.selectExpr(
+        "metric", "itt_lo", "itt_hi", "cace_lo", "cace_hi", *[f"{text} as {v}_agree" for v, text in near.items()]
+    )
+
+
 # --- segments
 
 
@@ -345,6 +384,24 @@ def _(spark, folder):
     return spark.createDataFrame(rows, "feature string, edge double")
 
 
+@query("segment_edges_verdict")
+def _(spark, folder):
+    """Whether every approximate edge has a rank within the error that was asked for."""
+    units, error = stored(clean_units(spark, folder).select(*ROLES.features)), 0.001
+    shares = quantiles.bucket_probabilities(5)
+    edges = quantiles.approximate_quantiles(units, ROLES.features, shares, error)
+    inside = {
+        f: " and ".join(
+            f"count_if({f} < {edge!r}D) <= {p + error!r}D * count(1) and count_if({f} <= {edge!r}D) >= {p - error!r}D * count(1)"
+            for p, edge in zip(shares, cuts)
+        )
+        for f, cuts in edges.items()
+    }
+    listed = ", ".join(f"'{f}', {text}" for f, text in inside.items())
+    table = group(units, [], {"n": "count(1)", "verdicts": f"map({listed})"})
+    return table.selectExpr("n", "explode(verdicts) as (feature, is_near)")
+
+
 @query("segment_sums")
 def _(spark, folder):
     return segment_inputs(spark, folder)[0]

@@ -406,6 +406,43 @@ def plain() -> dict[str, str]:
         "select treatment, count(*) n, sum(visit)::bigint visit, sum(conversion)::bigint conversion from units group by treatment"
     )
     q["ab_lift"] = sql("select * from lift", LIFT)
+    q["profile_distinct_verdict"] = sql(
+        union(
+            "select '{c}' feature, count(distinct {c}) n_distinct, "
+            "abs(approx_count_distinct({c}) - count(distinct {c})) <= 0.15e0 * count(distinct {c}) is_near from raw",
+            FEATURES,
+        )
+    )
+    q["segment_edges_verdict"] = sql(
+        union(
+            "select count(*) n, '{c}' feature, bool_and(below <= (p + 0.001e0) * n and upto >= (p - 0.001e0) * n) is_near "
+            "from (select p, (select count(*) from units where {c} < edge) below, (select count(*) from units where {c} <= edge) upto, "
+            "(select count(*) from units) n from (select unnest([0.2e0, 0.4e0, 0.6e0, 0.8e0]) p, "
+            "unnest(quantile_disc({c}, [0.2, 0.4, 0.6, 0.8])) edge from units))",
+            FEATURES,
+        ).replace("select count(*) n, '", "select any_value(n) n, '")
+    )
+    # resampled once more, by normal draws from a hash of the replicate
+    draws = """draws as (
+      select r, sqrt(-2 * ln((hash(r * 4 + 1) % 1000003 + 1) / 1000004e0)) * cos(2 * pi() * (hash(r * 4 + 2) % 1000003) / 1000003e0) z1,
+             sqrt(-2 * ln((hash(r * 4 + 3) % 1000003 + 1) / 1000004e0)) * cos(2 * pi() * (hash(r * 4 + 4) % 1000003) / 1000003e0) z2,
+             sqrt(-2 * ln((hash(r * 4 + 1) % 1000003 + 1) / 1000004e0)) * sin(2 * pi() * (hash(r * 4 + 2) % 1000003) / 1000003e0) z3,
+             sqrt(-2 * ln((hash(r * 4 + 3) % 1000003 + 1) / 1000004e0)) * sin(2 * pi() * (hash(r * 4 + 4) % 1000003) / 1000003e0) z4
+      from range(20000) replicates(r))"""
+    near = "greatest(abs(boot_{v}_lo - {v}_lo), abs(boot_{v}_hi - {v}_hi)) < 0.1e0 * ({v}_hi - {v}_lo)".format
+    ends = "quantile_cont({v}, 0.025) boot_{v}_lo, quantile_cont({v}, 0.975) boot_{v}_hi".format
+    q["ab_bootstrap_verdict"] = sql(
+        f"""select metric, rel_lift, abs_lo, abs_hi, {near(v='abs')} abs_agree,
+          greatest(abs(boot_rel_lo - rel_lo), abs(boot_rel_hi - rel_hi)) < 0.05e0 * abs(rel_lift) + 0.005e0 rel_agree
+          from lift join boot using (metric)""",
+        LIFT,
+        draws,
+        """drawn as (
+          select metric, rate_treatment + sqrt(rate_treatment * (1 - rate_treatment) / n_t) * z1 rt,
+                 rate_control + sqrt(rate_control * (1 - rate_control) / n_c) * z2 rc from lift, draws)""",
+        "lifted as (select metric, rt - rc abs, rt / rc - 1 rel from drawn)",
+        f"boot as (select metric, {ends(v='abs')}, {ends(v='rel')} from lifted group by metric)",
+    )
     q["ab_incremental"] = sql("select metric, n_t, abs_lift, abs_lift * n_t incremental from lift", LIFT)
     q["ab_signal_noise"] = sql(
         """select v.rate_control / c.rate_control base_rate_ratio,
@@ -475,6 +512,24 @@ def plain() -> dict[str, str]:
              from effects)""",
         "final as (select *, (var_itt - 2 * cace * cov + cace * cace * var_pi) / (compliance * compliance) var_cace from parts)",
     )
+    q["cace_bootstrap_verdict"] = sql(
+        f"""select metric, itt_lo, itt_hi, cace_lo, cace_hi, {near(v='itt')} itt_agree, {near(v='cace')} cace_agree
+          from (select metric, itt - {Z95} * sqrt(var_itt) itt_lo, itt + {Z95} * sqrt(var_itt) itt_hi,
+            cace - {Z95} * sqrt(var_cace) cace_lo, cace + {Z95} * sqrt(var_cace) cace_hi from final) join boot using (metric)""",
+        EFFECTS,
+        """parts as (select *, rate_treatment * (1 - rate_treatment) / n_t + rate_control * (1 - rate_control) / c_n var_itt,
+             compliance * (1 - compliance) / n_t var_pi, (t_e1_y1::double / n_t - rate_treatment * compliance) / n_t cov
+             from effects)""",
+        "final as (select *, (var_itt - 2 * cace * cov + cace * cace * var_pi) / (compliance * compliance) var_cace from parts)",
+        draws,
+        """exposed as (select *, compliance + sqrt(compliance * (1 - compliance) / n_t) * z1 pi_ from effects, draws)""",
+        """outcomes as (select metric, pi_,
+             pi_ * (rate_exposed + sqrt(rate_exposed * (1 - rate_exposed) / (pi_ * n_t)) * z2)
+             + (1 - pi_) * (rate_unexposed + sqrt(rate_unexposed * (1 - rate_unexposed) / ((1 - pi_) * n_t)) * z3) rt,
+             rate_control + sqrt(rate_control * (1 - rate_control) / c_n) * z4 rc from exposed)""",
+        "effects_drawn as (select metric, rt - rc itt, (rt - rc) / pi_ cace from outcomes)",
+        f"boot as (select metric, {ends(v='itt')}, {ends(v='cace')} from effects_drawn group by metric)",
+    )
     selection = moments("exposure", "treatment = 1")
     q["compliance_selection_smd"] = sql(
         "select feature, mean1 mean_exposed, mean0 mean_unexposed, smd from pairs", selection

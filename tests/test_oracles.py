@@ -11,8 +11,8 @@ from check_oracles import rows_of
 from tests.conftest import SMALL
 
 ORACLES = contract.oracle_sql()
-# spread over the operators; the full list runs through check_oracles.py
-NAMES = [n for n in ORACLES if n not in ("compliance_effects_two_sided", "segment_bh", "uplift_capture")]
+# on a few hundred units the ends of resampled intervals move too much for a verdict
+NAMES = [n for n in ORACLES if not n.endswith("bootstrap_verdict")]
 
 
 @pytest.fixture(scope="module")
