@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from armlift.functions.numeric import group
+from armlift.functions.units import unit_uniform
 from armlift.operators import (
     arms,
     bootstrap,
@@ -306,7 +307,11 @@ def compliance_effects(spark, folder):
 
 @query("compliance_effects_two_sided", {9: compliance.EFFECTS})
 def _(spark, folder):
-    return compliance.effects(compliance_of(spark, folder), two_sided=True)
+    # a twentieth of the control units get the treatment all the same
+    crossed = f"{unit_uniform(ROLES.unit_id, 'cross')} < 0.05D and treatment = 0"
+    units = clean_units(spark, folder).withColumn("exposure", F.expr(f"if({crossed}, 1, exposure)"))
+    counts = compliance.compliance_counts(compliance.compliance_cells(units))
+    return compliance.effects(counts, two_sided=True)
 
 
 @query("compliance_cace_ci", {9: ("itt", "itt_lo", "itt_hi", "cace", "cace_lo", "cace_hi")})

@@ -501,8 +501,13 @@ def plain() -> dict[str, str]:
     )
     q["compliance_counts"] = sql("select * from compliance", COMPLIANCE)
     q["compliance_effects"] = sql(f"select {EFFECT_COLUMNS} from effects", EFFECTS)
-    # control units are never exposed here, so both compliance rates agree
-    q["compliance_effects_two_sided"] = q["compliance_effects"]
+    q["compliance_effects_two_sided"] = sql(
+        f"select {EFFECT_COLUMNS} from effects",
+        f"""crossed as (select * replace (
+             case when treatment = 0 and {uniform('cross')} < 0.05e0 then 1 else exposure end as exposure) from units)""",
+        EFFECTS.replace("c_exposed from units", "c_exposed from crossed")
+        .replace("n_e::double / n_t compliance", "n_e::double / n_t - c_exposed::double / c_n compliance"),
+    )
     q["compliance_cace_ci"] = sql(
         f"""select metric, itt, itt - {Z95} * sqrt(var_itt) itt_lo, itt + {Z95} * sqrt(var_itt) itt_hi, cace,
           cace - {Z95} * sqrt(var_cace) cace_lo, cace + {Z95} * sqrt(var_cace) cace_hi from final""",
