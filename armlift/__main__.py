@@ -31,7 +31,7 @@ def options() -> argparse.ArgumentParser:
             kind = type(default) if default is not None else str
             sub.add_argument("--" + option.replace("_", "-"), type=kind, default=default)
 
-    add("ingest", input=None, partitions=0, key="position")
+    add("ingest", input=None, partitions=-1, key="position")
     add("validity", design_share=0.85)
     add("lift", n_boot=10_000, seed=7)
     add("power", alpha=0.05, power=0.80, seed=11)
@@ -45,7 +45,7 @@ def options() -> argparse.ArgumentParser:
 def run(spark: SparkSession, args: argparse.Namespace) -> Tables:
     """Result tables of the chosen step."""
     if args.step == "ingest":
-        return steps.ingest(spark, args.input, args.table, partitions=args.partitions or None, key=args.key)
+        return steps.ingest(spark, args.input, args.table, partitions=None if args.partitions < 0 else args.partitions, key=args.key)
     df = read_experiment(spark, args.table)
     if args.step == "validity":
         return steps.check_validity(df, design_share=args.design_share)

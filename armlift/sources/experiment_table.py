@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from armlift.schema import Roles, raw_schema
 
 
+# Endings of files that cannot be split.
+COMPRESSED = (".gz", ".deflate", ".snappy", ".zst", ".lz4", ".xz")
+
+
 def read_raw_csv(
     spark: SparkSession,
     path: str,
@@ -18,8 +22,9 @@ def read_raw_csv(
     """CSV with a header, plain or compressed; values that do not parse become null.
 
     Columns are taken by position. ``check_header`` refuses a file whose header names
-    another order instead of reading it wrongly. ``partitions`` spreads the rows once,
-    for compressed files, which one task has to read alone.
+    another order instead of reading it wrongly. ``partitions`` spreads the rows once.
+    By default that is done for compressed files only, which one task has to read alone, and
+    to as many partitions as Spark runs tasks; 0 leaves the rows where they are read.
     """
     df = (
         spark.read.schema(raw_schema(roles))
@@ -28,6 +33,9 @@ def read_raw_csv(
         .option("enforceSchema", not check_header)
         .csv(path)
     )
+    if partitions is None:
+        packed = any(file.endswith(COMPRESSED) for file in df.inputFiles())
+        partitions = spark.sparkContext.defaultParallelism if packed else 0
     return df.repartition(partitions) if partitions else df
 
 

@@ -214,3 +214,12 @@ def test_incremental_outcomes_of_very_large_arms_do_not_overflow(spark):
 
     value = curve_rows.selectExpr(f"y_t - y_c * {ratio('n_t', 'n_c')} as q").first().q
     assert value == 2e12 - 3e9 * (6e12 / 4e9)
+
+
+def test_compressed_input_is_spread_by_default(spark, units, tmp_path):
+    units.select(*Roles().columns).coalesce(1).write.option("header", True).option("compression", "gzip").csv(str(tmp_path / "gz"))
+    units.select(*Roles().columns).coalesce(1).write.option("header", True).csv(str(tmp_path / "plain"))
+    count = lambda path, **options: experiment_table.read_raw_csv(spark, str(tmp_path / path), **options).rdd.getNumPartitions()
+    assert count("gz") == spark.sparkContext.defaultParallelism
+    assert count("gz", partitions=0) == 1 and count("gz", partitions=3) == 3
+    assert count("plain", partitions=0) == count("plain")
