@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from armlift.llm.mixing import MAX_PASSES, WEIGHTS
+from armlift.llm.sharding import MULTIPLIERS, OFFSETS, PRIME
 
 WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 
@@ -72,3 +73,43 @@ ORACLES: dict[str, str] = {
     "op7_mix_documents": f"with {mixing()} "
     "select doc_id, size, source_size, target, cast(size * copies as bigint) as taken from mixed",
 }
+
+
+def checksums() -> str:
+    """Common table expressions ending in ``summed`` (doc_id, size, text_crc32)."""
+    step = "case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end"
+    return f"""
+    codes as (
+      select list(list_reduce(range(8)::bigint[], lambda a, k: {step}, i::bigint) order by i) as t from range(256) r(i)
+    ),
+    spelled as (select doc_id, text, hex(encode(coalesce(text, ''))) as h from documents),
+    summed as (
+      select doc_id, cast(len(h) // 2 + 1 as bigint) as size,
+        case when text is not null then xor(4294967295, list_reduce(
+          list_transform(range(1, len(h), 2), lambda j: ('0x' || h[j:j+1])::bigint),
+          lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295)) end as text_crc32
+      from spelled, codes
+    )"""
+
+
+def shuffled(source: str, seed: int = 1) -> str:
+    """One pass of the Feistel network over column x of ``source`` (id, x, n, a, b), as nested queries."""
+    inner = f"select id, n, a, b, x // b as l, x % b as r from {source}"
+    for i, (factor, offset) in enumerate(zip(MULTIPLIERS, OFFSETS)):
+        other, own, side = ("r", "l", "a") if i % 2 == 0 else ("l", "r", "b")
+        last = len(MULTIPLIERS) - 1 - i
+        inner = f"select *, (({other} + {seed}) % {PRIME} * {factor} + {offset}) % {PRIME} as f from ({inner})"
+        inner = f"select *, (f * f + {OFFSETS[last]}) % {PRIME} * {MULTIPLIERS[last]} % {PRIME} as g from ({inner})"
+        inner = f"select id, n, a, b, {other}, ({own} + g) % {side} as {own} from ({inner})"
+    return f"select id, l * b + r as x, n, a, b from ({inner})"
+
+
+ORACLES["op1_shard_documents"] = f"""
+    with recursive {checksums()},
+    numbered as (select *, row_number() over (order by doc_id nulls first, size, text_crc32 nulls first) - 1 as id from summed),
+    bounds as (select count(*) as n, cast(floor(sqrt(count(*) - 1)) as bigint) + 1 as b from summed),
+    first as (select id, id as x, n, (n + b - 1) // b as a, b from numbered, bounds),
+    walk as ({shuffled('first')} union all {shuffled('(select * from walk where x >= n)')}),
+    placed as (select id, x from walk where x < n)
+    select doc_id, size, text_crc32, 'rows' as law, cast(x % 8 as int) as shard, x // 8 as slot, cast(null as int) as grown_shard
+    from numbered join placed using (id)"""
