@@ -113,3 +113,25 @@ ORACLES["op1_shard_documents"] = f"""
     placed as (select id, x from walk where x < n)
     select doc_id, size, text_crc32, 'rows' as law, cast(x % 8 as int) as shard, x // 8 as slot, cast(null as int) as grown_shard
     from numbered join placed using (id)"""
+
+
+ORACLES["op4_group_near_duplicates"] = f"""
+    with recursive listed as (
+      select doc_id, {words("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents
+    ),
+    sets as (
+      select doc_id, list_distinct(case when len(w) > 1
+        then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end) as s from listed
+    ),
+    items as (select doc_id, len(s) as n, unnest(s) as shingle from sets),
+    shared as (
+      select a.doc_id as a, b.doc_id as b, any_value(a.n) as n_a, any_value(b.n) as n_b, count(*) as both_have
+      from items a join items b using (shingle) where a.doc_id <> b.doc_id group by a.doc_id, b.doc_id
+    ),
+    links as (select a, b from shared where 100 * both_have >= 80 * (n_a + n_b - both_have)),
+    reached as (
+      select doc_id, doc_id as other from documents
+      union select doc_id, b from reached join links on other = a
+    )
+    select doc_id, cast(any_value(len(s)) as bigint) as n_shingles, min(other) as component_id, doc_id = min(other) as kept
+    from reached join sets using (doc_id) group by doc_id"""
