@@ -3,7 +3,8 @@
 The raw log of the experiment is written as gzip CSV first (not timed). Then every
 step runs from files to collected result tables, in the order of an analysis:
 ingest, validity, lift, power, compliance, segments and uplift. Registered queries
-run from the retail tables. Each entry runs once untimed, to warm the JVM, then timed.
+run from the retail tables. Each entry runs once untimed, to warm the JVM, then timed; the
+uplift step warms up with three trees.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from armlift.sources.order_experiment import order_experiment
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-TREES = TreeSettings(n_trees=int(os.environ.get("BENCH_TREES", "10")), step=0.3)
+TREES = TreeSettings(n_trees=int(os.environ.get("BENCH_TREES", "400")))
+WARM_TREES = TreeSettings(n_trees=3)
 HEADLINE = (
     "profile_missing",
     "profile_duplicates",
@@ -77,8 +79,9 @@ def main() -> None:
         "step_uplift_200_bootstrap": on_table(steps.model_uplift, n_boot=200, settings=TREES),
         **{name: (lambda name=name: QUERIES[name](spark, FOLDER).collect()) for name in HEADLINE},
     }
-    for run in runs.values():
-        run()
+    warm = {"step_uplift_200_bootstrap": on_table(steps.model_uplift, n_boot=200, settings=WARM_TREES)}
+    for name, run in runs.items():
+        warm.get(name, run)()
     times = {}
     for name, run in runs.items():
         start = time.perf_counter()
