@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -225,16 +225,19 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", id
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks, pattern)
-        known = Known(codec, lambda found: np.array(found, np.int32))
+        known = Known(codec, tuple)
         for batch in batches:
             arrays = []
             for texts in grouped(text_of(batch, text)):
-                for one in texts:
-                    parts = []
-                    for pieces in codec.pieces(one):
-                        known.learn([pieces])
-                        parts += map(known.tables[0].__getitem__, pieces)
-                    arrays.append(np.concatenate(parts) if parts else np.empty(0, np.int32))
+                short = [next(codec.pieces(t)) if len(t) <= TEXT_CHUNK else None for t in texts]
+                known.learn(p for p in short if p is not None)
+                for one, pieces in zip(texts, short):
+                    found: list[int] = []
+                    for part in [pieces] if pieces is not None else codec.pieces(one):
+                        if pieces is None:
+                            known.learn([part])
+                        found.extend(chain.from_iterable(map(known.tables[0].__getitem__, part)))
+                    arrays.append(np.array(found, np.int32))
             offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
             column = pa.ListArray.from_arrays(offsets, np.concatenate([*arrays, np.empty(0, np.int32)]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], column], [*kept, ids])
