@@ -12,6 +12,7 @@ CONTENTS: dict[str, tuple[str, dict[str, str], str | None]] = {
     "profile_groups": ("arm_sizes", {"treatment": "treatment", "n": "n"}, None),
     "profile_means": ("binary_means", {"column": "column", "mean": "mean"}, None),
     "profile_nulls": ("missing", {"column": "column", "nulls": "n_null"}, None),
+    "profile_nulls_total": ("missing_total", {"nulls": "n_null"}, None),
     "profile_checks": ("consistency", {"check": "check", "violations": "n_violations"}, None),
     "profile_duplicates": (
         "duplicates",
@@ -54,6 +55,7 @@ CONTENTS: dict[str, tuple[str, dict[str, str], str | None]] = {
         "metric",
     ),
     "ab_boot": ("lift_bootstrap", {"metric": "metric", "rel_ci_boot": "array(boot_rel_lo, boot_rel_hi)"}, "metric"),
+    "power_settings": ("power_settings", {"alpha": "alpha", "target": "target"}, None),
     "power": (
         "power_grid",
         {"metric": "metric", "f": "fraction", "n": "n_total", "mde": "mde_rel", "power": "power"},
@@ -105,6 +107,7 @@ CONTENTS: dict[str, tuple[str, dict[str, str], str | None]] = {
         },
         "feature",
     ),
+    "segment_edges": ("segment_edges", {"feature": "feature", "position": "position", "edge": "edge"}, "feature"),
     "heterogeneity": (
         "heterogeneity",
         {

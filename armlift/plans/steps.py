@@ -45,8 +45,10 @@ def ingest(
     raw = read_raw_csv(spark, source, roles, partitions)
     raw = stored(add_unit_id(raw, roles.unit_id) if key == "content" else number_rows(raw, roles.unit_id))
     write_experiment(profile.drop_missing(raw, roles), target)
+    measures = profile.all_measures(raw, roles)
     return {
-        **profile.all_measures(raw, roles),
+        **measures,
+        "missing_total": group(measures["missing"], [], {"n_null": "sum(n_null)"}),
         "binary_values": profile.binary_values(raw, roles),
         "duplicates": profile.duplicates(raw, roles),
         "arm_sizes": profile.arm_sizes(raw, roles),
@@ -88,7 +90,9 @@ def measure_power(
     coarse = sums.filter(f"k = {min(power.BUCKET_COUNTS)}")
     counts = group(coarse, ["metric"], {c: f"sum({c})" for c in ("n_t", "x_t", "n_c", "x_c")})
     grid = power.power_grid(counts, alpha=alpha, power=target)
+    settings = df.sparkSession.range(1).selectExpr(f"{literal(alpha)} as alpha", f"{literal(target)} as target")
     return {
+        "power_settings": settings,
         "power_grid": grid,
         "smallest_traffic": power.smallest_traffic(grid, target),
         "empirical_power": power.empirical_power(power.bucket_tests(sums), counts, alpha),
@@ -121,7 +125,9 @@ def compare_segments(
     sums = stored_result(segments.segment_sums(df, edges, roles))
     table = segments.adjust_false_discovery(segments.segment_lift(sums, edges, roles))
     tests = segments.heterogeneity(table)
+    listed = [(feature, i, edge) for feature, cuts in edges.items() for i, edge in enumerate(cuts, 1)]
     return {
+        "segment_edges": df.sparkSession.createDataFrame(listed, "feature string, position int, edge double"),
         "segments": table,
         "heterogeneity": tests,
         "most_heterogeneous": segments.most_heterogeneous(tests, roles.metrics[0]),
