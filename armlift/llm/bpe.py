@@ -28,7 +28,7 @@ POSITION_BITS = 32
 LANE_BYTES = 256
 # characters of text, and known pieces, that a worker holds at a time
 TEXT_CHUNK = 1_000_000
-KNOWN_PIECES = 250_000
+KNOWN_PIECES = 500_000
 
 
 class Codec:
