@@ -210,6 +210,29 @@ def test_fingerprints_of_odd_tables(spark):
     assert one.near_next == 1 and one.n_chars == 7
 
 
+@pytest.mark.parametrize("changed", [0, 0.2])
+def test_fingerprints_of_a_group_of_a_third_of_all_rows(spark, changed):
+    rnd = random.Random(5)
+    word = lambda: rnd.choice("abcdefghij") + str(rnd.randrange(300))
+    template = [f"t{i}" if changed else word() for i in range(100)]
+    rows = [(i, " ".join(word() for _ in range(100))) for i in range(400)]
+    rows += [(1000 + i, " ".join(word() if rnd.random() < changed else w for w in template)) for i in range(200)]
+    found = by(fingerprints(table(spark, rows)).collect(), "doc_id")
+    group = [found[1000 + i] for i in range(199)]
+    assert np.mean([r["near_edited"] for r in group]) > 0.4
+    # two of the group have some 0.64 of their words in common, 0.47 of those that either has
+    assert np.mean([r["near_next"] for r in group]) > 0.3
+    assert np.mean([found[i]["near_next"] for i in range(399)]) < 0.05
+    # a copied group counts as one text, so the rare words it uses stay in the lexicon
+    assert changed or all(not r["fingerprint"].startswith("all:") for r in found.values())
+
+
+def test_fingerprints_of_words_no_other_text_has(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(100))) for i in range(30)]
+    found = fingerprints(table(spark, rows)).collect()
+    assert np.mean([r.near_edited for r in found]) > 0.4 and max(r.near_next for r in found) < 0.1
+
+
 def vectors_of(rows):
     ids = np.array([i for i, _ in rows])
     return ids, np.array([v for _, v in rows], float)
