@@ -31,8 +31,7 @@ BUCKET_BYTES = 8_000_000
 TOKENS_HELD = 1_000_000
 # buckets dealt in one round; more are dealt in two
 ROUND_BUCKETS = 2048
-# texts looked at to find words that need spreading; only the balance depends on them
-ROUTING_TEXTS = 2000
+# a first word of more than this share of the tokens, or than a bucket's share, is dealt over several buckets
 ROUTING_SHARE = 1 / 500
 # counts from here on are kept apart
 LARGE = 255
@@ -55,10 +54,12 @@ def tokens_of(hasher: WordHasher, texts: list[bytes]) -> tuple[np.ndarray, np.nd
 
 
 def bucket_of(a: np.ndarray, b: np.ndarray, n_buckets: int, spread: np.ndarray) -> np.ndarray:
-    """Bucket of each pair: by its first word, by both where the first is one of ``spread``."""
+    """Bucket of each pair: by its first word, by both where the first is in ``spread``: sorted, a word once for each of its parts."""
     key = mixed(a ^ np.uint64(0x5851F42D4C957F2D))
-    common = np.isin(a, spread)
-    key[common] ^= mixed(b[common])
+    first = np.searchsorted(spread, a)
+    parts = np.searchsorted(spread, a, "right") - first
+    common = parts > 0
+    key[common] ^= mixed(mixed(b[common]) % parts[common].astype(np.uint64))
     return (key % np.uint64(n_buckets)).astype(np.int64)
 
 
@@ -157,20 +158,42 @@ def discounted(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.maximum(n - np.array([0.0, *d])[np.minimum(n, 3)], 0)
 
 
-def common_words(docs: DataFrame) -> np.ndarray:
-    """Hashes of words that make up over a five-hundredth of the tokens in a few texts; at most 500."""
+def common_words(docs: DataFrame, n_buckets: int) -> np.ndarray:
+    """Hashes of the first words that need spreading, sorted, each as often as it has parts.
+
+    All texts are counted. A word is left out of a count of many tokens where it has under a
+    quarter of the share that matters, so sums are short by less than that quarter: every word
+    over the share is found.
+    """
+    limit = min(ROUTING_SHARE, 1 / n_buckets)
+
+    def often(held: list) -> pa.RecordBatch:
+        word, n = np.unique(np.concatenate(held), return_counts=True)
+        total = int(n.sum())
+        kept = n >= limit / 4 * total
+        words = pa.array([*word[kept].view(np.int64).tolist(), None], pa.int64())
+        return pa.RecordBatch.from_arrays([words, pa.array([*n[kept].tolist(), total], pa.int64())], ["word", "n"])
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher, held, size = WordHasher(), [], 0
         for batch in batches:
             for some in chunks(byte_texts(batch)):
                 previous, _, _ = tokens_of(hasher, some)
-                word, n = np.unique(previous, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+                held.append(previous)
+                size += len(previous)
+                if size >= TOKENS_HELD:
+                    yield often(held)
+                    held, size = [], 0
+        if held:
+            yield often(held)
 
-    counts = map_batches(docs.select("text").limit(ROUTING_TEXTS), hashed, "word bigint, n bigint")
-    totals = counts.groupBy("word").agg(F.sum("n").alias("n"))
-    share = totals.selectExpr("word", f"n >= {ROUTING_SHARE} * sum(n) over () as common").where("common")
-    return np.sort(np.array([r.word for r in share.collect()], np.int64).view(np.uint64))
+    counts = map_batches(docs.select("text"), hashed, "word bigint, n bigint")
+    totals = stored(counts.groupBy("word").agg(F.sum("n").alias("n")))
+    # the row without a word has the number of all tokens
+    tokens = totals.where("word is null").agg(F.sum("n")).first()[0] or 0
+    rows = totals.where(f"word is not null and n >= {0.75 * limit * tokens}").collect()
+    parts = [max(2, int(np.ceil(r.n / (limit * tokens) + 0.25))) for r in rows]
+    return np.sort(np.repeat(np.array([r.word for r in rows], np.int64).view(np.uint64), np.array(parts, np.int64)))
 
 
 def count_pairs(docs: DataFrame, n_buckets: int, spread: np.ndarray) -> DataFrame:
@@ -211,7 +234,7 @@ def train(docs: DataFrame) -> LanguageModel:
     folder = local_path(new_folder(spark))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(8, -(-size // BUCKET_BYTES))
-    spread = common_words(docs)
+    spread = common_words(docs, n_buckets)
 
     def merge(key: tuple, rows: pa.Table) -> pa.Table:
         """Write one bucket of pairs; pass on what its words need, dealt by word."""

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -232,6 +233,20 @@ def test_language_model_of_odd_tables(spark):
     assert len(lm.with_scores(odd, model).collect()) == 6
 
 
+def test_a_word_common_only_in_later_texts_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 10_000)
+    rows = [(i, "") for i in range(2100)]
+    rows += [(3000 + i, " ".join(f"hot w{i}x{j}" for j in range(100))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = lm.train(docs.select("text"))
+    sizes = [os.path.getsize(f"{model.folder}/pairs-{i}") // 8 for i in range(model.n_buckets) if os.path.exists(f"{model.folder}/pairs-{i}")]
+    # START, 300 first words; hot and its 30,000 successors; those and what follows each
+    assert sum(sizes) == 2 + 30_000 + 29_700 + 300 and model.tokens == 2400 + 60_000
+    assert max(sizes) < 3 * sum(sizes) / model.n_buckets
+    found = lm.with_scores(docs.where("doc_id >= 3000"), model).collect()
+    assert all(r.n_tokens == r.n_known == 201 for r in found) and np.ptp([r.score for r in found]) < 1e-6
+
+
 def test_pairs_survive_dealing_in_two_rounds(spark, monkeypatch):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(50)
     spread = np.sort(np.array([3, 5], np.uint64))
