@@ -135,3 +135,94 @@ ORACLES["op4_group_near_duplicates"] = f"""
     )
     select doc_id, cast(any_value(len(s)) as bigint) as n_shingles, min(other) as component_id, doc_id = min(other) as kept
     from reached join sets using (doc_id) group by doc_id"""
+
+
+TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLES["op11_rank_documents"] = f"""
+    with spelled as (select doc_id, {TERMS} as terms from documents where text is not null),
+    docs as (select row_number() over () as d, doc_id, terms, len(terms) as n from spelled where len(terms) > 0),
+    totals as (select cast(count(*) as bigint) as n_docs, cast(sum(n) as bigint) as n_terms from docs),
+    wanted as (select item_id, term, count(*) as times from (select item_id, unnest({TERMS}) as term from benchmark) group by item_id, term),
+    counted as (select d, term, count(*) as tf from (select d, unnest(terms) as term from docs) group by d, term),
+    held as (select term, count(*) as df from counted group by term),
+    weighted as (
+      select term, cast(floor(1000 * ln((2 * n_docs + 2) / cast(2 * df + 1 as double))) as bigint) as w from held, totals
+    ),
+    scored as (
+      select item_id, doc_id, d, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + 25 * n * n_docs // n_terms)))) as bigint) as score
+      from wanted join counted using (term) join weighted using (term) join docs using (d), totals
+      group by item_id, doc_id, d
+    )
+    select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score
+    from scored where score > 0 qualify rank <= 20"""
+
+
+ORACLES["op12_link_near_vectors"] = """
+    with recursive rows_of as (select row_number() over () as r, vec_id, label, embedding::double[] as v from embeddings),
+    valid as materialized (
+      select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as norm from rows_of
+      where label is not null and v is not null and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0
+        and len(list_filter(v, lambda x: x <> 0)) > 0
+    ),
+    links as (
+      select a.r as a, b.r as b from valid a join valid b on a.label = b.label and len(a.v) = len(b.v) and a.r <> b.r
+      where list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.93
+    ),
+    reached as (select r, r as other from rows_of union select reached.r, b from reached join links on other = a)
+    select any_value(x.vec_id) as vec_id, (select count(*) from links where a = reached.r) as n_links,
+      min(y.vec_id) as component_id, any_value(x.vec_id) = min(y.vec_id) as kept
+    from reached join rows_of x on x.r = reached.r join rows_of y on y.r = other group by reached.r"""
+
+
+def crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of a text, with the table of steps in ``codes``."""
+    step = "xor(a >> 8, t[(xor(a, b) & 255) + 1])"
+    code = f"list_transform(range(1, len(hex(encode({text}))), 2), lambda j: ('0x' || hex(encode({text}))[j:j+1])::bigint)"
+    return f"xor(4294967295, list_reduce({code}, lambda a, b: {step}, 4294967295))"
+
+
+STEP = "case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end"
+
+ORACLES["op13_group_spellings"] = f"""
+    with recursive codes as (
+      select list(list_reduce(range(8)::bigint[], lambda a, k: {STEP}, i::bigint) order by i) as t from range(256) r(i)
+    ),
+    runs as (
+      select doc_id, run, count(*) as times from (
+        select row_number() over () as r, doc_id, unnest(regexp_extract_all(
+          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) as run
+        from documents
+      ) where length(run) >= 7 group by doc_id, run
+    ),
+    hashed as (select run, times, {crc32("concat(doc_id, ':', run)")} as h from runs, codes),
+    changed as (
+      select case when h % 31 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, times from hashed
+    ),
+    words as (select word, cast(sum(times) as bigint) as n from changed where length(word) >= 7 group by word having sum(times) >= 2),
+    shorter as (
+      select word, n, place, left(word, place - 1) || substr(word, place + 1) as less
+      from (select word, n, unnest(range(1, length(word) + 1)) as place from words)
+    ),
+    near as (
+      select distinct a.word as word, b.word as other, b.n as other_n from shorter a join shorter b using (less, place) where a.word <> b.word
+      union select word, less, w.n from shorter join (select word as less, n from words) w using (less)
+      union select w.word, s.word, s.n from shorter s join words w on s.less = w.word
+    ),
+    ranked as (
+      select word, other, other_n, count(*) over (partition by word) as n_near,
+        row_number() over (partition by word order by other_n desc, other) as place
+      from near
+    ),
+    forms as (
+      select w.word, w.n, coalesce(n_near, 0) as n_near,
+        case when other_n >= 10 * w.n then other end as form, case when other_n >= 10 * w.n then other_n end as form_n
+      from words w left join (select * from ranked where place = 1) r using (word)
+    ),
+    walked as (
+      select word, word as root, 0 as steps from forms
+      union all select walked.word, form, steps + 1 from walked join forms on forms.word = root where form is not null
+    )
+    select word, n, n_near, form, form_n, root from forms join (
+      select word, arg_max(root, steps) as root from walked group by word
+    ) using (word)"""

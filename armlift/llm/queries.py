@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from armlift.llm.bpe import op3_encode_documents
+from armlift.llm.caps import op12_link_near_vectors
 from armlift.llm.fingerprints import op9_fingerprint_documents
 from armlift.llm.lm import op2_score_texts
 from armlift.llm.mixing import op7_mix_documents
@@ -12,7 +13,9 @@ from armlift.llm.neighbours import op6_nearest_neighbours
 from armlift.llm.pii import op5_find_personal_data
 from armlift.llm.quality import op8_score_quality
 from armlift.llm.repeats import op10_remove_repeats
+from armlift.llm.search import op11_rank_documents
 from armlift.llm.sharding import op1_shard_documents
+from armlift.llm.spelling import op13_group_spellings
 
 QUERIES = {
     "op1_shard_documents": op1_shard_documents,
@@ -25,5 +28,8 @@ QUERIES = {
     "op8_score_quality": op8_score_quality,
     "op9_fingerprint_documents": op9_fingerprint_documents,
     "op10_remove_repeats": op10_remove_repeats,
+    "op11_rank_documents": op11_rank_documents,
+    "op12_link_near_vectors": op12_link_near_vectors,
+    "op13_group_spellings": op13_group_spellings,
     "pipeline": corpus_pipeline.run,
 }
