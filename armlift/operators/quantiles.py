@@ -24,13 +24,11 @@ def approximate_quantiles(
     return {c: [float(v) for v in sketch[c] or []] for c in columns}
 
 
-def exact_quantiles(df: DataFrame, columns: tuple[str, ...], probabilities: list[float]) -> DataFrame:
-    """(feature, probability, value): smallest value whose rank covers the probability.
+def counted_parts(df: DataFrame, columns: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(feature, part, value, n) and (feature, part, part_n, before, total): values counted by range partition.
 
-    Values are counted first, so a value held by very many rows is one row from
-    then on. The distinct values are range-partitioned, the partition that holds
-    each cut follows from the partition totals, and only those partitions are
-    ranked: no task sees a whole column.
+    ``feature`` is the place in ``columns``. Values are counted first, so a value held by very
+    many rows is one row from then on; ``before`` counts the values of the partitions before.
     """
     pairs = ", ".join(f"cast({name(c)} as double)" for c in columns)
     values = df.selectExpr(f"posexplode(array({pairs})) as (feature, value)")
@@ -43,6 +41,34 @@ def exact_quantiles(df: DataFrame, columns: tuple[str, ...], probabilities: list
         group(parts, ["feature", "part"], {"part_n": "sum(n)"}),
         {"before": f"coalesce(sum(part_n) {earlier}, 0L)", "total": "sum(part_n) over (partition by feature)"},
     )
+    return parts, totals
+
+
+def even_edges(df: DataFrame, columns: tuple[str, ...], n_buckets: int) -> dict[str, list[float]]:
+    """Exact edges of many buckets: the distinct values whose rank covers a multiple of 1 / ``n_buckets``.
+
+    The multiples that a value covers follow from the counts before it and up to it, so the
+    work does not grow with the number of buckets.
+    """
+    inside = "over (partition by feature, part order by value rows between unbounded preceding and current row)"
+    parts, totals = counted_parts(df, columns)
+    # totals has one row per feature and range partition
+    upto = derive(parts.join(F.broadcast(totals), ["feature", "part"]), {"upto": f"before + sum(n) {inside}"})
+    covered = lambda rank: f"least(({rank}) * {n_buckets} div total, {n_buckets - 1})"
+    rows = upto.filter(f"{covered('upto')} > {covered('upto - n')}").select("feature", "value").collect()
+    found: dict[str, list[float]] = {c: [] for c in columns}
+    for row in rows:
+        found[columns[row["feature"]]].append(row["value"])
+    return {c: sorted(v) for c, v in found.items()}
+
+
+def exact_quantiles(df: DataFrame, columns: tuple[str, ...], probabilities: list[float]) -> DataFrame:
+    """(feature, probability, value): smallest value whose rank covers the probability.
+
+    The distinct values are range-partitioned, the partition that holds each cut follows
+    from the partition totals, and only those partitions are ranked: no task sees a whole column.
+    """
+    parts, totals = counted_parts(df, columns)
     # the rank is n - floor(n - p n), at least 1: rounding up without the error of p n
     rank = "greatest(1L, total - cast(floor(total - probability * total) as bigint))"
     cuts = (

@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from armlift.functions.numeric import derive, each, group, literal, name, pick
 from armlift.functions.units import unit_uniform
-from armlift.operators.quantiles import edges_of, exact_quantiles
+from armlift.operators.boosting import Forest, TreeSettings, fit_forest
+from armlift.operators.quantiles import edges_of, even_edges, exact_quantiles
 from armlift.schema import Roles
 
+# rows that are walked through the trees at a time
+SCORED_ROWS = 50_000
+
 
 def sample_units(df: DataFrame, rows: int, roles: Roles = Roles(), salt: str = "sample") -> DataFrame:
     """About ``rows`` units (all if there are fewer), chosen by the hash of the unit id."""
@@ -48,88 +49,58 @@ def split_units(
 
 
 @dataclass(frozen=True)
-class TreeSettings:
-    """Boosting settings; depth 5 is the closest to trees of 31 leaves.
+class TLearner:
+    """One forest with a model for every (metric, arm)."""
 
-    ``partitions`` is the number of tasks the rows of an arm are dealt to by their unit id.
-    Row samples are drawn per task, so the fitted trees depend on it and on nothing else
-    about the layout. ``calibration_share`` of the rows is held out of the trees.
-    """
+    forest: Forest
+    roles: Roles = field(default_factory=Roles)
 
-    n_trees: int = 400
-    step: float = 0.05
-    depth: int = 5
-    min_leaf: int = 200
-    row_share: float = 0.8
-    feature_share: float = 0.8
-    bins: int = 255
-    partitions: int = 8
-    calibration_share: float = 0.2
+    def score(self, df: DataFrame) -> DataFrame:
+        """Add ``uplift_<metric>`` = P(y = 1 | x, treated) - P(y = 1 | x, control), and both parts ``p1_``, ``p0_``."""
+        forest, roles = self.forest, self.roles
+        places = [df.columns.index(f) for f in forest.features]
+        parts = [f"p{arm}_{roles.metrics[metric]}" for metric, arm in forest.models]
 
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for held in in_large_batches(batches, SCORED_ROWS):
+                columns = [held.column(i).cast(pa.float64()).fill_null(np.nan).to_numpy() for i in places]
+                chances = 1 / (1 + np.exp(-forest.margins(columns)))
+                yield pa.RecordBatch.from_arrays([*held.columns, *map(pa.array, chances)], [*held.schema.names, *parts])
 
-@dataclass(frozen=True)
-class TLearner:
-    """Fitted models by (metric, arm)."""
+        schema = StructType([*df.schema.fields, *[StructField(p, DoubleType()) for p in parts]])
+        return derive(df.mapInArrow(scored, schema), {f"uplift_{m}": f"{name(f'p1_{m}')} - {name(f'p0_{m}')}" for m in roles.metrics})
 
-    models: dict[tuple[str, int], PipelineModel]
-    roles: Roles = field(default_factory=Roles)
 
-    def score(self, df: DataFrame) -> DataFrame:
-        """Add ``uplift_<metric>`` = P(y = 1 | x, treated) - P(y = 1 | x, control), and both parts."""
-        for (metric, arm), model in self.models.items():
-            keep = df.columns
-            df = model.transform(df)
-            df = df.select(*keep, vector_to_array("probability")[1].alias(f"p{arm}_{metric}"))
-        return derive(df, {f"uplift_{m}": f"{name(f'p1_{m}')} - {name(f'p0_{m}')}" for m in self.roles.metrics})
-
-
-def fit_arm(
-    train: DataFrame, metric: str, arm: int, settings: TreeSettings, seed: int, roles: Roles
-) -> PipelineModel:
-    """Boosted trees on one arm, then a logistic fit of the outcome on their margin for held-out rows.
-
-    The boosting starts from margin 0, not from the base rate, so its probabilities
-    are off by an amount that differs between arms of different size; the logistic
-    step brings both arms to their own rate before they are subtracted. It uses rows that
-    no tree has seen, as margins of rows that grew the trees are too far apart. The rows
-    are dealt and sorted by unit id, so they meet the same task in every run.
-    """
-    rows = train.filter(F.col(roles.treatment) == arm).withColumn("label", F.col(metric).cast("double"))
-    dealt = rows.repartition(settings.partitions, roles.unit_id).sortWithinPartitions(roles.unit_id)
-    held_out = f"{unit_uniform(roles.unit_id, 'calibration')} < {literal(settings.calibration_share)}"
-    trees = Pipeline(
-        stages=[
-            VectorAssembler(inputCols=list(roles.features), outputCol="features", handleInvalid="keep"),
-            GBTClassifier(
-                maxIter=settings.n_trees,
-                stepSize=settings.step,
-                maxDepth=settings.depth,
-                minInstancesPerNode=settings.min_leaf,
-                subsamplingRate=settings.row_share,
-                featureSubsetStrategy=str(settings.feature_share),
-                maxBins=settings.bins,
-                checkpointInterval=10,
-                seed=seed,
-            ),
-        ]
-    ).fit(dealt.filter(f"not ({held_out})"))
-    # the fitted model names its outputs through setters
-    trees.stages[-1].setRawPredictionCol("tree_margin").setProbabilityCol("tree_probability").setPredictionCol("tree_class")
-    calibration = LogisticRegression(featuresCol="tree_margin", predictionCol="class", rawPredictionCol="margin")
-    # the margin vector holds -f and f; their logistic fit is a fit on f
-    return PipelineModel([*trees.stages, calibration.fit(trees.transform(dealt.filter(held_out)).select("tree_margin", "label"))])
+def in_large_batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about this many rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
+def feature_edges(train: DataFrame, bins: int, roles: Roles = Roles()) -> dict[str, list[float]]:
+    """Cut points of up to ``bins`` bins per feature: exact quantiles of the training rows."""
+    return even_edges(train, roles.features, bins)
 
 
 def fit_t_learner(
-    train: DataFrame, settings: TreeSettings = TreeSettings(), seed: int = 6, roles: Roles = Roles()
+    train: DataFrame,
+    settings: TreeSettings = TreeSettings(),
+    seed: int = 6,
+    roles: Roles = Roles(),
+    edges: dict[str, list[float]] | None = None,
 ) -> TLearner:
-    """Fit every (metric, arm) model; the fits are separate Spark jobs and run side by side."""
-    wanted = [(metric, arm) for metric in roles.metrics for arm in (0, 1)]
-    fit = inheritable_thread_target(train.sparkSession)(
-        lambda key: (key, fit_arm(train, *key, settings, seed, roles))
+    """Fit the models of all metrics and arms together; ``edges`` are the bins of the features, quantiles by default."""
+    edges = feature_edges(train, settings.bins, roles) if edges is None else edges
+    return TLearner(
+        fit_forest(train, roles.features, roles.treatment, roles.metrics, roles.unit_id, edges, settings, seed), roles
     )
-    with ThreadPool(len(wanted)) as pool:
-        return TLearner(dict(pool.map(fit, wanted)), roles)
 
 
 def calibration(scored: DataFrame, roles: Roles = Roles()) -> DataFrame:

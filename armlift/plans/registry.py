@@ -39,6 +39,15 @@ ROLES = Roles()
 COARSE_VECTOR = ("f1", "f3", "f4", "f5", "f11")
 # leaves of 200 units, the default, would leave no tree on a few thousand
 QUERY_TREES = uplift.TreeSettings(min_leaf=20)
+# a small fit that SQL can repeat: stumps on given bins, all rows and features in every round
+STUMPS = uplift.TreeSettings(n_trees=3, step=0.3, leaves=2, min_leaf=50, row_share=1.0, feature_share=1.0)
+STUMP_EDGES = {
+    **{f: [] for f in ROLES.features},
+    "f0": [100_000.0, 200_000.0, 250_000.0, 300_000.0, 400_000.0],
+    "f2": [0.0, 2500.0, 5000.0, 7500.0],
+    "f4": [1.0, 2.0, 3.0, 4.0],
+    "f9": [40_000.0, 60_000.0, 80_000.0],
+}
 
 QUERIES: dict[str, Query] = {}
 DIGITS: dict[str, dict[int, tuple[str, ...]]] = {}
@@ -570,17 +579,11 @@ def _(spark, folder):
     )
 
 
-SCORED: dict[tuple[str, str], DataFrame] = {}
-
-
 def scored_test_units(spark: SparkSession, folder: str) -> DataFrame:
-    """Scores of the test half, fitted once per application and folder for the queries that read them."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in SCORED:
-        units = stored(uplift.split_units(clean_units(spark, folder)))
-        model = uplift.fit_t_learner(units.filter(~F.col("is_test")), QUERY_TREES)
-        SCORED[key] = stored(model.score(units.filter("is_test")))
-    return SCORED[key]
+    """Scores of the test half by the model of the other half."""
+    units = stored(uplift.split_units(clean_units(spark, folder)))
+    model = uplift.fit_t_learner(units.filter(~F.col("is_test")), QUERY_TREES)
+    return stored(model.score(units.filter("is_test")))
 
 
 @query("uplift_scores", {6: ("uplift_visit", "uplift_conversion")})
@@ -589,6 +592,14 @@ def _(spark, folder):
     return scored_test_units(spark, folder).select(*columns)
 
 
+@query("uplift_stump_scores", {9: ("uplift_visit", "uplift_conversion")})
+def _(spark, folder):
+    """Scores of a fit small enough to be repeated in SQL."""
+    units = stored(uplift.split_units(clean_units(spark, folder)))
+    model = uplift.fit_t_learner(units.filter(~F.col("is_test")), STUMPS, edges=STUMP_EDGES)
+    return model.score(units.filter("is_test")).select("unit_id", "uplift_visit", "uplift_conversion")
+
+
 @query("uplift_calibration", {6: ("observed", "predicted")})
 def _(spark, folder):
     return uplift.calibration(scored_test_units(spark, folder))

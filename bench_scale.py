@@ -28,7 +28,7 @@ from armlift.sources.order_experiment import COLUMNS, order_experiment, planted
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     copies = int(sys.argv[2]) if len(sys.argv) > 2 else 93
-    trees = int(sys.argv[3]) if len(sys.argv) > 3 else 10
+    trees = int(sys.argv[3]) if len(sys.argv) > 3 else 400
     folder = tempfile.mkdtemp(prefix="armlift-scale-")
     spark = (
         SparkSession.builder.master(f"local[{os.environ.get('BENCH_CPUS', '8')}]")
@@ -76,7 +76,7 @@ def main() -> None:
     timed("power", lambda: steps.measure_power(table(), roles))
     timed("compliance", lambda: steps.measure_compliance(table(), roles))
     timed("segments", lambda: steps.compare_segments(table(), roles))
-    timed("uplift", lambda: steps.model_uplift(table(), roles, settings=TreeSettings(n_trees=trees, step=0.3)))
+    timed("uplift", lambda: steps.model_uplift(table(), roles, settings=TreeSettings(n_trees=trees)))
     print(json.dumps({"units": stored_raw.count(), "trees": trees, "seconds": times}))
     spark.stop()
 

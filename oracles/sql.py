@@ -6,7 +6,7 @@ not share a formula with the library.
 
 from __future__ import annotations
 
-from armlift.plans.registry import COARSE_VECTOR, DIGITS, ROLES
+from armlift.plans.registry import COARSE_VECTOR, DIGITS, ROLES, STUMP_EDGES, STUMPS
 
 FEATURES = [f"f{i}" for i in range(12)]
 BINARY = ["treatment", "conversion", "visit", "exposure"]
@@ -600,6 +600,7 @@ def plain() -> dict[str, str]:
         q[name] = sql(
             "select treatment, is_test, count(*) n, sum(unit_id % 1000003)::bigint id_sum from split group by treatment, is_test", parts
         )
+    q["uplift_stump_scores"] = stump_scores()
     published = {
         "ab": ("lift", {"rate_c": "rate_control", "rate_t": "rate_treatment", "abs": "abs_lift", "rel": "rel_lift", "z": "z", "p": "p_value"}),
         "cace": (
@@ -639,6 +640,47 @@ def plain() -> dict[str, str]:
     return q
 
 
+def stump_scores() -> str:
+    """Boosted stumps of every metric and arm, three rounds of best cut and leaf values, on the test half."""
+    halves = f"split as (select *, {uniform('split')} < 0.5e0 is_test from units)"
+    grain, ctes, cuts = "16777216e0", [halves], [(f, e) for f, edges in STUMP_EDGES.items() for e in edges]
+    ctes.append(f"cuts as (select * from (values {', '.join(f'({i}, {e!r}e0)' for i, (_, e) in enumerate(cuts))}) c(cut, edge))")
+    scored = []
+    for m in METRICS:
+        for arm in (0, 1):
+            k = f"{m}_{arm}"
+            rows = f"(select *, {m} y from split where treatment = {arm} and not is_test)"
+            margin = f"(select ln(avg(y) / (1 - avg(y))) from {rows})"
+            ctes.append(f"{k}_0 as materialized (select unit_id, {', '.join(STUMP_EDGES)}, treatment, is_test, {m} y, {margin} margin from split)")
+            for r in range(STUMPS.n_trees):
+                now, best = f"{k}_{r}", f"{k}_best_{r}"
+                train = f"(select *, 1 / (1 + exp(-margin)) p from {now} where treatment = {arm} and not is_test)"
+                ctes.append(
+                    f"{now}_g as materialized (select *, round_even((p - y) * {grain}, 0) g, round_even(p * (1 - p) * {grain}, 0) h from {train})"
+                )
+                sides = [
+                    f"select {i} cut, {f} <= {e!r}e0 went, sum(g) / {grain} g, sum(h) / {grain} h, count(*) n from {now}_g group by 2"
+                    for i, (f, e) in enumerate(cuts)
+                ]
+                ctes.append(f"{now}_sides as ({' union all '.join(sides)})")
+                ctes.append(
+                    f"""{best} as materialized (
+                      select a.cut, -a.g / a.h * {STUMPS.step} low, -b.g / b.h * {STUMPS.step} high
+                      from {now}_sides a join {now}_sides b on a.cut = b.cut and a.went and not b.went
+                      where least(a.n, b.n) >= {STUMPS.min_leaf}
+                      order by a.g * a.g / a.h + b.g * b.g / b.h desc, a.cut limit 1)"""
+                )
+                went = "case (select cut from " + best + ") " + " ".join(f"when {i} then {f} <= {e!r}e0" for i, (f, e) in enumerate(cuts)) + " end"
+                ctes.append(
+                    f"{k}_{r + 1} as materialized (select * replace (margin + case when {went} then (select low from {best}) "
+                    f"else (select high from {best}) end as margin) from {now})"
+                )
+            scored.append(f"(select unit_id, 1 / (1 + exp(-margin)) p_{k} from {k}_{STUMPS.n_trees} where is_test) {k}")
+    joined = scored[0] + "".join(f" join {s} using (unit_id)" for s in scored[1:])
+    chosen = ", ".join(f"p_{m}_1 - p_{m}_0 uplift_{m}" for m in METRICS)
+    return sql(f"select unit_id, {chosen} from {joined}", *ctes)
+
+
 def oracles() -> dict[str, str]:
     """Query name to SQL text, rounded like the registered query."""
     out = {}

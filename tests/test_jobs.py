@@ -149,6 +149,11 @@ def test_exact_quantiles_of_a_column_dominated_by_one_value(spark):
     assert found == {0.001: ordered[0], 0.005: ordered[4], 0.5: 7.0, 0.99: ordered[989], 1.0: 99.0}
 
 
+def test_even_edges_are_the_exact_quantiles(units):
+    for n in (2, 5, 40):
+        assert quantiles.even_edges(units, ROLES.features, n) == quantiles.bucket_edges(units, ROLES.features, n, error=0)
+
+
 def test_sample_and_split(units):
     sample = uplift.sample_units(units, 5000)
     assert abs(sample.count() - 5000) < 4 * np.sqrt(5000)
