@@ -10,6 +10,7 @@ still reach the threshold. Vectors that share a filter are compared in double pr
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,17 +24,20 @@ from armlift.llm.tables import map_batches
 from armlift.llm.tiles import block_pairs, in_runs, runs
 from armlift.session import stored
 
-# 16 codes of 256 x 256 directions, 4 passed of each on average: a random pair at cosine 0.93
-# shares 25 filters in the median and none with probability below 1 in 4,000; at 0.95 and
-# above none of 4,000 pairs was missed; an unrelated pair shares one with probability 0.004
+# 16 codes, 4 filters passed of each on average: with 256 directions a part a random pair at
+# cosine 0.93 shares 25 filters in the median and none with probability below 1 in 4,000; at 0.95
+# and above none of 4,000 pairs was missed; an unrelated pair shares one with probability 0.004
 CODES = 16
-DIRECTIONS = 256
 PASSED = 4
+# directions of a part: filters grow with the rows so that unrelated rows stay apart; the upper
+# end bounds the work of decoding
+FEWEST, MOST = 256, 2048
+ROWS_FACTOR = 16
 # shorter vectors have one part
 SPLIT_LENGTH = 8
 BLOCK_ROWS = 1000
-# vectors decoded at a time
-DECODED = 250
+# products of vectors and directions held at a time
+DECODED = 64_000
 
 
 @dataclass(frozen=True)
@@ -42,31 +46,35 @@ class Code:
 
     parts: list[list[np.ndarray]]
     threshold: float
+    directions: int
 
     @classmethod
-    def of(cls, length: int, seed: int = 12) -> Code:
+    def of(cls, length: int, least_cosine: float = 0.93, directions: int = FEWEST, seed: int = 12) -> Code:
         rng, parts = np.random.default_rng([seed, length]), []
         for _ in range(CODES):
             rotation = np.linalg.qr(rng.standard_normal((length, length)))[0]
             cuts = np.array_split(rotation, 2) if length >= SPLIT_LENGTH else [rotation]
             lists = []
             for cut in cuts:
-                directions = rng.standard_normal((DIRECTIONS, len(cut)))
-                directions /= np.linalg.norm(directions, axis=1)[:, None] * np.sqrt(len(cuts))
-                lists.append(directions @ cut)
+                some = rng.standard_normal((directions, len(cut)))
+                some /= np.linalg.norm(some, axis=1)[:, None] * np.sqrt(len(cuts))
+                lists.append(some @ cut)
             parts.append(lists)
-        # the threshold that random vectors reach PASSED times on average
-        trial = rng.standard_normal((64, length))
+        # the threshold that random vectors reach PASSED times on average; in few dimensions a cap
+        # must be wide enough for two vectors at the least cosine
+        trial = rng.standard_normal((16, length))
         trial /= np.linalg.norm(trial, axis=1)[:, None]
         products = [trial @ p.T for p in parts[0]]
         sums = products[0] if len(products) == 1 else products[0][:, :, None] + products[1][:, None, :]
-        return cls(parts, float(np.partition(sums.ravel(), -64 * PASSED)[-64 * PASSED]))
+        reached = float(np.partition(sums.ravel(), -16 * PASSED)[-16 * PASSED])
+        return cls(parts, min(reached, least_cosine), directions)
 
     def passed(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of all filters that unit vectors pass, the best of each code always among them."""
         rows, filters = [], []
-        for start in range(0, len(units), DECODED):
-            some = units[start : start + DECODED]
+        step = max(1, DECODED // self.directions)
+        for start in range(0, len(units), step):
+            some = units[start : start + step]
             for number, lists in enumerate(self.parts):
                 first = some @ lists[0].T
                 second = some @ lists[1].T if len(lists) > 1 else np.zeros((len(some), 1))
@@ -76,7 +84,7 @@ class Code:
                 row, a = np.nonzero(first >= (limit - second.max(axis=1))[:, None])
                 at, b = np.nonzero(second[row] >= (limit[row] - first[row, a])[:, None])
                 rows.append(start + row[at])
-                filters.append((number * DIRECTIONS + a[at]) * second.shape[1] + b)
+                filters.append((number * self.directions + a[at]) * second.shape[1] + b)
         return np.concatenate(rows), np.concatenate(filters)
 
 
@@ -94,10 +102,13 @@ def unit_rows(column: pa.Array) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1)[:, None]
 
 
-def with_filters(classes: DataFrame) -> DataFrame:
+def with_filters(classes: DataFrame, least_cosine: float) -> DataFrame:
     """(class, label, filter) of all filters that the vectors pass; filters of two lengths are never equal."""
-    lengths = [r[0] for r in classes.selectExpr("size(v) as length").distinct().collect()]
-    codes = {length: Code.of(length) for length in lengths}
+    lengths = classes.groupBy(F.expr("size(v)").alias("length")).agg(F.count(F.lit(1)).alias("n")).collect()
+    codes = {
+        length: Code.of(length, least_cosine, min(MOST, max(FEWEST, 2 ** math.ceil(math.log2(ROWS_FACTOR * n) / 2))))
+        for length, n in lengths
+    }
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +210,7 @@ def near_vectors(vectors: DataFrame, least_cosine: float = 0.93) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("first_id"))
         .withColumn("class", F.monotonically_increasing_id())
     )
-    passed = stored(with_filters(classes))
+    passed = stored(with_filters(classes, least_cosine))
     paired, partitions = block_pairs(passed, ["label", "filter"], ["class"], BLOCK_ROWS)
     found = stored(linked_in_runs(paired, classes, least_cosine, partitions))
     groups = components(found.selectExpr("class as a", "root as b"))
