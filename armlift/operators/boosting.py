@@ -1,9 +1,10 @@
 """Boosted trees of several models at once, grown best first from histograms of binned features.
 
 The training rows are binned once and dealt to tasks as blocks of small integers. One job per
-round sums, for all models together, the gradients per (model, node, feature, bin) of the
-nodes that need it; of two children only the smaller one is summed, the other is the
-difference to their parent. Only these sums reach the driver, which picks the splits. Row and
+round sums, for all models together, the gradients per (model, tree, node, feature, bin) of
+the nodes that need it; of two children only the smaller one is summed, the other is the
+difference to their parent. A few trees of a model grow side by side from the same gradients,
+each on its own sample of rows and features, which divides the number of jobs. Only these sums reach the driver, which picks the splits. Row and
 feature samples depend on the unit and the tree, and sums are sums of whole numbers, so the
 fitted trees do not depend on how the rows are dealt.
 """
@@ -38,11 +39,12 @@ class TreeSettings:
     """Boosting settings.
 
     Trees grow best first to ``leaves`` leaves; no leaf lies deeper than ``depth``, which bounds the
-    jobs of a tree. A task holds at most ``task_rows`` training rows, and fewer where cores are
+    jobs of a tree, and ``at_once`` trees share the gradients they are grown from. A task holds at most ``task_rows`` training rows, and fewer where cores are
     free, down to ``least_rows``.
     """
 
     n_trees: int = 400
+    at_once: int = 4
     step: float = 0.05
     leaves: int = 31
     depth: int = 7
@@ -51,7 +53,7 @@ class TreeSettings:
     feature_share: float = 0.8
     bins: int = 255
     task_rows: int = 50_000
-    least_rows: int = 8_000
+    least_rows: int = 16_000
 
 
 @dataclass
@@ -110,36 +112,37 @@ class Block:
                         margins[metric, rows] += tree.value[node]
         return Block(self.arm, self.codes, self.units, self.outcomes, margins)
 
-    def sums(self, plan: Plan) -> list[np.ndarray | None]:
-        """Per model, (wanted node, bin of all features, gradient and hessian and rows)."""
-        kept = mixed_units(self.units, plan.seed, plan.number) < np.uint64(min(plan.row_share * 2.0**64, 2.0**64 - 2048))
-        if plan.row_share >= 1:
-            kept[:] = True
-        found: list[np.ndarray | None] = []
-        for tree, wanted, (metric, arm) in zip(plan.trees, plan.wanted, plan.models):
-            if arm != self.arm or not wanted:
-                found.append(None)
-                continue
+    def sums(self, plans: list[Plan], models: list[tuple[int, int]]) -> list[np.ndarray | None]:
+        """Per tree and model, (wanted node, bin of all features, gradient and hessian and rows)."""
+        weights = {}
+        for metric in {metric for metric, arm in models if arm == self.arm}:
             chance = 1 / (1 + np.exp(-self.margins[metric]))
             gradient = np.rint((chance - self.outcomes[metric]) / GRADIENT_STEP)
-            hessian = np.rint(chance * (1 - chance) / GRADIENT_STEP)
-            usable = kept & (self.outcomes[metric] >= 0)
-            place = {node: i for i, node in enumerate(wanted)}
-            cells = np.zeros((3, len(wanted) * plan.n_bins))
-            for node, rows in tree.parted(self.goes_left, len(self.units), set(wanted)):
-                rows = rows[usable[rows]]
-                codes = (self.codes[plan.features][:, rows] + plan.starts[:, None]).ravel()
-                mine = slice(place[node] * plan.n_bins, (place[node] + 1) * plan.n_bins)
-                for line, weight in zip(cells, (gradient, hessian, None)):
-                    repeated = None if weight is None else np.tile(weight[rows], len(plan.features))
-                    line[mine] = np.bincount(codes, repeated, plan.n_bins)
-            found.append(cells.reshape(3, len(wanted), plan.n_bins).transpose(1, 2, 0))
+            weights[metric] = gradient, np.rint(chance * (1 - chance) / GRADIENT_STEP), self.outcomes[metric] >= 0
+        found: list[np.ndarray | None] = []
+        for plan in plans:
+            kept = plan.sampled(self.units)
+            # one row of bin numbers per unit, counted through over the features of the tree
+            bins = np.ascontiguousarray(self.codes[plan.features].T.astype(np.intp) + plan.starts)
+            for tree, wanted, (metric, arm) in zip(plan.trees, plan.wanted, models):
+                if arm != self.arm or not wanted:
+                    found.append(None)
+                    continue
+                gradient, hessian, known = weights[metric]
+                usable, place = kept & known, {node: i for i, node in enumerate(wanted)}
+                parts = [(place[node], rows[usable[rows]]) for node, rows in tree.parted(self.goes_left, len(self.units), set(wanted))]
+                rows = np.concatenate([r for _, r in parts]) if parts else np.empty(0, np.intp)
+                first = np.repeat([i * plan.n_bins for i, _ in parts], [len(r) for _, r in parts]).astype(np.intp)
+                at = (bins[rows] + first[:, None]).ravel()
+                repeated = [None if w is None else np.repeat(w[rows], len(plan.features)) for w in (gradient, hessian, None)]
+                cells = np.stack([np.bincount(at, w, len(wanted) * plan.n_bins) for w in repeated]).astype(np.float64)
+                found.append(cells.reshape(3, len(wanted), plan.n_bins).transpose(1, 2, 0))
         return found
 
 
 @dataclass(frozen=True)
 class Plan:
-    """What one round sums: the nodes of each model's tree, over the features of the tree."""
+    """What one round sums for one tree of every model: the wanted nodes, over the features of the tree."""
 
     number: int
     seed: int
@@ -147,10 +150,14 @@ class Plan:
     features: np.ndarray
     starts: np.ndarray
     n_bins: int
-    models: list[tuple[int, int]]
     trees: list[Tree]
     wanted: list[list[int]]
 
+    def sampled(self, units: np.ndarray) -> np.ndarray:
+        if self.row_share >= 1:
+            return np.ones(len(units), bool)
+        return mixed_units(units, self.seed, self.number) < np.uint64(self.row_share * 2.0**64)
+
 
 def mixed_units(units: np.ndarray, seed: int, number: int) -> np.ndarray:
     """A 64-bit hash of (unit, seed, tree)."""
@@ -198,36 +205,39 @@ class Growth:
 
     def take(self, nodes: list[int], cells: np.ndarray) -> None:
         """Receive the sums of the wanted nodes; their siblings follow by difference."""
+        fresh = []
         for node, mine in zip(nodes, cells):
             self.cells[node] = mine
+            fresh.append(node)
             if node:
                 parent = self.pending.pop(node)
                 other = self.tree.left[parent] + self.tree.right[parent] - node
                 self.cells[other] = self.cells.pop(parent) - mine
-                self.splits[other] = self.best_split(other)
+                fresh.append(other)
             else:
                 self.totals[0] = mine[: self.starts[1]].sum(axis=0)
-            self.splits[node] = self.best_split(node)
-
-    def best_split(self, node: int) -> tuple | None:
-        """(gain, feature, last bin that goes left, totals of the left side); ties to the first feature and bin."""
-        total, least = self.totals[node], self.settings.min_leaf
-        if total[2] < 2 * least:
-            return None
-        running = np.cumsum(self.cells[node], axis=0)
-        before = np.concatenate([np.zeros((1, 3)), running])[self.starts[:-1]]
-        left = running - np.repeat(before, np.diff(self.starts), axis=0)
-        right = total - left
-        gl, hl, gr, hr = (x[:, i] * GRADIENT_STEP for x in (left, right) for i in (0, 1))
-        ok = (left[:, 2] >= least) & (right[:, 2] >= least) & (hl >= LEAST_HESSIAN) & (hr >= LEAST_HESSIAN)
-        gain = np.full(len(left), -np.inf)
+        self.splits |= zip(fresh, self.best_splits(fresh))
+
+    def best_splits(self, nodes: list[int]) -> list[tuple | None]:
+        """(gain, feature, last bin that goes left, totals of the left side) of each node; ties to the first feature and bin."""
+        least, totals = self.settings.min_leaf, np.stack([self.totals[n] for n in nodes])
+        running = np.cumsum(np.stack([self.cells[n] for n in nodes]), axis=1)
+        before = np.concatenate([np.zeros((len(nodes), 1, 3)), running], axis=1)[:, self.starts[:-1]]
+        left = running - np.repeat(before, np.diff(self.starts), axis=1)
+        right = totals[:, None, :] - left
+        gl, hl, gr, hr = (x[:, :, i] * GRADIENT_STEP for x in (left, right) for i in (0, 1))
+        ok = (left[:, :, 2] >= least) & (right[:, :, 2] >= least) & (hl >= LEAST_HESSIAN) & (hr >= LEAST_HESSIAN)
+        gain = np.full(ok.shape, -np.inf)
         gain[ok] = gl[ok] * gl[ok] / hl[ok] + gr[ok] * gr[ok] / hr[ok]
-        at = int(gain.argmax())
-        g, h = total[0] * GRADIENT_STEP, total[1] * GRADIENT_STEP
-        if not ok[at] or gain[at] - g * g / h <= LEAST_GAIN:
-            return None
-        which = int(np.searchsorted(self.starts, at, side="right")) - 1
-        return float(gain[at] - g * g / h), int(self.features[which]), at - int(self.starts[which]), left[at]
+        found: list[tuple | None] = []
+        for i, at in enumerate(gain.argmax(axis=1).tolist()):
+            g, h = totals[i, 0] * GRADIENT_STEP, totals[i, 1] * GRADIENT_STEP
+            if not ok[i, at] or gain[i, at] - g * g / h <= LEAST_GAIN:
+                found.append(None)
+                continue
+            which = int(np.searchsorted(self.starts, at, side="right")) - 1
+            found.append((float(gain[i, at] - g * g / h), int(self.features[which]), at - int(self.starts[which]), left[i, at]))
+        return found
 
     def chosen(self) -> list[int]:
         """Nodes that best-first growth splits, as far as their gains are known."""
@@ -397,30 +407,30 @@ def fit_forest(
 
     level, rounds = StorageLevel.MEMORY_AND_DISK, []
     state, previous = base.map(started).persist(level), None
-    for number in range(settings.n_trees):
-        rng = np.random.default_rng([seed, number])
-        n_used = max(1, int(settings.feature_share * len(features)))
-        used = np.sort(rng.choice(len(features), n_used, replace=False))
-        growths = [Growth(settings, used, sizes[used]) for _ in models]
-        starts = np.concatenate([[0], np.cumsum(sizes[used])])
+    for first in range(0, settings.n_trees, settings.at_once):
+        numbers = range(first, min(first + settings.at_once, settings.n_trees))
+        used = [used_features(number, len(features), settings, seed) for number in numbers]
+        growths = [[Growth(settings, u, sizes[u]) for _ in models] for u in used]
         while True:
-            wanted = [g.wanted() for g in growths]
-            if not any(wanted):
+            wanted = [[g.wanted() for g in trees] for trees in growths]
+            if not any(w for of_tree in wanted for w in of_tree):
                 break
-            plan = Plan(
-                number, seed, settings.row_share, used, starts[:-1], int(starts[-1]), models, [g.tree for g in growths], wanted
-            )
-            summed = added_up(state.map(lambda block, plan=plan: block.sums(plan)), partitions)
-            for growth, nodes, cells in zip(growths, wanted, summed or [None] * len(models)):
+            plans = [
+                Plan(number, seed, settings.row_share, u, trees[0].starts[:-1], int(trees[0].starts[-1]), [g.tree for g in trees], w)
+                for number, u, trees, w in zip(numbers, used, growths, wanted)
+            ]
+            summed = added_up(state.map(lambda block, plans=plans: block.sums(plans, models)), partitions)
+            flat = [(g, w) for trees, of_tree in zip(growths, wanted) for g, w in zip(trees, of_tree)]
+            for (growth, nodes), cells in zip(flat, summed or [None] * len(flat)):
                 if nodes:
-                    growth.take(nodes, np.zeros((len(nodes), int(starts[-1]), 3)) if cells is None else cells)
-            # the first round of a tree has computed its margins from those of the tree before
+                    growth.take(nodes, np.zeros((len(nodes), int(growth.starts[-1]), 3)) if cells is None else cells)
+            # the first round of a tree has computed its margins from those of the trees before
             if previous is not None:
                 previous = previous.unpersist() and None
-        trees = [g.finished() for g in growths]
-        rounds.append(trees)
-        if len(rounds) % RENEWED:
-            following = state.map(lambda block, trees=trees: block.advanced([trees], models))
+        grown = [[g.finished() for g in trees] for trees in growths]
+        rounds += grown
+        if len(rounds) // RENEWED == (len(rounds) - len(grown)) // RENEWED:
+            following = state.map(lambda block, grown=grown: block.advanced(grown, models))
         else:
             so_far = list(rounds)
             following = base.map(lambda block, so_far=so_far: started(block).advanced(so_far, models))
@@ -431,6 +441,12 @@ def fit_forest(
     return Forest(features, edges, models, start, rounds)
 
 
+def used_features(number: int, n_features: int, settings: TreeSettings, seed: int) -> np.ndarray:
+    """Places of the features that a tree may use."""
+    n_used = max(1, int(settings.feature_share * n_features))
+    return np.sort(np.random.default_rng([seed, number]).choice(n_features, n_used, replace=False))
+
+
 def added_up(parts: RDD, partitions: int) -> list | None:
     """The sum of the blocks' sums; many partitions are added by tasks first."""
     if partitions > ADDED_AT_ONCE:

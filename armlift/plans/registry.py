@@ -40,7 +40,7 @@ COARSE_VECTOR = ("f1", "f3", "f4", "f5", "f11")
 # leaves of 200 units, the default, would leave no tree on a few thousand
 QUERY_TREES = uplift.TreeSettings(min_leaf=20)
 # a small fit that SQL can repeat: stumps on given bins, all rows and features in every round
-STUMPS = uplift.TreeSettings(n_trees=3, step=0.3, leaves=2, min_leaf=50, row_share=1.0, feature_share=1.0)
+STUMPS = uplift.TreeSettings(n_trees=3, at_once=1, step=0.3, leaves=2, min_leaf=50, row_share=1.0, feature_share=1.0)
 STUMP_EDGES = {
     **{f: [] for f in ROLES.features},
     "f0": [100_000.0, 200_000.0, 250_000.0, 300_000.0, 400_000.0],

@@ -64,8 +64,8 @@ def table(spark, n=1500, seed=1):
 
 
 @pytest.mark.parametrize("settings", [
-    TreeSettings(n_trees=4, step=0.3, leaves=6, min_leaf=20, row_share=1.0, feature_share=1.0),
-    TreeSettings(n_trees=3, step=0.1, leaves=31, depth=4, min_leaf=5, row_share=0.6, feature_share=0.75, task_rows=400),
+    TreeSettings(n_trees=4, at_once=1, step=0.3, leaves=6, min_leaf=20, row_share=1.0, feature_share=1.0),
+    TreeSettings(n_trees=5, at_once=2, step=0.1, leaves=31, depth=4, min_leaf=5, row_share=0.6, feature_share=0.75, task_rows=400),
 ])
 def test_forest_is_that_of_recounted_nodes(spark, settings):
     df = table(spark)
@@ -79,6 +79,7 @@ def test_forest_is_that_of_recounted_nodes(spark, settings):
         for metric in ROLES.metrics:
             y = part[metric].to_numpy(float)
             margin = np.full(len(y), np.log(y.mean() / (1 - y.mean())))
+            steps = []
             for number in range(settings.n_trees):
                 rng = np.random.default_rng([3, number])
                 used = np.sort(rng.choice(4, max(1, int(settings.feature_share * 4)), replace=False))
@@ -87,7 +88,11 @@ def test_forest_is_that_of_recounted_nodes(spark, settings):
                 m = model.forest.models.index((ROLES.metrics.index(metric), arm))
                 tree = model.forest.rounds[number][m]
                 assert sum(f < 0 for f in tree.feature) == leaves
-                margin = margin + step
+                steps.append(step)
+                if len(steps) == settings.at_once or number == settings.n_trees - 1:
+                    for step in steps:
+                        margin = margin + step
+                    steps = []
             assert np.allclose(found[f"p{arm}_{metric}"], 1 / (1 + np.exp(-margin)), rtol=1e-9)
 
 
@@ -101,7 +106,7 @@ def test_layout_does_not_change_the_trees(spark):
 
 
 def test_margins_renewed_from_the_stored_rows_are_the_same(spark, monkeypatch):
-    df, settings = table(spark, 400), TreeSettings(n_trees=5, leaves=4, min_leaf=10)
+    df, settings = table(spark, 400), TreeSettings(n_trees=5, at_once=2, leaves=4, min_leaf=10)
     once = uplift.fit_t_learner(df, settings, roles=ROLES, edges=EDGES).forest
     monkeypatch.setattr(boosting, "RENEWED", 2)
     assert uplift.fit_t_learner(df, settings, roles=ROLES, edges=EDGES).forest.rounds == once.rounds
