@@ -1,76 +1,96 @@
-"""Bootstrap interval of the capture shares, from counts per slice of the ranking."""
+"""Bootstrap interval of the capture shares, from Poisson weights of the units.
+
+Resampling n of n units with replacement gives every unit a count that is close to Poisson
+with mean 1, and independent of the others. The weights follow from a hash of unit and
+replicate, so every engine and every partitioning draws the same ones. Only sums per slice of
+the ranking leave the tasks.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from armlift.functions.numeric import derive, group
-from armlift.operators.bootstrap import block_generator, in_blocks, interval
+from armlift.functions.numeric import derive, each, group, literal, ratio, with_each_value
+from armlift.operators.bootstrap import interval
 from armlift.operators.ranking import TARGET_SHARES
 
+N_SLICES = 1000
+# replicates that one hash serves, with 32 bits each
+PER_HASH = 4
 # treated and control units, then the successes among each
-KINDS = ("t1", "t0", "c1", "c0")
+SUMS = {"n_t": "t", "n_c": "1 - t", "y_t": "y * t", "y_c": "y * (1 - t)"}
+
+
+def poisson_limits() -> list[int]:
+    """Cumulative probabilities of Poisson(1), as whole numbers of 32 bits, up to the last that differs from 1."""
+    limits, term, total = [], math.exp(-1), 0.0
+    for k in range(1, 20):
+        total += term
+        term /= k
+        limits.append(round(total * 2**32))
+        if limits[-1] >= 2**32 - 1:
+            break
+    return limits
+
 
+def poisson_weights(ranks: DataFrame, n_boot: int, salt: str) -> DataFrame:
+    """Add ``batch`` and ``w0`` to ``w3``: each unit once per four replicates, with its weight in each."""
+    last = (n_boot - 1) // PER_HASH
+    batches = ranks.selectExpr("*", f"explode(sequence(0, {last})) as batch")
+    digest = f"md5(concat_ws(':', {literal(salt)}, cast(unit_id as string), cast(batch as string)))"
+    hashed = derive(batches, {"digest": digest})
+    piece = lambda k: f"cast(conv(substring(digest, {1 + 8 * k}, 8), 16, 10) as bigint)"
+    drawn = derive(hashed, {f"u{k}": piece(k) for k in range(PER_HASH)})
+    steps = poisson_limits()
+    weight = lambda u: "case " + " ".join(f"when {u} < {c}L then {k}" for k, c in enumerate(steps)) + f" else {len(steps)} end"
+    return derive(drawn, {f"w{k}": weight(f"u{k}") for k in range(PER_HASH)})
 
-def ranking_slices(ranks: DataFrame, n_slices: int = 1000) -> DataFrame:
-    """(metric, slice, t1, t0, c1, c0): units per slice of equal rank width, arm and outcome.
 
-    Equal rank width keeps every slice equally large, whatever the scores look like.
-    """
-    placed = derive(ranks, {"slice": f"cast(floor((rank - 1) * {n_slices} / n) as int)"})
-    counts = {k: f"count_if(t = {int(k[0] == 't')} and y = {k[1]})" for k in KINDS}
-    return group(placed, ["metric", "slice"], counts)
+def slice_sums(ranks: DataFrame, n_boot: int, salt: str, n_slices: int = N_SLICES) -> DataFrame:
+    """(metric, replicate, slice, n_t, n_c, y_t, y_c): weighted sums per slice of equal rank width."""
+    placed = derive(ranks.drop("score"), {"slice": f"cast(floor((rank - 1) * {n_slices} / n) as int)"})
+    weighted = poisson_weights(placed.select("metric", "unit_id", "t", "y", "slice"), n_boot, salt)
+    wide = {f"{c}{k}": f"sum(w{k} * ({text}))" for k in range(PER_HASH) for c, text in SUMS.items()}
+    sums = group(weighted, ["metric", "slice", "batch"], wide)
+    rows = [
+        {"metric": "metric", "replicate": f"batch * {PER_HASH} + {k}", "slice": "slice", **{c: f"{c}{k}" for c in SUMS}}
+        for k in range(PER_HASH)
+    ]
+    return each(sums, rows).filter(f"replicate < {n_boot}")
 
 
-def captures_of(drawn: np.ndarray, shares: tuple[float, ...]) -> np.ndarray:
-    """Capture per replicate and share from drawn counts (replicate, slice, kind)."""
-    t1, t0, c1, c0 = (np.cumsum(drawn[:, :, i], axis=1) for i in range(4))
-    n_t, n_c = t1 + t0, c1 + c0
-    q = np.where(n_c > 0, t1 - c1 * (n_t / np.maximum(n_c, 1)), 0.0)
-    phi = (n_t + n_c) / (n_t + n_c)[:, -1:]
-    total = q[:, -1]
-    found = np.array([np.interp(shares, np.r_[0.0, p], np.r_[0.0, v]) for p, v in zip(phi, q)])
-    return np.where(total[:, None] > 0, found / np.where(total > 0, total, 1.0)[:, None], np.nan)
+def replicate_captures(sums: DataFrame, shares: tuple[float, ...] = TARGET_SHARES) -> DataFrame:
+    """(metric, replicate, share, capture): interpolated on the curve of each replicate; none without a positive total."""
+    within = "partition by metric, replicate"
+    upto = f"over ({within} order by slice rows between unbounded preceding and current row)"
+    running = sums.selectExpr(
+        "metric", "replicate", "slice", *[f"sum({c}) {upto} as {c}" for c in SUMS], f"sum(n_t + n_c) over ({within}) as n"
+    )
+    q = f"if(n_c > 0, y_t - y_c * {ratio('n_t', 'n_c')}, 0D)"
+    curve = running.selectExpr("metric", "replicate", "slice", f"{ratio('n_t + n_c', 'n')} as phi", f"{q} as q")
+    whole = f"over ({within} order by slice rows between unbounded preceding and unbounded following)"
+    steps = derive(
+        curve,
+        {
+            "phi_0": f"coalesce(lag(phi) over ({within} order by slice), 0D)",
+            "q_0": f"coalesce(lag(q) over ({within} order by slice), 0D)",
+            "total": f"last_value(q) {whole}",
+        },
+    )
+    at_share = f"(q_0 + {ratio('(q - q_0)', '(phi - phi_0)')} * (share - phi_0))"
+    pieces = with_each_value(steps.filter("total > 0"), "share", shares).filter("phi_0 < share and share <= phi")
+    return pieces.selectExpr("metric", "replicate", "share", f"{ratio(at_share, 'total')} as capture")
 
 
 def capture_bootstrap(
-    slices: DataFrame,
+    ranks: DataFrame,
     shares: tuple[float, ...] = TARGET_SHARES,
     n_boot: int = 200,
     seed: int = 6,
     level: float = 0.95,
-    block: int = 25,
 ) -> DataFrame:
-    """Percentile interval of the capture per metric and share.
-
-    Resampling all units with replacement makes the counts multinomial, so the
-    replicates are drawn from the slice counts; replicates without a positive total
-    are left out. One record per metric carries the slices, a fixed number of them.
-    """
-    kinds = ", ".join(KINDS)
-    in_order = f"array_sort(collect_list(struct(slice, array({kinds}) as counts)))"
-    packed = group(slices, ["metric"], {"counts": f"flatten(transform({in_order}, s -> s.counts))"})
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                cells = np.asarray(row.counts, dtype=float)
-                n = int(cells.sum())
-                drawn = block_generator(seed, row.metric, row.block).multinomial(n, cells / n, size=row.size)
-                found = captures_of(drawn.reshape(row.size, -1, len(KINDS)), shares)
-                yield pd.DataFrame(
-                    {
-                        "metric": row.metric,
-                        "replicate": np.repeat(row.block * block + np.arange(row.size), len(shares)),
-                        "share": np.tile(shares, row.size),
-                        "capture": found.ravel(),
-                    }
-                ).dropna()
-
-    schema = "metric string, replicate long, share double, capture double"
-    replicates = in_blocks(packed, n_boot, block).mapInPandas(draw, schema)
-    return group(replicates, ["metric", "share"], {"n_boot": "count(1)", **interval("capture", level)})
+    """Percentile interval of the capture per metric and share, over replicates of the ranked units."""
+    captures = replicate_captures(slice_sums(ranks, n_boot, f"capture{seed}"), shares)
+    return group(captures, ["metric", "share"], {"n_boot": "count(1)", **interval("capture", level)})

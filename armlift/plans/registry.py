@@ -225,12 +225,15 @@ def _(spark, folder):
     return lift.signal_to_noise(ab_lift(spark, folder))
 
 
-@query("ab_bootstrap")
+BOOT_DIGITS = {9: ("boot_abs_lo", "boot_abs_hi", "boot_rel_lo", "boot_rel_hi", "share_not_positive")}
+
+
+@query("ab_bootstrap", BOOT_DIGITS)
 def ab_bootstrap(spark, folder):
     return bootstrap.lift_bootstrap(counts_of(spark, folder))
 
 
-@query("ab_interval_agreement")
+@query("ab_interval_agreement", {9: ("rel_lift", "max_gap")})
 def _(spark, folder):
     counts = stored_result(counts_of(spark, folder))
     return lift.interval_agreement(lift.lift(counts), bootstrap.lift_bootstrap(counts))
@@ -498,9 +501,9 @@ def _(spark, folder):
     return ranking.deciles(ranks_by_balance(spark, folder))
 
 
-@query("uplift_capture_ci")
+@query("uplift_capture_ci", {9: ("boot_capture_lo", "boot_capture_hi")})
 def _(spark, folder):
-    return capture_interval.capture_bootstrap(capture_interval.ranking_slices(ranks_by_balance(spark, folder)))
+    return capture_interval.capture_bootstrap(ranks_by_balance(spark, folder))
 
 
 # --- publishing

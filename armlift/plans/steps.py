@@ -162,8 +162,6 @@ def model_uplift(
         "qini_curve": ranking.normalized_curve(curve),
         "qini": ranking.qini_coefficient(curve),
         "capture": ranking.capture(curve),
-        "capture_bootstrap": capture_interval.capture_bootstrap(
-            capture_interval.ranking_slices(ranks), n_boot=n_boot, seed=seed
-        ),
+        "capture_bootstrap": capture_interval.capture_bootstrap(ranks, n_boot=n_boot, seed=seed),
         "deciles": ranking.deciles(ranks),
     }

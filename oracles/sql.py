@@ -6,6 +6,8 @@ not share a formula with the library.
 
 from __future__ import annotations
 
+import math
+
 from armlift.plans.registry import COARSE_VECTOR, DIGITS, ROLES, STUMP_EDGES, STUMPS
 
 FEATURES = [f"f{i}" for i in range(12)]
@@ -443,6 +445,34 @@ def plain() -> dict[str, str]:
         "lifted as (select metric, rt - rc abs, rt / rc - 1 rel from drawn)",
         f"boot as (select metric, {ends(v='abs')}, {ends(v='rel')} from lifted group by metric)",
     )
+    replayed = [
+        LIFT,
+        """arms as (select metric, 't' arm, n_t::double n, x_t::double x from counts union all
+             select metric, 'c', n_c, x_c from counts)""",
+        """law as (
+          select metric, arm, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(x / n) + (n - k) * ln(1 - x / n)) weight
+          from (select *, unnest(range(greatest(0, floor(x - 9 * sqrt(x * (1 - x / n)) - 10))::bigint,
+            least(n, ceil(x + 9 * sqrt(x * (1 - x / n)) + 10))::bigint + 1)) k from arms where x between 1 and n - 1))""",
+        """law_steps as (select metric, arm, k, sum(weight) over w / sum(weight) over (partition by metric, arm) upto
+          from law window w as (partition by metric, arm order by k rows unbounded preceding))""",
+        """uniforms as (select metric, arm, r, ('0x' || substr(md5(concat_ws(':', 'lift7', metric, arm, r)), 1, 13))::bigint
+          / 4503599627370496::double u from arms, range(10000) reps(r))""",
+        """drawn_counts as (select u.metric, u.arm, r, s.k from uniforms u asof join law_steps s
+          on u.metric = s.metric and u.arm = s.arm and u.u <= s.upto)""",
+        """drawn as (select t.metric, t.k / n_t rt, c.k / n_c rc from drawn_counts t join drawn_counts c
+          on t.metric = c.metric and t.r = c.r and t.arm = 't' and c.arm = 'c' join counts on counts.metric = t.metric)""",
+        f"""boot as (select metric, count(*) n_boot, {ends(v='abs')}, {ends(v='rel')},
+          avg(case when abs <= 0 then 1e0 else 0e0 end) share_not_positive
+          from (select metric, rt - rc abs, rt / rc - 1 rel from drawn) group by metric)""",
+    ]
+    q["ab_bootstrap"] = sql("select * from boot", *replayed)
+    q["ab_interval_agreement"] = sql(
+        """select metric, rel_lift, max_gap, agree, bool_and(agree) over () all_agree from (
+          select *, max_gap < 0.05e0 * abs(rel_lift) + 0.005e0 agree from (
+            select metric, rel_lift, greatest(abs(rel_lo - boot_rel_lo), abs(rel_hi - boot_rel_hi)) max_gap
+            from lift join boot using (metric)))""",
+        *replayed,
+    )
     q["ab_incremental"] = sql("select metric, n_t, abs_lift, abs_lift * n_t incremental from lift", LIFT)
     q["ab_signal_noise"] = sql(
         """select v.rate_control / c.rate_control base_rate_ratio,
@@ -601,6 +631,7 @@ def plain() -> dict[str, str]:
             "select treatment, is_test, count(*) n, sum(unit_id % 1000003)::bigint id_sum from split group by treatment, is_test", parts
         )
     q["uplift_stump_scores"] = stump_scores()
+    q["uplift_capture_ci"] = capture_interval("f2")
     published = {
         "ab": ("lift", {"rate_c": "rate_control", "rate_t": "rate_treatment", "abs": "abs_lift", "rel": "rel_lift", "z": "z", "p": "p_value"}),
         "cace": (
@@ -640,6 +671,35 @@ def plain() -> dict[str, str]:
     return q
 
 
+def capture_interval(score: str, n_boot: int = 200) -> str:
+    """Capture of every replicate of units weighted by Poisson(1), drawn from the sums of its probabilities."""
+    cumulative = []
+    for k in range(12):
+        cumulative.append(f"round(4294967296e0 * ({' + '.join(f'exp(-1e0) / {math.factorial(i)}e0' for i in range(k + 1))}))")
+    weight = " + ".join(f"(u >= {c})::int" for c in cumulative)
+    return sql(
+        """select metric, share, count(*) n_boot, quantile_cont(capture, 0.025) boot_capture_lo, quantile_cont(capture, 0.975) boot_capture_hi
+           from (select metric, share, (q0 + (q - q0) / (phi - phi0) * (share - phi0)) / total capture
+             from stepped, (select unnest([0.1e0, 0.2e0, 0.3e0, 0.5e0]) share) where total > 0 and phi0 < share and share <= phi)
+           group by metric, share""",
+        ranked(score),
+        """hashed as (select metric, ((rank - 1) * 1000) // n slice, t, y, b, md5(concat_ws(':', 'capture6', unit_id, b)) h
+             from ranks, range(50) batches(b))""",
+        f"""weighted as (select metric, slice, b * 4 + k r, t, y, {weight} w
+             from (select *, ('0x' || substr(h, 1 + 8 * k, 8))::bigint u from hashed, range(4) pieces(k)))""",
+        f"""slices as (select metric, r, slice, sum(w * t) n_t, sum(w * (1 - t)) n_c, sum(w * y * t) y_t, sum(w * y * (1 - t)) y_c
+             from weighted where r < {n_boot} group by 1, 2, 3)""",
+        """summed as (select metric, r, slice, sum(n_t) over v n_t, sum(n_c) over v n_c, sum(y_t) over v y_t, sum(y_c) over v y_c,
+             sum(n_t + n_c) over (partition by metric, r) n
+             from slices window v as (partition by metric, r order by slice rows unbounded preceding))""",
+        """curved as (select metric, r, slice, (n_t + n_c) / n::double phi,
+             case when n_c > 0 then y_t - y_c * (n_t / n_c::double) else 0e0 end q from summed)""",
+        """stepped as (select *, lag(phi, 1, 0e0) over v phi0, lag(q, 1, 0e0) over v q0,
+             last_value(q) over (partition by metric, r order by slice rows between unbounded preceding and unbounded following) total
+             from curved window v as (partition by metric, r order by slice))""",
+    )
+
+
 def stump_scores() -> str:
     """Boosted stumps of every metric and arm, three rounds of best cut and leaf values, on the test half."""
     halves = f"split as (select *, {uniform('split')} < 0.5e0 is_test from units)"

@@ -73,7 +73,7 @@ def test_no_incremental_outcomes(spark):
     curve = ranking.qini_curve(ranks)
     assert ranking.qini_coefficient(curve).first().qini == 0
     assert {r.capture for r in ranking.capture(curve).collect()} == {None}
-    assert capture_interval.capture_bootstrap(capture_interval.ranking_slices(ranks), n_boot=5).count() == 0
+    assert capture_interval.capture_bootstrap(ranks, n_boot=5).count() == 0
 
 
 @pytest.mark.parametrize("n", [1000, 1003, 57, 10])
@@ -96,9 +96,9 @@ def test_deciles_follow_quantile_cuts(spark, n):
 
 def test_capture_bootstrap_agrees_with_resampling_units(spark):
     pdf, df = scored(spark, 4000, 4000, seed=3)
-    slices = capture_interval.ranking_slices(ranking.ranked(df))
-    found = by(capture_interval.capture_bootstrap(slices, n_boot=200).collect(), "share")
-    again = by(capture_interval.capture_bootstrap(slices.repartition(5), n_boot=200).collect(), "share")
+    ranks = ranking.ranked(df)
+    found = by(capture_interval.capture_bootstrap(ranks, n_boot=200).collect(), "share")
+    again = by(capture_interval.capture_bootstrap(ranks.repartition(5), n_boot=200).collect(), "share")
     assert found == again
     rng = np.random.default_rng(1)
     draws = []
