@@ -17,6 +17,8 @@ from armlift.schema import Roles
 FRACTIONS = (1.0, 0.5, 0.2, 0.1, 0.05, 0.02, 0.01, 0.005, 0.002, 0.001)
 BUCKET_COUNTS = (10, 100, 1000)
 NEWTON_STEPS = 5
+# parts of a split that serves several bucket counts
+MOST_PARTS = 100_000
 
 
 def with_power(df: DataFrame, alpha: float, column: str) -> DataFrame:
@@ -85,11 +87,20 @@ def bucket_arm_sums(
 ) -> DataFrame:
     """(k, bucket, metric, n_t, x_t, n_c, x_c) for k disjoint random buckets, every k in one job.
 
-    Every unit goes to one bucket of each split. Sums are made where the units are read, so
-    a task sends on at most as many rows as there are buckets, for any bucket counts.
+    Every unit goes to one bucket of each split. Where the counts have a small common multiple,
+    units are summed once in a split of that many and the buckets are sums of its parts; else
+    each unit is summed once for each count. Sums are made where the units are read, so a task
+    sends on at most as many rows as there are buckets or parts.
     """
     columns = [name(c) for c in (roles.treatment, *roles.metrics)]
     placed = df.selectExpr(*columns, f"{unit_uniform(roles.unit_id, salt)} as place")
+    finest = math.lcm(*bucket_counts)
+    if finest <= MOST_PARTS:
+        sums = arm_sums(roles)
+        parts = group(derive(placed, {"part": f"cast(floor(place * {finest}) as bigint)"}), ["part"], sums)
+        split = derive(with_each_value(parts, "k", bucket_counts), {"bucket": f"cast(part div ({finest} div k) as int)"})
+        totals = group(split, ["k", "bucket"], {c: f"sum({name(c)})" for c in sums})
+        return per_metric(totals, ("k", "bucket"), roles)
     split = derive(with_each_value(placed, "k", bucket_counts), {"bucket": "cast(floor(place * k) as int)"})
     totals = group(split, ["k", "bucket"], arm_sums(roles))
     return per_metric(totals, ("k", "bucket"), roles)
@@ -142,25 +153,20 @@ def units_needed(
     sized = derive(with_rates(counts), {"share_t": ratio("n_t", "(n_t + n_c)")})
     sized = derive(sized, {f"s{i}_{split}": e for split, s in shares.items() for i, e in enumerate(errors(s))})
     rows = derive(sized, {"gap": "abs(rate_treatment - rate_control)"})
-    rows = derive(rows, {f"x_{x}": ratio(f"({z_alpha} * s0_{x} + {z_power} * s1_{x})", "gap") for x in shares})
-    for _ in range(NEWTON_STEPS):
-        tails = {
-            f"{tail}_{x}": ratio(f"({sign}gap * x_{x} - {z_alpha} * s0_{x})", f"s1_{x}")
-            for x in shares
-            for tail, sign in (("right", ""), ("wrong", "-"))
-        }
-        steps = {}
-        for x in shares:
-            over = f"({normal_cdf(f'right_{x}')} + {normal_cdf(f'wrong_{x}')} - {literal(power)})"
-            density = f"(exp(-right_{x} * right_{x} / 2) - exp(-wrong_{x} * wrong_{x} / 2)) / {literal(math.sqrt(2 * math.pi))}"
-            steps[f"next_{x}"] = f"greatest(x_{x} - {ratio(over, f'(gap / s1_{x} * {density})')}, x_{x} / 4)"
-        moved = derive(derive(rows, tails), steps)
-        dropped = [*tails, *[f"x_{x}" for x in shares]]
-        # a few rows in one task; the step between keeps each Newton step a compiled stage of its own
-        rows = moved.drop(*dropped).withColumnsRenamed({f"next_{x}": f"x_{x}" for x in shares}).coalesce(1)
+
+    def solved(x: str) -> str:
+        """Newton steps as one fold, so that a few rows do not cost a plan of many layers."""
+        start = ratio(f"({z_alpha} * s0_{x} + {z_power} * s1_{x})", "gap")
+        side = lambda sign: ratio(f"({sign}gap * x - {z_alpha} * s0_{x})", f"s1_{x}")
+        tails = f"named_struct('right', {side('')}, 'wrong', {side('-')})"
+        over = f"({normal_cdf('t.right')} + {normal_cdf('t.wrong')} - {literal(power)})"
+        density = f"(exp(-t.right * t.right / 2) - exp(-t.wrong * t.wrong / 2)) / {literal(math.sqrt(2 * math.pi))}"
+        step = f"greatest(x - {ratio(over, f'(gap / s1_{x} * {density})')}, x / 4)"
+        return f"aggregate(sequence(1, {NEWTON_STEPS}), {start}, (x, i) -> element_at(transform(array({tails}), t -> {step}), 1))"
+
+    rows = derive(rows, {f"x_{x}": solved(x) for x in shares})
     none = {x: f"2 * {normal_cdf(ratio(f'(-{z_alpha} * s0_{x})', f's1_{x}'))} >= {literal(power)}" for x in shares}
     need = {f"n_{x}": f"if({none[x]}, null, x_{x} * x_{x})" for x in shares}
-    sized = rows
-    return derive(sized, need).selectExpr(
+    return derive(rows, need).selectExpr(
         "metric", "share_t", "n_actual", "n_even", f"{ratio('n_actual', 'n_even')} as cost_ratio"
     )

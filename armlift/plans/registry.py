@@ -24,6 +24,7 @@ from armlift.operators import (
     quantiles,
     ranking,
     segments,
+    sketches,
     uplift,
     validity,
 )
@@ -156,6 +157,38 @@ def _(spark, folder):
     return counts.join(sketched, "feature").selectExpr("feature", "n_distinct", within)
 
 
+def sketched_in_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches of three parts of the raw log, each made by itself, merged in two steps."""
+    units = stored(raw_units(spark, folder).select(ROLES.unit_id, *ROLES.features))
+    parts = [stored(sketches.part_sketches(units.where(f"unit_id % 3 = {i}"))) for i in range(3)]
+    return stored_result(sketches.merged_sketches(sketches.merged_sketches(parts[0], parts[1]), parts[2]))
+
+
+@query("profile_merged_summary", {4: ("mean", "stddev", "min", "max")})
+def _(spark, folder):
+    """Counts and moments of merged parts; they equal those of the whole table."""
+    return sketches.sketched_summary(sketched_in_parts(spark, folder)).select(
+        "feature", "n", "n_missing", "mean", "stddev", "min", "max"
+    )
+
+
+@query("profile_merged_distinct")
+def _(spark, folder):
+    """Exact distinct counts, and whether the merged sketches come within 3 %."""
+    merged = sketches.sketched_summary(sketched_in_parts(spark, folder)).select("feature", "approx_distinct")
+    exact = ", ".join(f"'{f}', count(distinct {f})" for f in ROLES.features)
+    counts = group(raw_units(spark, folder), [], {"counts": f"map({exact})"}).selectExpr("explode(counts) as (feature, n_distinct)")
+    near = "abs(approx_distinct - n_distinct) <= 0.03D * n_distinct as is_near"
+    return counts.join(merged, "feature").selectExpr("feature", "n_distinct", near)
+
+
+@query("segment_merged_edges")
+def _(spark, folder):
+    """Whether the edges of merged sketches have ranks within half a per cent in the whole table."""
+    shares = tuple(quantiles.bucket_probabilities(5))
+    return sketches.rank_bounds(raw_units(spark, folder), sketched_in_parts(spark, folder), ROLES, shares, 0.005)
+
+
 # --- validity of the randomization
 
 

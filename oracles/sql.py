@@ -415,6 +415,24 @@ def plain() -> dict[str, str]:
             FEATURES,
         )
     )
+    q["profile_merged_summary"] = sql(
+        union(
+            "select '{c}' feature, count({c}) n, count(*) - count({c}) n_missing, avg({c}) mean, stddev_samp({c}) stddev, "
+            'min({c}) "min", max({c}) "max" from raw',
+            FEATURES,
+        )
+    )
+    # the engine's own sketch has a wider error, so its verdict asks for less
+    q["profile_merged_distinct"] = q["profile_distinct_verdict"]
+    q["segment_merged_edges"] = sql(
+        union(
+            "select '{c}' feature, any_value(n) n, bool_and(below <= (p + 0.005e0) * n and upto >= (p - 0.005e0) * n) is_near "
+            "from (select p, (select count(*) from raw where {c} < edge) below, (select count(*) from raw where {c} <= edge) upto, "
+            "(select count({c}) from raw) n from (select unnest([0.2e0, 0.4e0, 0.6e0, 0.8e0]) p, "
+            "unnest(quantile_disc({c}, [0.2, 0.4, 0.6, 0.8])) edge from raw))",
+            FEATURES,
+        )
+    )
     q["segment_edges_verdict"] = sql(
         union(
             "select count(*) n, '{c}' feature, bool_and(below <= (p + 0.001e0) * n and upto >= (p - 0.001e0) * n) is_near "
