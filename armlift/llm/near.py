@@ -5,7 +5,9 @@ shingle and gives two values of the signature, its minimum and its maximum; both
 between two sets with probability equal to their Jaccard similarity, so half the
 evaluations do. Bands of four values (two minima and two maxima of four functions) name
 buckets. Equal sets are one class from the start; in a bucket, classes are linked to
-leaders instead of to each other, and every link is confirmed on the full sets.
+leaders instead of to each other; classes that leaders leave apart are compared by longer
+signatures inside the task that holds a block of the bucket, and only pairs that may be links
+leave it. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armlift.llm.components import components
+from armlift.llm.components import components, pointed
 from armlift.llm.tables import byte_texts, documents, map_batches
+from armlift.llm.tiles import block_pairs, in_runs, runs
 from armlift.llm.words import WordHasher, chunks, joined_hash, mixed
 from armlift.session import stored
 
@@ -33,8 +36,11 @@ PLACES_APART = 49
 # pair at the threshold differs in 614.4 places, with deviation 22.9; 729 is 5 deviations away
 FINE_FUNCTIONS = 2048
 FINE_PLACES_APART = 729
-# members that are confirmed against one leader in one group
+# members that are confirmed against one leader in one group, and bytes of their texts
 BLOCK_ROWS = 500
+BLOCK_BYTES = 16_000_000
+# classes of a bucket that meet in one block
+MET_ROWS = 400
 
 RNG = np.random.default_rng(20)
 FACTORS = RNG.integers(0, 2**63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -138,17 +144,58 @@ def alike(percent: int) -> str:
     return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {places} < {PLACES_APART}"
 
 
-def alike_in_full(a: str, b: str) -> str:
-    """SQL for a pair that the longer signatures let pass."""
-    places = f"zip_with({a}, {b}, (x, y) -> bit_count(((x ^ y) | shiftright(x ^ y, 1)) & {0x5555555555555555}L))"
-    return f"aggregate({places}, 0, (s, n) -> s + n) < {FINE_PLACES_APART}"
+def alike_in_runs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): classes of different groups that may be linked, each pair in the first bucket that both share.
 
-
-def renamed(rows: DataFrame, side: str) -> DataFrame:
-    """The rows of a bucket as one side of a pair."""
-    named = {"class": side, "n_shingles": f"n_{side}"}
-    named |= {c: f"{c}_{side}" for c in ("bits", "fine", "bands", "component")}
-    return rows.selectExpr("band", "place", *[f"{c} as {n}" for c, n in named.items()])
+    ``rows`` (band, place, class, component, n_shingles, bits, fine, bands) are those of open
+    buckets; a bucket of any size is compared block by block, and no other pair leaves a task.
+    """
+    paired, partitions = block_pairs(rows.select("band", "place", "class"), ["band"], ["class", "place"], MET_ROWS)
+    facts = rows.select("class", "component", "n_shingles", "bits", "fine", "bands").dropDuplicates(["class"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs(batches):
+            side = run["_side"].to_numpy()
+            i = np.flatnonzero(side == 0)
+            j = np.flatnonzero(side == 1) if side.any() else i
+            group, size, name = (run[c].to_numpy() for c in ("component", "n_shingles", "class"))
+            small, large = np.minimum(size[i][:, None], size[j]), np.maximum(size[i][:, None], size[j])
+            near = (group[i][:, None] != group[j]) & (100 * small >= percent * large)
+            if j is i:
+                near = np.triu(near, 1)
+            x, y = np.nonzero(near)
+            a, b = i[x], j[y]
+            if not len(a):
+                continue
+            bits, fine, bands = (stacked(run[c].combine_chunks()) for c in ("bits", "fine", "bands"))
+            for values, each, most in ((bits, 4, PLACES_APART), (fine, 2, FINE_PLACES_APART)):
+                kept = []
+                for start in range(0, len(a), 8192):
+                    some = slice(start, start + 8192)
+                    kept.append(places_apart(values[a[some]] ^ values[b[some]], each) < most)
+                kept = np.concatenate([np.empty(0, bool), *kept])
+                a, b = a[kept], b[kept]
+            first = (bands[a] == bands[b]).argmax(axis=1) == run["place"].to_numpy()[a]
+            a, b = name[a[first]], name[b[first]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return map_batches(in_runs(paired.join(facts, "class"), partitions), compared, "a bigint, b bigint")
+
+
+def stacked(lists: pa.ListArray) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    return lists.flatten().to_numpy().reshape(len(lists), -1)
+
+
+def places_apart(differ: np.ndarray, each: int) -> np.ndarray:
+    """Values of ``each`` bits that are not 0, by row of 64-bit numbers."""
+    differ = differ.view(np.uint64)
+    marked = differ.copy()
+    for step in range(1, each):
+        marked |= differ >> np.uint64(step)
+    lowest = np.uint64(sum(1 << k for k in range(0, 64, each)))
+    return np.bitwise_count(marked & lowest).sum(axis=1, dtype=np.int64)
 
 
 def with_long_signatures(rows: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -175,12 +222,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     per block, those of the others once per pair.
     """
     pairs = stored(pairs)
-    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    blocks = stored(counts.selectExpr("a as leader", f"cast(ceil(n / {BLOCK_ROWS}) as int) as blocks"))
+    sizes = texts.selectExpr("class as b", "bytes")
+    counts = pairs.join(sizes, "b").groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    wished = f"cast(greatest(ceil(n / {BLOCK_ROWS}), ceil(bytes / {BLOCK_BYTES})) as int)"
+    blocks = stored(counts.selectExpr("a as leader", f"{wished} as blocks"))
     members = (
         pairs.join(blocks, F.expr("a = leader"))
         .selectExpr("a as of_leader", "b as class", "cast(pmod(xxhash64(b), blocks) as int) as of_block")
-        .join(texts, "class")
+        .join(texts.drop("bytes"), "class")
     )
     leaders = blocks.join(texts.selectExpr("class as leader", "text as leader_text"), "leader").selectExpr(
         "leader", "explode(sequence(0, blocks - 1)) as block", "leader_text"
@@ -254,6 +303,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         wanted.join(named, F.expr("sample.doc_id <=> _doc and sample.text_key = _key"))
         .groupBy("class")
         .agg(F.first("text").alias("text"))
+        .selectExpr("*", "octet_length(text) as bytes")
     )
 
     # every class tries one leader at a time: the class of its buckets that meets most others in
@@ -277,20 +327,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         )
         found = confirmed(tried.selectExpr("best.leader as a", "class as b"), texts, width, percent)
         links = stored(found if links is None else links.unionByName(found))
-        groups = stored(components(links))
+        # every class has found one leader of lower rank at most; after the second, circles are possible
+        groups = pointed(links) if groups is None else stored(components(links))
         open_rows = stored(still_open(shared, groups).join(facts, "class"))
 
-    # what leaders did not join: classes of different groups, in the first bucket they share
+    # what leaders did not join
     bands = classes.selectExpr("class", "transform(bands, b -> cast(b & 2147483647 as int)) as bands")
-    long_rows = with_long_signatures(open_rows, texts, width).join(bands, "class")
-    left, right = (renamed(long_rows, side) for side in "ab")
-    first_shared = "array_position(zip_with(bands_a, bands_b, (x, y) -> x = y), true) = place + 1"
-    rest = (
-        left.join(right.drop("place"), "band")
-        .where(f"component_a < component_b and {alike(percent)} and {first_shared} and {alike_in_full('fine_a', 'fine_b')}")
-        .selectExpr("least(a, b) as a", "greatest(a, b) as b")
-    )
-    more = stored(confirmed(rest, texts, width, percent))
+    long_rows = stored(with_long_signatures(open_rows, texts, width).join(bands, "class"))
+    more = stored(confirmed(alike_in_runs(long_rows, percent), texts, width, percent))
     if more.take(1):
         groups = stored(components(links.unionByName(more)))
 
