@@ -11,14 +11,13 @@ from armlift.session import release, stored
 def components(links: DataFrame) -> DataFrame:
     """(node, component): smallest node reachable from each node of ``links`` (a, b), both bigint.
 
-    Alternates two steps until no link changes: every node sends its larger neighbours, then
+    Alternates two steps until all links lead to roots: every node sends its larger neighbours, then
     its smaller neighbours, to the smallest node it knows. Trees get flat in a number of
     rounds that grows with the logarithm of their size. A node with very many links is
     never gathered: minima are pre-aggregated, and the join that hands them out can be split.
     """
     current = stored(links.where("a <> b").selectExpr("greatest(a, b) as u", "least(a, b) as v").distinct())
-    digest = total(current)
-    while True:
+    while not flat_already(current):
         both = current.unionByName(current.selectExpr("v as u", "u as v"))
         found = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u as w", "least(u, m) as m")
         larger = both.where("v > u").join(found, F.expr("u = w")).selectExpr("v as u", "m as v")
@@ -26,23 +25,14 @@ def components(links: DataFrame) -> DataFrame:
         least = flat.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         smaller = flat.join(least, F.expr("u = w")).selectExpr("explode(array(v, u)) as u", "m as v")
         following = stored(smaller.where("u <> v").distinct())
-        before, digest = digest, total(following)
         release(current)
         current = following
-        if before == digest:
-            roots = current.select("v").distinct().selectExpr("v as node", "v as component")
-            return current.selectExpr("u as node", "v as component").unionByName(roots)
+    roots = current.select("v").distinct().selectExpr("v as node", "v as component")
+    return current.selectExpr("u as node", "v as component").unionByName(roots)
 
 
-def pointed(links: DataFrame, doublings: int = 3) -> DataFrame:
-    """(node, component) for links (a, b) with one pointer a for each b and no circle: what b reaches in 2^doublings steps."""
-    reached = links.selectExpr("b as node", "a as component")
-    for _ in range(doublings):
-        further = reached.selectExpr("node as component", "component as further")
-        reached = reached.join(further, "component", "left").selectExpr("node", "coalesce(further, component) as component")
-    return reached
-
-
-def total(links: DataFrame) -> tuple:
-    """Number of links and an order-free digest of them."""
-    return tuple(links.selectExpr("count(1)", "coalesce(bit_xor(xxhash64(u, v)), 0)", "coalesce(bit_xor(xxhash64(v, u, 7)), 0)").first())
+def flat_already(links: DataFrame) -> bool:
+    """Whether every link (u, v) leads to a root: no node has two links down, and none that is reached has one."""
+    ends = links.selectExpr("inline(array(named_struct('node', u, 'down', 1, 'reached', 0), named_struct('node', v, 'down', 0, 'reached', 1)))")
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("reached").alias("reached"))
+    return not nodes.where("down > 1 or (down = 1 and reached = 1)").take(1)

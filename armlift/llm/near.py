@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armlift.llm.components import components, pointed
+from armlift.llm.components import components
 from armlift.llm.tables import byte_texts, documents, map_batches
 from armlift.llm.tiles import block_pairs, in_runs, runs
 from armlift.llm.words import WordHasher, chunks, joined_hash, mixed
@@ -104,7 +104,7 @@ def banded(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def signed_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_key, n_shingles, set_key, bits, bands) of every row; no shingles give null keys."""
+    """(doc_id, text_key, bytes, n_shingles, set_key, bits, bands) of every row; no shingles give null keys."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,14 +123,14 @@ def signed_rows(docs: DataFrame, width: int) -> DataFrame:
                     bits.append([*packed(low, 4), *packed(high, 4)])
                     bands.append(banded(low, high).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array(bits, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "text_key", "n_shingles", "set_key", "bits", "bands"],
+                [*(batch.column(c) for c in ("doc_id", "text_key", "bytes")), pa.array(sizes, pa.int64()),
+                 pa.array(keys, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "bytes", "n_shingles", "set_key", "bits", "bands"],
             )
 
-    keyed = docs.selectExpr("doc_id", "xxhash64(text) as text_key", "text")
+    keyed = docs.selectExpr("doc_id", "xxhash64(text) as text_key", "octet_length(text) as bytes", "text")
     return map_batches(keyed, signed,
-        f"doc_id {kind}, text_key bigint, n_shingles bigint, set_key binary, bits array<bigint>, bands array<bigint>",
+        f"doc_id {kind}, text_key bigint, bytes int, n_shingles bigint, set_key binary, bits array<bigint>, bands array<bigint>",
     )
 
 
@@ -145,13 +145,13 @@ def alike(percent: int) -> str:
 
 
 def alike_in_runs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): classes of different groups that may be linked, each pair in the first bucket that both share.
+    """(a, b, bytes): classes of different groups that may be linked, each pair in the first bucket that both share.
 
-    ``rows`` (band, place, class, component, n_shingles, bits, fine, bands) are those of open
+    ``rows`` (band, place, class, component, bytes, n_shingles, bits, fine, bands) are those of open
     buckets; a bucket of any size is compared block by block, and no other pair leaves a task.
     """
-    paired, partitions = block_pairs(rows.select("band", "place", "class"), ["band"], ["class", "place"], MET_ROWS)
-    facts = rows.select("class", "component", "n_shingles", "bits", "fine", "bands").dropDuplicates(["class"])
+    carried = ("place", "component", "bytes", "n_shingles", "bits", "fine", "bands")
+    paired, partitions = block_pairs(rows, ["band"], ["class"], MET_ROWS, carried)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches):
@@ -176,11 +176,12 @@ def alike_in_runs(rows: DataFrame, percent: int) -> DataFrame:
                 kept = np.concatenate([np.empty(0, bool), *kept])
                 a, b = a[kept], b[kept]
             first = (bands[a] == bands[b]).argmax(axis=1) == run["place"].to_numpy()[a]
-            a, b = name[a[first]], name[b[first]]
+            a, b = a[first], b[first]
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                columns = [name[a], name[b], run["bytes"].to_numpy()[b]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "bytes"])
 
-    return map_batches(in_runs(paired.join(facts, "class"), partitions), compared, "a bigint, b bigint")
+    return map_batches(in_runs(paired, partitions), compared, "a bigint, b bigint, bytes int")
 
 
 def stacked(lists: pa.ListArray) -> np.ndarray:
@@ -216,20 +217,19 @@ def with_long_signatures(rows: DataFrame, texts: DataFrame, width: int) -> DataF
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets reach the similarity.
+    """The pairs (a, b, bytes) of classes whose full sets reach the similarity; bytes is the size of the second text.
 
     Pairs are grouped by their first class, in blocks of bounded size; its text comes once
     per block, those of the others once per pair.
     """
     pairs = stored(pairs)
-    sizes = texts.selectExpr("class as b", "bytes")
-    counts = pairs.join(sizes, "b").groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
     wished = f"cast(greatest(ceil(n / {BLOCK_ROWS}), ceil(bytes / {BLOCK_BYTES})) as int)"
     blocks = stored(counts.selectExpr("a as leader", f"{wished} as blocks"))
     members = (
         pairs.join(blocks, F.expr("a = leader"))
         .selectExpr("a as of_leader", "b as class", "cast(pmod(xxhash64(b), blocks) as int) as of_block")
-        .join(texts.drop("bytes"), "class")
+        .join(texts, "class")
     )
     leaders = blocks.join(texts.selectExpr("class as leader", "text as leader_text"), "leader").selectExpr(
         "leader", "explode(sequence(0, blocks - 1)) as block", "leader_text"
@@ -286,13 +286,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             F.min("doc_id").alias("first_id"),
             F.min(F.struct("doc_id", "text_key")).alias("sample"),
             F.first("n_shingles").alias("n_shingles"),
+            F.max("bytes").alias("bytes"),
             F.first("bits").alias("bits"),
             F.first("bands").alias("bands"),
         )
         .withColumn("class", F.monotonically_increasing_id())
     )
     rows = classes.selectExpr("class", "posexplode(bands) as (place, band)")
-    facts = classes.select("class", "n_shingles", "bits")
+    facts = classes.select("class", "bytes", "n_shingles", "bits")
     sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = stored(rows.join(sizes, "band"))
 
@@ -303,33 +304,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         wanted.join(named, F.expr("sample.doc_id <=> _doc and sample.text_key = _key"))
         .groupBy("class")
         .agg(F.first("text").alias("text"))
-        .selectExpr("*", "octet_length(text) as bytes")
     )
 
-    # every class tries one leader at a time: the class of its buckets that meets most others in
-    # all of its own, then, in buckets that still hold several groups, the smallest
+    # every class tries two leaders of its buckets: the class that meets most others in all of its own, and the smallest
     central = shared.groupBy("class").agg(F.sum("members").alias("meets"))
-    open_rows = shared.join(central.join(facts, "class"), "class").selectExpr("*", "class as component")
-    links = groups = None
-    for rank in ("-meets", "0"):
-        leader = open_rows.groupBy("band").agg(
-            F.min(F.struct(F.expr(rank).alias("rank"), "class", "n_shingles", "bits", "component")).alias("lead")
-        )
-        tried = (
-            open_rows.join(leader, "band")
-            .selectExpr(
-                "class", "component", "lead.rank as rank", "lead.class as leader", "lead.component as other",
-                "n_shingles as n_a", "lead.n_shingles as n_b", "bits as bits_a", "lead.bits as bits_b",
-            )
-            .where(f"component <> other and {alike(percent)}")
-            .groupBy("class")
-            .agg(F.min(F.struct("rank", "leader")).alias("best"))
-        )
-        found = confirmed(tried.selectExpr("best.leader as a", "class as b"), texts, width, percent)
-        links = stored(found if links is None else links.unionByName(found))
-        # every class has found one leader of lower rank at most; after the second, circles are possible
-        groups = pointed(links) if groups is None else stored(components(links))
-        open_rows = stored(still_open(shared, groups).join(facts, "class"))
+    rows = shared.join(central.join(facts, "class"), "class")
+    leaders = rows.groupBy("band").agg(
+        *[F.expr(f"min(named_struct('rank', {rank}, 'leader', class, 'n', n_shingles, 'bits', bits)) as {side}")
+          for side, rank in (("central", "-meets"), ("smallest", "0L"))]
+    )
+    tried = (
+        rows.join(leaders, "band")
+        .selectExpr("class", "bytes", "n_shingles as n_a", "bits as bits_a", "posexplode(array(central, smallest)) as (turn, lead)")
+        .selectExpr("*", "lead.n as n_b", "lead.bits as bits_b")
+        .where(f"class <> lead.leader and {alike(percent)}")
+        .groupBy("class", "turn")
+        .agg(F.min(F.expr("struct(lead.rank, lead.leader)")).alias("best"), F.first("bytes").alias("bytes"))
+        .selectExpr("best.leader as a", "class as b", "bytes")
+        .distinct()
+    )
+    links = stored(confirmed(tried, texts, width, percent))
+    groups = stored(components(links))
+    open_rows = stored(still_open(shared, groups).join(facts, "class"))
 
     # what leaders did not join
     bands = classes.selectExpr("class", "transform(bands, b -> cast(b & 2147483647 as int)) as bands")

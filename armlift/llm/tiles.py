@@ -15,8 +15,10 @@ from armlift.session import stored
 TASK_ROWS = 200_000
 
 
-def block_pairs(rows: DataFrame, keys: list[str], member: list[str], block_rows: int) -> tuple[DataFrame, int]:
-    """Rows of groups of two or more as (``keys``, ``member``, _run, _side), and the number of partitions they need.
+def block_pairs(
+    rows: DataFrame, keys: list[str], member: list[str], block_rows: int, carried: tuple[str, ...] = ()
+) -> tuple[DataFrame, int]:
+    """Rows of groups of two or more as (``keys``, ``member``, ``carried``, _run, _side), and the partitions they need.
 
     A group is dealt in blocks of about ``block_rows`` by the hash of the member. A run is a
     pair of blocks: side 0 of it meets side 1, or itself where all rows are of side 0.
@@ -27,10 +29,10 @@ def block_pairs(rows: DataFrame, keys: list[str], member: list[str], block_rows:
     spark = rows.sparkSession
     wished = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = rows.join(sizes.drop("_members"), keys).selectExpr(
-        *keys, *member, f"cast(pmod(xxhash64({', '.join(member)}), _blocks) as int) as _block", "explode(sequence(0, _blocks - 1)) as _other"
+        *keys, *member, *carried, f"cast(pmod(xxhash64({', '.join(member)}), _blocks) as int) as _block", "explode(sequence(0, _blocks - 1)) as _other"
     )
     run = f"xxhash64({', '.join(keys)}, least(_block, _other), greatest(_block, _other))"
-    paired = placed.selectExpr(*keys, *member, f"{run} as _run", "cast(_block > _other as int) as _side")
+    paired = placed.selectExpr(*keys, *member, *carried, f"{run} as _run", "cast(_block > _other as int) as _side")
     return paired, max(min(wished, total // 1000 + 1), total // TASK_ROWS)
 
 
