@@ -30,8 +30,8 @@ from armlift.operators import (
 )
 from armlift.plans import publish, steps
 from armlift.schema import Roles
-from armlift.session import stored, stored_result
-from armlift.sources import results
+from armlift.session import new_folder, stored, stored_result
+from armlift.sources import experiment_table, results
 from armlift.sources.order_experiment import order_experiment
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,24 @@ def _(spark, folder):
     return profile.missing_counts(raw_units(spark, folder))
 
 
+@query("ingest_rejects")
+def _(spark, folder):
+    """Rejected lines by reason of a raw CSV with planted faults, which is written and read again."""
+    faulty = {
+        "f2": "case when unit_id % 97 = 0 then 'n/a' else cast(f2 as string) end",
+        "f5": "case when unit_id % 101 = 0 then '1,5' when unit_id % 103 = 0 then 'five' else cast(f5 as string) end",
+        "exposure": "case when unit_id % 89 = 0 then '2.5' else cast(exposure as string) end",
+    }
+    lines = raw_units(spark, folder).selectExpr(*[f"{faulty.get(c, c)} as {c}" for c in ROLES.columns])
+    path = new_folder(spark)
+    # written without quotes, a comma inside a field is one field too many
+    quotes = {"header": True, "quote": "\0", "emptyValue": ""}
+    lines.write.options(**quotes).csv(path)
+    rows = stored(experiment_table.read_with_rejects(spark, path, ROLES))
+    counted = experiment_table.reject_counts(experiment_table.rejects(rows, ROLES))
+    return counted.groupBy("reason").agg(F.sum("n").alias("n"))
+
+
 @query("profile_rows")
 def _(spark, folder):
     return profile.row_accounting(raw_units(spark, folder))

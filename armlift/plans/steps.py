@@ -23,7 +23,7 @@ from armlift.operators import (
 from armlift.operators.moments import group_moments
 from armlift.schema import Roles
 from armlift.session import stored, stored_result
-from armlift.sources.experiment_table import number_rows, read_raw_csv, write_experiment
+from armlift.sources.experiment_table import FILE, REJECTED, number_rows, read_with_rejects, reject_counts, rejects, write_experiment
 from armlift.sources.results import Tables
 
 
@@ -38,12 +38,18 @@ def ingest(
     """Read the raw CSV once, write the complete rows as Parquet, profile all rows.
 
     The parsed rows go to the shared folder first, so the profile passes read pruned
-    columns instead of parsing text again. ``key="content"`` derives unit ids from the
+    columns instead of parsing text again. Lines that do not parse in full are counted by file
+    and reason. ``key="content"`` derives unit ids from the
     row contents (the same after every ingest, at the price of a shuffle); by default
     rows are numbered as they are written.
     """
-    raw = read_raw_csv(spark, source, roles, partitions)
-    raw = stored(add_unit_id(raw, roles.unit_id) if key == "content" else number_rows(raw, roles.unit_id))
+    read = read_with_rejects(spark, source, roles, partitions)
+    if key == "content":
+        parsed = stored(read)
+        raw = stored(add_unit_id(parsed.drop(REJECTED, FILE), roles.unit_id))
+    else:
+        parsed = stored(number_rows(read, roles.unit_id))
+        raw = parsed.drop(REJECTED, FILE)
     write_experiment(profile.drop_missing(raw, roles), target)
     measures = profile.all_measures(raw, roles)
     return {
@@ -52,6 +58,7 @@ def ingest(
         "binary_values": profile.binary_values(raw, roles),
         "duplicates": profile.duplicates(raw, roles),
         "arm_sizes": profile.arm_sizes(raw, roles),
+        "rejects": reject_counts(rejects(parsed, roles)),
     }
 
 

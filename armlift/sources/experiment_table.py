@@ -33,9 +33,60 @@ def read_raw_csv(
         .option("enforceSchema", not check_header)
         .csv(path)
     )
+    return spread(df, partitions)
+
+
+REJECTED, FILE = "rejected_line", "source_file"
+
+
+def read_with_rejects(
+    spark: SparkSession, path: str, roles: Roles = Roles(), partitions: int | None = None, check_header: bool = True
+) -> DataFrame:
+    """As ``read_raw_csv``, with the text of a line that does not parse in full, and its file, beside the columns.
+
+    Fields of such a line that do parse keep their values, the others are null.
+    """
+    schema = raw_schema(roles).add(REJECTED, "string")
+    df = (
+        spark.read.schema(schema)
+        .option("header", True)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", REJECTED)
+        .option("enforceSchema", not check_header)
+        .csv(path)
+        .selectExpr("*", f"_metadata.file_path as {FILE}")
+    )
+    return spread(df, partitions)
+
+
+def rejects(rows: DataFrame, roles: Roles = Roles()) -> DataFrame:
+    """(source_file, reason, rejected_line) of the lines that did not parse, from stored rows of ``read_with_rejects``.
+
+    The reason is a number of fields that is not the header's, or the first column whose field
+    is no number of its type.
+    """
+    parts = f"split({REJECTED}, ',', -1)"
+    kinds = {"double": "double", "integer": "int"}
+    fails = [
+        f"when try_cast(trim(fields[{i}]) as {kinds[f.dataType.typeName()]}) is null and trim(fields[{i}]) <> '' then 'value of {f.name}'"
+        for i, f in enumerate(raw_schema(roles))
+    ]
+    width = len(raw_schema(roles))
+    reason = f"case when size(fields) <> {width} then 'number of fields' {' '.join(fails)} else 'other' end"
+    found = rows.where(f"{REJECTED} is not null").selectExpr(FILE, REJECTED, f"{parts} as fields")
+    return found.selectExpr(FILE, f"{reason} as reason", REJECTED)
+
+
+def reject_counts(rejected: DataFrame) -> DataFrame:
+    """(source_file, reason, n)."""
+    return rejected.groupBy(FILE, "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Rows dealt once to this many partitions; by default as many as Spark runs tasks where files cannot be split, else none."""
     if partitions is None:
         packed = any(file.endswith(COMPRESSED) for file in df.inputFiles())
-        partitions = spark.sparkContext.defaultParallelism if packed else 0
+        partitions = df.sparkSession.sparkContext.defaultParallelism if packed else 0
     return df.repartition(partitions) if partitions else df
 
 

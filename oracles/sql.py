@@ -415,6 +415,12 @@ def plain() -> dict[str, str]:
             FEATURES,
         )
     )
+    q["ingest_rejects"] = sql(
+        """select reason, count(*) n from (
+             select case when unit_id % 101 = 0 then 'number of fields' when unit_id % 97 = 0 then 'value of f2'
+               when unit_id % 103 = 0 then 'value of f5' when unit_id % 89 = 0 then 'value of exposure' end reason from raw)
+           where reason is not null group by reason"""
+    )
     q["profile_merged_summary"] = sql(
         union(
             "select '{c}' feature, count({c}) n, count(*) - count({c}) n_missing, avg({c}) mean, stddev_samp({c}) stddev, "

@@ -67,6 +67,35 @@ def test_csv_values_that_do_not_parse_become_null_and_headers_are_checked(spark,
     assert by_position.first().f0 == 1.5
 
 
+def test_rejected_lines_are_kept_with_reason_and_file(spark, tmp_path):
+    header = ",".join(ROLES.columns)
+    good = ["1.5"] * 12 + ["1", "0", "1", "1"]
+    lines = {
+        "a.csv": [good, good[:-1], [*good, "7"], ["x", *good[1:]]],
+        "b.csv": [[*good[:15], "2.5"], ["", *good[1:]], ["1e3", *good[1:]]],
+    }
+    for file, rows in lines.items():
+        (tmp_path / file).write_text("\n".join([header, *[",".join(r) for r in rows]]) + "\n")
+    rows = experiment_table.read_with_rejects(spark, str(tmp_path)).cache()
+    found = experiment_table.rejects(rows).collect()
+    assert sorted((r.source_file[-5:], r.reason, r.rejected_line) for r in found) == sorted([
+        ("a.csv", "number of fields", ",".join(good[:-1])), ("a.csv", "number of fields", ",".join([*good, "7"])),
+        ("a.csv", "value of f0", ",".join(["x", *good[1:]])), ("b.csv", "value of exposure", ",".join([*good[:15], "2.5"])),
+    ])
+    assert {(r.source_file[-5:], r.reason): r.n for r in experiment_table.reject_counts(experiment_table.rejects(rows)).collect()} == {
+        ("a.csv", "number of fields"): 2, ("a.csv", "value of f0"): 1, ("b.csv", "value of exposure"): 1,
+    }
+    assert rows.count() == 7 and rows.where("rejected_line is null").count() == 3
+
+
+def test_digests_tell_nulls_apart(spark):
+    roles = Roles(features=("a", "b"), metrics=("visit", "conversion"))
+    values = [(None, 1.0), (1.0, None), (None, None), (0.0, 1.0), (-0.0, 1.0), (float("nan"), 1.0), (float("nan"), 1.0), (1.0, 1.0)]
+    df = spark.createDataFrame([(*v, 1, 0, 0, i // 7) for i, v in enumerate(values)], "a double, b double, treatment int, visit int, conversion int, exposure int")
+    found = profile.duplicates(df.union(df.limit(1)), roles).first()
+    assert (found.n, found.duplicate_rows, found.duplicate_vectors) == (9, 3, 3)
+
+
 def test_counts_do_not_depend_on_partitioning(units):
     whole = arms.experiment_counts(units).collect()
     for n in (1, 13):
