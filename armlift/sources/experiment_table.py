@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from armlift.schema import Roles, raw_schema
+from armlift.sources.replacing import replace_table, restored
 
 
 # Endings of files that cannot be split.
@@ -91,11 +92,12 @@ def spread(df: DataFrame, partitions: int | None) -> DataFrame:
 
 
 def read_experiment(spark: SparkSession, path: str) -> DataFrame:
+    restored(spark, path)
     return spark.read.parquet(path)
 
 
 def write_experiment(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    replace_table(df, path)
 
 
 def number_rows(df: DataFrame, unit_id: str = "unit_id") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from armlift.functions.numeric import group, literal, name, significant
+from armlift.sources.replacing import replace_table, restored
 
 Tables = dict[str, DataFrame]
 
@@ -20,10 +21,10 @@ def write_results(tables: Mapping[str, DataFrame], folder: str) -> None:
     Results are a few rows, hence one file each.
     """
     for table, df in tables.items():
-        df.repartition(1).write.mode("overwrite").parquet(f"{folder}/{table}/parquet")
+        replace_table(df.repartition(1), f"{folder}/{table}/parquet")
         # the stored table is read again, as the plan behind it may be long or draw samples
         written = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{table}/parquet")
-        written.coalesce(1).write.mode("overwrite").json(f"{folder}/{table}/json")
+        replace_table(written.coalesce(1), f"{folder}/{table}/json", "json")
 
 
 def read_results(spark: SparkSession, folder: str, names: Iterable[str]) -> Tables:
@@ -31,6 +32,7 @@ def read_results(spark: SparkSession, folder: str, names: Iterable[str]) -> Tabl
     found = {}
     for table in names:
         try:
+            restored(spark, f"{folder}/{table}/parquet")
             found[table] = spark.read.parquet(f"{folder}/{table}/parquet").coalesce(1)
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
