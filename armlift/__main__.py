@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 from armlift.operators.uplift import TreeSettings
 from armlift.plans import publish, steps
-from armlift.session import get_session
+from armlift.session import get_session, released_after
 from armlift.sources.experiment_table import read_experiment
 from armlift.sources.results import Tables, write_results
 
@@ -68,7 +68,8 @@ def main(arguments: list[str] | None = None) -> None:
         # every step leaves its tables in the folder; the document takes the sections that are there
         publish.publish_folder(spark, args.results).write.mode("overwrite").text(f"{args.results}/document")
     else:
-        write_results(run(spark, args), args.results)
+        with released_after(spark):
+            write_results(run(spark, args), args.results)
 
 
 if __name__ == "__main__":

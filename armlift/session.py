@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+# folders of the tables that the scope around owns
+OWNED: ContextVar[list[str] | None] = ContextVar("owned", default=None)
 
 
 def get_session(
@@ -41,12 +47,16 @@ def get_session(
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Where the setting is missing, a folder inside the warehouse, which is shared too.
+    Where the setting is missing, a folder inside the warehouse. A warehouse in a local folder is
+    shared with the executors of a local master only; on a cluster it is refused.
     """
     folder = spark.conf.get(CHECKPOINT_SETTING, None)
     if folder:
         return folder.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/armlift-work"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if urlparse(warehouse).scheme in ("", "file") and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError(f"name a folder that all executors reach in {CHECKPOINT_SETTING}: {warehouse} is local")
+    return warehouse + "/armlift-work"
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -62,6 +72,8 @@ def stored(df: DataFrame) -> DataFrame:
     ``release`` is called with it, or the owner of the shared folder clears it.
     """
     path = new_folder(df.sparkSession)
+    if (owned := OWNED.get()) is not None:
+        owned.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -77,6 +89,23 @@ def release(*tables: DataFrame) -> None:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def released_after(spark: SparkSession) -> Iterator[None]:
+    """Own the tables stored inside, and delete them at the end, also after an error.
+
+    For a job that has written its results by then. A scope inside another one owns its own tables.
+    """
+    owned: list[str] = []
+    token = OWNED.set(owned)
+    try:
+        yield
+    finally:
+        OWNED.reset(token)
+        for folder in owned:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored_result(df: DataFrame) -> DataFrame:
     """``stored`` for a result table of a few thousand rows that several others use.
 
