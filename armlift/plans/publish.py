@@ -154,3 +154,34 @@ def publish(tables: Tables) -> DataFrame:
 def publish_folder(spark: SparkSession, folder: str) -> DataFrame:
     """The document of the result tables written to a folder."""
     return publish(read_results(spark, folder, {table for table, _, _ in CONTENTS.values()}))
+
+
+def document_paths(documents: DataFrame) -> DataFrame:
+    """(section, key, field, number, text): every value of published documents, members of lists by place.
+
+    The documents are taken apart as variants, so sections of any shape and new fields show up.
+    Numbers are doubles; texts and flags are texts. Values that are null are left out.
+    """
+    return documents.sparkSession.sql(
+        """
+        with sections as (
+          select s.key as section, s.value as body, schema_of_variant(s.value) like 'ARRAY%' as is_list
+          from {docs}, lateral variant_explode(parse_json(document)) s),
+        lists as (
+          select section, cast(null as string) as key, body as items from sections where is_list
+          union all
+          select section, k.key, k.value from sections, lateral variant_explode(body) k where not is_list),
+        records as (select section, l.key, r.value as record from lists l, lateral variant_explode(items) r),
+        fields as (select section, r.key, f.key as field, f.value from records r, lateral variant_explode(record) f),
+        leaves as (
+          select section, f.key, if(m.pos is null, field, concat(field, '[', m.pos, ']')) as field,
+            if(m.pos is null, f.value, m.value) as leaf
+          from fields f, lateral variant_explode_outer(f.value) m),
+        typed as (select *, schema_of_variant(leaf) as kind from leaves)
+        select section, key, field,
+          if(kind in ('STRING', 'BOOLEAN'), null, cast(leaf as double)) as number,
+          if(kind in ('STRING', 'BOOLEAN'), cast(leaf as string), null) as text
+        from typed where kind <> 'VOID'
+        """,
+        docs=documents,
+    )

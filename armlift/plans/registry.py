@@ -585,6 +585,42 @@ def _(spark, folder):
     return document_values(stored_result(publish.publish(tables)), ("ab", "cace", "uplift"))
 
 
+@query("results_paths")
+def _(spark, folder):
+    """Every value of a document with all sections but the resampled compliance cells, which no engine repeats."""
+    raw, units = stored(raw_units(spark, folder)), stored(clean_units(spark, folder))
+    missing = stored_result(profile.missing_counts(raw))
+    edges = exact_edges(units)
+    ranks = ranking.ranked(ranking.scored_long(units, {m: "f2" for m in ROLES.metrics}))
+    curve = stored_result(ranking.qini_curve(ranks))
+    table = stored_result(segments.adjust_false_discovery(segments.segment_lift(segments.segment_sums(units, edges), edges)))
+    listed = [(feature, i, edge) for feature, cuts in edges.items() for i, edge in enumerate(cuts, 1)]
+    tables = {
+        "rows": profile.row_accounting(raw),
+        "arm_sizes": profile.arm_sizes(raw),
+        "binary_means": profile.binary_means(raw),
+        "missing": missing,
+        "missing_total": group(missing, [], {"n_null": "sum(n_null)"}),
+        "consistency": profile.consistency(raw),
+        "duplicates": profile.duplicates(raw),
+        **steps.check_validity(units),
+        **steps.measure_lift(units),
+        **steps.measure_power(units),
+        **steps.measure_compliance(units),
+        "segments": table,
+        "segment_edges": spark.createDataFrame(listed, "feature string, position int, edge double"),
+        "heterogeneity": segments.heterogeneity(table),
+        "qini": ranking.qini_coefficient(curve),
+        "capture": ranking.capture(curve),
+        "capture_bootstrap": capture_interval.capture_bootstrap(ranks),
+        "qini_curve": ranking.normalized_curve(curve),
+        "deciles": ranking.deciles(ranks),
+        "sample_sizes": uplift.split_units(units).groupBy("is_test").agg(F.count(F.lit(1)).alias("n")),
+    }
+    del tables["effect_bootstrap"]
+    return publish.document_paths(stored_result(publish.publish(tables)))
+
+
 @query("results_significant_digits")
 def _(spark, folder):
     table = results.cleaned(segment_table(spark, folder))

@@ -87,11 +87,10 @@ def normal_cdf(x: str) -> str:
 
 
 def chi2_tail(x: str, k: str) -> str:
-    inner = simpson(f"(case when {k} = 1 then 1e0 else pow({{u}}, {k} - 1) end * exp(-0.5e0 * {{u}} * {{u}}))", f"sqrt({x})")
-    return (
-        f"(case when {k} <= 0 then 1e0 else greatest(0e0, 1e0 - pow(2e0, 1 - {k} / 2e0) "
-        f"/ gamma({k} / 2e0) * {inner}) end)"
-    )
+    # the tail itself is integrated, from sqrt(x) on, so small values keep their digits
+    u = f"(sqrt({x}) + {{u}})"
+    tail = simpson(f"(case when {k} = 1 then 1e0 else pow({u}, {k} - 1) end * exp(-0.5e0 * {u} * {u}))", "12e0", steps=4000)
+    return f"(case when {k} <= 0 then 1e0 else least(1e0, pow(2e0, 1 - {k} / 2e0) / gamma({k} / 2e0) * {tail}) end)"
 
 
 def student_two_sided(t: str, v: str) -> str:
@@ -686,6 +685,7 @@ def plain() -> dict[str, str]:
         EFFECTS,
         curve("f2"),
     )
+    q["results_paths"] = document_paths(q)
     q["results_significant_digits"] = sql(
         "select feature, bucket, metric, "
         + ", ".join(f"printf('%.5e', {c})::double {c}" for c in ("rate_control", "rate_treatment", "lift", "se", "rel_lift", "p_value"))
@@ -695,6 +695,87 @@ def plain() -> dict[str, str]:
     return q
 
 
+# sections of the document: query or SQL of the rows, whether lists are keyed by metric or feature, then the
+# published names of doubles, of whole numbers and of texts; a pair of columns is a list
+SECTIONS: dict[str, tuple[str, str | None, dict[str, str | tuple[str, str]], dict[str, str], dict[str, str]]] = {
+    "profile_rows": ("profile_rows", None, {}, {"n": "rows_written", "read": "rows_read"}, {}),
+    "profile_groups": ("profile_arm_counts", None, {}, {"treatment": "treatment", "n": "n"}, {}),
+    "profile_means": ("profile_binary_means", None, {"mean": "mean"}, {}, {"column": '"column"'}),
+    "profile_nulls": ("profile_missing", None, {}, {"nulls": "n_null"}, {"column": '"column"'}),
+    "profile_nulls_total": ("select sum(n_null) n_null from ({profile_missing})", None, {}, {"nulls": "n_null"}, {}),
+    "profile_checks": ("profile_consistency", None, {}, {"violations": "n_violations"}, {"check": '"check"'}),
+    "profile_duplicates": ("profile_duplicates", None, {"dup_share": "duplicate_rows / n::double"}, {}, {}),
+    "srm": (
+        "validity_srm", None, {c: c for c in ("design_share", "observed_share", "ci_lo", "ci_hi", "chi2", "p_value", "alpha")},
+        {"n_treatment": "n_treatment", "n_control": "n_control"}, {"srm_detected": "srm_detected"},
+    ),
+    "balance": ("validity_balance", None, {"smd": "smd", "vr": "variance_ratio", "p": "welch_p"}, {}, {"feature": "feature"}),
+    "ab": (
+        "ab_lift", "metric",
+        {"rate_c": "rate_control", "rate_t": "rate_treatment", "abs": "abs_lift", "abs_ci": ("abs_lo", "abs_hi"),
+         "rel": "rel_lift", "rel_ci": ("rel_lo", "rel_hi"), "z": "z", "p": "p_value"}, {}, {},
+    ),
+    "ab_boot": ("ab_bootstrap", "metric", {"rel_ci_boot": ("boot_rel_lo", "boot_rel_hi")}, {}, {}),
+    "power_settings": ("select 0.05e0 alpha, 0.8e0 target", None, {"alpha": "alpha", "target": "target"}, {}, {}),
+    "power": ("power_mde_grid", "metric", {"f": "fraction", "n": "n_total", "mde": "mde_rel", "power": "power"}, {}, {}),
+    "power_empirical": (
+        "power_empirical", "metric", {"f": "fraction", "emp": "empirical_power", "ana": "analytic_power"}, {"k": "k"}, {},
+    ),
+    "allocation": ("power_sample_size", "metric", {"n_actual": "n_actual", "n_even": "n_even"}, {}, {}),
+    "cace": (
+        "compliance_effects", "metric",
+        {"compliance": "compliance", "itt": "itt", "cace": "cace", "naive": "naive_vs_control", "rate_exposed": "rate_exposed",
+         "rate_without_ad": "rate_without_exposure", "cace_rel": "cace_rel"}, {}, {},
+    ),
+    "cace_itt_ci": ("compliance_cace_ci", "metric", {"itt_ci": ("itt_lo", "itt_hi")}, {}, {}),
+    "segments": (
+        "select * from ({segment_lift}) join (select feature, bucket, metric, p_bh from ({segment_bh})) using (feature, bucket, metric)",
+        "feature", {"rate_c": "rate_control", "rate_t": "rate_treatment", "lift": "lift", "se": "se", "p_bh": "p_bh"},
+        {"bucket": "bucket", "n": "n"}, {"metric": "metric", "range": '"range"'},
+    ),
+    "segment_edges": (
+        "select feature, edge, row_number() over (partition by feature order by edge) position from ({segment_edges})",
+        "feature", {"edge": "edge"}, {"position": "position"}, {},
+    ),
+    "heterogeneity": (
+        "segment_cochran_q", None, {"Q": "q", "p_bonf": "p_bonferroni", "lift_range": "lift_range"}, {"n_buckets": "n_buckets"},
+        {"feature": "feature", "metric": "metric"},
+    ),
+    "uplift": ("uplift_qini", "metric", {"qini_coef": "qini"}, {}, {}),
+    "uplift_capture": ("uplift_capture", "metric", {"share": "share", "capture": "capture"}, {}, {}),
+    "uplift_capture_ci": ("uplift_capture_ci", "metric", {"share": "share", "ci": ("boot_capture_lo", "boot_capture_hi")}, {}, {}),
+    "uplift_curve": ("uplift_curve_normalized", "metric", {"phi": "phi", "q": "q_share"}, {"point": "point"}, {}),
+    "uplift_deciles": (
+        "uplift_deciles", "metric", {c: c for c in ("predicted_uplift", "observed_uplift", "ci_lo", "ci_hi")},
+        {"decile": "decile", "n": "n"}, {},
+    ),
+    "sample": ("sample_sizes", None, {}, {"n": "n"}, {"is_test": "is_test"}),
+}
+
+
+def document_paths(q: dict[str, str]) -> str:
+    """Every value of every section, doubles to six significant digits."""
+    known = q | {"sample_sizes": sql(f"select {uniform('split')} < 0.5e0 is_test, count(*) n from units group by 1")}
+    parts = []
+    for title, (rows, key, doubles, wholes, texts) in SECTIONS.items():
+        source = known[rows] if rows in known else rows.format(**known)
+        leaves = []
+        for field, columns in doubles.items():
+            pair = isinstance(columns, tuple)
+            for i, column in enumerate(columns if pair else (columns,)):
+                shown = f"{field}[{i}]" if pair else field
+                leaves.append(f"struct_pack(field := '{shown}', number := printf('%.5e', {column})::double, text := null::varchar)")
+        leaves += [f"struct_pack(field := '{f}', number := ({c})::double, text := null::varchar)" for f, c in wholes.items()]
+        leaves += [f"struct_pack(field := '{f}', number := null::double, text := ({c})::varchar)" for f, c in texts.items()]
+        keyed = f"{key}::varchar" if key else "null::varchar"
+        parts.append(
+            f"""select '{title}' section, key, leaf.field field, leaf.number number, leaf.text "text"
+                from (select {keyed} as key, unnest([{', '.join(leaves)}]) leaf from ({source}) t)
+                where leaf.number is not null or leaf.text is not null"""
+        )
+    return "\nunion all\n".join(parts)
+
+
 def capture_interval(score: str, n_boot: int = 200) -> str:
     """Capture of every replicate of units weighted by Poisson(1), drawn from the sums of its probabilities."""
     cumulative = []
