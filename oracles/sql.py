@@ -486,7 +486,7 @@ def plain() -> dict[str, str]:
           on t.metric = c.metric and t.r = c.r and t.arm = 't' and c.arm = 'c' join counts on counts.metric = t.metric)""",
         f"""boot as (select metric, count(*) n_boot, {ends(v='abs')}, {ends(v='rel')},
           avg(case when abs <= 0 then 1e0 else 0e0 end) share_not_positive
-          from (select metric, rt - rc abs, rt / rc - 1 rel from drawn) group by metric)""",
+          from (select metric, rt - rc abs, rt / nullif(rc, 0) - 1 rel from drawn) group by metric)""",
     ]
     q["ab_bootstrap"] = sql("select * from boot", *replayed)
     q["ab_interval_agreement"] = sql(
@@ -753,6 +753,15 @@ SECTIONS: dict[str, tuple[str, str | None, dict[str, str | tuple[str, str]], dic
 }
 
 
+def six_digits(x: str) -> str:
+    """Six significant digits, ties to even, read back from their decimal text."""
+    power = f"(5 - floor(log10(abs({x}))))::int"
+    return (
+        f"(case when {x} is null or isnan({x}) or isinf({x}) then null when {x} = 0 then 0e0 "
+        f"else (round_even({x} * pow(10e0, {power}), 0)::bigint || 'e' || -{power})::double end)"
+    )
+
+
 def document_paths(q: dict[str, str]) -> str:
     """Every value of every section, doubles to six significant digits."""
     known = q | {"sample_sizes": sql(f"select {uniform('split')} < 0.5e0 is_test, count(*) n from units group by 1")}
@@ -764,12 +773,13 @@ def document_paths(q: dict[str, str]) -> str:
             pair = isinstance(columns, tuple)
             for i, column in enumerate(columns if pair else (columns,)):
                 shown = f"{field}[{i}]" if pair else field
-                leaves.append(f"struct_pack(field := '{shown}', number := printf('%.5e', {column})::double, text := null::varchar)")
+                leaves.append(f"struct_pack(field := '{shown}', number := {six_digits(column)}, text := null::varchar)")
         leaves += [f"struct_pack(field := '{f}', number := ({c})::double, text := null::varchar)" for f, c in wholes.items()]
         leaves += [f"struct_pack(field := '{f}', number := null::double, text := ({c})::varchar)" for f, c in texts.items()]
         keyed = f"{key}::varchar" if key else "null::varchar"
         parts.append(
-            f"""select '{title}' section, key, leaf.field field, leaf.number number, leaf.text "text"
+            f"""select '{title}' section, key, leaf.field field,
+                  case when abs(leaf.number) < 1e-20 then 0e0 else leaf.number end number, leaf.text "text"
                 from (select {keyed} as key, unnest([{', '.join(leaves)}]) leaf from ({source}) t)
                 where leaf.number is not null or leaf.text is not null"""
         )
