@@ -135,6 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, se
     """Learn from labelled documents (doc_id, quality 0 or 1), at most ``max_labelled`` by hash of doc_id.
 
     Labels that are null or name no document are left out; a document labelled twice counts twice.
+    Where a doc_id names several rows, all are measured, and of all rows again at most
+    ``max_labelled`` by hash take part: that bounds what reaches the driver.
     """
     chosen = (
         labels.where("quality is not null and doc_id is not null")
@@ -143,14 +145,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, se
         .limit(max_labelled)
     )
     # the sample has at most max_labelled narrow rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "_quality")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = labelled.selectExpr("text", "_quality", f"xxhash64(doc_id, text, _quality, {seed}L) as _place")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = features(list(byte_texts(batch)))
-            yield pa.RecordBatch.from_arrays([batch.column("_quality"), pa.array(list(rows))], ["quality", "x"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_quality"), batch.column("_place"), pa.array(list(rows))], ["quality", "place", "x"]
+            )
 
-    found = map_batches(texts, measured, "quality int, x array<double>").toArrow()
+    narrow = map_batches(texts, measured, "quality int, place bigint, x array<double>")
+    found = narrow.orderBy("place", "quality", "x").limit(max_labelled).toArrow()
     quality = np.array(found["quality"].to_pylist(), int)
     x = np.array(found["x"].to_pylist(), float).reshape(len(quality), features([b""]).shape[1])
     # rows come in any order; sorted, the draws repeat
