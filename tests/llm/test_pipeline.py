@@ -85,3 +85,22 @@ def test_queries_are_registered():
     assert "pipeline" in names
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
     assert set(contract.oracle_sql()) <= names
+
+
+CLASHING = (
+    "score", "predicted", "ids", "n_tokens", "decoded", "kept_ids", "_doc", "_text", "_place", "_key", "_copies", "_times", "_copy",
+    "_c0", "quality", "text_key", "group_no", "kept", "copies", "size", "class", "band",
+)
+
+
+def test_stages_carry_columns_of_any_name_and_type(spark):
+    extra = [f"concat('{c}', doc_id) as `{c}`" for c in CLASHING] + ["map('k', doc_id) as m", "array(map(1, 'x')) as deep"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("*", *extra)
+    plain, with_extra = (d for d in (docs.select(*COLUMNS), docs))
+    for name, stage in corpus_pipeline.STAGES:
+        plain, with_extra = (stored(stage(spark, d, SMALL)) for d in (plain, with_extra))
+        assert rows(with_extra) == rows(plain), name
+        shown = {c: f"input_{c}" if name == corpus_pipeline.STAGES[-1][0] and c in corpus_pipeline.RESULTS else c for c in CLASHING}
+        assert sorted(with_extra.columns) == sorted([*plain.columns, *shown.values(), "m", "deep"])
+        for r in with_extra.limit(20).collect():
+            assert all(r[shown[c]] == f"{c}{r.doc_id}" for c in CLASHING) and r.m == {"k": r.doc_id}

@@ -255,3 +255,57 @@ def test_pairs_survive_dealing_in_two_rounds(spark, monkeypatch):
     again = lm.unpacked(lm.count_pairs(docs, 8, spread).toArrow())
     for a, b in zip(lm.summed(*whole), lm.summed(*again)):
         assert np.array_equal(a, b)
+
+
+def test_missing_or_short_model_files_are_an_error(spark):
+    docs = spark.createDataFrame([(i, f"one two w{i % 7} three") for i in range(60)], "doc_id bigint, text string")
+    model = lm.train(docs.select("text"))
+    lm.Reader(model)
+    files = sorted(f for f in os.listdir(model.folder) if os.path.getsize(f"{model.folder}/{f}"))
+    for kind in ("pairs", "counts", "words", "fields"):
+        path = next(f"{model.folder}/{f}" for f in files if f.startswith(f"{kind}-"))
+        with open(path, "rb") as file:
+            whole = file.read()
+        for part in (None, whole[: len(whole) // 2 // 32 * 32]):
+            os.remove(path)
+            if part is not None:
+                with open(path, "wb") as file:
+                    file.write(part)
+            with pytest.raises(FileNotFoundError):
+                lm.Reader(model)
+            with open(path, "wb") as file:
+                file.write(whole)
+    lm.Reader(model)
+
+
+def test_pairwise_weights_are_those_of_plain_descent():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((36, 3)) * [1, 10, 0.1] + [0, 5, 1]
+    good = x[:, 0] + 0.1 * x[:, 1] + rng.standard_normal(36) > 0.5
+    model = quality.fitted(x, good, seed=4)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    yes, no = np.flatnonzero(good), np.flatnonzero(~good)
+    draws, n = np.random.default_rng(4), min(quality.MAX_PAIRS, len(yes) * len(no))
+    pairs = list(zip(draws.choice(yes, n).tolist(), draws.choice(no, n).tolist()))
+    weights = [0.0, 0.0, 0.0]
+    difference = [[float(z[a][k] - z[b][k]) for k in range(3)] for a, b in pairs]
+    for _ in range(250):  # mean log(1 + exp(-w d)) + ridge |w|^2 / 2, step by step
+        slope = [1e-3 * w for w in weights]
+        for d in difference:
+            lost = 1 / (1 + math.exp(sum(w * v for w, v in zip(weights, d))))
+            for k in range(3):
+                slope[k] -= d[k] * lost / n
+        weights = [w - 2 * g for w, g in zip(weights, slope)]
+    assert np.allclose(model.weights, weights, atol=2e-3)
+    # as many labelled rows fall below the threshold as are labelled 0
+    assert int((z @ model.weights < model.threshold).sum()) == len(no)
+
+
+def test_labelled_rows_stay_bounded_when_ids_repeat(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text number {i}") for i in range(500)] + [(2, "other words")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    seen = []
+    whole = quality.fitted
+    monkeypatch.setattr(quality, "fitted", lambda x, good, seed: seen.append(len(x)) or whole(x, good, seed))
+    quality.fit(docs, labels, max_labelled=10)
+    assert seen == [10]
