@@ -27,6 +27,8 @@ from armlift.session import stored
 GRADIENT_STEP = 2.0**-24
 LEAST_HESSIAN = 1e-3
 LEAST_GAIN = 1e-9
+# what the steps of trees grown from the same gradients may add up to; more overshoots
+MOST_STEP = 0.25
 # trees after which margins are computed anew from the stored rows, which bounds the lineage
 RENEWED = 25
 # partitions whose sums are added on the driver; more are added by tasks first
@@ -39,7 +41,8 @@ class TreeSettings:
     """Boosting settings.
 
     Trees grow best first to ``leaves`` leaves; no leaf lies deeper than ``depth``, which bounds the
-    jobs of a tree, and ``at_once`` trees share the gradients they are grown from. A task holds at most ``task_rows`` training rows, and fewer where cores are
+    jobs of a tree. Up to ``at_once`` trees share the gradients they are grown from, fewer where their
+    steps would add up to over MOST_STEP. A task holds at most ``task_rows`` training rows, and fewer where cores are
     free, down to ``least_rows``.
     """
 
@@ -55,6 +58,10 @@ class TreeSettings:
     task_rows: int = 50_000
     least_rows: int = 16_000
 
+    @property
+    def together(self) -> int:
+        return max(1, min(self.at_once, int(MOST_STEP / self.step + 1e-9)))
+
 
 @dataclass
 class Tree:
@@ -407,8 +414,8 @@ def fit_forest(
 
     level, rounds = StorageLevel.MEMORY_AND_DISK, []
     state, previous = base.map(started).persist(level), None
-    for first in range(0, settings.n_trees, settings.at_once):
-        numbers = range(first, min(first + settings.at_once, settings.n_trees))
+    for first in range(0, settings.n_trees, settings.together):
+        numbers = range(first, min(first + settings.together, settings.n_trees))
         used = [used_features(number, len(features), settings, seed) for number in numbers]
         growths = [[Growth(settings, u, sizes[u]) for _ in models] for u in used]
         while True:
