@@ -324,6 +324,19 @@ class Reader:
         self.large_counts = [mapped(path("large-counts", i), np.int64) for i in numbers]
         self.words = [mapped(path("words", i), np.uint64) for i in numbers]
         self.fields = [mapped(path("fields", i), WORD_FIELDS) for i in numbers]
+        self.confirm()
+
+    def confirm(self) -> None:
+        """Stop where files are missing, cut short or from another model: scores would be wrong without a sign."""
+        pairs, counts, words, fields, large, large_counts = (
+            sum(map(len, arrays)) for arrays in (self.pairs, self.counts, self.words, self.fields, self.large, self.large_counts)
+        )
+        # the word table may hold the start of texts, which is no kind of token
+        if not (pairs == counts == self.model.pair_kinds and words == fields and 0 <= words - self.model.kinds <= 1 and large == large_counts):
+            self.refuse()
+
+    def refuse(self) -> None:
+        raise FileNotFoundError(f"the model's files in {self.model.folder} are not all there, or not whole, on this machine")
 
     @staticmethod
     def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -354,7 +367,9 @@ class Reader:
                 times = np.where(there, self.counts[i][at].astype(np.int64) if len(self.counts[i]) else 0, 0)
                 big = times == LARGE
                 if big.any():
-                    at, _ = self.find(self.large[i], pair[rows[big]])
+                    at, there = self.find(self.large[i], pair[rows[big]])
+                    if not there.all():
+                        self.refuse()
                     times[big] = self.large_counts[i][at]
                 found[rows] = times
         return found
