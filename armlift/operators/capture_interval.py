@@ -9,16 +9,26 @@ the ranking leave the tasks.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import IntegralType
 
-from armlift.functions.numeric import derive, each, group, literal, ratio, with_each_value
+from armlift.functions.digests import Digests
+from armlift.functions.numeric import derive, group, literal, ratio, with_each_value
 from armlift.operators.bootstrap import interval
 from armlift.operators.ranking import TARGET_SHARES
+from armlift.operators.uplift import in_large_batches
 
 N_SLICES = 1000
 # replicates that one hash serves, with 32 bits each
 PER_HASH = 4
+# units and hashes of each that are drawn at a time, and sums that a task holds before it sends them on
+ROWS_HELD = 16_384
+HASHES_HELD = 50
+SUMS_HELD = 1_000_000
 # treated and control units, then the successes among each
 SUMS = {"n_t": "t", "n_c": "1 - t", "y_t": "y * t", "y_c": "y * (1 - t)"}
 
@@ -35,30 +45,82 @@ def poisson_limits() -> list[int]:
     return limits
 
 
-def poisson_weights(ranks: DataFrame, n_boot: int, salt: str) -> DataFrame:
-    """Add ``batch`` and ``w0`` to ``w3``: each unit once per four replicates, with its weight in each."""
-    last = (n_boot - 1) // PER_HASH
-    batches = ranks.selectExpr("*", f"explode(sequence(0, {last})) as batch")
-    digest = f"md5(concat_ws(':', {literal(salt)}, cast(unit_id as string), cast(batch as string)))"
-    hashed = derive(batches, {"digest": digest})
-    piece = lambda k: f"cast(conv(substring(digest, {1 + 8 * k}, 8), 16, 10) as bigint)"
-    drawn = derive(hashed, {f"u{k}": piece(k) for k in range(PER_HASH)})
-    steps = poisson_limits()
-    weight = lambda u: "case " + " ".join(f"when {u} < {c}L then {k}" for k, c in enumerate(steps)) + f" else {len(steps)} end"
-    return derive(drawn, {f"w{k}": weight(f"u{k}") for k in range(PER_HASH)})
+def poisson_weights(beginnings: list[bytes], batches: range) -> np.ndarray:
+    """(replicate, unit): the weight of each unit in the four replicates of every batch."""
+    digests, steps = Digests(beginnings), poisson_limits()
+    weights = np.zeros((len(batches) * PER_HASH, len(beginnings)), np.uint8)
+    for i, batch in enumerate(batches):
+        drawn, some = digests.of(f":{batch}".encode()), weights[i * PER_HASH : (i + 1) * PER_HASH]
+        for limit in steps:
+            if limit < 2**32:
+                some += drawn >= np.uint32(limit)
+    return weights
+
+
+def weighted_sums(groups: np.ndarray, values: np.ndarray, beginnings: list[bytes], n_boot: int) -> tuple[np.ndarray, np.ndarray]:
+    """(groups, sums): weighted sums of the values of each group, as (group, replicate, value)."""
+    order = np.argsort(groups, kind="stable")
+    found, firsts = np.unique(groups[order], return_index=True)
+    ends, values = np.append(firsts[1:], len(order)), values[order]
+    beginnings = [beginnings[i] for i in order.tolist()]
+    sums = np.empty((len(found), n_boot, values.shape[1]))
+    last = (n_boot - 1) // PER_HASH + 1
+    for batch in range(0, last, HASHES_HELD):
+        replicates = slice(batch * PER_HASH, min((batch + HASHES_HELD) * PER_HASH, n_boot))
+        weights = poisson_weights(beginnings, range(batch, min(batch + HASHES_HELD, last)))[: replicates.stop - replicates.start]
+        for i, (first, end) in enumerate(zip(firsts.tolist(), ends.tolist())):
+            sums[i, replicates] = weights[:, first:end].astype(np.float64) @ values[first:end]
+    return found, sums
 
 
 def slice_sums(ranks: DataFrame, n_boot: int, salt: str, n_slices: int = N_SLICES) -> DataFrame:
-    """(metric, replicate, slice, n_t, n_c, y_t, y_c): weighted sums per slice of equal rank width."""
-    placed = derive(ranks.drop("score"), {"slice": f"cast(floor((rank - 1) * {n_slices} / n) as int)"})
-    weighted = poisson_weights(placed.select("metric", "unit_id", "t", "y", "slice"), n_boot, salt)
-    wide = {f"{c}{k}": f"sum(w{k} * ({text}))" for k in range(PER_HASH) for c, text in SUMS.items()}
-    sums = group(weighted, ["metric", "slice", "batch"], wide)
-    rows = [
-        {"metric": "metric", "replicate": f"batch * {PER_HASH} + {k}", "slice": "slice", **{c: f"{c}{k}" for c in SUMS}}
-        for k in range(PER_HASH)
-    ]
-    return each(sums, rows).filter(f"replicate < {n_boot}")
+    """(metric, replicate, slice, n_t, n_c, y_t, y_c): weighted sums per slice of equal rank width.
+
+    A unit is hashed and weighted where its row of the ranking lies; a task sends on one row per
+    metric, slice and replicate it meets, so what is shuffled does not grow with the units.
+    """
+    beginning = f"cast(concat_ws(':', {literal(salt)}, cast(unit_id as string)) as binary)"
+    place = f"cast(floor((rank - 1) * {n_slices} / n) as int)"
+    placed = ranks.selectExpr("metric", f"{place} as slice", f"{beginning} as beginning", *[f"{text} as {c}" for c, text in SUMS.items()])
+    whole = {c for c in SUMS if isinstance(placed.schema[c].dataType, IntegralType)}
+    rows = placed.selectExpr("metric", "slice", "beginning", *[f"cast({c} as double) as {c}" for c in SUMS])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # sums of (metric, slice), and whether any row had the value
+        held: dict[tuple[str | None, int], list[np.ndarray]] = {}
+        for batch in in_large_batches(batches, ROWS_HELD):
+            for first in range(0, batch.num_rows, ROWS_HELD):
+                part = batch.slice(first, ROWS_HELD)
+                metrics = part.column("metric").dictionary_encode(null_encoding="encode")
+                names, codes = metrics.dictionary.to_pylist(), metrics.indices.to_numpy()
+                values = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in SUMS], axis=1)
+                known = ~np.stack([part.column(c).is_null().to_numpy(zero_copy_only=False) for c in SUMS], axis=1)
+                values[~known] = 0
+                groups = codes.astype(np.int64) * n_slices + part.column("slice").to_numpy()
+                found, sums = weighted_sums(groups, values, part.column("beginning").to_pylist(), n_boot)
+                any_ = np.zeros((len(found), len(SUMS)), bool)
+                np.logical_or.at(any_, np.searchsorted(found, groups), known)
+                for i, number in enumerate(found.tolist()):
+                    key = names[number // n_slices], number % n_slices
+                    if key in held:
+                        held[key][0] += sums[i]
+                        held[key][1] |= any_[i]
+                    else:
+                        held[key] = [sums[i].copy(), any_[i].copy()]
+                if len(held) * n_boot > SUMS_HELD:
+                    yield from rows_of(held)
+                    held = {}
+        yield from rows_of(held)
+
+    def rows_of(held: dict[tuple[str | None, int], list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for (metric, slice_), (sums, any_) in held.items():
+            columns = [pa.array([metric] * n_boot, pa.string()), pa.array(np.arange(n_boot, dtype=np.int32)), pa.array(np.full(n_boot, slice_, np.int32))]
+            columns += [pa.array(sums[:, j]) if any_[j] else pa.nulls(n_boot, pa.float64()) for j in range(len(SUMS))]
+            yield pa.RecordBatch.from_arrays(columns, ["metric", "replicate", "slice", *SUMS])
+
+    parts = rows.mapInArrow(summed, "metric string, replicate int, slice int, " + ", ".join(f"{c} double" for c in SUMS))
+    total = {c: f"cast(sum({c}) as bigint)" if c in whole else f"sum({c})" for c in SUMS}
+    return group(parts, ["metric", "replicate", "slice"], total)
 
 
 def replicate_captures(sums: DataFrame, shares: tuple[float, ...] = TARGET_SHARES) -> DataFrame:

@@ -1,7 +1,10 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
 
+from armlift.functions.digests import Digests
 from armlift.operators import capture_interval, ranking
 from tests.conftest import by
 
@@ -110,3 +113,34 @@ def test_capture_bootstrap_agrees_with_resampling_units(spark):
         assert found[share]["n_boot"] == 200
         assert abs(found[share]["boot_capture_lo"] - lo) < 0.3 * (hi - lo)
         assert abs(found[share]["boot_capture_hi"] - hi) < 0.3 * (hi - lo)
+
+
+def test_digests_of_many_texts_are_md5():
+    beginnings = [f"capture6:{i * 7919}".encode() + b"x" * (i % 70) for i in range(300)] + [b"", b"a" * 200]
+    digests = Digests(beginnings)
+    for ending in (b"", b":0", b":1234"):
+        found = digests.of(ending)
+        for i, text in enumerate(beginnings):
+            assert found[:, i].astype(">u4").tobytes() == hashlib.md5(text + ending).digest()
+
+
+def test_slice_sums_weigh_every_unit_where_it_lies(spark):
+    rows = [("a", i, i % 3 % 2, i % 2, i + 1, 40) for i in range(40)] + [("b", i, 1, None, i + 1, 5) for i in range(5)]
+    ranks = spark.createDataFrame(rows, "metric string, unit_id bigint, t int, y int, rank bigint, n bigint")
+    ranks = ranks.selectExpr("metric", "unit_id", "0D as score", "t", "y", "rank", "n")
+    sums = capture_interval.slice_sums(ranks, 6, "salt", n_slices=4)
+    # one row a unit and hash would grow with the units
+    assert "explode" not in sums._jdf.queryExecution().toString()
+
+    expected, limits = {}, capture_interval.poisson_limits()
+    for metric, unit, t, y, rank, n in rows:
+        for replicate in range(6):
+            digest = hashlib.md5(f"salt:{unit}:{replicate // 4}".encode()).hexdigest()
+            drawn = int(digest[replicate % 4 * 8 :][:8], 16)
+            weight = sum(drawn >= limit for limit in limits)
+            cell = expected.setdefault((metric, replicate, (rank - 1) * 4 // n), [0, 0, None, None])
+            cell[0], cell[1] = cell[0] + weight * t, cell[1] + weight * (1 - t)
+            if y is not None:
+                cell[2], cell[3] = (cell[2] or 0) + weight * t * y, (cell[3] or 0) + weight * (1 - t) * y
+    assert {tuple(r)[:3]: list(r)[3:] for r in sums.collect()} == expected
+    assert dict(sums.dtypes)["n_t"] == "bigint"
