@@ -29,6 +29,8 @@ PER_HASH = 4
 ROWS_HELD = 16_384
 HASHES_HELD = 50
 SUMS_HELD = 1_000_000
+# weights up to this one are counted for all units at once
+COMMON = 4
 # treated and control units, then the successes among each
 SUMS = {"n_t": "t", "n_c": "1 - t", "y_t": "y * t", "y_c": "y * (1 - t)"}
 
@@ -51,9 +53,10 @@ def poisson_weights(beginnings: list[bytes], batches: range) -> np.ndarray:
     weights = np.zeros((len(batches) * PER_HASH, len(beginnings)), np.uint8)
     for i, batch in enumerate(batches):
         drawn, some = digests.of(f":{batch}".encode()), weights[i * PER_HASH : (i + 1) * PER_HASH]
-        for limit in steps:
-            if limit < 2**32:
-                some += drawn >= np.uint32(limit)
+        for limit in steps[:COMMON]:
+            some += drawn >= np.uint32(limit)
+        rare = drawn >= np.uint32(steps[COMMON - 1])
+        some[rare] = np.searchsorted(steps, drawn[rare].astype(np.int64), side="right")
     return weights
 
 

@@ -132,3 +132,41 @@ def test_forest_table_has_every_node(spark):
     nodes = rows[rows.tree >= 0]
     assert nodes.feature.isna().equals(~nodes.value.isna())
     assert len(nodes) == sum(len(t.feature) for trees in model.forest.rounds for t in trees)
+
+
+def grown_by_hand(rng, n_splits, n_bins=9, n_features=4):
+    tree, leaves = boosting.Tree(), [0]
+    for _ in range(n_splits):
+        node = leaves.pop(rng.integers(len(leaves)))
+        first = len(tree.feature)
+        tree.feature[node], tree.bin[node] = int(rng.integers(n_features)), int(rng.integers(n_bins - 1))
+        tree.left[node], tree.right[node] = first, first + 1
+        for line, empty in ((tree.feature, -1), (tree.bin, 0), (tree.left, -1), (tree.right, -1)):
+            line += [empty, empty]
+        tree.value += rng.random(2).tolist()
+        leaves += [first, first + 1]
+    return tree
+
+
+@pytest.mark.parametrize("n_splits", [0, 1, 30, 63, 80])
+def test_leaf_values_are_those_of_a_walk(n_splits):
+    rng = np.random.default_rng(n_splits)
+    tree, codes = grown_by_hand(rng, n_splits), rng.integers(0, 9, (4, 500))
+    expected = np.zeros(500)
+    for node, rows in tree.parted(lambda feature, last, rows: codes[feature][rows] <= last, 500):
+        expected[rows] = tree.value[node]
+    assert np.array_equal(boosting.LeafValues(tree, [9] * 4).of(list(codes.astype(np.intp))), expected)
+
+
+def test_rows_stored_with_margins_grow_the_same_trees(spark, monkeypatch):
+    df = table(spark, 800)
+    settings = TreeSettings(n_trees=6, at_once=1, step=0.2, leaves=5, min_leaf=20)
+    whole = uplift.fit_t_learner(df, settings, roles=ROLES, edges=EDGES).forest
+    kept = []
+    release = boosting.release
+    monkeypatch.setattr(boosting, "RENEWED", 2)
+    monkeypatch.setattr(boosting, "release", lambda *tables: kept.extend(tables) or release(*tables))
+    again = uplift.fit_t_learner(df, settings, roles=ROLES, edges=EDGES).forest
+    assert again.rounds == whole.rounds and again.start == whole.start
+    # margins come from the stored rows, which are deleted once newer ones are there
+    assert len(kept) == 2
