@@ -588,7 +588,8 @@ def _(spark, folder):
 @query("results_paths")
 def _(spark, folder):
     """Every value of a document with all sections but the resampled compliance cells, which no engine repeats."""
-    raw, units = stored(raw_units(spark, folder)), stored(clean_units(spark, folder))
+    raw = stored(raw_units(spark, folder))
+    units = profile.drop_missing(raw, ROLES)
     missing = stored_result(profile.missing_counts(raw))
     edges = exact_edges(units)
     ranks = ranking.ranked(ranking.scored_long(units, {m: "f2" for m in ROLES.metrics}))

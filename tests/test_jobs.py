@@ -9,7 +9,7 @@ from armlift.operators import arms, bootstrap, compliance, lift, power, profile,
 from armlift.plans import publish, steps
 from armlift.schema import Roles
 from armlift.sources import experiment_table, results
-from tests.conftest import by
+from tests.conftest import SMALL, by
 
 ROLES = Roles()
 
@@ -257,3 +257,16 @@ def test_compressed_input_is_spread_by_default(spark, units, tmp_path):
     assert count("gz") == spark.sparkContext.defaultParallelism
     assert count("gz", partitions=0) == 1 and count("gz", partitions=3) == 3
     assert count("plain", partitions=0) == count("plain")
+
+
+def test_the_document_derives_its_units_once(spark, monkeypatch):
+    from armlift.plans import registry
+
+    derived = []
+    build = registry.order_experiment
+    monkeypatch.setattr(registry, "order_experiment", lambda *place: derived.append(1) or build(*place))
+    # the rest of the document is left out: only what is read matters
+    monkeypatch.setattr(registry, "exact_edges", lambda units: (_ for _ in ()).throw(InterruptedError))
+    with pytest.raises(InterruptedError):
+        registry.QUERIES["results_paths"](spark, SMALL)
+    assert len(derived) == 1
