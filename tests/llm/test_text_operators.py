@@ -190,12 +190,14 @@ class Plain:
         self.d = lm.discounts([sum(n == k for n in self.pairs.values()) for k in (1, 2, 3, 4)])
         self.e = lm.discounts([sum(n == k for n in self.before.values()) for k in (1, 2, 3, 4)])
         self.kinds, self.tokens = len(self.count), sum(self.count.values())
+        # the same for every word, a pass over all of them
+        self.left = sum(e * sum(min(b, 3) == k for b in self.before.values()) for k, e in enumerate(self.e, 1))
 
     def word(self, w):
         n, all_pairs = self.before[w], len(self.pairs)
         if not all_pairs:
             return 1 / (self.kinds + 1)
-        left = sum(e * sum(min(b, 3) == k for b in self.before.values()) for k, e in enumerate(self.e, 1)) / all_pairs
+        left = self.left / all_pairs
         return (n - self.e[min(n, 3) - 1] if n else 0) / all_pairs + left / (self.kinds + 1)
 
     def pair(self, v, w):
