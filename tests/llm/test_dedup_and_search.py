@@ -166,6 +166,33 @@ def test_repeats_of_odd_tables(spark):
     assert sorted(r.n_removed for r in found) == [0] * (len(ODD) - 1) + [60_000]
 
 
+def test_what_is_left_can_be_read_from_the_result(spark, tmp_path):
+    rnd = random.Random(9)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefgé") for _ in range(rnd.randrange(2, 9))) for _ in range(n))
+    passage, copy = words(90), words(80)
+    assert len(passage.encode()) >= 400 and len(copy.encode()) >= 400
+    rows = [(i, f"{words(30)} é{passage}ê {words(20)}") for i in range(3)] + [(3, words(100)), (4, copy), (4, copy), (5, None)]
+    # the last byte of a character is the same here and there, the first is not: the cut goes through it
+    rows += [(6, f"{words(4)} \u00e9{'z' * 399}"), (7, f"{words(4)} \u0129{'z' * 399}")]
+    texts = {i: (t or "").encode() for i, t in rows}
+    starts = Counter(t[a : a + 400] for _, t in ((i, (t or "").encode()) for i, t in rows) for a in range(len(t) - 399))
+    found = repeats.without_repeats(table(spark, rows)).collect()
+    assert len(found) == len(rows)
+    kept = {}
+    for r in found:
+        text = texts[r.doc_id]
+        gone = {b for a in range(len(text) - 399) if starts[text[a : a + 400]] > 1 for b in range(a, a + 400)}
+        kept[r.doc_id] = bytes(b for i, b in enumerate(text) if i not in gone)
+        assert (r.n_bytes, bytes(r.kept)) == (len(text), kept[r.doc_id])
+        assert {b for s in r.spans for b in range(s.start, s.end)} == gone
+        assert all(a.end < b.start for a, b in zip(r.spans, r.spans[1:]))
+    assert kept[4] == b"" and kept[3] == texts[3] and kept[6][-1] == 0xC3
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    for r in repeats.op10_remove_repeats(spark, str(tmp_path)).collect():
+        assert r.text == kept[r.doc_id].decode(errors="replace") and (passage not in r.text)
+        assert (r.n_removed, r.kept_sha256) == (len(texts[r.doc_id]) - len(kept[r.doc_id]), hashlib.sha256(kept[r.doc_id]).hexdigest())
+
+
 def test_fingerprints_of_edited_and_next_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
