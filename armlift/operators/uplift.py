@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from armlift.functions.numeric import derive, each, group, literal, name, pick
 from armlift.functions.units import unit_uniform
-from armlift.operators.boosting import Forest, TreeSettings, fit_forest
+from armlift.operators.boosting import Forest, TreeSettings, fit_forest, in_large_batches
 from armlift.operators.quantiles import edges_of, even_edges, exact_quantiles
 from armlift.schema import Roles
 
@@ -55,35 +55,31 @@ class TLearner:
     forest: Forest
     roles: Roles = field(default_factory=Roles)
 
-    def score(self, df: DataFrame) -> DataFrame:
-        """Add ``uplift_<metric>`` = P(y = 1 | x, treated) - P(y = 1 | x, control), and both parts ``p1_``, ``p0_``."""
+    def score(self, df: DataFrame, kept: tuple[str, ...] | None = None) -> DataFrame:
+        """Add ``uplift_<metric>`` = P(y = 1 | x, treated) - P(y = 1 | x, control), and both parts ``p1_``, ``p0_``.
+
+        ``kept`` names the columns that are carried along, all by default.
+        """
         forest, roles = self.forest, self.roles
+        if kept is None:
+            kept = tuple(df.columns)
+        else:
+            df = df.select(*[name(c) for c in dict.fromkeys((*kept, *forest.features))])
         places = [df.columns.index(f) for f in forest.features]
         parts = [f"p{arm}_{roles.metrics[metric]}" for metric, arm in forest.models]
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            walks = forest.walks()
             for held in in_large_batches(batches, SCORED_ROWS):
                 columns = [held.column(i).cast(pa.float64()).fill_null(np.nan).to_numpy() for i in places]
-                chances = 1 / (1 + np.exp(-forest.margins(columns)))
-                yield pa.RecordBatch.from_arrays([*held.columns, *map(pa.array, chances)], [*held.schema.names, *parts])
+                chances = 1 / (1 + np.exp(-forest.margins(columns, walks)))
+                carried = held.columns[: len(kept)]
+                yield pa.RecordBatch.from_arrays([*carried, *map(pa.array, chances)], [*kept, *parts])
 
-        schema = StructType([*df.schema.fields, *[StructField(p, DoubleType()) for p in parts]])
+        schema = StructType([*df.schema.fields[: len(kept)], *[StructField(p, DoubleType()) for p in parts]])
         return derive(df.mapInArrow(scored, schema), {f"uplift_{m}": f"{name(f'p1_{m}')} - {name(f'p0_{m}')}" for m in roles.metrics})
 
 
-def in_large_batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Batches put together to about this many rows."""
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= rows:
-            yield pa.concat_batches(held)
-            held, n = [], 0
-    if n:
-        yield pa.concat_batches(held)
-
-
 def feature_edges(train: DataFrame, bins: int, roles: Roles = Roles()) -> dict[str, list[float]]:
     """Cut points of up to ``bins`` bins per feature: exact quantiles of the training rows."""
     return even_edges(train, roles.features, bins)

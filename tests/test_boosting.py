@@ -170,3 +170,100 @@ def test_rows_stored_with_margins_grow_the_same_trees(spark, monkeypatch):
     assert again.rounds == whole.rounds and again.start == whole.start
     # margins come from the stored rows, which are deleted once newer ones are there
     assert len(kept) == 2
+
+
+@pytest.mark.parametrize("n_splits", [1, 30, 80])
+def test_leaf_values_over_shared_columns_are_those_of_a_walk(n_splits):
+    rng = np.random.default_rng(n_splits)
+    sizes = [9, 300, 9, 9]
+    columns = boosting.Columns(sizes)
+    assert [mine for _, mine in columns.shared()] == [[0, 2, 3]]
+    tree, codes = grown_by_hand(rng, n_splits), np.stack([rng.integers(0, size, 500) for size in sizes])
+    expected = np.zeros(500)
+    for node, rows in tree.parted(lambda feature, last, rows: codes[feature][rows] <= last, 500):
+        expected[rows] = tree.value[node]
+    found = np.zeros((2, 500))
+    boosting.add_values(found, codes.astype(np.uint16), [(1, boosting.LeafValues(tree, sizes).by_column(columns))], columns)
+    assert np.array_equal(found[1], expected) and not found[0].any()
+
+
+def block_by_hand(rng, arm, n, sizes, outcomes=(0.0, 1.0, np.nan, -1.0)):
+    codes = np.stack([rng.integers(0, size, n) for size in sizes]).astype(np.uint16)
+    units = rng.integers(0, 2**63, n).astype(np.uint64)
+    return boosting.Block(arm, codes, units, rng.choice(outcomes, (2, n)), rng.normal(size=(2, n)))
+
+
+@pytest.mark.parametrize("outcomes", [(0.0, 1.0), (0.0, 1.0, np.nan, -1.0), (0.0, 7.0)])
+def test_sums_over_parts_and_blocks_are_those_of_recounted_rows(monkeypatch, outcomes):
+    monkeypatch.setattr(boosting, "PART_ROWS", 70)
+    monkeypatch.setattr(boosting, "SUMMED_ROWS", 50)
+    rng, sizes, models, numbers = np.random.default_rng(5), [9, 300, 9, 9], [(0, 0), (0, 1), (1, 0), (1, 1)], range(3, 8)
+    settings = TreeSettings(feature_share=0.75, row_share=0.6)
+    blocks = [block_by_hand(rng, arm, n, sizes, outcomes) for arm, n in ((0, 90), (1, 333), (1, 170), (0, 0))]
+    columns = boosting.Columns(sizes)
+    used = [boosting.used_features(number, 4, settings, 2) for number in numbers]
+    grown = [[grown_by_hand(rng, 6) for _ in models] for _ in numbers]
+    leaves = lambda tree: [node for node, feature in enumerate(tree.feature) if feature < 0]
+    wants = [[[0]] * 4 for _ in numbers], [[leaves(t)[1::2] if m != 2 else [] for m, t in enumerate(trees)] for trees in grown]
+    trees = [[boosting.Tree() for _ in models] for _ in numbers], grown
+    for function, mine, wanted in zip((boosting.root_sums, boosting.node_sums), trees, wants):
+        plans = [boosting.Plan(u, t, w) for u, t, w in zip(used, mine, wanted)]
+        ready = (b.ready(numbers, settings, 2) for b in blocks)
+        found = dict(function(ready, plans, models, columns))
+        for p, number in enumerate(numbers):
+            for m, (metric, arm) in enumerate(models):
+                expected = np.zeros((3, len(wanted[p][m]), sum(sizes[f] for f in used[p])))
+                for b in blocks:
+                    chance = 1 / (1 + np.exp(-b.margins[metric]))
+                    usable = (b.outcomes[metric] >= 0) & (mixed_units(b.units, 2, number) < 0.6 * 2.0**64) & (b.arm == arm)
+                    weights = np.rint((chance - b.outcomes[metric]) / GRADIENT_STEP), np.rint(chance * (1 - chance) / GRADIENT_STEP)
+                    parts = mine[p][m].parted(lambda f, last, rows, b=b: b.codes[f][rows] <= last, len(b.units), set(wanted[p][m]))
+                    for node, rows in parts:
+                        rows, at, start = rows[usable[rows]], wanted[p][m].index(node), 0
+                        for f in used[p]:
+                            for k, weight in enumerate((*weights, np.ones(len(b.units)))):
+                                np.add.at(expected[k, at], start + b.codes[f][rows].astype(int), weight[rows])
+                            start += sizes[f]
+                assert np.array_equal(found.get(p * 4 + m, np.zeros_like(expected)), expected)
+
+
+def test_full_blocks_of_equal_hessians_add_up_exactly(monkeypatch):
+    n = 2 * boosting.SUMMED_ROWS + 7
+    outcomes = np.ones((1, n))
+    block = boosting.Block(1, np.zeros((1, n), np.uint8), np.arange(n, dtype=np.uint64), outcomes, np.zeros((1, n)))
+    plans = [boosting.Plan(np.array([0]), [boosting.Tree()], [[0]])]
+    settings = TreeSettings(row_share=1.0)
+    found = dict(boosting.root_sums([block.ready([0], settings, 1)], plans, [(0, 1)], boosting.Columns([1])))
+    assert found[0].ravel().tolist() == [-0.5 / GRADIENT_STEP * n, 0.25 / GRADIENT_STEP * n, n]
+
+
+def test_tasks_do_not_grow_with_the_rows_they_can_go_through(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 20_000)
+    df = spark.range(450_000).selectExpr("id as unit_id", "cast(id % 7 as double) as a", "0.5D as b", "0D as c", "1D as d",
+                                         "cast(id % 2 as int) as treatment", "1 as visit", "0 as conversion")
+    blocks, partitions = boosting.binned_blocks(df, ROLES.features, "treatment", ROLES.metrics, "unit_id", EDGES, TreeSettings())
+    cores = spark.sparkContext.defaultParallelism
+    assert partitions == cores == blocks.getNumPartitions()
+    sizes = blocks.map(lambda b: (b.arm, len(b.units), b.codes.dtype.itemsize)).collect()
+    # a block is done with before the next one is read
+    assert sum(n for _, n, _ in sizes) == 450_000 and len(sizes) > 2 * cores and all(n <= 30_000 and size == 1 for _, n, size in sizes)
+
+
+def test_many_blocks_and_tasks_grow_the_same_trees(spark, monkeypatch):
+    df, settings = table(spark, 900), TreeSettings(n_trees=3, leaves=8, min_leaf=10)
+    once = uplift.fit_t_learner(df, settings, roles=ROLES, edges=EDGES).forest
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 40)
+    many = TreeSettings(n_trees=3, leaves=8, min_leaf=10, task_rows=40)
+    assert uplift.fit_t_learner(df, many, roles=ROLES, edges=EDGES).forest.rounds == once.rounds
+
+
+def test_scores_carry_the_named_columns_only(spark):
+    df = table(spark, 300)
+    model = uplift.fit_t_learner(df, TreeSettings(n_trees=2, leaves=4, min_leaf=10), roles=ROLES, edges=EDGES)
+    parts = [f"p{arm}_{m}" for m in ROLES.metrics for arm in (0, 1)]
+    scores = [f"uplift_{m}" for m in ROLES.metrics]
+    few = model.score(df, ("unit_id", "b"))
+    assert few.columns == ["unit_id", "b", *parts, *scores]
+    whole = model.score(df)
+    assert whole.columns == [*df.columns, *parts, *scores]
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, whole.select(few.columns).collect()))
