@@ -673,10 +673,10 @@ def _(spark, folder):
 
 
 def scored_test_units(spark: SparkSession, folder: str) -> DataFrame:
-    """Scores of the test half by the model of the other half."""
+    """Scores of the test half by the model of the other half, beside the unit, its arm and its outcomes."""
     units = stored(uplift.split_units(clean_units(spark, folder)))
     model = uplift.fit_t_learner(units.filter(~F.col("is_test")), QUERY_TREES)
-    return stored(model.score(units.filter("is_test")))
+    return stored(model.score(units.filter("is_test"), (ROLES.unit_id, ROLES.treatment, *ROLES.metrics)))
 
 
 @query("uplift_scores", {6: ("uplift_visit", "uplift_conversion")})
